@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantspark.llm import mixing, secrets
+from quantspark.llm import decision_list, mixing, pivots, secrets, sharding, simhash, url_rules
 from quantspark.llm.sql import ORACLES
 
 
@@ -14,6 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_rules.judge_urls(pages, url_rules.labelled_pages(pages, table(spark, sf_dir, "labels")))
+
+
+def op4_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_list.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
@@ -22,8 +35,24 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digest(table(spark, sf_dir, "documents"))
+
+
+def op10_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_secret_scan, op7_source_mix)}
+    return {f.__name__: f for f in (
+        op3_url_rules,
+        op4_pivot_dedup,
+        op5_quality_rules,
+        op6_secret_scan,
+        op7_source_mix,
+        op8_simhash_dedup,
+        op10_label_shards,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
