@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantspark.llm import decision_list, mixing, pivots, secrets, sharding, simhash, url_rules
+from quantspark.llm import decision_list, licenses, mixing, ngram_lm, packing, pivots, secrets, sharding, simhash, url_rules
 from quantspark.llm.sql import ORACLES
 
 
@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_digest(table(spark, sf_dir, "documents"))
+
+
+def op2_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_corpus(table(spark, sf_dir, "documents"))[0]
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_rules.judge_urls(pages, url_rules.labelled_pages(pages, table(spark, sf_dir, "labels")))
@@ -39,18 +47,25 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
+        op1_sum_of_squares_packing,
+        op2_elias_fano_lm,
         op3_url_rules,
         op4_pivot_dedup,
         op5_quality_rules,
         op6_secret_scan,
         op7_source_mix,
         op8_simhash_dedup,
+        op9_license_scan,
         op10_label_shards,
     )}
 
