@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from quantspark.plans import indicator_queries  # noqa: F401
