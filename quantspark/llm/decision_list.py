@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantspark.llm.common import free_name
+
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -247,6 +249,7 @@ def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that the base limits or the learned list reject; their columns and null ids stay."""
     rules = fit(docs, labels, id_col=id_col, text_col=text_col)
-    stats = F.col("__stats")
-    kept = with_stats(docs, text_col).where(~base_failed(stats) & rejected_by(rules, stats).isNull())
+    name = free_name(docs, "__stats")
+    stats = F.col(name)
+    kept = with_stats(docs, text_col, name).where(~base_failed(stats) & rejected_by(rules, stats).isNull())
     return kept.select(*docs.columns)

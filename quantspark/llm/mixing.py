@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantspark.llm.common import WORD, Scratch
+from quantspark.llm.common import WORD, Scratch, free_name
 
 HASH_BITS = 48
 #: Bits that each histogram level resolves; together HASH_BITS. The last level holds single hash values.
@@ -156,8 +156,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     """The mixed corpus with the columns of docs: rows not taken go, rows taken twice come twice."""
     scratch = Scratch(docs.sparkSession, "mix")
     _, cuts = mix_plan(docs, scratch, id_col=id_col, source_col=source_col, **options)
-    cuts = cuts.select(F.col("source").alias("__mix_source"), F.col("copies").alias("__mix_copies"), F.col("threshold").alias("__mix_threshold"))
-    rows = docs.join(cuts, docs[source_col].cast("string").eqNullSafe(F.col("__mix_source")), "left")
-    count = taken_copies(F.col("__mix_copies"), F.col("__mix_threshold"), document_hash(docs[id_col]))
-    rows = rows.withColumn("__mix_take", count).where("__mix_take > 0")
-    return rows.withColumn("__mix_take", F.explode(F.sequence(F.lit(1), F.col("__mix_take")))).select(*[docs[c] for c in docs.columns])
+    key, copies, threshold, take = (free_name(docs, n) for n in ("__source", "__copies", "__threshold", "__take"))
+    cuts = cuts.select(F.col("source").alias(key), F.col("copies").alias(copies), F.col("threshold").alias(threshold))
+    rows = docs.join(cuts, docs[source_col].cast("string").eqNullSafe(F.col(key)), "left")
+    rows = rows.withColumn(take, taken_copies(F.col(copies), F.col(threshold), document_hash(docs[id_col]))).where(F.col(take) > 0)
+    return rows.withColumn(take, F.explode(F.sequence(F.lit(1), F.col(take)))).select(*docs.columns)

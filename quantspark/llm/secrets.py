@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantspark.llm.common import free_name
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
@@ -124,8 +126,9 @@ def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", count_col: str | None = "n_chars") -> DataFrame:
     """docs with every found span replaced by a mark (overlapping spans by one); count_col follows the text's length."""
-    found = secret_spans(docs, text_col)
-    spans = F.array_sort(F.concat("__base", "__extra"))
+    base, extra = free_name(docs, "__base"), free_name(docs, "__extra")
+    found = secret_spans(docs, text_col, base, extra)
+    spans = F.array_sort(F.concat(base, extra))
     text = F.col(text_col)
 
     def step(state: Column, s: Column) -> Column:
