@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from quantspark.plans import indicator_queries  # noqa: F401
+from quantspark.plans import indicator_queries, kernel_queries, layer_queries, market_queries, report_queries, series_queries, text_queries  # noqa: F401

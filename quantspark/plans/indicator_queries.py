@@ -10,8 +10,8 @@ from quantspark.operators import indicators as ind
 from quantspark.plans.registry import register
 from quantspark.sources.tables import BARS_SQL, TICKS_SQL, bars, ticks
 
-KEYS = ("asset", "ts", "tie")
-ID = "asset, ts, tie"
+ID = "asset, tie"
+DAY = "asset, CAST(ts AS VARCHAR) AS day"
 W = "PARTITION BY asset ORDER BY ts, tie"
 
 
@@ -36,11 +36,13 @@ def over_ticks(name: str, steps: str, out: str):
 
 
 def over_bars(name: str, steps: str, out: str):
-    return register(name, f"WITH {BARS_SQL}, {steps} SELECT {ID}, {out} FROM final")
+    return register(name, f"WITH {BARS_SQL}, {steps} SELECT {DAY}, {out} FROM final")
 
 
 def pick(df: DataFrame, *columns: str) -> DataFrame:
-    return rounded(df.select(*KEYS, *columns))
+    """The row's identity and the named columns: ticks by their number, bars by their day."""
+    day = dict(df.dtypes)["ts"] == "date"
+    return rounded(df.select("asset", F.col("ts").cast("string").alias("day") if day else F.col("tie"), *columns))
 
 
 RET = f"price / nullif(lag(price) OVER ({W}), 0) - 1"
@@ -70,12 +72,14 @@ def rate_of_change(spark, sf_dir):
     return pick(ind.rate_of_change(ticks(spark, sf_dir)), "roc")
 
 
-RSI = f"""a AS (SELECT *, price - lag(price) OVER ({W}) AS d FROM ticks),
-b AS (SELECT *, CASE WHEN count(d) OVER {rows(14)} = 14 THEN avg(greatest(d, 0)) OVER {rows(14)} END AS g, CASE WHEN count(d) OVER {rows(14)} = 14 THEN avg(greatest(-d, 0)) OVER {rows(14)} END AS l FROM a),
+def rsi_steps(n: int) -> str:
+    return f"""a AS (SELECT *, price - lag(price) OVER ({W}) AS d FROM ticks),
+b AS (SELECT *, CASE WHEN count(d) OVER {rows(n)} = {n} THEN avg(greatest(d, 0)) OVER {rows(n)} END AS g, CASE WHEN count(d) OVER {rows(n)} = {n} THEN avg(greatest(-d, 0)) OVER {rows(n)} END AS l FROM a),
 final AS (SELECT *, CASE WHEN g IS NULL THEN NULL WHEN g = 0 AND l = 0 THEN 50.0 WHEN l = 0 THEN 100.0 ELSE 100 - 100 / (1 + g / l) END AS rsi0 FROM b)"""
 
 
-@over_ticks("rsi_simple", RSI, r("rsi0", "rsi"))
+
+@over_ticks("rsi_simple", rsi_steps(14), r("rsi0", "rsi"))
 def rsi_simple(spark, sf_dir):
     return pick(ind.rsi_simple(ticks(spark, sf_dir)), "rsi")
 
@@ -191,7 +195,7 @@ def trailing_stop(spark, sf_dir):
 
 @over_ticks(
     "rsi_divergence",
-    RSI.replace("14", "5").replace("final AS", "c AS")
+    rsi_steps(5).replace("final AS", "c AS")
     + f", final AS (SELECT *, {fullw('min(price)', 'price', 10)} AS pl, {fullw('max(price)', 'price', 10)} AS ph, {fullw('min(rsi0)', 'rsi0', 10)} AS rl, {fullw('max(rsi0)', 'rsi0', 10)} AS rh FROM c)",
     f"{three('price <= pl AND rsi0 > rl', 'price >= ph AND rsi0 < rh')} AS divergence",
 )
