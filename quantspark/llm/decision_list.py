@@ -211,7 +211,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     # Choose the ids before touching texts: only the chosen texts are read into Python.
     chosen = judged.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    rows = with_stats(texts.join(chosen, "__id"), "__text").select("__id", "__label", "__stats")
+    # At most max_rows ids and labels: a size that is safe to broadcast, so that no text is shuffled.
+    rows = with_stats(texts.join(F.broadcast(chosen), "__id"), "__text").select("__id", "__label", "__stats")
     rows = rows.select("__id", "__label", *[feature(n, F.col("__stats")).alias(n) for n in FEATURES])
     return rows.orderBy(F.xxhash64("__id"), *FEATURES).limit(max_rows).toPandas()
 
