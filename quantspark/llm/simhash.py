@@ -132,7 +132,8 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = simhash_components(docs, scratch, id_col, text_col)
     firsts = scratch.save(rows.where("id = component").groupBy(F.col("id").alias("__keep")).agg(F.count(F.lit(1)).alias("__rows")), "firsts")
-    chosen = lambda part: docs.join(part, docs[id_col] == part["__keep"], "left_semi")
+    # The ids grow with the corpus, so this join is shuffled at every size rather than broadcast while they are few.
+    chosen = lambda part: docs.join(part.hint("merge"), docs[id_col] == part["__keep"], "left_semi")
     kept = chosen(firsts.where("__rows = 1")).unionByName(docs.where(F.col(id_col).isNull()))
     repeated = firsts.where("__rows > 1")
     return kept if repeated.isEmpty() else kept.unionByName(chosen(repeated).dropDuplicates([id_col]))
