@@ -1,5 +1,55 @@
-"""DuckDB SQL for the corpus queries that SQL can express."""
+"""DuckDB SQL for the corpus queries that SQL can express: every pair by brute force, every span by its definition."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from quantspark.llm import secrets
+from quantspark.llm.pivots import MIN_COSINE
+
+
+def _text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _located(pattern: str, kind: int) -> str:
+    """Spans of all matches: a match starts where the pieces and the matches before it end."""
+    found, pieces = f"regexp_extract_all(t, {_text(pattern)}, 0)", f"regexp_split_to_array(t, {_text(pattern)})"
+    at = f"list_sum(list_transform({pieces}[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform({found}[1:i - 1], lambda p: length(p))), 0)"
+    span = f"{{'s': CAST({at} AS INTEGER), 'k': {kind}, 'e': CAST({at} + length({found}[i]) AS INTEGER), 'm': {found}[i]}}"
+    return f"list_transform(range(1, len({found}) + 1), lambda i: {span})"
+
+
+def _told(spans: str) -> str:
+    names = "[" + ", ".join(map(_text, secrets.KINDS)) + "]"
+    return f"coalesce(array_to_string(list_transform(list_sort({spans}), lambda s: {names}[s.k + 1] || ':' || s.s || ':' || s.e), ','), '')"
+
+
+def _secret_sql() -> str:
+    n = secrets.WINDOW
+    assigned = f"list_filter({_located(secrets.ASSIGN, 0)}, lambda s: length(regexp_extract(s.m, {_text(secrets.ASSIGN)}, 2)) >= {secrets.MIN_ASSIGNED})"
+    entropy = f"log2({n}) - list_sum(list_transform(map_values(list_aggregate(string_split(substr(c.m, w, {n}), ''), 'histogram')), lambda x: x * log2(x))) / {n}"
+    peak = f"list_max(list_transform(range(1, length(c.m) - {n} + 2), lambda w: {entropy}))"
+    fits = lambda p: f"regexp_matches(c.m, {_text(p)})"
+    needed = (
+        f"CASE WHEN {fits('^[0-9]+$')} OR {fits('^[A-Za-z/_-]+=*$')} THEN 99 WHEN {fits('^(?:[0-9a-f]+|[0-9A-F]+)$')} THEN {secrets.MIN_ENTROPY['hex']} "
+        f"WHEN {fits('^[A-Za-z0-9]+$')} THEN {secrets.MIN_ENTROPY['alnum']} ELSE {secrets.MIN_ENTROPY['base64']} END"
+    )
+    # RE2 has no back-reference: a character six times in a row is looked for by name.
+    runs = " OR ".join(f"contains(c.m, '{ch * 6}')" for ch in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=")
+    allowed = " OR ".join(fits(p) for p in secrets.ALLOW if "\\1" not in p)
+    clear = "len(list_filter(base, lambda b: b.s < c.e AND c.s < b.e)) = 0"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT doc_id, t, list_concat({assigned}, list_concat({_located(secrets.ACCESS, 1)}, {_located(secrets.HEX, 2)})) AS base FROM d),
+e AS (SELECT *, list_filter(list_filter({_located(secrets.CANDIDATE, 3)}, lambda c: regexp_matches(c.m, '[0-9]')), lambda c: {clear} AND NOT ({allowed} OR {runs}) AND {peak} >= {needed}) AS extra FROM b)
+SELECT doc_id, len(list_filter(base, lambda s: s.k = 0)) AS n_assign, len(list_filter(base, lambda s: s.k = 1)) AS n_access, len(list_filter(base, lambda s: s.k = 2)) AS n_hex,
+sha256({_told('base')}) AS base_sha256, {_told('list_concat(base, extra)')} AS spans FROM e"""
+
+
+_LINK_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT * FROM v WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+ WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= {MIN_COSINE}),
+r AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings e JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""
+
+ORACLES: dict[str, str] = {"op4_pivot_dedup": _LINK_SQL, "op6_secret_scan": _secret_sql()}
