@@ -44,7 +44,7 @@ def test_taken_words_come_near_targets_and_reruns_agree(spark):
     assert dict(zip(rows.doc_id, rows.taken, strict=True)) == dict(zip(again.doc_id, again.taken, strict=True))
     assert (rows["size"] == [len(words(texts[i])) for i in rows.doc_id]).all()
     assert (rows.taken <= 2 * rows["size"]).all()
-    for _, part in rows.groupby("target"):
+    for _, part in rows.groupby(["source_size", "target"]):
         assert abs(part.taken.sum() - part.target.iloc[0]) <= 60
     mixed = mixing.mix_sources(docs)
     assert mixed.columns == docs.columns
