@@ -6,7 +6,7 @@ vector is looked up in the lists of its very first pivots, shared pivots are cou
 enough are verified by cosine in double precision.
 
 Lists are cut into chunks of bounded size and a task compares one pair of chunks as blocks, so a crowded list is
-spread over many tasks and no list of pairs is built: only verified links leave a task.
+spread over many tasks. Pairs never leave a task: each vector is told how many it links with and whom it reaches.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ SHARED = 2
 #: Vectors for each pivot, at least and at most so many pivots for each label.
 PER_PIVOT = 64
 MIN_PIVOTS = 16
-MAX_PIVOTS = 4096
+MAX_PIVOTS = 16_384
 MAX_PIVOT_COSINE = 0.6
 #: Vectors that one task describes, and vectors in a chunk of an inverted list.
 PART = 8192
-CHUNK = 1024
+CHUNK = 512
 
 
 def clean_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -54,37 +54,60 @@ def _units(column: pd.Series) -> np.ndarray:
 def _describe(frame: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
     """The ordered nearest pivots of each vector of one label, or of a part of it."""
     if not len(frame) or not len(pivots):
-        return pd.DataFrame({"class": [], "label": [], "dim": [], "v": [], "perm": []})
+        return pd.DataFrame({"class": [], "label": [], "dim": [], "v": [], "copies": [], "perm": []})
     x = _units(frame["v"])
     near = x @ np.frombuffer(pivots["pivots"].iloc[0], np.float64).reshape(-1, x.shape[1]).T
     k = min(DESCRIBED, near.shape[1])
     # Ties go to the pivot of the smaller number: the sort is stable.
     perm = np.argsort(-near, axis=1, kind="stable")[:, :k].astype(np.int32)
-    return pd.DataFrame({"class": frame["class"], "label": frame["label"], "dim": frame["dim"], "v": frame["v"], "perm": list(perm)})
+    return frame[["class", "label", "dim", "v", "copies"]].assign(perm=list(perm))
 
 
-def _compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, min_cosine: float, shared: int) -> pd.DataFrame:
-    """Verified pairs of two chunks: enough shared pivots, then cosine in double precision."""
-    a, b = _units(left["v"]), _units(right["v"])
-    top = int(max(np.concatenate(left["perm"].to_numpy()).max(), np.concatenate(right["perm"].to_numpy()).max())) + 1
+def _compare(pivot: int, left: pd.DataFrame, right: pd.DataFrame | None, min_cosine: float) -> pd.DataFrame:
+    """What two chunks of one list (or a chunk and itself) say about each vector: how many others it links with, and
+    the smallest vector that links within these chunks reach.
 
-    def marks(perms: pd.Series) -> np.ndarray:
-        m = np.zeros((len(perms), top), np.float32)
-        for i, p in enumerate(perms):
-            m[i, p] = 1
-        return m
-
-    cosines = np.clip(a @ b.T, -1.0, 1.0)
-    hit = (cosines >= min_cosine) & (marks(left["perm"]) @ marks(right["perm"]).T >= min(shared, *map(len, left["perm"]), *map(len, right["perm"])))
-    if same:
-        hit &= np.triu(np.ones_like(hit), 1)
-    i, j = np.nonzero(hit)
-    p, q = left["class"].to_numpy()[i], right["class"].to_numpy()[j]
-    return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})[p != q]
+    A pair counts where enough pivots are shared and the cosine reaches the bound. A pair that meets in several lists
+    counts in the one of the smallest pivot. Pairs themselves never leave the task.
+    """
+    other = left if right is None else right
+    a, b = _units(left["v"]), _units(other["v"])
+    first, second = (np.stack(f["perm"].to_numpy()) for f in (left, other))
+    known, packed = np.unique(np.concatenate([first.ravel(), second.ravel()]), return_inverse=True)
+    packed = packed.reshape(-1, first.shape[1])
+
+    def marks(places: np.ndarray) -> np.ndarray:
+        m = np.zeros((len(places), len(known) + 1), np.float32)
+        np.put_along_axis(m, places, 1.0, axis=1)
+        return m[:, :-1]
+
+    p, q = packed[: len(first)], packed[len(first) :]
+    hit = (a @ b.T >= min_cosine) & (marks(p) @ marks(q).T >= min(SHARED, first.shape[1]))
+    here = np.searchsorted(known, pivot)
+    earlier = lambda x: np.where(x[:, :LOOKED_UP] < here, x[:, :LOOKED_UP], len(known))
+    hit &= marks(earlier(p)) @ marks(earlier(q)).T == 0
+    if right is None:
+        np.fill_diagonal(hit, False)
+    ids, others = left["class"].to_numpy(), other["class"].to_numpy()
+    low, low_other = ids.copy(), others.copy()
+    while True:
+        next_low = np.minimum(low, np.where(hit, low_other, low[:, None]).min(axis=1))
+        next_other = np.minimum(low_other, np.where(hit, next_low[:, None], low_other).min(axis=0))
+        if right is None:
+            next_low = next_other = np.minimum(next_low, next_other)
+        if (next_low == low).all() and (next_other == low_other).all():
+            break
+        low, low_other = next_low, next_other
+    out = [pd.DataFrame({"class": ids, "linked": hit @ other["copies"].to_numpy(), "root": low})]
+    if right is not None:
+        out.append(pd.DataFrame({"class": others, "linked": left["copies"].to_numpy() @ hit, "root": low_other}))
+    told = pd.concat(out, ignore_index=True)
+    return told[told["linked"] > 0]
 
 
 def vector_links(classes: DataFrame, scratch: Scratch, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """Links (a, b), a < b, between rows (class, label, dim, v) of distinct vectors, each once."""
+    """Rows (class, linked, root), several for a class, from distinct vectors (class, label, dim, v, copies): linked
+    adds up to the vectors linked with the class, copies included; links (class, root) connect what links connect."""
     sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
     wanted = sizes.withColumn("m", F.least(F.lit(MAX_PIVOTS), F.greatest(F.lit(MIN_PIVOTS), F.floor(F.col("n") / PER_PIVOT))).cast("long"))
     # Pivots by hash threshold: a few more than wanted are drawn, so that no list is sorted.
@@ -96,8 +119,8 @@ def vector_links(classes: DataFrame, scratch: Scratch, min_cosine: float = MIN_C
     dealt = classes.join(parts, ["label", "dim"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     pivots = packed.join(parts, ["label", "dim"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keys = ("label", "dim", "part")
-    described = dealt.select("class", "v", *keys).groupBy(*keys).cogroup(pivots.select("pivots", *keys).groupBy(*keys))
-    described = scratch.save(described.applyInPandas(_describe, "class long, label string, dim int, v array<double>, perm array<int>"), "described")
+    described = dealt.select("class", "v", "copies", *keys).groupBy(*keys).cogroup(pivots.select("pivots", *keys).groupBy(*keys))
+    described = scratch.save(described.applyInPandas(_describe, "class long, label string, dim int, v array<double>, copies long, perm array<int>"), "described")
     # The lists: each vector under every pivot that it is looked up by; chunk numbers spread long lists.
     posted = described.select("*", F.explode(F.slice("perm", 1, LOOKED_UP)).alias("pivot"))
     lengths = posted.groupBy("label", "dim", "pivot").agg(F.count(F.lit(1)).alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
@@ -107,20 +130,19 @@ def vector_links(classes: DataFrame, scratch: Scratch, min_cosine: float = MIN_C
     # A pair of chunks (i, j), i <= j, meets in one task: chunk i goes to every (i, j) and to every (k, i).
     others = F.sequence(F.lit(0), F.col("chunks") - 1)
     cells = posted.withColumn("other", F.explode(others)).select(
-        "class", "v", "perm", "label", "dim", "pivot", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).alias("second")
+        "class", "v", "copies", "perm", "label", "dim", "pivot", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).alias("second")
     )
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        same = bool((frame["i"] == frame["j"]).iloc[0])
-        if same:
-            return _compare(frame, frame, True, min_cosine, SHARED)
+        pivot = int(frame["pivot"].iloc[0])
+        if frame["i"].iloc[0] == frame["j"].iloc[0]:
+            return _compare(pivot, frame, None, min_cosine)
         first, second = frame[~frame["second"]], frame[frame["second"]]
         if not len(first) or not len(second):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        return _compare(first, second, False, min_cosine, SHARED)
+            return pd.DataFrame({"class": [], "linked": [], "root": []}, dtype="int64")
+        return _compare(pivot, first, second, min_cosine)
 
-    links = cells.groupBy("label", "dim", "pivot", "i", "j").applyInPandas(compare, "a long, b long")
-    return scratch.save(links.distinct(), "links")
+    return scratch.save(cells.groupBy("label", "dim", "pivot", "i", "j").applyInPandas(compare, "class long, linked long, root long"), "links")
 
 
 def _apart(units: np.ndarray, most: float) -> np.ndarray:
@@ -156,10 +178,9 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     members = members.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
     classes = scratch.save(members.groupBy("label", "dim", "v").agg(F.min("id").alias("class"), F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies")), "classes")
     owner = members.select("id", "label", "dim", "v").join(classes.select("label", "dim", "v", "class"), ["label", "dim", "v"]).select("id", "class")
-    links = vector_links(classes.select("class", "label", "dim", "v"), scratch, min_cosine)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(classes.select(F.col("class").alias("b"), "copies"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("copies").alias("linked"))
-    reached = connected_components(links, scratch).select(F.col("node").alias("class"), "component")
+    links = vector_links(classes.select("class", "label", "dim", "v", "copies"), scratch, min_cosine)
+    degree = links.groupBy("class").agg(F.sum("linked").alias("linked"))
+    reached = connected_components(links.select(F.col("class").alias("a"), F.col("root").alias("b")), scratch).select(F.col("node").alias("class"), "component")
     table = classes.select("class", "low", "copies").join(degree, "class", "left").join(reached, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = table.groupBy("component").agg(F.min("low").alias("component_id"))
     table = scratch.save(table.join(lowest, "component").select("class", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "table")
