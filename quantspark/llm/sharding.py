@@ -39,34 +39,51 @@ def _chosen(values: list[int], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), index.cast("int") + 1)
 
 
+def _accepted(asked: list[list[int]], free: list[int]) -> list[float]:
+    """The share of requests into each shard that keeps every shard within its quota, room left by those who move out
+    included. asked[s][t]: rows of s that want to be in t."""
+    shards = range(len(free))
+    share = [1.0] * len(free)
+    for _ in range(4 * len(free)):
+        gone = [sum(asked[s][t] * share[t] for t in shards) for s in shards]
+        for t in shards:
+            come, room = sum(asked[s][t] for s in shards), max(0.0, free[t] + gone[t])
+            if come > room:
+                share[t] = min(share[t], 0.97 * room / come)
+    return share
+
+
 def propagate(linked: DataFrame, quotas: list[int], scratch: Scratch, max_rounds: int | None = None) -> DataFrame:
-    """(row, group, shard) after moves from rows (row, group). A group larger than a shard spreads over as few as the
-    quotas allow. The driver sees loads and requests by shard only."""
+    """(row, group, shard) after moves from rows (row, group). Only loads and requests by pairs of shards reach the
+    driver.
+
+    A group asks for the shard that holds most of it, one with room before a full one. A group that is large beside
+    a quota fills one shard after another: what a full shard holds of it stays, the rest asks for the next.
+    """
     shards = len(quotas)
     state = scratch.save(linked.select("row", "group", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")), "labels-0")
     for step in range(1, (max_rounds or shards + 8) + 1):
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         free = [q - load.get(s, 0) for s, q in enumerate(quotas)]
-        open_ = [int(f > ROOM * q) for f, q in zip(free, quotas, strict=True)]
+        has_room = [int(f > ROOM * q) for f, q in zip(free, quotas, strict=True)]
         held = state.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
-        # The largest holder with room; a group stays where its largest holder is if no other has room.
-        goal = held.groupBy("group").agg(
-            F.max_by("shard", F.struct(_chosen(open_, F.col("shard")), F.col("n"), F.xxhash64("group", "shard"))).alias("goal"), F.max(F.struct(F.col("n"), F.xxhash64("group", "shard"), F.col("shard")))["shard"].alias("most")
-        )
-        wish = held.join(goal, "group").where((F.col("shard") != F.col("goal")) & (_chosen(open_, F.col("goal")) == 1))
-        # A full shard keeps what it holds of a group that is at home there.
-        wish = wish.where((F.col("shard") != F.col("most")) | (F.col("goal") == F.col("most")))
-        home = [int(not o) for o in open_]
-        wish = scratch.save(wish.where((_chosen(home, F.col("shard")) == 0) | (F.col("n") <= F.lit(BLOCK) * _chosen(quotas, F.col("shard")))), f"wish-{step}")
-        asked = {r["goal"]: r["n"] for r in wish.groupBy("goal").agg(F.sum("n").alias("n")).collect()}
-        if not asked:
+        order = F.struct(_chosen(has_room, F.col("shard")), F.col("n"), F.xxhash64("group", "shard"))
+        goal = held.groupBy("group").agg(F.max_by("shard", order).alias("goal"), F.sum("n").alias("total"))
+        block = lambda shard: F.lit(BLOCK) * _chosen(quotas, F.col(shard))
+        small = F.col("total") <= block("goal")
+        filling = (_chosen(has_room, F.col("goal")) == 1) & ((_chosen(has_room, F.col("shard")) == 1) | (F.col("n") <= block("shard")))
+        wish = scratch.save(held.join(goal, "group").where((F.col("shard") != F.col("goal")) & (small | filling)), f"wish-{step}")
+        asked = [[0] * shards for _ in quotas]
+        for r in wish.groupBy("shard", "goal").agg(F.sum("n").alias("n")).collect():
+            asked[r["shard"]][r["goal"]] = r["n"]
+        share = _accepted(asked, free)
+        if sum(share[t] * row[t] for row in asked for t in range(shards)) < 1:
             break
-        share = [1.0 if asked.get(s, 0) <= free[s] else 0.97 * max(free[s], 0) / asked[s] for s in range(shards)]
         # Small blocks move whole; of a block that is large beside a quota, parts move.
-        block = F.ceil(F.col("n") / F.greatest(F.lit(1.0), F.lit(BLOCK) * _chosen(quotas, F.col("goal"))))
-        moves = state.join(wish.select("group", "shard", "goal", block.alias("parts")), ["group", "shard"], "left")
-        part = F.pmod(F.xxhash64("row", F.lit(step)), F.col("parts") * 64)
-        draw = F.pmod(F.xxhash64("group", "shard", F.when(F.col("parts") > 1, part).otherwise(F.lit(0)), F.lit(step)), F.lit(1 << 20)) / float(1 << 20)
+        parts = F.ceil(F.col("n") / F.greatest(F.lit(1.0), block("goal")))
+        moves = state.join(wish.select("group", "shard", "goal", parts.alias("parts")), ["group", "shard"], "left")
+        part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("row", F.lit(step)), F.col("parts") * 64)).otherwise(F.lit(0))
+        draw = F.pmod(F.xxhash64("group", "shard", part, F.lit(step)), F.lit(1 << 20)) / float(1 << 20)
         limit = F.element_at(F.array(*[F.lit(float(x)) for x in share]), F.col("goal") + 1)
         after = moves.select("row", "group", F.when(F.col("goal").isNotNull() & (draw < limit), F.col("goal")).otherwise(F.col("shard")).alias("shard"))
         state = scratch.save(after, f"labels-{step}")
@@ -78,7 +95,9 @@ def shard_rows(rows: DataFrame, scratch: Scratch, shards: int = SHARDS) -> DataF
     """(row, shard, slot) from rows (row, group): group null links with nothing. Counts differ by one at most."""
     total = rows.count()
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
+    # Written first: the join then stands by itself, and adaptive execution may split the rows of a frequent group.
     sizes = rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
+    sizes = scratch.save(sizes, "sizes")
     linked = rows.join(sizes, "group", "left_semi")
     placed = propagate(linked.select("row", "group"), quotas, scratch)
     ranked = numbered(placed.select("row", "shard"), scratch, total, "shard", "rank")
