@@ -159,13 +159,14 @@ class TrieLevel:
 
 
 def quantise(logs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(book, codes from 1): bins of about equal count, each told by its mean. Equal values share a bin."""
-    size = (1 << bits) - 1
+    """(book, codes from 1): bins of equal width between the largest and the smallest value, each told by its mean, so
+    that no value is off by more than a bin's width. Code 0 is for what is absent."""
     kind = np.uint8 if bits <= 8 else np.uint16
     if not len(logs):
-        return np.zeros(1), np.zeros(0, kind)
-    edges = np.unique(np.quantile(logs, np.linspace(0, 1, size + 1)[1:-1], method="lower")) if len(logs) > size else np.unique(logs)
-    codes = np.searchsorted(edges, logs, side="left")
+        return np.full(1, -np.inf), np.zeros(0, kind)
+    top, last = logs.max(), (1 << bits) - 2
+    width = max((top - logs.min()) / last, 1e-12)
+    codes = np.minimum(np.rint((top - logs) / width).astype(np.int64), last)
     counts = np.bincount(codes)
     means = np.bincount(codes, logs) / np.maximum(counts, 1)
     return np.concatenate([[-np.inf], means]), (codes + 1).astype(kind)
