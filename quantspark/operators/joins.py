@@ -76,7 +76,8 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
 
 def lead_lag(df: DataFrame, s: Series, x: str, y: str, lags: Sequence[int]) -> DataFrame:
     """Correlation of x with y so many rows later, for each lag."""
-    rows = df.select(*s.key, F.col(x).alias("__x"), F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.lead(y, k).over(s.window()).alias("y")) for k in lags])).alias("__l"))
+    leads = df.select(*s.key, F.col(x).alias("__x"), *[F.lead(y, k).over(s.window()).alias(f"__y{k}") for k in lags])
+    rows = leads.select(*s.key, "__x", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"__y{k}").alias("y")) for k in lags])).alias("__l"))
     rows = rows.select(*s.key, "__x", "__l.lag", "__l.y").where(F.col("__x").isNotNull() & F.col("y").isNotNull())
     return rows.groupBy(*s.key, "lag").agg(F.count(F.lit(1)).alias("n"), F.corr("__x", "y").alias("corr"))
 

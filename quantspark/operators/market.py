@@ -156,7 +156,7 @@ def concentration(df: DataFrame, by: Sequence[str], key: str, x: str, top: int =
 def sessions(df: DataFrame, by: Sequence[str], gap: str, ts: str = "ts") -> DataFrame:
     """Bursts of rows with no gap as long as the given one: start, length in seconds, rows."""
     out = df.groupBy(*by, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max(ts).alias("last"))
-    return out.select(*by, F.col("w.start").alias("start"), (F.unix_seconds("last") - F.unix_seconds("w.start")).alias("seconds"), "n")
+    return out.select(*by, F.col("w.start").alias("start"), (F.unix_seconds(F.col("last").cast("timestamp")) - F.unix_seconds(F.col("w.start").cast("timestamp"))).alias("seconds"), "n")
 
 
 def triple_barrier(df: DataFrame, s: Series, price: str, up: float, down: float, horizon: int) -> DataFrame:
@@ -168,3 +168,69 @@ def triple_barrier(df: DataFrame, s: Series, price: str, up: float, down: float,
     rows = rows.withColumn("__u", first(lambda x: x >= p * (1 + up))).withColumn("__d", first(lambda x: x <= p * (1 - down)))
     label = F.when(F.size("__path") < horizon, None).when((F.col("__u") > 0) & ((F.col("__d") == 0) | (F.col("__u") < F.col("__d"))), 1).when(F.col("__d") > 0, -1).otherwise(0)
     return rows.withColumn("label", label.cast("int")).drop("__path", "__u", "__d")
+
+
+def last_rows(df: DataFrame, s: Series, n: int) -> DataFrame:
+    """The n latest rows of each series, newest first by place. Spark keeps n rows a task before the shuffle."""
+    newest = Window.partitionBy(*s.key).orderBy(*[F.col(c).desc() for c in s.order])
+    return df.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= n)
+
+
+def relative_strength(df: DataFrame, at: str, momentum: str, mood: str, share: float = 0.6) -> DataFrame:
+    """share x z score of momentum and the rest of mood among the assets of one moment, and the rank, best first."""
+    w = Window.partitionBy(at)
+    z = lambda c: ratio(F.col(c) - F.avg(c).over(w), F.stddev_pop(c).over(w), 0.0)
+    rows = df.where(F.col(momentum).isNotNull() & F.col(mood).isNotNull()).withColumn("strength", share * z(momentum) + (1 - share) * z(mood))
+    return rows.withColumn("rank", F.rank().over(w.orderBy(F.round("strength", 9).desc())))
+
+
+def missing_keys(required: DataFrame, present: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Required keys without any row."""
+    return required.select(*key).distinct().join(present.select(*key), list(key), "left_anti")
+
+
+def group_rollup(df: DataFrame, groups: DataFrame, key: str, group: str, value: str, weight: str) -> DataFrame:
+    """Members, weight and weighted mean of a value by group and over all, in one pass. groups: (key, group)."""
+    rows = df.join(groups, key)
+    total = F.sum(weight)
+    out = rows.rollup(group).agg(F.count(F.lit(1)).alias("members"), total.alias("weight"), (F.sum(F.col(value) * F.col(weight)) / total).alias("mean"), F.grouping(group).alias("__all"))
+    return out.withColumn(group, F.when(F.col("__all") == 1, "all").otherwise(F.col(group))).drop("__all")
+
+
+def equity_report(df: DataFrame, s: Series, equity: str, periods: int = 252) -> DataFrame:
+    """Total return, compound annual growth, volatility, deepest loss (negative) and growth over it."""
+    rows = df.withColumn("__r", ratio(F.col(equity), lag(equity, s)) - 1).withColumn("__d", ratio(F.col(equity), F.max(equity).over(s.so_far())) - 1)
+    at = F.struct(*s.order)
+    out = rows.groupBy(*s.key).agg(
+        F.min_by(equity, at).alias("first"), F.max_by(equity, at).alias("last"), F.count("__r").alias("n"), F.stddev_samp("__r").alias("__s"), F.min("__d").alias("max_drawdown")
+    )
+    growth = ratio(F.col("last"), F.col("first"))
+    out = out.withColumn("total_return", growth - 1).withColumn("cagr", F.when((growth > 0) & (F.col("n") > 0), F.pow(growth, F.lit(float(periods)) / F.col("n")) - 1))
+    out = out.withColumn("volatility", F.col("__s") * F.sqrt(F.lit(float(periods))))
+    return out.withColumn("calmar", ratio(F.col("cagr"), F.abs("max_drawdown"))).drop("first", "last", "__s")
+
+
+def rolling_correlation(df: DataFrame, s: Series, x: str, y: str, n: int) -> DataFrame:
+    """Correlation over n rows of the pairs that are known, where at least half of them are."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    return df.withColumn("corr", F.when(F.count(a).over(s.last(n)) >= max(2, n // 2), F.corr(a, b).over(s.last(n))))
+
+
+def histogram(df: DataFrame, x: str, width: float, by: Sequence[str] = ()) -> DataFrame:
+    """Rows and share by bucket of fixed width."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, (F.floor(F.col(x) / width) * width).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
+
+
+def two_factor_exposures(df: DataFrame, by: Sequence[str], y: str, a: str, b: str) -> DataFrame:
+    """Exposures and explained share of a regression on two factors, from sums of squares and products."""
+    c = F.covar_samp
+    known = df.where(F.col(y).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
+    out = known.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), c(a, a).alias("aa"), c(b, b).alias("bb"), c(a, b).alias("ab"), c(y, a).alias("ya"), c(y, b).alias("yb"), c(y, y).alias("yy"), F.avg(y).alias("my"), F.avg(a).alias("ma"), F.avg(b).alias("mb")
+    )
+    det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
+    out = out.withColumn("beta_a", ratio(F.col("ya") * F.col("bb") - F.col("yb") * F.col("ab"), det)).withColumn("beta_b", ratio(F.col("yb") * F.col("aa") - F.col("ya") * F.col("ab"), det))
+    explained = F.col("beta_a") * F.col("ya") + F.col("beta_b") * F.col("yb")
+    return out.select(*by, "n", "beta_a", "beta_b", (F.col("my") - F.col("beta_a") * F.col("ma") - F.col("beta_b") * F.col("mb")).alias("alpha"), ratio(explained, F.col("yy")).alias("r2"))

@@ -18,7 +18,7 @@ def with_returns(df: DataFrame, s: Series = TICKS, price: str = "price") -> Data
 
 def shortfall_rms(x: Column, target: float = 0.0) -> Column:
     """Root of the mean squared shortfall below the target, over all known rows."""
-    return F.sqrt(F.avg(F.pow(F.least(x - target, F.lit(0.0)), 2)))
+    return F.sqrt(F.avg(F.when(x.isNotNull(), F.pow(F.least(x - target, F.lit(0.0)), 2))))
 
 
 def risk_report(df: DataFrame, by: Sequence[str] = ("asset",), x: str = "ret", periods: int = YEAR, tail: float = 0.05) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,3 +99,38 @@ def exact_copies(posts: DataFrame, id_col: str = "id", text_col: str = "text") -
     rows = posts.select(F.col(id_col).alias("id"), key.alias("key"))
     first = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"))
     return rows.join(first, "key", "left").select("id", F.coalesce("first_id", "id").alias("first_id"))
+
+
+def minhash_signatures(posts: DataFrame, id_col: str = "id", text_col: str = "text", size: int = 128, shingle: int = 3) -> DataFrame:
+    """(id, signature): the least value of each of so many hash functions over the text's word shingles."""
+    def sign(texts: pd.Series) -> pd.Series:
+        rng = np.random.default_rng(1)
+        a, b = rng.integers(1, 1 << 61, size, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 61, size, dtype=np.uint64)
+        out = []
+        for value in texts:
+            words = (value or "").lower().split()
+            parts = {" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+            hashed = pd.util.hash_array(np.array(sorted(parts), dtype=object)).astype(np.uint64)
+            low = np.full(size, np.iinfo(np.uint64).max, np.uint64)
+            for at in range(0, len(hashed), 4096):
+                low = np.minimum(low, ((hashed[at : at + 4096, None] * a + b) >> np.uint64(2)).min(axis=0))
+            out.append(low.astype(np.int64))
+        return pd.Series(out)
+
+    return posts.select(F.col(id_col).alias("id"), F.pandas_udf(sign, "array<long>")(F.col(text_col)).alias("signature"))
+
+
+def near_copies(posts: DataFrame, id_col: str = "id", text_col: str = "text", threshold: float = 0.8, bands: int = 16, size: int = 128) -> DataFrame:
+    """(id, first_id): the smallest earlier id whose signature agrees in at least threshold of its values, else the id.
+
+    Rows meet the smallest id of each band that they share, not each other, so a group of copies costs its size.
+    """
+    rows = size // bands
+    signed = minhash_signatures(posts, id_col, text_col, size)
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(F.slice(F.col("signature"), k * rows + 1, rows)).alias("key")))
+    banded = signed.select("id", "signature", F.explode(keys).alias("b")).select("id", "signature", "b.band", "b.key")
+    first = banded.groupBy("band", "key").agg(F.min_by("signature", "id").alias("other"), F.min("id").alias("first_id"))
+    met = banded.join(first, ["band", "key"]).where("first_id < id")
+    equal = F.size(F.filter(F.zip_with("signature", "other", lambda x, y: x == y), lambda e: e)) / F.lit(float(size))
+    found = met.where(equal >= threshold).groupBy("id").agg(F.min("first_id").alias("first_id"))
+    return signed.select("id").join(found, "id", "left").select("id", F.coalesce("first_id", "id").alias("first_id"))

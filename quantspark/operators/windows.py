@@ -103,8 +103,8 @@ def embargo(df: DataFrame, events: DataFrame, s: Series, ts: str = "ts", hours:
     """
     span = hours * 3600
     keyed = [F.col(k) for k in s.key]
-    marks = events.select(*keyed, F.unix_micros(ts).alias("__at")).withColumn("__period", F.explode(F.array(F.floor(F.col("__at") / (span * 1_000_000)), F.floor(F.col("__at") / (span * 1_000_000)) + 1)))
-    rows = df.withColumn("__us", F.unix_micros(ts)).withColumn("__period", F.floor(F.col("__us") / (span * 1_000_000)))
+    marks = events.select(*keyed, F.unix_micros(F.col(ts).cast("timestamp")).alias("__at")).withColumn("__period", F.explode(F.array(F.floor(F.col("__at") / (span * 1_000_000)), F.floor(F.col("__at") / (span * 1_000_000)) + 1)))
+    rows = df.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("__period", F.floor(F.col("__us") / (span * 1_000_000)))
     near = [rows[k].eqNullSafe(marks[k]) for k in s.key]
     on = near + [rows["__period"] == marks["__period"], marks["__at"] <= rows["__us"], rows["__us"] - marks["__at"] < span * 1_000_000]
     condition = on[0]

@@ -100,4 +100,4 @@ def circuit_breaker(spark, sf_dir):
 
 @register("dynamic_threshold")
 def dynamic_threshold(spark, sf_dir):
-    return pick(k.dynamic_threshold(composite_signal(ticks(spark, sf_dir)), TICKS, "score"), "signal", "threshold")
+    return pick(k.dynamic_threshold(composite_signal(ticks(spark, sf_dir)).drop("signal"), TICKS, "score"), "signal", "threshold")

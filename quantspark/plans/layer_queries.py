@@ -31,7 +31,7 @@ def gold_features(spark, sf_dir):
 
 
 def moods(df):
-    events = df.select(F.col("event_type").alias("asset"), "ts", (F.col("value") / 250 - 1).alias("sentiment"), ((F.col("user_id") % 10) / 10).alias("influence"), F.col("value").alias("volume"))
+    events = df.select(F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 250 - 1).alias("sentiment"), ((F.col("user_id") % 10) / 10).alias("influence"), F.col("value").alias("volume"))
     return sw.weigh_events(events)
 
 
@@ -72,7 +72,7 @@ def stream_sentiment_windows(spark, sf_dir):
     f"WITH {TICKS_SQL}, a AS (SELECT asset, ts, price, max(price * 0.9) OVER (PARTITION BY asset ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM ticks) SELECT asset, ts, price, {r('s', 'stop')}, coalesce(price <= lag(s) OVER (PARTITION BY asset ORDER BY ts), false) AS hit FROM a",
 )
 def stream_trailing_stop(spark, sf_dir):
-    rows = _stream(spark, sf_dir).select(F.col("user_id").alias("asset"), "ts", F.col("value").alias("price"))
+    rows = _stream(spark, sf_dir).select(F.col("user_id").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"))
     return rounded(sw.run_available(sw.stop_states(rows), _folder(spark), "stops"))
 
 

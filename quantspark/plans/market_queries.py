@@ -175,10 +175,10 @@ def sessions(spark, sf_dir):
     "triple_barrier",
     f"""WITH {TICKS_SQL}, a AS (SELECT *, list(price) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS path FROM ticks),
 b AS (SELECT *, coalesce(list_position(list_transform(path, lambda x: x >= price * 1.2), true), 0) AS u, coalesce(list_position(list_transform(path, lambda x: x <= price * 0.8), true), 0) AS d FROM a)
-SELECT asset, tie, CAST(CASE WHEN coalesce(len(path), 0) < 5 THEN NULL WHEN u > 0 AND (d = 0 OR u < d) THEN 1 WHEN d > 0 THEN -1 ELSE 0 END AS INTEGER) AS label FROM b""",
+SELECT asset, tie, CAST(CASE WHEN coalesce(len(path), 0) < 5 THEN NULL WHEN u > 0 AND (d = 0 OR u < d) THEN 1 WHEN d > 0 THEN -1 ELSE 0 END AS DOUBLE) AS label FROM b""",
 )
 def triple_barrier(spark, sf_dir):
-    return pick(m.triple_barrier(ticks(spark, sf_dir), TICKS, "price", 0.2, 0.2, 5), "label")
+    return pick(m.triple_barrier(ticks(spark, sf_dir), TICKS, "price", 0.2, 0.2, 5).withColumn("label", F.col("label").cast("double")), "label")
 
 
 @register(

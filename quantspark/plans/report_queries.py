@@ -13,8 +13,8 @@ from quantspark.plans.series_queries import SOFAR
 from quantspark.sources.tables import BARS_SQL, TICKS_SQL, TRADES_SQL, bars, ticks, trades, weights, weights_sql
 
 RETURNS = f"{TICKS_SQL}, rets AS (SELECT *, {RET} AS ret FROM ticks)"
-TRADES = Series(key=("symbol",), order=("ts", "okey", "line"))
-TW = "PARTITION BY symbol ORDER BY ts, okey, line"
+TRADES = Series(key=("symbol",), order=("ts", "okey", "line", "price", "quantity"))
+TW = "PARTITION BY symbol ORDER BY ts, okey, line, price, quantity"
 
 
 def returns(spark, sf_dir):

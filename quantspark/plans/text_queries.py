@@ -86,12 +86,12 @@ def sentiment_bucket_3h(spark, sf_dir):
 @register(
     "sentiment_divergence",
     f"""WITH {DAILY}, t AS (SELECT event_type AS asset, CAST(ts AS DATE) AS ts, avg(value / 250 - 1) AS si FROM events GROUP BY 1, 2)
-SELECT asset, CAST(ts AS VARCHAR) AS day, CAST(CASE WHEN sign(si) * sign(ret) < 0 THEN 1 WHEN ret IS NULL THEN NULL ELSE 0 END AS INTEGER) AS diverges FROM t JOIN daily USING (asset, ts)""",
+SELECT asset, CAST(ts AS VARCHAR) AS day, CAST(CASE WHEN sign(si) * sign(ret) < 0 THEN 1 WHEN ret IS NULL THEN NULL ELSE 0 END AS DOUBLE) AS diverges FROM t JOIN daily USING (asset, ts)""",
 )
 def sentiment_divergence(spark, sf_dir):
     rows = ticks(spark, sf_dir)
     mood = rows.groupBy(F.col("kind").alias("asset"), F.to_date("ts").alias("ts")).agg(F.avg(F.col("price") / 250 - 1).alias("sentiment_index"))
-    return text.divergence(mood, daily(spark, sf_dir), ["asset", "ts"]).select("asset", F.col("ts").cast("string").alias("day"), "diverges")
+    return text.divergence(mood, daily(spark, sf_dir), ["asset", "ts"]).select("asset", F.col("ts").cast("string").alias("day"), F.col("diverges").cast("double").alias("diverges"))
 
 
 MOOD = "mood AS (SELECT event_type AS asset, CAST(ts AS DATE) AS ts, avg(value / 250 - 1) AS x FROM events GROUP BY 1, 2)"

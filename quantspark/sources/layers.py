@@ -38,6 +38,11 @@ def write_days(df: DataFrame, path: str, column: str = "date") -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(column).parquet(path)
 
 
+def read_days(spark: SparkSession, path: str, column: str = "date") -> DataFrame:
+    """What write_days wrote, the day as an ISO string again; conditions on it prune folders."""
+    return spark.read.parquet(path).withColumn(column, F.col(column).cast("string"))
+
+
 def bronze_posts(posts: DataFrame) -> DataFrame:
     """Posts with their day; the last retrieval of an id counts, authors are hashed."""
     rows = posts.withColumn("date", F.date_format(F.timestamp_seconds("created_utc"), "yyyy-MM-dd"))
