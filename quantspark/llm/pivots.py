@@ -37,8 +37,9 @@ CHUNK = 512
 
 def clean_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """(id, label, v) of the rows that can link: label known, vector neither null, empty, zero nor with components
-    that are null or not finite."""
-    v = F.col(vector_col).cast("array<double>")
+    that are null or not finite. Single precision stays until the comparison: it is half of what is shuffled."""
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    v = F.col(vector_col).cast("array<float>" if single else "array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists(v, lambda x: x != 0.0)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.alias("v"))
@@ -120,7 +121,7 @@ def vector_links(classes: DataFrame, scratch: Scratch, min_cosine: float = MIN_C
     pivots = packed.join(parts, ["label", "dim"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keys = ("label", "dim", "part")
     described = dealt.select("class", "v", "copies", *keys).groupBy(*keys).cogroup(pivots.select("pivots", *keys).groupBy(*keys))
-    described = scratch.save(described.applyInPandas(_describe, "class long, label string, dim int, v array<double>, copies long, perm array<int>"), "described")
+    described = scratch.save(described.applyInPandas(_describe, f"class long, label string, dim int, v {dict(classes.dtypes)['v']}, copies long, perm array<int>"), "described")
     # The lists: each vector under every pivot that it is looked up by; chunk numbers spread long lists.
     posted = described.select("*", F.explode(F.slice("perm", 1, LOOKED_UP)).alias("pivot"))
     lengths = posted.groupBy("label", "dim", "pivot").agg(F.count(F.lit(1)).alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
@@ -174,8 +175,9 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     )
     clean = clean_vectors(named.drop("id"), "row", "embedding", "label")
     members = clean.join(named.select(F.col("row").alias("id"), F.col("id").alias("vec_id")), "id").withColumn("dim", F.size("v"))
+    kind = "float" if dict(members.dtypes)["v"] == "array<float>" else "double"
     # -0.0 and 0.0 are one value: adding 0.0 makes them equal bit by bit.
-    members = members.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    members = members.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast(kind)))
     classes = scratch.save(members.groupBy("label", "dim", "v").agg(F.min("id").alias("class"), F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies")), "classes")
     owner = members.select("id", "label", "dim", "v").join(classes.select("label", "dim", "v", "class"), ["label", "dim", "v"]).select("id", "class")
     links = vector_links(classes.select("class", "label", "dim", "v", "copies"), scratch, min_cosine)
