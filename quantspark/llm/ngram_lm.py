@@ -1,4 +1,4 @@
-"""Language-model scores from an n-gram trie of two levels with Elias-Fano levels, learned from the whole corpus.
+"""Language-model scores from a trie of one, two and three words with Elias-Fano levels, learned from the whole corpus.
 
 Texts are cut into words once and written as blocks of about a million tokens, words being numbers within their
 block. From then on blocks ask and shards answer:
@@ -7,16 +7,18 @@ block. From then on blocks ask and shards answer:
    shard adds up over all blocks and answers counts and word ids.
 2. Each block asks for its distinct word pairs, sorted, with their training counts. The shard adds up, writes its
    part of the trie (contexts, pointers and successors as Elias-Fano sequences, quantised log probabilities),
-   maps the files into memory and answers one code for each pair.
-3. Each block puts the answers at its tokens and sums up the score of each document.
-
-Blocks send a word or a pair once however often it occurs, so a word that makes a third of the corpus is a row for
-each block; contexts that frequent have their successors spread over the shards. Every shard holds a bounded number
-of pairs, whatever the size of the corpus, so the trie grows with it by growing in shards.
-
-A pair's probability is its share among the successors of its context, smoothed by interpolation with the add-one
-unigram probability. The weight is the one of WEIGHTS that gives all training tokens the largest likelihood when
-each is left out of its own counts. Words are known by a 64-bit hash.
+   maps the files into memory and answers one code for each pair, and the node of each pair seen at least twice.
+3. Each block asks in the same way for its distinct triples; a triple's context is the node of its first two words.
+   Pairs seen once are no contexts: left out of their own counts, they say nothing.
+4. Each block puts the answers at its tokens and sums up the score of each document.
+
+Blocks send a word, pair or triple once however often it occurs, so a word that makes a third of the corpus is a row
+for each block; contexts that frequent have their successors spread over the shards. Every shard holds a bounded
+number of entries, whatever the size of the corpus, so the trie grows with it by growing in shards.
+
+An entry's probability is its share among the successors of its context. Probabilities are smoothed by interpolation:
+triples with pairs, pairs with the add-one probability of the word. The weights are those of WEIGHTS that give all
+training tokens the largest likelihood when each is left out of its own counts. Words are known by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import tempfile
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from itertools import count
 
 import numpy as np
@@ -34,21 +37,27 @@ from pyspark.sql import functions as F
 
 from quantspark.llm.common import Scratch
 
-#: Tokens in a block, words and pairs in a shard, counted once for each block that has them.
+#: Tokens in a block; words, and pairs or triples, in a shard, counted once for each block that has them.
 BLOCK_TOKENS = 1_500_000
 SHARD_WORDS = 2_000_000
 SHARD_PAIRS = 1_500_000
 #: Bits of a quantised probability.
 CODE_BITS = 8
-WEIGHTS = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+WEIGHTS = (0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+TRIPLE_WEIGHTS = (0.01, 0.1, 0.3, 0.5, 0.7, 0.8, 0.9, 0.95)
 #: The token behind every text; no word holds a line end. It is also the context of the first word.
 END = b"\n"
 #: Documents whose crc32 of the id as text leaves HELD_OUT modulo FOLDS are held out.
 FOLDS, HELD_OUT = 7, 2
 
-BLOCK_TYPE = "block long, ids array<long>, held binary, lengths binary, tokens binary, words binary, counts binary, n_words long, n_tokens long"
-ANSWER_TYPE = "block long, level int, shard int, payload binary, n_train long, n_kinds long"
+BLOCK_TYPE = "block long, ids array<long>, held binary, lengths binary, tokens binary, words binary, buckets binary, counts binary, n_words long, n_tokens long"
+MESSAGE_TYPE = "shard int, block long, contexts binary, totals binary, runs binary, words binary, counts binary, left_out array<double>"
+ANSWER_TYPE = "block long, kind int, shard int, payload binary, n_train long, n_words long, left_out array<double>"
 SCORE_TYPE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, left_out array<double>"
+#: Kinds of answers: words, codes of pairs, nodes of pairs, codes of triples, parts of the trie.
+WORDS, PAIRS, NODES, TRIPLES, TRIE = range(1, 6)
+#: What a count is at least, given a quantised share, if it is not one.
+SEEN_TWICE = 1.5
 
 
 def dump(values: np.ndarray) -> bytes:
@@ -69,6 +78,19 @@ def load(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
+def join(*parts: bytes) -> bytes:
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def split(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 4], "little")
+        out.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+    return out
+
+
 def is_held_out(doc_id: int | None) -> bool:
     """Null ids are not held out."""
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
@@ -91,8 +113,9 @@ def make_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = np.repeat(~np.array(held), sizes)
         counts = np.bincount(flat[kept], minlength=len(numbers))
         words = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
-        row = [number, ids, dump(np.array(held, np.uint8)), dump(sizes), dump(flat), words.tobytes(), dump(counts), len(words), len(flat)]
-        return pd.DataFrame([row], columns=["block", "ids", "held", "lengths", "tokens", "words", "counts", "n_words", "n_tokens"])
+        buckets = (_mix(words) >> np.uint64(48)).astype(np.uint16)
+        row = [number, ids, dump(np.array(held, np.uint8)), dump(sizes), dump(flat), words.tobytes(), buckets.tobytes(), dump(counts), len(words), len(flat)]
+        return pd.DataFrame([row], columns=["block", "ids", "held", "lengths", "tokens", "words", "buckets", "counts", "n_words", "n_tokens"])
 
     numbers, ids, held, lengths, tokens = fresh()
     size = 0
@@ -130,8 +153,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _word_shards(words: np.ndarray, shards: int) -> np.ndarray:
-    return (_mix(words) % np.uint64(shards)).astype(np.int64)
+def _word_shards(buckets: bytes, shards: int) -> np.ndarray:
+    """Which shard has each word; blocks keep 16 bits of its hash for that."""
+    return np.frombuffer(buckets, np.uint16).astype(np.int64) * shards >> 16
 
 
 def _ask_words(shards: int):
@@ -139,12 +163,16 @@ def _ask_words(shards: int):
         for frame in frames:
             for row in frame.itertuples(index=False):
                 words, counts = np.frombuffer(row.words, np.uint64), load(row.counts)
-                out = [(s, row.block, words[at].tobytes(), dump(counts[at])) for s, at in _by_shard(_word_shards(words, shards), shards)]
+                out = [(s, row.block, words[at].tobytes(), dump(counts[at])) for s, at in _by_shard(_word_shards(row.buckets, shards), shards)]
                 yield pd.DataFrame(out, columns=["shard", "block", "words", "counts"])
 
     return ask
 
 
+def _answers(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["block", "kind", "shard", "payload", "n_train", "n_words", "left_out"])
+
+
 def _answer_words(shards: int):
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         """Counts and ids of the words of one shard, for each block that asked. Ids are apart between shards."""
@@ -162,106 +190,209 @@ def _answer_words(shards: int):
         rows = []
         for block, end, a in zip(frame["block"], ends, asked, strict=True):
             at = inverse[end - len(a) : end]
-            first, second = dump(totals[at]), dump(ids[at])
-            rows.append((block, 1, shard, len(first).to_bytes(4, "little") + first + second, 0, 0))
-        rows.append((-1, 1, shard, b"", int(totals.sum()), int((totals > 0).sum())))
-        return pd.DataFrame(rows, columns=["block", "level", "shard", "payload", "n_train", "n_kinds"])
+            rows.append((block, WORDS, shard, join(dump(totals[at]), dump(ids[at])), 0, 0, None))
+        rows.append((-1, WORDS, shard, b"", int(totals.sum()), int((totals > 0).sum()), None))
+        return _answers(rows)
 
     return answer
 
 
-class _Block:
-    """One block with what the shards have answered."""
+class _Asked:
+    """The distinct (context, word) of some tokens, sorted, and the shard that answers each."""
 
-    def __init__(self, row: pd.Series, answers: pd.DataFrame, word_shards: int, pair_shards: int, hot: int) -> None:
-        self.ids, self.held = row["ids"], load(row["held"]).astype(bool)
-        self.lengths = load(row["lengths"]).astype(np.int64)
-        local = load(row["tokens"])
-        words = np.frombuffer(row["words"], np.uint64)
-        by_shard = {s: p for s, p in zip(answers["shard"], answers["payload"], strict=True)}
-        counts, ids = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        for s, at in _by_shard(_word_shards(words, word_shards), word_shards):
-            size = int.from_bytes(by_shard[s][:4], "little")
-            counts[at], ids[at] = load(by_shard[s][4 : 4 + size]), load(by_shard[s][4 + size :])
-        self.counts = counts[local]
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        token_ids, end = ids[local], local[self.lengths[0] - 1]
-        before = np.empty(len(local), np.int64)
-        before[1:] = token_ids[:-1]
-        before[self.starts] = ids[end]
-        self.before_counts = np.empty(len(local), np.int64)
-        self.before_counts[1:] = self.counts[:-1]
-        self.before_counts[self.starts] = counts[end]
-        self.train = np.repeat(~self.held, self.lengths)
-        # Pairs with an unknown word are in no trie and are not asked for.
-        self.asked = np.flatnonzero((before > 0) & (token_ids > 0))
-        context, word = before[self.asked], token_ids[self.asked]
-        if int(ids.max(initial=0)) < 1 << 32:
+    def __init__(self, at: np.ndarray, context: np.ndarray, word: np.ndarray, total: np.ndarray, name: np.ndarray, shards: int, hot: int) -> None:
+        """at: the tokens; total: how often the context occurs; name: what the shard is chosen by."""
+        self.at, self.shards = at, shards
+        if max(int(context.max(initial=0)), int(word.max(initial=0))) < 1 << 31:
             keys, first, self.inverse = np.unique((context << 32) | word, return_index=True, return_inverse=True)
-            self.contexts, self.words = keys >> 32, keys & 0xFFFFFFFF
         else:
             order = np.lexsort((word, context))
             new = np.concatenate([[True], (np.diff(context[order]) != 0) | (np.diff(word[order]) != 0)])
             first = order[new]
             self.inverse = np.empty(len(order), np.int64)
             self.inverse[order] = np.cumsum(new) - 1
-            self.contexts, self.words = context[first], word[first]
-        self.pair_context_counts = self.before_counts[self.asked][first]
-        shard = _mix(self.contexts)
-        spread = self.pair_context_counts > hot
+        self.contexts, self.words, self.totals = context[first], word[first], total[first]
+        shard = _mix(name[first])
+        spread = self.totals > hot
         shard[spread] ^= _mix(self.words[spread] + 1)
-        self.pair_shard = (shard % np.uint64(pair_shards)).astype(np.int64)
+        self.shard = (shard % np.uint64(shards)).astype(np.int64)
+
+    def messages(self, block: int, train: np.ndarray, names: np.ndarray, totals: np.ndarray, left_out: np.ndarray | None = None) -> list[tuple]:
+        """Rows of MESSAGE_TYPE. names and totals: id and count of each entry's context."""
+        counts = np.bincount(self.inverse, train[self.at], len(self.contexts)).astype(np.int64)
+        out = []
+        for s, at in _by_shard(self.shard, self.shards):
+            new = np.flatnonzero(np.concatenate([[True], np.diff(self.contexts[at]) != 0]))
+            runs = np.diff(np.append(new, len(at)))
+            out.append((s, block, *map(dump, (names[at][new], totals[at][new], runs, self.words[at], counts[at])), None))
+        if left_out is not None:
+            out.append((0, block, *[dump(np.zeros(0, np.int64))] * 5, left_out))
+        return out
+
+    def answers(self, told: pd.DataFrame, kind: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        """(entries, parts of the payload) of each shard's answer."""
+        told = told[told["kind"] == kind]
+        by_shard = dict(zip(told["shard"], told["payload"], strict=True))
+        for s, at in _by_shard(self.shard, self.shards):
+            yield at, split(by_shard[s])
+
+    def shares(self, told: pd.DataFrame, kind: int) -> np.ndarray:
+        out = np.zeros(len(self.contexts))
+        for at, (book, codes) in self.answers(told, kind):
+            out[at] = 10.0 ** np.frombuffer(book, "<f8")[load(codes)]
+        return out
+
+
+@dataclass(frozen=True)
+class _Plan:
+    word_shards: int
+    entry_shards: int
+    hot: int
+    n_train: int = 0
+    n_words: int = 0
+    pair_weight: float = 0.0
+
 
+class _Block:
+    """One block with what the shards have answered so far."""
 
-def _ask_pairs(word_shards: int, pair_shards: int, hot: int):
-    def ask(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def __init__(self, row: pd.Series, told: pd.DataFrame, plan: _Plan) -> None:
+        self.row, self.told, self.plan = row, told, plan
+        self.ids, self.held = row["ids"], load(row["held"]).astype(bool)
+        self.lengths = load(row["lengths"]).astype(np.int64)
+        local = load(row["tokens"])
+        words = told[told["kind"] == WORDS]
+        by_shard = dict(zip(words["shard"], words["payload"], strict=True))
+        shards = _word_shards(row["buckets"], plan.word_shards)
+        counts, ids = np.zeros(len(shards), np.int64), np.zeros(len(shards), np.int64)
+        for s, at in _by_shard(shards, plan.word_shards):
+            first, second = split(by_shard[s])
+            counts[at], ids[at] = load(first), load(second)
+        self.counts, self.token_ids = counts[local], ids[local]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        end = local[self.lengths[0] - 1]
+        self.train = np.repeat(~self.held, self.lengths)
+        before, self.before_counts = self.shifted(self.token_ids, ids[end]), self.shifted(self.counts, counts[end])
+        # Entries with an unknown word are in no trie and are not asked for.
+        at = np.flatnonzero((before > 0) & (self.token_ids > 0))
+        self.pairs = _Asked(at, before[at], self.token_ids[at], self.before_counts[at], before[at], plan.entry_shards, plan.hot)
+
+    def shifted(self, x: np.ndarray, at_start: int) -> np.ndarray:
+        """The value of the token before, within the document."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.starts] = at_start
+        return out
+
+    def at_tokens(self, asked: _Asked, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.counts), x.dtype)
+        out[asked.at] = x[asked.inverse]
+        return out
+
+    def read_pairs(self) -> None:
+        """Shares of pairs at the tokens, and the triples whose first two words were seen at least twice."""
+        share = self.pairs.shares(self.told, PAIRS)
+        self.pair = self.at_tokens(self.pairs, share)
+        number = self.at_tokens(self.pairs, np.arange(len(share)) + 1)
+        self.context_counts = self.shifted(self.pair * self.before_counts, 0)
+        context = self.shifted(number, 0)
+        at = np.flatnonzero((self.context_counts >= SEEN_TWICE) & (self.token_ids > 0))
+        first, second = self.pairs.contexts[context[at] - 1], self.pairs.words[context[at] - 1]
+        name = _mix(first) ^ second.astype(np.uint64)
+        self.triples = _Asked(at, context[at], self.token_ids[at], np.rint(self.context_counts[at]).astype(np.int64), name, self.plan.entry_shards, self.plan.hot)
+
+    def plain(self) -> np.ndarray:
+        return (self.counts + 1) / (self.plan.n_train + self.plan.n_words + 1)
+
+    def own_plain(self) -> np.ndarray:
+        """The same without the token's own occurrence, for training tokens."""
+        return np.maximum(self.counts, 1) / (self.plan.n_train + self.plan.n_words)
+
+    @staticmethod
+    def own(share: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """A share without the token's own occurrence. Shares are quantised: what is below SEEN_TWICE was one."""
+        count = share * total
+        return np.where(count < SEEN_TWICE, 0.0, (count - 1) / np.maximum(total - 1, 1))
+
+    def own_pair(self, weight: float) -> np.ndarray:
+        high, low = self.own(self.pair, self.before_counts), self.own_plain()
+        return np.where(self.before_counts > 1, (1 - weight) * low + weight * high, low)
+
+    def smooth_pair(self, weight: float) -> np.ndarray:
+        return np.where(self.before_counts > 0, (1 - weight) * self.plain() + weight * self.pair, self.plain())
+
+
+def _ask_pairs(plan: _Plan):
+    def ask(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, row in rows.iterrows():
-            b = _Block(row, answers, word_shards, pair_shards, hot)
-            counts = np.bincount(b.inverse, b.train[b.asked], len(b.contexts)).astype(np.int64)
-            for s, at in _by_shard(b.pair_shard, pair_shards):
-                new = np.flatnonzero(np.concatenate([[True], np.diff(b.contexts[at]) != 0]))
-                runs = np.diff(np.append(new, len(at)))
-                head = b.contexts[at][new]
-                parts = [np.diff(head, prepend=0), b.pair_context_counts[at][new], runs, b.words[at], counts[at]]
-                out.append((s, row["block"], *map(dump, parts)))
-        return pd.DataFrame(out, columns=["shard", "block", "contexts", "totals", "runs", "words", "counts"])
+            b = _Block(row, told, plan)
+            out += b.pairs.messages(row["block"], b.train, b.pairs.contexts, b.pairs.totals)
+        return pd.DataFrame(out, columns=[c.split()[0] for c in MESSAGE_TYPE.split(", ")])
 
     return ask
 
 
-def _answer_pairs(keep_trie: bool):
+def _ask_triples(plan: _Plan):
+    def ask(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, row in rows.iterrows():
+            b = _Block(row, told, plan)
+            b.read_pairs()
+            nodes, counts = np.zeros(len(b.pairs.contexts), np.int64), np.zeros(len(b.pairs.contexts), np.int64)
+            for at, (first, second) in b.pairs.answers(told, NODES):
+                nodes[at], counts[at] = load(first), load(second)
+            left_out = np.array([np.log10(b.own_pair(w)[b.train]).sum() for w in WEIGHTS])
+            at = b.triples.contexts - 1
+            out += b.triples.messages(row["block"], b.train, nodes[at], counts[at], left_out)
+        return pd.DataFrame(out, columns=[c.split()[0] for c in MESSAGE_TYPE.split(", ")])
+
+    return ask
+
+
+def _answer_entries(kind: int, shards: int, keep_trie: bool):
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        """Builds one shard's part of the trie from all counts and answers every block from the mapped files."""
+        """Builds one shard's part of a level from all counts and answers every block from the mapped files."""
         from quantspark.llm.elias_fano import TrieLevel
 
+        shard, rows = int(frame["shard"].iloc[0]), []
+        sums_left = [x for x in frame["left_out"] if x is not None]
+        if sums_left:
+            rows.append((-1, kind, shard, b"", 0, 0, np.sum(np.stack(sums_left), axis=0)))
+        frame = frame[frame["left_out"].isna()]
+        if not len(frame):
+            return _answers(rows)
         runs = [load(r).astype(np.int64) for r in frame["runs"]]
-        spread = lambda column, pick: np.concatenate([np.repeat(pick(load(x).astype(np.int64)), r) for x, r in zip(frame[column], runs, strict=True)])
-        contexts, totals = spread("contexts", np.cumsum), spread("totals", lambda x: x)
+        spread = lambda column: np.concatenate([np.repeat(load(x).astype(np.int64), r) for x, r in zip(frame[column], runs, strict=True)])
+        contexts, totals = spread("contexts"), spread("totals")
         words, counts = (np.concatenate([load(x).astype(np.int64) for x in frame[c]]) for c in ("words", "counts"))
-        small = int(max(contexts.max(initial=0), words.max(initial=0))) < 1 << 31
+        small = max(int(contexts.max(initial=0)), int(words.max(initial=0))) < 1 << 31
         order = np.argsort((contexts << 32) | words, kind="stable") if small else np.lexsort((words, contexts))
         c, w = contexts[order], words[order]
         new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
-        pair = np.cumsum(new) - 1
-        sums = np.bincount(pair, counts[order])
+        entry = np.cumsum(new) - 1
+        sums = np.bincount(entry, counts[order]).astype(np.int64)
         c, w, total = c[new], w[new], totals[order][new]
         seen = sums > 0
-        rows = []
         with tempfile.TemporaryDirectory() as folder:
             TrieLevel.write(folder, c[seen], w[seen], np.log10(sums[seen] / total[seen]), CODE_BITS)
             level = TrieLevel.open(folder)
             codes = np.empty(len(order), np.uint16)
-            codes[order] = level.lookup(c, w)[pair]
+            codes[order] = level.lookup(c, w)[entry]
             book = np.asarray(level.book, "<f8").tobytes()
             if keep_trie:
-                rows += [(-2, 2, int(frame["shard"].iloc[0]), _archive(folder), 0, 0)]
+                rows.append((-2, TRIE, shard, _archive(folder), 0, 0, None))
             del level
+        node = np.where(sums >= 2, (np.cumsum(seen) - 1) * shards + shard + 1, 0)
+        nodes, twice = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        nodes[order], twice[order] = node[entry], np.where(sums >= 2, sums, 0)[entry]
         at = 0
         for block, n in zip(frame["block"], (int(r.sum()) for r in runs), strict=True):
-            rows.append((block, 2, int(frame["shard"].iloc[0]), len(book).to_bytes(4, "little") + book + dump(codes[at : at + n]), 0, 0))
+            rows.append((block, kind, shard, join(book, dump(codes[at : at + n])), 0, 0, None))
+            if kind == PAIRS:
+                rows.append((block, NODES, shard, join(dump(nodes[at : at + n]), dump(twice[at : at + n])), 0, 0, None))
             at += n
-        return pd.DataFrame(rows, columns=["block", "level", "shard", "payload", "n_train", "n_kinds"])
+        return _answers(rows)
 
     return answer
 
@@ -278,30 +409,21 @@ def _archive(folder: str) -> bytes:
     return out.getvalue()
 
 
-def _score(word_shards: int, pair_shards: int, hot: int, n_train: int, n_kinds: int):
-    def score(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+def _score(plan: _Plan):
+    def score(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, row in rows.iterrows():
-            b = _Block(row, answers[answers["level"] == 1], word_shards, pair_shards, hot)
-            told = answers[answers["level"] == 2]
-            by_shard = {s: p for s, p in zip(told["shard"], told["payload"], strict=True)}
-            share = np.zeros(len(b.contexts))
-            for s, at in _by_shard(b.pair_shard, pair_shards):
-                size = int.from_bytes(by_shard[s][:4], "little")
-                share[at] = 10.0 ** np.frombuffer(by_shard[s][4 : 4 + size], "<f8")[load(by_shard[s][4 + size :])]
-            plain = (b.counts + 1) / (n_train + n_kinds + 1)
-            pair = np.zeros(len(b.counts))
-            pair[b.asked] = share[b.inverse]
-            # A training token's own occurrence goes from the counts; shares are quantised, so one count is below 1.5.
-            counted = pair * b.before_counts
-            own = np.where(counted < 1.5, 0.0, (counted - 1) / np.maximum(b.before_counts - 1, 1))
-            own_plain = np.maximum(b.counts, 1) / (n_train + n_kinds)
-            known = b.before_counts > 0
+            b = _Block(row, told, plan)
+            b.read_pairs()
+            triple = b.at_tokens(b.triples, b.triples.shares(told, TRIPLES))
+            known = b.context_counts >= SEEN_TWICE
+            low, own_low = b.smooth_pair(plan.pair_weight), b.own_pair(plan.pair_weight)
+            own = b.own(triple, np.rint(b.context_counts))
             sums = lambda x: np.add.reduceat(x, b.starts)
-            blend = lambda low, high, weight: sums(np.log10(np.where(known, (1 - weight) * low + weight * high, low)))
-            scores = np.stack([blend(plain, pair, x) for x in WEIGHTS], axis=1)
-            left_out = np.stack([blend(own_plain, own, x) for x in WEIGHTS])[:, ~b.held].sum(axis=1)
-            base, n_known = sums(np.log10(plain)), sums((b.counts > 0).astype(np.int64))
+            blend = lambda x, y, w: np.log10(np.where(known, (1 - w) * x + w * y, x))
+            scores = np.stack([sums(blend(low, triple, w)) for w in TRIPLE_WEIGHTS], axis=1)
+            left_out = np.array([blend(own_low, own, w)[b.train].sum() for w in TRIPLE_WEIGHTS])
+            base, n_known = sums(np.log10(b.plain())), sums((b.counts > 0).astype(np.int64))
             for i, doc_id in enumerate(b.ids):
                 out.append((doc_id, bool(b.held[i]), int(b.lengths[i]), int(n_known[i]), float(base[i]), scores[i], left_out if i == 0 else None))
         frame = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "scores", "left_out"])
@@ -310,43 +432,50 @@ def _score(word_shards: int, pair_shards: int, hot: int, n_train: int, n_kinds:
     return score
 
 
+def _best(rows: DataFrame) -> int:
+    """The place of the largest sum of left_out; only one number for each weight reaches the driver."""
+    fit = rows.where("left_out is not null").select(F.posexplode("left_out").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
+    return max(fit, key=lambda r: (r["x"], -r["k"]))["k"] if fit else 0
+
+
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_trie: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """(scores, trie): one row per document, and the trie's parts by shard if asked for.
 
-    Scores: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, weight. Repeated rows are scored
-    each for itself; an empty table gives an empty result. Ids are integers.
+    Scores: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, pair_weight, triple_weight. Repeated
+    rows are scored each for itself; an empty table gives an empty result. Ids are integers.
     """
     scratch = Scratch(docs.sparkSession, "lm")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = scratch.save(texts.mapInPandas(make_blocks, BLOCK_TYPE), "blocks")
     size = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_tokens").alias("tokens")).first()
-    word_shards = max(1, -(-(size["words"] or 0) // SHARD_WORDS))
-    pair_shards = max(1, -(-(size["tokens"] or 0) // SHARD_PAIRS))
-    hot = SHARD_PAIRS // 8
-
-    asked = blocks.select("block", "words", "counts").mapInPandas(_ask_words(word_shards), "shard int, block long, words binary, counts binary")
-    answers = scratch.save(asked.groupBy("shard").applyInPandas(_answer_words(word_shards), ANSWER_TYPE), "words")
-    totals = answers.where("block = -1").agg(F.sum("n_train").alias("n"), F.sum("n_kinds").alias("v")).first()
-    n_train, n_kinds = totals["n"] or 0, totals["v"] or 0
-    answers = answers.where("block >= 0")
-
-    pair_type = "shard int, block long, contexts binary, totals binary, runs binary, words binary, counts binary"
-    pairs = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_ask_pairs(word_shards, pair_shards, hot), pair_type)
-    codes = scratch.save(pairs.groupBy("shard").applyInPandas(_answer_pairs(keep_trie), ANSWER_TYPE), "pairs")
-
-    told = answers.unionByName(codes.where("block >= 0"))
-    rows = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_score(word_shards, pair_shards, hot, n_train, n_kinds), SCORE_TYPE)
-    rows = scratch.save(rows, "scores")
-    fit = rows.where("left_out is not null").select(F.posexplode("left_out").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
-    best = max(fit, key=lambda r: (r["x"], -r["k"]))["k"] if fit else 0
-    scores = rows.select(
+    plan = _Plan(max(1, -(-(size["words"] or 0) // SHARD_WORDS)), max(1, -(-(size["tokens"] or 0) // SHARD_PAIRS)), SHARD_PAIRS // 8)
+
+    asked = blocks.select("block", "words", "buckets", "counts").mapInPandas(_ask_words(plan.word_shards), "shard int, block long, words binary, counts binary")
+    words = scratch.save(asked.groupBy("shard").applyInPandas(_answer_words(plan.word_shards), ANSWER_TYPE), "words")
+    totals = words.where("block = -1").agg(F.sum("n_train").alias("n"), F.sum("n_words").alias("v")).first()
+    plan = replace(plan, n_train=totals["n"] or 0, n_words=totals["v"] or 0)
+
+    rows = blocks.select("block", "ids", "held", "lengths", "tokens", "buckets")
+    told = words.where("block >= 0")
+    beside = lambda answers: rows.groupBy("block").cogroup(answers.groupBy("block"))
+    pairs = scratch.save(beside(told).applyInPandas(_ask_pairs(plan), MESSAGE_TYPE).groupBy("shard").applyInPandas(_answer_entries(PAIRS, plan.entry_shards, keep_trie), ANSWER_TYPE), "pairs")
+    told = told.unionByName(pairs.where("block >= 0"))
+    triples = scratch.save(beside(told).applyInPandas(_ask_triples(plan), MESSAGE_TYPE).groupBy("shard").applyInPandas(_answer_entries(TRIPLES, plan.entry_shards, keep_trie), ANSWER_TYPE), "triples")
+    plan = replace(plan, pair_weight=WEIGHTS[_best(triples)])
+    told = told.where(F.col("kind") != NODES).unionByName(triples.where("block >= 0"))
+    scored = scratch.save(beside(told).applyInPandas(_score(plan), SCORE_TYPE), "scores")
+    best = _best(scored)
+    scores = scored.select(
         "doc_id",
         "held_out",
         "n_tokens",
         "n_known",
-        F.lit(n_train).cast("long").alias("train_tokens"),
+        F.lit(plan.n_train).cast("long").alias("train_tokens"),
         "base_score",
         F.col("scores")[best].alias("score"),
-        F.lit(WEIGHTS[best]).alias("weight"),
+        F.lit(plan.pair_weight).alias("pair_weight"),
+        F.lit(TRIPLE_WEIGHTS[best]).alias("triple_weight"),
     )
-    return scores, codes.where("block = -2").select("shard", F.col("payload").alias("trie")) if keep_trie else None
+    if not keep_trie:
+        return scores, None
+    return scores, pairs.unionByName(triples).where(F.col("kind") == TRIE).select("shard", F.col("payload").alias("trie"))

@@ -53,24 +53,33 @@ def test_packed_numbers(values):
 def brute(texts):
     tokens = [[*words((t or "").translate(FOLD)), "\n"] for t in texts]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for t, h in zip(tokens, held, strict=True):
         if not h:
+            before = ["\n", *t]
             one.update(t)
-            two.update(zip(["\n", *t], t, strict=False))
-    return tokens, held, one, two
+            two.update(zip(before, t, strict=False))
+            three.update(zip(before, t, t[1:], strict=False))
+    return tokens, held, one, two, three
 
 
 def compare(rows, texts, tolerance):
-    tokens, held, one, two = brute(texts)
+    tokens, held, one, two, three = brute(texts)
     n, v = sum(one.values()), len(one)
-    weight = rows[0].weight
+    u, w = rows[0].pair_weight, rows[0].triple_weight
     for r in rows:
         t = tokens[r.doc_id]
         plain = [(one[x] + 1) / (n + v + 1) for x in t]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(one[x] > 0 for x in t), n)
         assert math.isclose(r.base_score, sum(map(math.log10, plain)), rel_tol=1e-9)
-        score = sum(math.log10((1 - weight) * p + weight * two[a, b] / one[a]) if one[a] else math.log10(p) for p, a, b in zip(plain, ["\n", *t], t, strict=False))
+        score, before = 0.0, ["\n", *t]
+        for k, x in enumerate(t):
+            p, b = plain[k], before[k]
+            if one[b]:
+                p = (1 - u) * p + u * two[b, x] / one[b]
+            if k and two[before[k - 1], b] >= 2:
+                p = (1 - w) * p + w * three[before[k - 1], b, x] / two[before[k - 1], b]
+            score += math.log10(p)
         assert abs(r.score - score) <= tolerance * len(t)
 
 
