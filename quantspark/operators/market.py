@@ -234,3 +234,13 @@ def two_factor_exposures(df: DataFrame, by: Sequence[str], y: str, a: str, b: st
     out = out.withColumn("beta_a", ratio(F.col("ya") * F.col("bb") - F.col("yb") * F.col("ab"), det)).withColumn("beta_b", ratio(F.col("yb") * F.col("aa") - F.col("ya") * F.col("ab"), det))
     explained = F.col("beta_a") * F.col("ya") + F.col("beta_b") * F.col("yb")
     return out.select(*by, "n", "beta_a", "beta_b", (F.col("my") - F.col("beta_a") * F.col("ma") - F.col("beta_b") * F.col("mb")).alias("alpha"), ratio(explained, F.col("yy")).alias("r2"))
+
+
+def wide_matrix(df: DataFrame, row: str, column: str, names: Sequence[str], x: str) -> DataFrame:
+    """One column for each of the given names. Naming them spares the pass that would look for them."""
+    return df.groupBy(row).pivot(column, list(names)).agg(F.avg(x))
+
+
+def long_table(df: DataFrame, row: str, names: Sequence[str], column: str, x: str) -> DataFrame:
+    """The matrix as rows again, without its holes."""
+    return df.unpivot([row], list(names), column, x).where(F.col(x).isNotNull())

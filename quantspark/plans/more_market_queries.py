@@ -90,3 +90,18 @@ e AS (SELECT *, (ya * bb - yb * ab) / (aa * bb - ab * ab) AS p, (yb * aa - ya *
 def two_factor_exposures(spark, sf_dir):
     rows = against_market(spark, sf_dir).join(mood(spark, sf_dir), ["asset", "ts"])
     return rounded(m.two_factor_exposures(rows, ["asset"], "ret", "market", "mood"))
+
+
+NAMES = ("click", "error", "purchase", "signup", "view")
+
+
+@register("returns_matrix", f"WITH {DAILY} SELECT CAST(ts AS VARCHAR) AS day, " + ", ".join(r(f"avg(ret) FILTER (asset = '{n}')", n) for n in NAMES) + " FROM daily GROUP BY 1")
+def returns_matrix(spark, sf_dir):
+    rows = daily(spark, sf_dir).withColumn("day", F.col("ts").cast("string"))
+    return rounded(m.wide_matrix(rows, "day", "asset", NAMES, "ret"))
+
+
+@register("returns_long", f"WITH {DAILY} SELECT CAST(ts AS VARCHAR) AS day, asset, {r('ret', 'ret')} FROM daily WHERE ret IS NOT NULL")
+def returns_long(spark, sf_dir):
+    rows = daily(spark, sf_dir).withColumn("day", F.col("ts").cast("string"))
+    return rounded(m.long_table(m.wide_matrix(rows, "day", "asset", NAMES, "ret"), "day", NAMES, "asset", "ret"))
