@@ -45,14 +45,14 @@ class Scratch:
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(path)
 
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Writes the table and returns it as read back."""
+    def save(self, df: DataFrame, name: str, codec: str = "zstd", by: tuple[str, ...] = ()) -> DataFrame:
+        """Writes the table, in folders by the columns of by, and returns it as read back."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", codec).mode("overwrite").parquet(path)
+        df.write.option("compression", codec).partitionBy(*by).mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        """Deletes a table that no later step reads."""
+        """Deletes a table, or a folder of one, that no later step reads."""
         self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
 
 

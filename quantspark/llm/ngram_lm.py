@@ -50,7 +50,7 @@ END = b"\n"
 #: Documents whose crc32 of the id as text leaves HELD_OUT modulo FOLDS are held out.
 FOLDS, HELD_OUT = 7, 2
 
-BLOCK_TYPE = "block long, ids array<long>, held binary, lengths binary, tokens binary, words binary, buckets binary, counts binary, n_words long, n_tokens long"
+BLOCK_TYPE = "part int, block long, ids array<long>, held binary, lengths binary, tokens binary, words binary, buckets binary, counts binary, n_words long, n_tokens long"
 MESSAGE_TYPE = "shard int, block long, contexts binary, totals binary, runs binary, words binary, counts binary, left_out array<double>"
 ANSWER_TYPE = "block long, kind int, shard int, payload binary, n_train long, n_words long, left_out array<double>"
 SCORE_TYPE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, left_out array<double>"
@@ -97,7 +97,8 @@ def is_held_out(doc_id: int | None) -> bool:
 
 
 def make_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (doc_id, text) to blocks of whole documents. Null texts are empty and still have their end."""
+    """Rows (doc_id, text) to blocks of whole documents: part 0 has the tokens, part 1 the vocabulary, which only the
+    first exchange needs. Null texts are empty and still have their end."""
     import xxhash
     from pyspark import TaskContext
 
@@ -114,8 +115,9 @@ def make_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.bincount(flat[kept], minlength=len(numbers))
         words = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
         buckets = (_mix(words) >> np.uint64(48)).astype(np.uint16)
-        row = [number, ids, dump(np.array(held, np.uint8)), dump(sizes), dump(flat), words.tobytes(), buckets.tobytes(), dump(counts), len(words), len(flat)]
-        return pd.DataFrame([row], columns=["block", "ids", "held", "lengths", "tokens", "words", "buckets", "counts", "n_words", "n_tokens"])
+        texts = (0, number, ids, dump(np.array(held, np.uint8)), dump(sizes), dump(flat), None, buckets.tobytes(), None, len(words), len(flat))
+        vocabulary = (1, number, None, None, None, None, words.tobytes(), buckets.tobytes(), dump(counts), 0, 0)
+        return pd.DataFrame([texts, vocabulary], columns=[c.split()[0] for c in BLOCK_TYPE.split(", ")])
 
     numbers, ids, held, lengths, tokens = fresh()
     size = 0
@@ -204,15 +206,18 @@ class _Asked:
         """at: the tokens; total: how often the context occurs; name: what the shard is chosen by."""
         self.at, self.shards = at, shards
         if max(int(context.max(initial=0)), int(word.max(initial=0))) < 1 << 31:
-            keys, first, self.inverse = np.unique((context << 32) | word, return_index=True, return_inverse=True)
+            keys, self.inverse = np.unique((context << 32) | word, return_inverse=True)
+            self.contexts, self.words = keys >> 32, keys & 0xFFFFFFFF
         else:
             order = np.lexsort((word, context))
             new = np.concatenate([[True], (np.diff(context[order]) != 0) | (np.diff(word[order]) != 0)])
-            first = order[new]
+            self.contexts, self.words = context[order][new], word[order][new]
             self.inverse = np.empty(len(order), np.int64)
             self.inverse[order] = np.cumsum(new) - 1
-        self.contexts, self.words, self.totals = context[first], word[first], total[first]
-        shard = _mix(name[first])
+        # Tokens of one entry agree on these.
+        self.totals, named = np.empty(len(self.words), np.int64), np.empty(len(self.words), name.dtype)
+        self.totals[self.inverse], named[self.inverse] = total, name
+        shard = _mix(named)
         spread = self.totals > hot
         shard[spread] ^= _mix(self.words[spread] + 1)
         self.shard = (shard % np.uint64(shards)).astype(np.int64)
@@ -314,6 +319,17 @@ class _Block:
         count = share * total
         return np.where(count < SEEN_TWICE, 0.0, (count - 1) / np.maximum(total - 1, 1))
 
+    def left_out_pairs(self) -> np.ndarray:
+        """Log10 likelihood of the training tokens for each of WEIGHTS, every token left out of its own counts. Where
+        nothing of a pair is left, a weight only takes its share away: those tokens are counted, not computed."""
+        low, known = self.own_plain(), self.train & (self.before_counts > 1)
+        high = self.own(self.pair, self.before_counts)
+        seen = np.flatnonzero(known & (high > 0))
+        bare = np.log10(low[self.train]).sum() - np.log10(low[seen]).sum()
+        missed = int(known.sum()) - len(seen)
+        low, high = low[seen], high[seen]
+        return np.array([bare + missed * np.log10(1 - w) + np.log10((1 - w) * low + w * high).sum() for w in WEIGHTS])
+
     def own_pair(self, weight: float) -> np.ndarray:
         high, low = self.own(self.pair, self.before_counts), self.own_plain()
         return np.where(self.before_counts > 1, (1 - weight) * low + weight * high, low)
@@ -342,7 +358,7 @@ def _ask_triples(plan: _Plan):
             nodes, counts = np.zeros(len(b.pairs.contexts), np.int64), np.zeros(len(b.pairs.contexts), np.int64)
             for at, (first, second) in b.pairs.answers(told, NODES):
                 nodes[at], counts[at] = load(first), load(second)
-            left_out = np.array([np.log10(b.own_pair(w)[b.train]).sum() for w in WEIGHTS])
+            left_out = b.left_out_pairs()
             at = b.triples.contexts - 1
             out += b.triples.messages(row["block"], b.train, nodes[at], counts[at], left_out)
         return pd.DataFrame(out, columns=[c.split()[0] for c in MESSAGE_TYPE.split(", ")])
@@ -367,7 +383,7 @@ def _answer_entries(kind: int, shards: int, keep_trie: bool):
         contexts, totals = spread("contexts"), spread("totals")
         words, counts = (np.concatenate([load(x).astype(np.int64) for x in frame[c]]) for c in ("words", "counts"))
         small = max(int(contexts.max(initial=0)), int(words.max(initial=0))) < 1 << 31
-        order = np.argsort((contexts << 32) | words, kind="stable") if small else np.lexsort((words, contexts))
+        order = np.argsort((contexts << 32) | words) if small else np.lexsort((words, contexts))
         c, w = contexts[order], words[order]
         new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
         entry = np.cumsum(new) - 1
@@ -417,12 +433,21 @@ def _score(plan: _Plan):
             b.read_pairs()
             triple = b.at_tokens(b.triples, b.triples.shares(told, TRIPLES))
             known = b.context_counts >= SEEN_TWICE
-            low, own_low = b.smooth_pair(plan.pair_weight), b.own_pair(plan.pair_weight)
-            own = b.own(triple, np.rint(b.context_counts))
+            low = b.smooth_pair(plan.pair_weight)
             sums = lambda x: np.add.reduceat(x, b.starts)
-            blend = lambda x, y, w: np.log10(np.where(known, (1 - w) * x + w * y, x))
-            scores = np.stack([sums(blend(low, triple, w)) for w in TRIPLE_WEIGHTS], axis=1)
-            left_out = np.array([blend(own_low, own, w)[b.train].sum() for w in TRIPLE_WEIGHTS])
+            # Under a known context without the triple, a weight only takes its share away.
+            seen = np.flatnonzero(triple > 0)
+            document = np.repeat(np.arange(len(b.lengths)), b.lengths)[seen]
+            bare = sums(np.log10(low))
+            missed = sums(known.astype(np.int64)) - np.bincount(document, minlength=len(b.lengths))
+            a, c = low[seen], triple[seen]
+            gain = lambda w: np.bincount(document, np.log10((1 - w) + w * c / a), len(b.lengths))
+            scores = np.stack([bare + missed * np.log10(1 - w) + gain(w) for w in TRIPLE_WEIGHTS], axis=1)
+            own = b.own(triple[seen], np.rint(b.context_counts[seen]))
+            kept = b.train[seen] & (own > 0)
+            missed_train = int((known & b.train).sum()) - int(kept.sum())
+            ratio = own[kept] / b.own_pair(plan.pair_weight)[seen][kept]
+            left_out = np.array([missed_train * np.log10(1 - w) + np.log10((1 - w) + w * ratio).sum() for w in TRIPLE_WEIGHTS])
             base, n_known = sums(np.log10(b.plain())), sums((b.counts > 0).astype(np.int64))
             for i, doc_id in enumerate(b.ids):
                 out.append((doc_id, bool(b.held[i]), int(b.lengths[i]), int(n_known[i]), float(base[i]), scores[i], left_out if i == 0 else None))
@@ -446,16 +471,17 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     scratch = Scratch(docs.sparkSession, "lm")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = scratch.save(texts.mapInPandas(make_blocks, BLOCK_TYPE), "blocks")
+    blocks = scratch.save(texts.mapInPandas(make_blocks, BLOCK_TYPE), "blocks", by=("part",))
     size = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_tokens").alias("tokens")).first()
     plan = _Plan(max(1, -(-(size["words"] or 0) // SHARD_WORDS)), max(1, -(-(size["tokens"] or 0) // SHARD_PAIRS)), SHARD_PAIRS // 8)
 
-    asked = blocks.select("block", "words", "buckets", "counts").mapInPandas(_ask_words(plan.word_shards), "shard int, block long, words binary, counts binary")
+    asked = blocks.where("part = 1").select("block", "words", "buckets", "counts").mapInPandas(_ask_words(plan.word_shards), "shard int, block long, words binary, counts binary")
     words = scratch.save(asked.groupBy("shard").applyInPandas(_answer_words(plan.word_shards), ANSWER_TYPE), "words")
     totals = words.where("block = -1").agg(F.sum("n_train").alias("n"), F.sum("n_words").alias("v")).first()
     plan = replace(plan, n_train=totals["n"] or 0, n_words=totals["v"] or 0)
 
-    rows = blocks.select("block", "ids", "held", "lengths", "tokens", "buckets")
+    scratch.drop("blocks/part=1")
+    rows = blocks.where("part = 0").select("block", "ids", "held", "lengths", "tokens", "buckets")
     told = words.where("block >= 0")
     beside = lambda answers: rows.groupBy("block").cogroup(answers.groupBy("block"))
     pairs = scratch.save(beside(told).applyInPandas(_ask_pairs(plan), MESSAGE_TYPE).groupBy("shard").applyInPandas(_answer_entries(PAIRS, plan.entry_shards, keep_trie), ANSWER_TYPE), "pairs")
