@@ -28,7 +28,7 @@ def three(up: str, down: str) -> str:
 
 
 def r(expr: str, name: str) -> str:
-    return f"round({expr}, 6) + 0.0 AS {name}"
+    return f"round(CAST({expr} AS DOUBLE), 6) + 0.0 AS {name}"
 
 
 def over_ticks(name: str, steps: str, out: str):
