@@ -41,10 +41,13 @@ def link_entities(posts: DataFrame, aliases: DataFrame, id_col: str = "id", text
 
 
 def polarity(posts: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, polarity, hits): mean score of the words that the lexicon (word, score) knows, 0 without any."""
+    """(id, polarity, hits): mean score of the words that the lexicon (word, score) knows, 0 without any.
+
+    The lexicon comes first, so that only words it knows are aggregated; Spark broadcasts it while its known size is
+    small, and then no word is shuffled.
+    """
     words = posts.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("word"))
-    known = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n")).join(lexicon, "word")
-    sums = known.groupBy("id").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("polarity"), F.sum("n").alias("hits"))
+    sums = words.join(lexicon, "word").groupBy("id").agg(F.avg("score").alias("polarity"), F.count(F.lit(1)).alias("hits"))
     return posts.select(F.col(id_col).alias("id")).join(sums, "id", "left").fillna({"polarity": 0.0, "hits": 0})
 
 

@@ -31,8 +31,13 @@ def posts(spark, sf_dir):
     return docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("subreddit"), (F.col("doc_id") % 97).alias("author_id"), day.alias("date"))
 
 
+def constants(spark, rows, names: str):
+    """A table of literal rows, whose size Spark knows."""
+    return spark.sql(f"SELECT * FROM {values(rows)} AS t({names})")
+
+
 def lexicon(spark):
-    return spark.createDataFrame(list(SCORES), "word string, score double")
+    return constants(spark, SCORES, "word, score").withColumn("score", F.col("score").cast("double"))
 
 
 @register("normalize_text", f"WITH {POSTS_SQL}, n AS (SELECT id, trim(regexp_replace(regexp_replace(text, 'https?://\\S+|www\\.\\S+', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM posts) SELECT id, CAST(length(t) AS INTEGER) AS length, md5(t) AS digest FROM n")
@@ -48,7 +53,7 @@ c AS (SELECT t.id, k.asset_id, a.assets, count(*) AS n FROM toks t JOIN k ON t.w
 SELECT id, asset_id, {r('max(x)', 'confidence')} FROM f WHERE x >= 0.35 GROUP BY 1, 2""",
 )
 def entity_links(spark, sf_dir):
-    aliases = spark.createDataFrame(list(ALIASES), "alias string, asset_id string")
+    aliases = constants(spark, ALIASES, "alias, asset_id")
     return rounded(text.link_entities(posts(spark, sf_dir), aliases))
 
 
