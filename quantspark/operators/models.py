@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quantspark.frames import Series, ratio
 
-KINDS = {"logistic": lambda seed: LogisticRegression(featuresCol="z", labelCol="label", maxIter=50), "trees": lambda seed: GBTClassifier(featuresCol="z", labelCol="label", maxIter=10, maxDepth=3, seed=seed)}
+KINDS = {"logistic": lambda seed: LogisticRegression(featuresCol="__z", labelCol="label", maxIter=50), "trees": lambda seed: GBTClassifier(featuresCol="__z", labelCol="label", maxIter=10, maxDepth=3, seed=seed)}
 
 
 def with_direction(df: DataFrame, s: Series, price: str = "price") -> DataFrame:
@@ -30,7 +30,7 @@ def with_direction(df: DataFrame, s: Series, price: str = "price") -> DataFrame:
 
 def fit_direction(train: DataFrame, features: Sequence[str], kind: str = "logistic", seed: int = 7) -> PipelineModel:
     """A scaled model of one kind; rows with a missing feature or label are left out."""
-    stages = [VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="skip"), StandardScaler(inputCol="x", outputCol="z", withMean=True), KINDS[kind](seed)]
+    stages = [VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="skip"), StandardScaler(inputCol="__x", outputCol="__z", withMean=True), KINDS[kind](seed)]
     return Pipeline(stages=stages).fit(train.where(F.col("label").isNotNull()).dropna(subset=list(features)))
 
 
