@@ -67,7 +67,7 @@ def dump(values: np.ndarray) -> bytes:
     top = int(values.max()) if len(values) else 0
     width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
     planes = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def load(data: bytes) -> np.ndarray:
