@@ -1,18 +1,23 @@
 """License scans by conditional compression.
 
-Candidate blocks are the lines of a text that hold a cue of license wording, joined while they follow one another.
-A block is compressed alone and once more with each license template as zstandard raw dictionary: the more of the
-block the template already says, the fewer bytes remain. The largest relative reduction names the winner, and an
-exact word difference between block and template confirms or refuses it.
+A notice may stand anywhere in a text that holds a cue of license wording: on one line, wrapped over many, or inside
+a longer line. Stretches of words that share enough words with a template are aligned with it word by word, which
+gives the span that says it. A span is compressed alone and once more with the template as zstandard raw dictionary:
+the more of the span the template already says, the fewer bytes remain. A span is confirmed where it repeats enough
+words of the template and the template saves enough of its bytes. Of confirmed spans that rest on the same words the
+one that differs least from its template is reported; licenses that rest on words of their own are all reported.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,81 +55,160 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
-#: A line that may speak of a license.
-CUE = re.compile(r"licen[sc]|permission is hereby|redistribut|creative commons|public domain|copyright|\bCC[ -]BY|warrant|free software", re.IGNORECASE)
-CUE_SQL = r"(?i)licen[sc]|permission is hereby|redistribut|creative commons|public domain|copyright|\bCC[ -]BY|warrant|free software"
+#: A text that may speak of a license. Words of a cue may be parted by a line break or a comment sign.
+CUE_SQL = r"(?i)licen[sc]|permission\W+is\W+hereby|redistribut|creative\W+commons|public\W+domain|copyright|\bCC\W+BY|warrant|free\W+software"
+CUE = re.compile(CUE_SQL)
 WORDS = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*", re.UNICODE)
-#: Least share of the bytes that the template must save, least share of equal words, candidates looked at exactly.
-MIN_REDUCTION, MIN_EQUAL, CONFIRMED = 0.25, 0.8, 3
-#: A block of more characters is compared in windows of this size, each over the whole of itself.
-BLOCK_CHARS = 8192
+TAIL = re.compile(r"[^\w\s]*")
+#: A line break and what precedes the first word of the next line, such as comment signs.
+BREAK = re.compile(r"\n\W*")
+#: Least share of the bytes that the template must save, least share of equal words.
+MIN_REDUCTION, MIN_EQUAL = 0.25, 0.8
+#: What a word between words of the template costs an alignment, where an equal word gains 1 and a missing one costs 1,
+#: and the least score for each word of the template: 0.8 equal words spread over three times its length.
+EXTRA, MIN_SCORE = 0.2, 0.16
+#: No alignment of that score is longer than (1 - MIN_SCORE) / EXTRA + 1 = 5.2 templates, so that it lies in some
+#: window of 7 template lengths that starts at a multiple of one.
+WINDOW = 7
+#: Words of its own that a license needs beside an overlapping one.
+OWN = 2
 FOUND_TYPE = "array<struct<license:string, start:int, end:int, reduction:double, equal_words:int, block_words:int, template_words:int>>"
 
 
+@dataclass(frozen=True)
+class Template:
+    name: str
+    compressor: object
+    words: list[str]
+    ids: np.ndarray
+    #: Place of each vocabulary word in counts, -1 where the template lacks it, and how often the template has it.
+    place: np.ndarray
+    counts: np.ndarray
+
+
 @lru_cache(maxsize=1)
-def _compressors() -> tuple:
+def _templates() -> tuple:
+    """(plain compressor, vocabulary of all templates, templates)."""
     import zstandard as z
 
     plain = z.ZstdCompressor(level=19, write_content_size=False, write_checksum=False)
-    with_template = []
-    for name, wording in TEMPLATES:
+    vocabulary: dict[str, int] = {}
+    worded = [(name, wording, WORDS.findall(wording.lower())) for name, wording in TEMPLATES]
+    for _, _, words in worded:
+        for word in words:
+            vocabulary.setdefault(word, len(vocabulary))
+    templates = []
+    for name, wording, words in worded:
         raw = " ".join(wording.lower().split()).encode()
-        words = WORDS.findall(wording.lower())
         data = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-        with_template.append((name, z.ZstdCompressor(level=19, dict_data=data, write_content_size=False, write_checksum=False), words))
-    return plain, tuple(with_template)
-
-
-def candidate_blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of runs of lines with a cue, cut at BLOCK_CHARS where longer."""
-    blocks: list[tuple[int, int]] = []
-    at = 0
-    for line in text.split("\n"):
-        end = at + len(line)
-        if CUE.search(line):
-            if blocks and blocks[-1][1] == at - 1 and end - blocks[-1][0] <= BLOCK_CHARS:
-                blocks[-1] = (blocks[-1][0], end)
-            else:
-                blocks.extend((a, min(a + BLOCK_CHARS, end)) for a in range(at, end, BLOCK_CHARS))
-        at = end + 1
-    return blocks
+        ids = np.array([vocabulary[w] for w in words])
+        distinct, counts = np.unique(ids, return_counts=True)
+        place = np.full(len(vocabulary), -1)
+        place[distinct] = np.arange(len(distinct))
+        templates.append(Template(name, z.ZstdCompressor(level=19, dict_data=data, write_content_size=False, write_checksum=False), words, ids, place, counts))
+    return plain, vocabulary, tuple(templates)
+
+
+def _stretches(t: Template, at: np.ndarray, ids: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """(start, end) of the stretches of n words that share enough words with the template, repetitions counted, to
+    confirm it. at and ids are the places and numbers of the words that any template has."""
+    m, k = len(t.ids), len(t.counts)
+    place = t.place[ids]
+    here = place >= 0
+    if np.count_nonzero(here) < MIN_EQUAL * m:
+        return []
+    bins = -(-n // m)
+    filled = np.bincount(at[here] // m * k + place[here], minlength=bins * k).reshape(bins, k)
+    sums = np.concatenate([np.zeros((1, k), np.int64), np.cumsum(filled, axis=0)])
+    first = np.arange(bins)
+    window = sums[np.minimum(first + WINDOW, bins)] - sums[first]
+    out: list[tuple[int, int]] = []
+    for i in np.flatnonzero(np.minimum(window, t.counts).sum(axis=1) >= MIN_EQUAL * m).tolist():
+        start, end = i * m, min((i + WINDOW) * m, n)
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], end)
+        else:
+            out.append((start, end))
+    return out
 
 
-def _exact(template: list[str], words: list[str]) -> int:
-    """Words of the template that the block repeats in order."""
-    return sum(m.size for m in difflib.SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks())
+def _align(template: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The best score of the whole template against words that end at each place; the start is free."""
+    fall = EXTRA * np.arange(len(words) + 1)
+    row = np.zeros(len(words) + 1)
+    for word in template:
+        after = row - 1
+        np.maximum(after[1:], np.where(words == word, row[:-1] + 1, -np.inf), out=after[1:])
+        row = np.maximum.accumulate(after + fall) - fall
+    return row[1:]
+
+
+def _spans(t: Template, words: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the best alignments, none over another, of the template in a stretch of words."""
+    score = _align(t.ids, words)
+    least = MIN_SCORE * len(t.ids) - 1e-9
+    padded = np.concatenate([[-np.inf], score, [-np.inf]])
+    peaks = np.flatnonzero((score >= least) & (score > padded[:-2]) & (score >= padded[2:]))
+    out: list[tuple[int, int]] = []
+    for end in peaks[np.argsort(-score[peaks], kind="stable")].tolist():
+        i = bisect_right(out, (end, len(words)))
+        if i and out[i - 1][1] > end:
+            continue
+        low = max(out[i - 1][1] if i else 0, end + 1 - WINDOW * len(t.ids))
+        back = _align(t.ids[::-1], words[low : end + 1][::-1])
+        if back.max() >= least:
+            out.insert(i, (end - int(back.argmax()), end + 1))
+    return out
 
 
 @lru_cache(maxsize=4096)
-def judge_block(block: str) -> tuple[str, float, int, int, int] | None:
-    """(license, reduction, equal words, words of the block, words of the template) of the confirmed winner."""
-    plain, compressors = _compressors()
-    raw = " ".join(block.lower().split()).encode("utf-8", "surrogatepass")
-    if not raw:
+def judge_span(i: int, span: str) -> tuple[float, int, tuple[int, ...]] | None:
+    """(reduction, words of the span, places of its words that template i says) where the template is confirmed."""
+    plain, _, templates = _templates()
+    words = WORDS.findall(span)
+    blocks = difflib.SequenceMatcher(None, templates[i].words, words, autojunk=False).get_matching_blocks()
+    equal = tuple(p for b in blocks for p in range(b.b, b.b + b.size))
+    if len(equal) < MIN_EQUAL * len(templates[i].words):
         return None
-    alone = len(plain.compress(raw))
-    ranked = sorted(((1 - len(c.compress(raw)) / alone, -i) for i, (_, c, _) in enumerate(compressors)), reverse=True)
-    words = WORDS.findall(block.lower())
-    best = None
-    for reduction, i in ranked[:CONFIRMED]:
-        name, _, template = compressors[-i]
-        if reduction < MIN_REDUCTION and len(words) <= 3 * len(template):
-            continue
-        equal = _exact(template, words)
-        if equal >= MIN_EQUAL * len(template) and (best is None or equal / len(template) > best[2] / best[4]):
-            best = (name, reduction, equal, len(words), len(template))
-    return best
+    raw = span.encode("utf-8", "surrogatepass")
+    reduction = 1 - len(templates[i].compressor.compress(raw)) / len(plain.compress(raw))
+    return (reduction, len(words), equal) if reduction >= MIN_REDUCTION else None
 
 
 def find_licenses(text: str | None) -> list[tuple]:
-    """Every confirmed block of a text; null and empty texts have none."""
+    """Every confirmed license of a text, by place; null and empty texts have none."""
     if not text or not CUE.search(text):
         return []
-    out = []
-    for start, end in candidate_blocks(text):
-        if found := judge_block(text[start:end]):
-            out.append((found[0], start, end, *found[1:]))
-    return out
+    _, vocabulary, templates = _templates()
+    places = [m.span() for m in WORDS.finditer(text)]
+    ids = np.array([vocabulary.get(text[a:b].lower(), -1) for a, b in places], np.int64)
+    at = np.flatnonzero(ids >= 0)
+    known = ids[at]
+    confirmed = []
+    for i, t in enumerate(templates):
+        for low, high in _stretches(t, at, known, len(ids)):
+            for start, end in _spans(t, ids[low:high]):
+                first, last = low + start, low + end
+                # A span ends with the punctuation of its last word.
+                stop = TAIL.match(text, places[last - 1][1]).end()
+                if judged := judge_span(i, " ".join(BREAK.sub(" ", text[places[first][0] : stop]).lower().split())):
+                    reduction, n_words, equal = judged
+                    said = {first + p for p in equal}
+                    score = 2 * len(said) - len(t.words) - (n_words - len(said))
+                    confirmed.append((-score, -reduction, i, first, last, stop, said, n_words))
+    kept: list[tuple] = []
+    taken: dict[str, set[int]] = {}
+    used: set[int] = set()
+    for found in sorted(confirmed, key=lambda c: c[:5]):
+        _, _, i, first, last, _, said, _ = found
+        inside = taken.setdefault(templates[i].name, set())
+        if not inside.isdisjoint(range(first, last)) or len(said - used) < min(OWN, len(said)):
+            continue
+        inside.update(range(first, last))
+        used |= said
+        kept.append(found)
+    rows = [(templates[i].name, places[first][0], stop, -less, len(said), n_words, len(templates[i].words)) for _, less, i, first, _, stop, said, n_words in kept]
+    return sorted(rows, key=lambda r: (r[1], r[2], r[0]))
 
 
 def _scan(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -139,7 +223,7 @@ def with_licenses(docs: DataFrame, text_col: str = "text", out_col: str = "licen
 
 
 def license_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per confirmed block: doc_id, license, start, end (code points, end exclusive), reduction, equal_words,
+    """One row per confirmed license: doc_id, license, start, end (code points, end exclusive), reduction, equal_words,
     block_words, template_words. Repeated rows give repeated results, an empty table none."""
     rows = with_licenses(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     return rows.select("doc_id", F.explode("licenses").alias("found")).select("doc_id", "found.*")

@@ -40,3 +40,41 @@ def test_queries_and_awkward_rows(spark):
     odd = awkward(spark)
     assert licenses.with_licenses(odd).columns == [*odd.columns, "licenses"]
     assert licenses.license_digest(odd).count() == 0 and licenses.license_digest(odd.limit(0)).count() == 0
+
+
+def _wrap(wording, width, sign=""):
+    words = wording.split()
+    return "\n".join(sign + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+@pytest.mark.parametrize(("name", "wording"), licenses.TEMPLATES)
+@pytest.mark.parametrize(("width", "sign"), [(9, ""), (7, "# "), (1, " * ")])
+def test_wrapped_wordings_are_found_whole(name, wording, width, sign):
+    text = f"{FILLER}\n{_wrap(wording, width, sign)}\n{FILLER}"
+    found = licenses.find_licenses(text)
+    assert [f[0] for f in found] == [name]
+    assert [w for w in text[found[0][1] : found[0][2]].split() if w != sign.strip()] == wording.split()
+
+
+def test_two_licenses_side_by_side_and_in_one_sentence():
+    mit, apache = "Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    text = f"{mit}\n{apache}"
+    assert [(f[0], text[f[1] : f[2]]) for f in licenses.find_licenses(text)] == [("MIT", mit), ("Apache-2.0", apache)]
+    for text in ("Licensed under the MIT License or the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 or the MIT License."):
+        assert {f[0] for f in licenses.find_licenses(text)} == {"MIT", "Apache-2.0"}
+    every = dict(licenses.TEMPLATES)
+    text = "\n".join(every.values())
+    assert [f[0] for f in licenses.find_licenses(text)] == list(every)
+    assert [f[0] for f in licenses.find_licenses(f"{mit}\n{FILLER}\n{mit}")] == ["MIT", "MIT"]
+
+
+@pytest.mark.parametrize("before", [8100, 8192, 20000])
+def test_notice_inside_a_long_line(before):
+    wording = next(w for n, w in licenses.TEMPLATES if n == "MIT" and len(w) > 200)
+    text = (FILLER * 400)[: before - 1] + " " + wording + " " + FILLER * 300
+    assert [(f[0], text[f[1] : f[2]]) for f in licenses.find_licenses(text)] == [("MIT", wording)]
+
+
+def test_scattered_words_are_no_notice():
+    words = "licensed under the mit license".split()
+    assert licenses.find_licenses(" ".join(w + " erbleen ndinly thbleing eringing thines by ereati" for w in words)) == []
