@@ -21,10 +21,15 @@ from pyspark.sql import functions as F
 from quantspark.llm.common import Scratch, connected_components
 
 MIN_COSINE = 0.93
-#: Pivots in a description, those that a vector is looked up by, and those that two descriptions must share.
+#: Pivots in a description and those that a vector is looked up by, where a label has few pivots, and pivots that two
+#: descriptions must share.
 DESCRIBED = 8
 LOOKED_UP = 3
 SHARED = 2
+#: Up to so many pivots are few. Near vectors agree on fewer of their first pivots the more there are, so each
+#: GROWTH-fold number of pivots has vectors looked up by one more.
+FEW_PIVOTS = 64
+GROWTH = 8
 #: Vectors for each pivot, at least and at most so many pivots for each label.
 PER_PIVOT = 64
 MIN_PIVOTS = 16
@@ -52,16 +57,25 @@ def _units(column: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def depths(pivots: int) -> tuple[int, int]:
+    """(pivots that a vector is looked up by, pivots in its description) in a label of so many pivots."""
+    looked_up, few = LOOKED_UP, FEW_PIVOTS
+    while few < pivots:
+        looked_up, few = looked_up + 1, few * GROWTH
+    return looked_up, max(DESCRIBED, 4 * (looked_up - 2))
+
+
 def _describe(frame: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
     """The ordered nearest pivots of each vector of one label, or of a part of it."""
     if not len(frame) or not len(pivots):
-        return pd.DataFrame({"class": [], "label": [], "dim": [], "v": [], "copies": [], "perm": []})
+        return pd.DataFrame({"class": [], "label": [], "dim": [], "v": [], "copies": [], "perm": [], "looked_up": []})
     x = _units(frame["v"])
     near = x @ np.frombuffer(pivots["pivots"].iloc[0], np.float64).reshape(-1, x.shape[1]).T
-    k = min(DESCRIBED, near.shape[1])
+    looked_up, described = depths(near.shape[1])
+    k = min(described, near.shape[1])
     # Ties go to the pivot of the smaller number: the sort is stable.
     perm = np.argsort(-near, axis=1, kind="stable")[:, :k].astype(np.int32)
-    return frame[["class", "label", "dim", "v", "copies"]].assign(perm=list(perm))
+    return frame[["class", "label", "dim", "v", "copies"]].assign(perm=list(perm), looked_up=np.int32(looked_up))
 
 
 def _compare(pivot: int, left: pd.DataFrame, right: pd.DataFrame | None, min_cosine: float) -> pd.DataFrame:
@@ -84,8 +98,8 @@ def _compare(pivot: int, left: pd.DataFrame, right: pd.DataFrame | None, min_cos
 
     p, q = packed[: len(first)], packed[len(first) :]
     hit = (a @ b.T >= min_cosine) & (marks(p) @ marks(q).T >= min(SHARED, first.shape[1]))
-    here = np.searchsorted(known, pivot)
-    earlier = lambda x: np.where(x[:, :LOOKED_UP] < here, x[:, :LOOKED_UP], len(known))
+    here, looked_up = np.searchsorted(known, pivot), int(left["looked_up"].iloc[0])
+    earlier = lambda x: np.where(x[:, :looked_up] < here, x[:, :looked_up], len(known))
     hit &= marks(earlier(p)) @ marks(earlier(q)).T == 0
     if right is None:
         np.fill_diagonal(hit, False)
@@ -121,9 +135,9 @@ def vector_links(classes: DataFrame, scratch: Scratch, min_cosine: float = MIN_C
     pivots = packed.join(parts, ["label", "dim"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keys = ("label", "dim", "part")
     described = dealt.select("class", "v", "copies", *keys).groupBy(*keys).cogroup(pivots.select("pivots", *keys).groupBy(*keys))
-    described = scratch.save(described.applyInPandas(_describe, f"class long, label string, dim int, v {dict(classes.dtypes)['v']}, copies long, perm array<int>"), "described")
+    described = scratch.save(described.applyInPandas(_describe, f"class long, label string, dim int, v {dict(classes.dtypes)['v']}, copies long, perm array<int>, looked_up int"), "described")
     # The lists: each vector under every pivot that it is looked up by; chunk numbers spread long lists.
-    posted = described.select("*", F.explode(F.slice("perm", 1, LOOKED_UP)).alias("pivot"))
+    posted = described.select("*", F.explode(F.slice("perm", F.lit(1), F.col("looked_up"))).alias("pivot"))
     lengths = posted.groupBy("label", "dim", "pivot").agg(F.count(F.lit(1)).alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     lengths = scratch.save(lengths.where("n > 1"), "lengths")
     posted = posted.join(lengths.select("label", "dim", "pivot", "chunks"), ["label", "dim", "pivot"])
@@ -131,7 +145,7 @@ def vector_links(classes: DataFrame, scratch: Scratch, min_cosine: float = MIN_C
     # A pair of chunks (i, j), i <= j, meets in one task: chunk i goes to every (i, j) and to every (k, i).
     others = F.sequence(F.lit(0), F.col("chunks") - 1)
     cells = posted.withColumn("other", F.explode(others)).select(
-        "class", "v", "copies", "perm", "label", "dim", "pivot", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).alias("second")
+        "class", "v", "copies", "perm", "looked_up", "label", "dim", "pivot", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).alias("second")
     )
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quantspark.llm import pivots
@@ -93,3 +94,18 @@ def test_awkward_rows(spark):
 def test_scale_does_not_matter(spark, scale):
     rows = [(1, [scale, 0.0], 1), (2, [scale * 2, scale * 0.1], 1)]
     assert pivots.embedding_groups(spark.createDataFrame(rows, SCHEMA)).where("n_links = 1").count() == 2
+
+
+@pytest.mark.parametrize("count", [16, 64, 512, 4096, pivots.MAX_PIVOTS])
+def test_recall_does_not_fall_with_the_number_of_pivots(count):
+    rng = np.random.default_rng(3)
+    x = [unit(rng, 64) for _ in range(600)]
+    y = [near(rng, v, rng.uniform(0.931, 0.95)) for v in x]
+    drawn = np.random.default_rng(4).normal(size=(count, 64))
+    drawn /= np.linalg.norm(drawn, axis=1, keepdims=True)
+    frame = pd.DataFrame({"class": range(1200), "label": "a", "dim": 64, "v": x + y, "copies": 1})
+    out = pivots._describe(frame, pd.DataFrame({"pivots": [drawn.tobytes()]}))
+    looked_up = int(out["looked_up"].iloc[0]) if "looked_up" in out else pivots.LOOKED_UP
+    perm = [p.tolist() for p in out["perm"]]
+    met = [len({*a} & {*b}) >= pivots.SHARED and bool({*a[:looked_up]} & {*b[:looked_up]}) for a, b in zip(perm[:600], perm[600:], strict=True)]
+    assert np.mean(met) >= 0.97
