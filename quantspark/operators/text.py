@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from quantspark.frames import Series, lag, ratio, rolling_mean, rolling_std
 
+#: Signatures in a block of those that share a band.
+NEAR_BLOCK = 512
 URL = r"https?://\S+|www\.\S+"
 
 
@@ -123,17 +126,45 @@ def minhash_signatures(posts: DataFrame, id_col: str = "id", text_col: str = "te
     return posts.select(F.col(id_col).alias("id"), F.pandas_udf(sign, "array<long>")(F.col(text_col)).alias("signature"))
 
 
-def near_copies(posts: DataFrame, id_col: str = "id", text_col: str = "text", threshold: float = 0.8, bands: int = 16, size: int = 128) -> DataFrame:
+def near_copies(posts: DataFrame, id_col: str = "id", text_col: str = "text", threshold: float = 0.8, size: int = 128, shingle: int = 3) -> DataFrame:
     """(id, first_id): the smallest earlier id whose signature agrees in at least threshold of its values, else the id.
 
-    Rows meet the smallest id of each band that they share, not each other, so a group of copies costs its size.
+    Signatures that may differ in d values are cut into d + 1 bands: two that agree enough agree in some band whole, so
+    no pair is missed. Under a band key every two distinct signatures are compared, in blocks of NEAR_BLOCK by
+    NEAR_BLOCK; rows of one signature are compared once.
     """
-    rows = size // bands
-    signed = minhash_signatures(posts, id_col, text_col, size)
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(F.slice(F.col("signature"), k * rows + 1, rows)).alias("key")))
-    banded = signed.select("id", "signature", F.explode(keys).alias("b")).select("id", "signature", "b.band", "b.key")
-    first = banded.groupBy("band", "key").agg(F.min_by("signature", "id").alias("other"), F.min("id").alias("first_id"))
-    met = banded.join(first, ["band", "key"]).where("first_id < id")
-    equal = F.size(F.filter(F.zip_with("signature", "other", lambda x, y: x == y), lambda e: e)) / F.lit(float(size))
-    found = met.where(equal >= threshold).groupBy("id").agg(F.min("first_id").alias("first_id"))
-    return signed.select("id").join(found, "id", "left").select("id", F.coalesce("first_id", "id").alias("first_id"))
+    bands = size - math.ceil(threshold * size - 1e-9) + 1
+    if not 1 <= bands <= size:
+        raise ValueError("threshold must be above 0 and at most 1")
+    signed = minhash_signatures(posts, id_col, text_col, size, shingle).withColumn("sig", F.md5(F.array_join("signature", ",")))
+    distinct = signed.where("id is not null").groupBy("sig").agg(F.min("id").alias("low"), F.first("signature").alias("signature"))
+    ends = [size * k // bands for k in range(bands + 1)]
+    keys = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.slice("signature", a + 1, b - a)).alias("key")) for k, (a, b) in enumerate(zip(ends, ends[1:]))])
+    banded = distinct.select("sig", "low", "signature", F.explode(keys).alias("b")).select("sig", "low", "signature", "b.band", "b.key")
+    counts = banded.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / NEAR_BLOCK).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    banded = banded.join(counts, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
+    # A pair of chunks (i, j), i <= j, meets in one task: chunk i goes to every (i, j) and to every (k, i).
+    cells = banded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "sig", "low", "signature", "band", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).alias("second")
+    )
+    least = size - bands + 1
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("low", kind="stable", ignore_index=True)
+        values, low, second = np.stack(frame["signature"].to_numpy()), frame["low"], frame["second"].to_numpy()
+        apart = frame["i"].iloc[0] != frame["j"].iloc[0]
+        rows, found = [], []
+        for at in range(len(frame)):
+            # Rows are in the order of ids: the first that agrees enough has the smallest.
+            near = (values[:at] == values[at]).sum(axis=1) >= least
+            if apart:
+                near &= second[:at] != second[at]
+            if near.any():
+                rows.append(at)
+                found.append(int(near.argmax()))
+        return pd.DataFrame({"sig": frame["sig"].iloc[rows].to_numpy(), "first_id": low.iloc[found].to_numpy()})
+
+    kind = dict(signed.dtypes)["id"]
+    found = cells.groupBy("band", "key", "i", "j").applyInPandas(compare, f"sig string, first_id {kind}").groupBy("sig").agg(F.min("first_id").alias("near"))
+    firsts = distinct.select("sig", "low").join(found, "sig", "left").select("sig", F.least("low", "near").alias("first_id"))
+    return signed.select("id", "sig").join(firsts, "sig", "left").select("id", F.when(F.col("id").isNotNull(), F.col("first_id")).alias("first_id"))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,26 @@ def test_near_copies_first_wins(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5}
 
 
+def test_near_copies_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(text, "NEAR_BLOCK", 16, raising=False)
+    rng = np.random.default_rng(5)
+    made = []
+    for k in range(60):
+        own = {int(i): f"v{k}_{i}" for i in rng.choice(300, 15, replace=False)}
+        made.append([own.get(i, f"w{i}") for i in range(300)])
+    for k in range(20):
+        at = int(rng.integers(300))
+        made.append([f"u{k}" if abs(i - at) < k % 5 else w for i, w in enumerate(made[-1 - k])])
+    for k in range(200):
+        words = [f"p{k}_{i}" for i in range(100)]
+        made += [words, words[:91] + [f"q{k}_{i}" for i in range(9)]]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)] + [(1000, " ".join(made[30]))], "id long, text string")
+    signed = {r.id: np.array(r.signature) for r in text.minhash_signatures(rows).collect()}
+    want = {i: min(j for j in signed if j == i or j < i and (signed[i] == signed[j]).mean() >= 0.8) for i in signed}
+    assert len([i for i in want if want[i] != i]) >= 10
+    assert {r.id: r.first_id for r in text.near_copies(rows).collect()} == want
+
+
 def test_pagerank_of_a_star(spark):
     posts = spark.createDataFrame([("t1", "hub"), ("t1", "a"), ("t2", "hub"), ("t2", "b"), ("t3", "hub"), ("t3", "c")], "thread string, author string")
     ranks = {r.node: r.rank for r in pagerank(co_thread_edges(posts, "author", ["thread"]), rounds=20).collect()}
