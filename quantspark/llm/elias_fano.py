@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and the trie level built of them, kept in memory-mapped files and queried in batches.
+"""Elias-Fano sequences and the trie built of them, kept in memory-mapped files and queried in batches.
 
 A monotone sequence keeps the low bits of each value in a packed array and its high bits in unary: one set bit for
 each value, one clear bit at the end of each run of equal high bits. Selecting the clear bits around a value's high
@@ -112,50 +112,143 @@ class EliasFano:
 
 
 class TrieLevel:
-    """Contexts, pointers to their successors, and a quantised log10 probability for each successor.
+    """Contexts, pointers to their successors, a quantised log10 probability for each successor and a quantised log10
+    back-off weight for each context.
 
     Successors count from where the range of the context before ended, so that all ranges make one monotone
-    sequence; a look-up adds that start to the word and searches the successor within the context's range.
+    sequence; a look-up adds that start to the word and searches the successor within the context's range. Contexts
+    that are the places of a level above, all of them, need no sequence of their own.
     """
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray, book: np.ndarray) -> None:
-        self.contexts, self.pointers, self.successors, self.codes, self.book = contexts, pointers, successors, codes, book
+    def __init__(self, contexts: EliasFano | None, pointers: EliasFano, successors: EliasFano, codes: np.ndarray, book: np.ndarray, weights: np.ndarray, weight_book: np.ndarray) -> None:
+        self.contexts, self.pointers, self.successors = contexts, pointers, successors
+        self.codes, self.book, self.weights, self.weight_book = codes, book, weights, weight_book
 
     @staticmethod
-    def write(folder: str, contexts: np.ndarray, words: np.ndarray, logs: np.ndarray, bits: int = 8) -> None:
-        """contexts, words: sorted pairs, each once; logs: their log10 probabilities."""
+    def write(folder: str, name: str, contexts: np.ndarray, words: np.ndarray, logs: np.ndarray | None = None, weights: np.ndarray | None = None, bits: int = 8, places: bool = False) -> None:
+        """contexts, words: sorted pairs, each once; logs: their log10 probabilities; weights: one for each context."""
         first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(contexts) else np.zeros(0, np.int64)
         ends = np.append(first[1:], len(contexts))
         widths = words[ends - 1] + 1 if len(first) else np.zeros(0, np.int64)
         base = np.repeat(np.cumsum(widths) - widths, ends - first)
-        EliasFano.build(contexts[first]).save(folder, "contexts")
-        EliasFano.build(np.append(first, len(contexts))).save(folder, "pointers")
-        EliasFano.build(base + words).save(folder, "successors")
-        book, codes = quantise(logs, bits)
-        np.save(os.path.join(folder, "codes.npy"), codes)
-        np.save(os.path.join(folder, "book.npy"), book)
+        if not places:
+            EliasFano.build(contexts[first]).save(folder, f"{name}.contexts")
+        EliasFano.build(np.append(first, len(contexts))).save(folder, f"{name}.pointers")
+        EliasFano.build(base + words).save(folder, f"{name}.successors")
+        for part, values in (("", logs), ("weight_", weights)):
+            book, codes = quantise(np.zeros(0) if values is None else values, bits)
+            np.save(os.path.join(folder, f"{name}.{part}codes.npy"), codes)
+            np.save(os.path.join(folder, f"{name}.{part}book.npy"), book)
 
     @classmethod
-    def open(cls, folder: str) -> TrieLevel:
-        part = lambda p: np.load(os.path.join(folder, f"{p}.npy"), mmap_mode="r")
-        return cls(*(EliasFano.open(folder, p) for p in ("contexts", "pointers", "successors")), part("codes"), part("book"))
-
-    def lookup(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The code of each pair; 0 for pairs that the level does not hold. Pairs must be sorted by context."""
-        out = np.zeros(len(contexts), np.uint16)
-        if not self.codes.size or not len(contexts):
-            return out
+    def open(cls, folder: str, name: str) -> TrieLevel:
+        part = lambda p: np.load(os.path.join(folder, f"{name}.{p}.npy"), mmap_mode="r")
+        known = os.path.exists(os.path.join(folder, f"{name}.contexts.head.npy"))
+        sequences = (EliasFano.open(folder, f"{name}.{p}") for p in ("pointers", "successors"))
+        return cls(EliasFano.open(folder, f"{name}.contexts") if known else None, *sequences, part("codes"), part("book"), part("weight_codes"), part("weight_book"))
+
+    def find(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each pair, place of its context), -1 for what the level does not hold. Sorted by context."""
+        place, above = np.full(len(contexts), -1), np.full(len(contexts), -1)
+        if not self.successors.n or not len(contexts):
+            return place, above
         start = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
         repeats = np.diff(np.append(start, len(contexts)))
-        at, known = self.contexts.successor(contexts[start])
-        at = np.where(known, at, 0)
+        if self.contexts is None:
+            at, known = contexts[start], np.ones(len(start), bool)
+        else:
+            at, known = self.contexts.successor(contexts[start])
+            at = np.where(known, at, 0)
         begin, end = self.pointers.access(at), self.pointers.access(at + 1)
         base = np.where(begin > 0, self.successors.access(np.maximum(begin - 1, 0)) + 1, 0)
-        begin, end, base, known = (np.repeat(x, repeats) for x in (begin, end, base, known))
-        place, equal = self.successors.successor(base + words)
-        hit = known & equal & (place >= begin) & (place < end)
-        out[hit] = self.codes[place[hit]]
-        return out
+        begin, end, base, known, at = (np.repeat(x, repeats) for x in (begin, end, base, known, at))
+        above[known] = at[known]
+        found, equal = self.successors.successor(base + words)
+        hit = known & equal & (found >= begin) & (found < end)
+        place[hit] = found[hit]
+        return place, above
+
+    def logs(self, place: np.ndarray) -> np.ndarray:
+        return np.asarray(self.book)[self.codes[place]]
+
+    def weight(self, above: np.ndarray) -> np.ndarray:
+        return np.asarray(self.weight_book)[self.weights[above]]
+
+
+def distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(columns of the distinct rows in sorted order, number of each row among them) of non-negative integers."""
+    widths = [int(x.max(initial=0)).bit_length() for x in columns]
+    if sum(widths) <= 63:
+        key = columns[0].astype(np.int64)
+        for x, width in zip(columns[1:], widths[1:], strict=True):
+            key = (key << width) | x
+        keys, inverse = np.unique(key, return_inverse=True)
+        out = []
+        for width in widths[:0:-1]:
+            out.insert(0, keys & ((1 << width) - 1))
+            keys = keys >> width
+        return [keys, *out], inverse
+    number = np.zeros(len(columns[0]), np.int64)
+    for x in columns:
+        rank = np.unique(x, return_inverse=True)[1]
+        number = np.unique((number << 32) | rank, return_inverse=True)[1]
+    at = np.unique(number, return_index=True)[1]
+    return [x[at] for x in columns], number
+
+
+class Trie:
+    """A shard's part of the model: words behind a word (pairs), words before it (before), and words behind two words
+    (triples), whose contexts are places of before.
+
+    Probabilities are smoothed where they are written: a count and prior times the lower probability, over the
+    context's count and prior. The back-off weight of a context, prior over its count and prior, is the share of the
+    lower probability that an unseen successor gets, so all successors add up to one.
+    """
+
+    def __init__(self, folder: str) -> None:
+        self.pairs, self.before, self.triples = (TrieLevel.open(folder, n) for n in ("pairs", "before", "triples"))
+
+    @staticmethod
+    def write(folder: str, c: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, plain: np.ndarray, total: np.ndarray, priors: tuple[float, float], bits: int = 8) -> None:
+        """Distinct sorted entries (context c, word u before it, word w behind it) with counts; plain: the probability
+        of w alone. A context with a total is a frequent one of two words: it has no u, and further successors may be
+        in other shards."""
+        pair_prior, triple_prior = priors
+        (c2, w2), pair = distinct([c, w])
+        kinds, context = np.unique(c2, return_inverse=True)
+        n2, p2, given = np.bincount(pair, n, len(c2)), np.zeros(len(c2)), np.zeros(len(kinds))
+        p2[pair], given[context[pair]] = plain, total
+        totals = np.where(given > 0, given, np.bincount(context, n2, len(kinds)))
+        prior = np.where(given > 0, triple_prior, pair_prior)
+        p2 = (n2 + prior[context] * p2) / (totals + prior)[context]
+        TrieLevel.write(folder, "pairs", c2, w2, np.log10(p2), np.log10(prior / (totals + prior)), bits)
+        k = np.flatnonzero(total == 0)
+        (c3, u3), node = distinct([c[k], u[k]])
+        totals = np.bincount(node, n[k], len(c3))
+        p3 = (n[k] + triple_prior * p2[pair[k]]) / (totals + triple_prior)[node]
+        TrieLevel.write(folder, "before", c3, u3)
+        TrieLevel.write(folder, "triples", node, w[k], np.log10(p3), np.log10(triple_prior / (totals + triple_prior)), bits, places=True)
+
+    def look_up(self, c: np.ndarray, u: np.ndarray, w: np.ndarray, plain: np.ndarray, total: np.ndarray, triple_prior: float) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of the triples, 0 where they are unseen; log10 probability of w) of sorted entries as in write; plain:
+        the log10 probability of w alone."""
+        place, above = self.pairs.find(c, w)
+        known, hit = above >= 0, place >= 0
+        logs = plain.astype(np.float64)
+        logs[known] += self.pairs.weight(above[known])
+        far = ~known & (total > 0)
+        logs[far] += np.log10(triple_prior / (total[far] + triple_prior))
+        logs[hit] = self.pairs.logs(place[hit])
+        codes = np.zeros(len(c), np.int64)
+        k = np.flatnonzero(total == 0)
+        node = self.before.find(c[k], u[k])[0]
+        k, node = k[node >= 0], node[node >= 0]
+        place = self.triples.find(node, w[k])[0]
+        hit = place >= 0
+        logs[k[~hit]] += self.triples.weight(node[~hit])
+        logs[k[hit]] = self.triples.logs(place[hit])
+        codes[k[hit]] = self.triples.codes[place[hit]]
+        return codes, logs
 
 
 def quantise(logs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

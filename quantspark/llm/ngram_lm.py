@@ -4,21 +4,23 @@ Texts are cut into words once and written as blocks of about a million tokens, w
 block. From then on blocks ask and shards answer:
 
 1. Each block tells each shard of the vocabulary how often its words occur in training texts, once a word. The
-   shard adds up over all blocks and answers counts and word ids.
-2. Each block asks for its distinct word pairs, sorted, with their training counts. The shard adds up, writes its
-   part of the trie (contexts, pointers and successors as Elias-Fano sequences, quantised log probabilities),
-   maps the files into memory and answers one code for each pair, and the node of each pair seen at least twice.
-3. Each block asks in the same way for its distinct triples; a triple's context is the node of its first two words.
-   Pairs seen once are no contexts: left out of their own counts, they say nothing.
+   shard adds up over all blocks and answers counts and word ids. Ids fall with the count, so the first level of the
+   model, the probability of a word alone, is a short table of the ids at which the quantised probability changes.
+2. Where two frequent words follow each other, blocks ask how often they do.
+3. Each block asks for its distinct triples with their training counts, at the shard of the middle word. The shard
+   adds up, writes its part of the trie (contexts, pointers and successors as Elias-Fano sequences, quantised smoothed
+   log probabilities and back-off weights), maps the files into memory and answers each triple's log probability.
 4. Each block puts the answers at its tokens and sums up the score of each document.
 
-Blocks send a word, pair or triple once however often it occurs, so a word that makes a third of the corpus is a row
-for each block; contexts that frequent have their successors spread over the shards. Every shard holds a bounded
-number of entries, whatever the size of the corpus, so the trie grows with it by growing in shards.
+Blocks send a word or triple once however often it occurs, so a word that makes a third of the corpus is a row for each
+block. A word seen more than HOT times is a context for each of several buckets of words before it, with an id for
+each. Two words seen together more than HOT times are a context of their own, whose successors are spread over the
+shards. So every shard holds a bounded number of entries, and the model grows with the corpus by growing in shards.
 
-An entry's probability is its share among the successors of its context. Probabilities are smoothed by interpolation:
-triples with pairs, pairs with the add-one probability of the word. The weights are those of WEIGHTS that give all
-training tokens the largest likelihood when each is left out of its own counts. Words are known by a 64-bit hash.
+A triple's probability is (its count + prior x lower) / (its context's count + prior), the lower one being the pair's
+by the same rule, and the pair's lower one the add-one probability of the word. The pair's context is the middle word,
+for a word seen more than HOT times within the bucket of the word before it; a context of two words seen more than HOT
+times has the word's own probability as lower one. All counts enter, those of one too. Words are known by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -36,28 +38,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantspark.llm.common import Scratch
+from quantspark.llm.elias_fano import distinct, quantise
 
-#: Tokens in a block; words, and pairs or triples, in a shard, counted once for each block that has them.
+#: Tokens in a block; words, and triples, in a shard, counted once for each block that has them.
 BLOCK_TOKENS = 1_500_000
 SHARD_WORDS = 2_000_000
-SHARD_PAIRS = 1_500_000
-#: Bits of a quantised probability.
+SHARD_ENTRIES = 1_500_000
+#: A context seen more often is split.
+HOT = SHARD_ENTRIES // 8
+#: Bits of a quantised probability of pairs and triples, and width of a bin of log10 of words' counts.
 CODE_BITS = 8
-WEIGHTS = (0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
-TRIPLE_WEIGHTS = (0.01, 0.1, 0.3, 0.5, 0.7, 0.8, 0.9, 0.95)
+WORD_BIN = 0.005
+#: How many occurrences the lower probability counts for, in pairs and in triples.
+PRIORS = (20.0, 3.0)
 #: The token behind every text; no word holds a line end. It is also the context of the first word.
 END = b"\n"
 #: Documents whose crc32 of the id as text leaves HELD_OUT modulo FOLDS are held out.
 FOLDS, HELD_OUT = 7, 2
 
 BLOCK_TYPE = "part int, block long, ids array<long>, held binary, lengths binary, tokens binary, words binary, buckets binary, counts binary, n_words long, n_tokens long"
-MESSAGE_TYPE = "shard int, block long, contexts binary, totals binary, runs binary, words binary, counts binary, left_out array<double>"
-ANSWER_TYPE = "block long, kind int, shard int, payload binary, n_train long, n_words long, left_out array<double>"
-SCORE_TYPE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, left_out array<double>"
-#: Kinds of answers: words, codes of pairs, nodes of pairs, codes of triples, parts of the trie.
-WORDS, PAIRS, NODES, TRIPLES, TRIE = range(1, 6)
-#: What a count is at least, given a quantised share, if it is not one.
-SEEN_TWICE = 1.5
+MESSAGE_TYPE = "shard int, block long, payload binary"
+ANSWER_TYPE = "block long, kind int, shard int, payload binary, n_train long, n_words long, top long"
+SCORE_TYPE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+#: Kinds of answers: words, totals of frequent pairs, triples, parts of the trie.
+WORDS, TOTALS, TRIPLES, TRIE = range(1, 5)
 
 
 def dump(values: np.ndarray) -> bytes:
@@ -91,6 +95,33 @@ def split(data: bytes) -> list[bytes]:
     return out
 
 
+def encode(columns: list[np.ndarray]) -> list[bytes]:
+    """Sorted distinct rows: a column is told by its steps as long as the columns before it stay."""
+    new, out = np.zeros(len(columns[0]), bool), []
+    new[:1] = True
+    for x in columns:
+        step = np.concatenate([[0], np.diff(x)])
+        out.append(dump(np.where(new, x, step)))
+        new = new | (step != 0)
+    return out
+
+
+def decode(parts: list[bytes]) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    new = None
+    for part in parts:
+        step = load(part).astype(np.int64)
+        if new is None:
+            new = np.zeros(len(step), bool)
+            new[:1] = True
+        start = np.flatnonzero(new)
+        sums = np.cumsum(step)
+        x = sums - np.repeat(sums[start] - step[start], np.diff(np.append(start, len(step))))
+        out.append(x)
+        new = new | np.concatenate([[False], x[1:] != x[:-1]])[: len(x)]
+    return out
+
+
 def is_held_out(doc_id: int | None) -> bool:
     """Null ids are not held out."""
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
@@ -114,7 +145,7 @@ def make_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = np.repeat(~np.array(held), sizes)
         counts = np.bincount(flat[kept], minlength=len(numbers))
         words = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
-        buckets = (_mix(words) >> np.uint64(48)).astype(np.uint16)
+        buckets = (_mix(words) >> np.uint64(32)).astype(np.uint32)
         texts = (0, number, ids, dump(np.array(held, np.uint8)), dump(sizes), dump(flat), None, buckets.tobytes(), None, len(words), len(flat))
         vocabulary = (1, number, None, None, None, None, words.tobytes(), buckets.tobytes(), dump(counts), 0, 0)
         return pd.DataFrame([texts, vocabulary], columns=[c.split()[0] for c in BLOCK_TYPE.split(", ")])
@@ -156,8 +187,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _word_shards(buckets: bytes, shards: int) -> np.ndarray:
-    """Which shard has each word; blocks keep 16 bits of its hash for that."""
-    return np.frombuffer(buckets, np.uint16).astype(np.int64) * shards >> 16
+    """Which shard has each word; blocks keep 32 bits of its hash for that."""
+    return (np.frombuffer(buckets, np.uint32).astype(np.uint64) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def _ask_words(shards: int):
@@ -172,12 +203,18 @@ def _ask_words(shards: int):
 
 
 def _answers(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["block", "kind", "shard", "payload", "n_train", "n_words", "left_out"])
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWER_TYPE.split(", ")])
+
+
+def _split_into(counts: np.ndarray, hot: int) -> np.ndarray:
+    """How many contexts a word of so many occurrences is."""
+    return np.maximum(-(-counts // hot), 1)
 
 
-def _answer_words(shards: int):
+def _answer_words(shards: int, hot: int):
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        """Counts and ids of the words of one shard, for each block that asked. Ids are apart between shards."""
+        """Counts and ids of the words of one shard, for each block that asked, and the shard's part of the first level.
+        Ids are apart between shards."""
         shard = int(frame["shard"].iloc[0])
         asked = [np.frombuffer(w, np.uint64) for w in frame["words"]]
         told = np.concatenate([load(c) for c in frame["counts"]])
@@ -185,78 +222,86 @@ def _answer_words(shards: int):
         totals = np.bincount(inverse, told, len(kinds)).astype(np.int64)
         # Known words are numbered by falling count, so that frequent ones have small ids; 0 is for unknown words.
         order = np.argsort(-totals, kind="stable")
+        parts = _split_into(totals[order], hot)
+        first = np.cumsum(parts) - parts
         ids = np.empty(len(kinds), np.int64)
-        ids[order] = np.arange(len(kinds)) * shards + shard + 1
+        ids[order] = first * shards + shard + 1
         ids[totals == 0] = 0
         ends = np.cumsum([len(a) for a in asked])
         rows = []
         for block, end, a in zip(frame["block"], ends, asked, strict=True):
             at = inverse[end - len(a) : end]
-            rows.append((block, WORDS, shard, join(dump(totals[at]), dump(ids[at])), 0, 0, None))
-        rows.append((-1, WORDS, shard, b"", int(totals.sum()), int((totals > 0).sum()), None))
+            rows.append((block, WORDS, shard, join(dump(totals[at]), dump(ids[at])), 0, 0, 0))
+        known = int((totals > 0).sum())
+        codes = np.rint(np.log10(totals[order][:known] + 1) / WORD_BIN).astype(np.int64)
+        turns = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])[:known])
+        level = join(dump(np.diff(first[turns], prepend=0)), dump(codes[turns]))
+        rows.append((-1, WORDS, shard, level, int(totals.sum()), known, int((first + parts)[:known].max(initial=0)) * shards + shard))
         return _answers(rows)
 
     return answer
 
 
+@dataclass(frozen=True)
+class _Plan:
+    word_shards: int
+    shards: int
+    hot: int
+    n_train: int = 0
+    n_words: int = 0
+    #: The largest id of a word.
+    top: int = 0
+    #: The first level: (shard, place) at which a code begins, and the codes.
+    turns: np.ndarray | None = None
+    codes: np.ndarray | None = None
+
+    @property
+    def classes(self) -> int:
+        return self.n_train + self.n_words + 1
+
+    def plain(self, ids: np.ndarray) -> np.ndarray:
+        """Log10 probability of the words alone, by the first level; ids of 0 are unknown words."""
+        logs = np.full(len(ids), -np.log10(self.classes))
+        known = ids > 0
+        x = ids[known] - 1
+        at = np.searchsorted(self.turns, (x % self.word_shards << 44) | x // self.word_shards, side="right") - 1
+        logs[known] += self.codes[at] * WORD_BIN
+        return logs
+
+
+def _first_level(rows: list, plan: _Plan) -> _Plan:
+    """plan with what the word shards say: a few thousand numbers for two million words at most."""
+    turns, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for r in sorted(rows, key=lambda r: r["shard"]):
+        steps, told = map(load, split(r["payload"]))
+        turns.append((r["shard"] << 44) | np.cumsum(steps.astype(np.int64)))
+        codes.append(told.astype(np.int64))
+    total = lambda c: sum(r[c] for r in rows)
+    return replace(plan, n_train=total("n_train"), n_words=total("n_words"), top=max((r["top"] for r in rows), default=0), turns=np.concatenate(turns), codes=np.concatenate(codes))
+
+
 class _Asked:
-    """The distinct (context, word) of some tokens, sorted, and the shard that answers each."""
+    """The distinct rows of columns at some tokens, sorted, and the shard that answers each."""
 
-    def __init__(self, at: np.ndarray, context: np.ndarray, word: np.ndarray, total: np.ndarray, name: np.ndarray, shards: int, hot: int) -> None:
-        """at: the tokens; total: how often the context occurs; name: what the shard is chosen by."""
+    def __init__(self, at: np.ndarray, columns: list[np.ndarray], shard: np.ndarray, shards: int) -> None:
         self.at, self.shards = at, shards
-        if max(int(context.max(initial=0)), int(word.max(initial=0))) < 1 << 31:
-            keys, self.inverse = np.unique((context << 32) | word, return_inverse=True)
-            self.contexts, self.words = keys >> 32, keys & 0xFFFFFFFF
-        else:
-            order = np.lexsort((word, context))
-            new = np.concatenate([[True], (np.diff(context[order]) != 0) | (np.diff(word[order]) != 0)])
-            self.contexts, self.words = context[order][new], word[order][new]
-            self.inverse = np.empty(len(order), np.int64)
-            self.inverse[order] = np.cumsum(new) - 1
-        # Tokens of one entry agree on these.
-        self.totals, named = np.empty(len(self.words), np.int64), np.empty(len(self.words), name.dtype)
-        self.totals[self.inverse], named[self.inverse] = total, name
-        shard = _mix(named)
-        spread = self.totals > hot
-        shard[spread] ^= _mix(self.words[spread] + 1)
-        self.shard = (shard % np.uint64(shards)).astype(np.int64)
-
-    def messages(self, block: int, train: np.ndarray, names: np.ndarray, totals: np.ndarray, left_out: np.ndarray | None = None) -> list[tuple]:
-        """Rows of MESSAGE_TYPE. names and totals: id and count of each entry's context."""
-        counts = np.bincount(self.inverse, train[self.at], len(self.contexts)).astype(np.int64)
-        out = []
-        for s, at in _by_shard(self.shard, self.shards):
-            new = np.flatnonzero(np.concatenate([[True], np.diff(self.contexts[at]) != 0]))
-            runs = np.diff(np.append(new, len(at)))
-            out.append((s, block, *map(dump, (names[at][new], totals[at][new], runs, self.words[at], counts[at])), None))
-        if left_out is not None:
-            out.append((0, block, *[dump(np.zeros(0, np.int64))] * 5, left_out))
-        return out
+        self.columns, self.inverse = distinct(columns)
+        self.shard = np.empty(len(self.columns[0]), np.int64)
+        self.shard[self.inverse] = shard  # tokens of one row agree on it
+
+    def rows(self) -> Iterator[tuple[int, np.ndarray]]:
+        return _by_shard(self.shard, self.shards)
+
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        return np.bincount(self.inverse, train[self.at], len(self.shard)).astype(np.int64)
 
     def answers(self, told: pd.DataFrame, kind: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-        """(entries, parts of the payload) of each shard's answer."""
+        """(rows, parts of the payload) of each shard's answer."""
         told = told[told["kind"] == kind]
         by_shard = dict(zip(told["shard"], told["payload"], strict=True))
-        for s, at in _by_shard(self.shard, self.shards):
+        for s, at in self.rows():
             yield at, split(by_shard[s])
 
-    def shares(self, told: pd.DataFrame, kind: int) -> np.ndarray:
-        out = np.zeros(len(self.contexts))
-        for at, (book, codes) in self.answers(told, kind):
-            out[at] = 10.0 ** np.frombuffer(book, "<f8")[load(codes)]
-        return out
-
-
-@dataclass(frozen=True)
-class _Plan:
-    word_shards: int
-    entry_shards: int
-    hot: int
-    n_train: int = 0
-    n_words: int = 0
-    pair_weight: float = 0.0
-
 
 class _Block:
     """One block with what the shards have answered so far."""
@@ -273,14 +318,19 @@ class _Block:
         for s, at in _by_shard(shards, plan.word_shards):
             first, second = split(by_shard[s])
             counts[at], ids[at] = load(first), load(second)
-        self.counts, self.token_ids = counts[local], ids[local]
+        self.word_counts, self.words = counts[local], ids[local]
         self.starts = np.cumsum(self.lengths) - self.lengths
         end = local[self.lengths[0] - 1]
         self.train = np.repeat(~self.held, self.lengths)
-        before, self.before_counts = self.shifted(self.token_ids, ids[end]), self.shifted(self.counts, counts[end])
-        # Entries with an unknown word are in no trie and are not asked for.
-        at = np.flatnonzero((before > 0) & (self.token_ids > 0))
-        self.pairs = _Asked(at, before[at], self.token_ids[at], self.before_counts[at], before[at], plan.entry_shards, plan.hot)
+        # A text begins behind two ends. Behind an unknown word, the word alone counts, which needs no shard.
+        middle, middle_counts = self.shifted(self.words, ids[end]), self.shifted(self.word_counts, counts[end])
+        self.at = np.flatnonzero(middle > 0)
+        self.before = self.shifted(middle, ids[end])[self.at]
+        before_counts = self.shifted(middle_counts, counts[end])[self.at]
+        self.middle, self.middle_counts = middle[self.at], middle_counts[self.at]
+        both = np.flatnonzero((self.middle_counts > plan.hot) & (before_counts > plan.hot))
+        shard = _mix(_mix(self.before[both]) ^ self.middle[both].astype(np.uint64)) % np.uint64(plan.shards)
+        self.pairs = _Asked(both, [self.before[both], self.middle[both]], shard.astype(np.int64), plan.shards)
 
     def shifted(self, x: np.ndarray, at_start: int) -> np.ndarray:
         """The value of the token before, within the document."""
@@ -289,62 +339,57 @@ class _Block:
         out[self.starts] = at_start
         return out
 
-    def at_tokens(self, asked: _Asked, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.counts), x.dtype)
-        out[asked.at] = x[asked.inverse]
+    def ask_totals(self) -> list[tuple]:
+        counts = self.pairs.counts(self.train[self.at])
+        return [(s, self.row["block"], join(*encode([x[at] for x in self.pairs.columns]), dump(counts[at]))) for s, at in self.pairs.rows()]
+
+    def read_totals(self) -> None:
+        """The triples, each with its context, now that frequent pairs are known."""
+        plan, hot = self.plan, np.zeros(len(self.at), np.int64)
+        self.totals: dict[int, int] = {}
+        ids = np.zeros(len(self.pairs.shard), np.int64)
+        for at, (first, second) in self.pairs.answers(self.told, TOTALS):
+            ids[at], totals = load(first), load(second)
+            self.totals.update(zip(ids[at][totals > 0].tolist(), totals[totals > 0].tolist(), strict=True))
+        hot[self.pairs.at] = ids[self.pairs.inverse]
+        bucket = _mix(self.before) % _split_into(self.middle_counts, plan.hot).astype(np.uint64)
+        context = np.where(hot > 0, hot, self.middle + bucket.astype(np.int64) * plan.word_shards)
+        word = self.words[self.at]
+        name = _mix(context)
+        name[hot > 0] ^= _mix(word[hot > 0] + 1)
+        self.triples = _Asked(self.at, [context, np.where(hot > 0, 0, self.before), word], (name % np.uint64(plan.shards)).astype(np.int64), plan.shards)
+
+    def ask_triples(self) -> list[tuple]:
+        counts, out = self.triples.counts(self.train), []
+        for s, at in self.triples.rows():
+            columns = [x[at] for x in self.triples.columns]
+            frequent = np.unique(columns[0][columns[0] > self.plan.top])
+            totals = np.array([self.totals[c] for c in frequent.tolist()], np.int64)
+            out.append((s, self.row["block"], join(*encode(columns), dump(counts[at]), dump(frequent), dump(totals))))
         return out
 
-    def read_pairs(self) -> None:
-        """Shares of pairs at the tokens, and the triples whose first two words were seen at least twice."""
-        share = self.pairs.shares(self.told, PAIRS)
-        self.pair = self.at_tokens(self.pairs, share)
-        number = self.at_tokens(self.pairs, np.arange(len(share)) + 1)
-        self.context_counts = self.shifted(self.pair * self.before_counts, 0)
-        context = self.shifted(number, 0)
-        at = np.flatnonzero((self.context_counts >= SEEN_TWICE) & (self.token_ids > 0))
-        first, second = self.pairs.contexts[context[at] - 1], self.pairs.words[context[at] - 1]
-        name = _mix(first) ^ second.astype(np.uint64)
-        self.triples = _Asked(at, context[at], self.token_ids[at], np.rint(self.context_counts[at]).astype(np.int64), name, self.plan.entry_shards, self.plan.hot)
-
-    def plain(self) -> np.ndarray:
-        return (self.counts + 1) / (self.plan.n_train + self.plan.n_words + 1)
-
-    def own_plain(self) -> np.ndarray:
-        """The same without the token's own occurrence, for training tokens."""
-        return np.maximum(self.counts, 1) / (self.plan.n_train + self.plan.n_words)
-
-    @staticmethod
-    def own(share: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """A share without the token's own occurrence. Shares are quantised: what is below SEEN_TWICE was one."""
-        count = share * total
-        return np.where(count < SEEN_TWICE, 0.0, (count - 1) / np.maximum(total - 1, 1))
-
-    def left_out_pairs(self) -> np.ndarray:
-        """Log10 likelihood of the training tokens for each of WEIGHTS, every token left out of its own counts. Where
-        nothing of a pair is left, a weight only takes its share away: those tokens are counted, not computed."""
-        low, known = self.own_plain(), self.train & (self.before_counts > 1)
-        high = self.own(self.pair, self.before_counts)
-        seen = np.flatnonzero(known & (high > 0))
-        bare = np.log10(low[self.train]).sum() - np.log10(low[seen]).sum()
-        missed = int(known.sum()) - len(seen)
-        low, high = low[seen], high[seen]
-        return np.array([bare + missed * np.log10(1 - w) + np.log10((1 - w) * low + w * high).sum() for w in WEIGHTS])
-
-    def own_pair(self, weight: float) -> np.ndarray:
-        high, low = self.own(self.pair, self.before_counts), self.own_plain()
-        return np.where(self.before_counts > 1, (1 - weight) * low + weight * high, low)
-
-    def smooth_pair(self, weight: float) -> np.ndarray:
-        return np.where(self.before_counts > 0, (1 - weight) * self.plain() + weight * self.pair, self.plain())
-
-
-def _ask_pairs(plan: _Plan):
+    def scores(self) -> pd.DataFrame:
+        plain = np.log10((self.word_counts + 1) / self.plan.classes)
+        told = np.zeros(len(self.triples.shard))
+        for at, (book, codes, far_book, far) in self.triples.answers(self.told, TRIPLES):
+            codes = load(codes)
+            logs = np.frombuffer(book, "<f8")[codes]
+            logs[codes == 0] = np.frombuffer(far_book, "<f8")[load(far)]
+            told[at] = logs
+        logs = plain.copy()
+        logs[self.at] = told[self.triples.inverse]
+        sums = lambda x: np.add.reduceat(x, self.starts)
+        columns = {"doc_id": pd.array([None if x is None or x != x else int(x) for x in self.ids], "Int64"), "held_out": self.held, "n_tokens": self.lengths}
+        return pd.DataFrame(columns | {"n_known": sums((self.word_counts > 0).astype(np.int64)), "base_score": sums(plain), "score": sums(logs)})
+
+
+def _messages(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["shard", "block", "payload"])
+
+
+def _ask_totals(plan: _Plan):
     def ask(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in rows.iterrows():
-            b = _Block(row, told, plan)
-            out += b.pairs.messages(row["block"], b.train, b.pairs.contexts, b.pairs.totals)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in MESSAGE_TYPE.split(", ")])
+        return _messages([m for _, row in rows.iterrows() for m in _Block(row, told, plan).ask_totals()])
 
     return ask
 
@@ -353,61 +398,80 @@ def _ask_triples(plan: _Plan):
     def ask(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, row in rows.iterrows():
-            b = _Block(row, told, plan)
-            b.read_pairs()
-            nodes, counts = np.zeros(len(b.pairs.contexts), np.int64), np.zeros(len(b.pairs.contexts), np.int64)
-            for at, (first, second) in b.pairs.answers(told, NODES):
-                nodes[at], counts[at] = load(first), load(second)
-            left_out = b.left_out_pairs()
-            at = b.triples.contexts - 1
-            out += b.triples.messages(row["block"], b.train, nodes[at], counts[at], left_out)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in MESSAGE_TYPE.split(", ")])
+            block = _Block(row, told, plan)
+            block.read_totals()
+            out += block.ask_triples()
+        return _messages(out)
 
     return ask
 
 
-def _answer_entries(kind: int, shards: int, keep_trie: bool):
+def _score(plan: _Plan):
+    def score(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, row in rows.iterrows():
+            block = _Block(row, told, plan)
+            block.read_totals()
+            out.append(block.scores())
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c.split()[0]: [] for c in SCORE_TYPE.split(", ")})
+
+    return score
+
+
+def _add_up(messages: list[list[bytes]], width: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[int]]:
+    """(columns of the distinct rows of all messages, their counts, number of each row, rows of each message)."""
+    decoded = [decode(m[:width]) for m in messages]
+    columns, inverse = distinct([np.concatenate(x) for x in zip(*decoded, strict=True)])
+    counts = np.bincount(inverse, np.concatenate([load(m[width]) for m in messages]), len(columns[0])).astype(np.int64)
+    return columns, counts, inverse, [len(d[0]) for d in decoded]
+
+
+def _answer_totals(plan: _Plan):
+    def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        """For each pair of frequent words its id as a context and its count, 0 unless it is frequent itself."""
+        shard = int(frame["shard"].iloc[0])
+        _, counts, inverse, sizes = _add_up([split(p) for p in frame["payload"]], 2)
+        hot = counts > plan.hot
+        ids = np.where(hot, plan.top + 1 + (np.cumsum(hot) - 1) * plan.shards + shard, 0)
+        counts = np.where(hot, counts, 0)
+        rows = []
+        for block, at in zip(frame["block"], np.split(inverse, np.cumsum(sizes)[:-1]), strict=True):
+            rows.append((block, TOTALS, shard, join(dump(ids[at]), dump(counts[at])), 0, 0, 0))
+        return _answers(rows)
+
+    return answer
+
+
+def _answer_triples(plan: _Plan, keep_trie: bool):
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        """Builds one shard's part of a level from all counts and answers every block from the mapped files."""
-        from quantspark.llm.elias_fano import TrieLevel
+        """Builds one shard's part of the trie from all counts and answers every block from the mapped files."""
+        from quantspark.llm.elias_fano import Trie
 
         shard, rows = int(frame["shard"].iloc[0]), []
-        sums_left = [x for x in frame["left_out"] if x is not None]
-        if sums_left:
-            rows.append((-1, kind, shard, b"", 0, 0, np.sum(np.stack(sums_left), axis=0)))
-        frame = frame[frame["left_out"].isna()]
-        if not len(frame):
-            return _answers(rows)
-        runs = [load(r).astype(np.int64) for r in frame["runs"]]
-        spread = lambda column: np.concatenate([np.repeat(load(x).astype(np.int64), r) for x, r in zip(frame[column], runs, strict=True)])
-        contexts, totals = spread("contexts"), spread("totals")
-        words, counts = (np.concatenate([load(x).astype(np.int64) for x in frame[c]]) for c in ("words", "counts"))
-        small = max(int(contexts.max(initial=0)), int(words.max(initial=0))) < 1 << 31
-        order = np.argsort((contexts << 32) | words) if small else np.lexsort((words, contexts))
-        c, w = contexts[order], words[order]
-        new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
-        entry = np.cumsum(new) - 1
-        sums = np.bincount(entry, counts[order]).astype(np.int64)
-        c, w, total = c[new], w[new], totals[order][new]
-        seen = sums > 0
+        messages = [split(p) for p in frame["payload"]]
+        (c, u, w), counts, inverse, sizes = _add_up(messages, 3)
+        plain = plan.plain(w)
+        total = np.zeros(len(c), np.int64)
+        frequent, at = np.unique(np.concatenate([load(m[4]).astype(np.int64) for m in messages]), return_index=True)
+        if len(frequent):
+            totals = np.concatenate([load(m[5]) for m in messages])[at]
+            behind = c > plan.top
+            total[behind] = totals[np.searchsorted(frequent, c[behind])]
+        seen = counts > 0
         with tempfile.TemporaryDirectory() as folder:
-            TrieLevel.write(folder, c[seen], w[seen], np.log10(sums[seen] / total[seen]), CODE_BITS)
-            level = TrieLevel.open(folder)
-            codes = np.empty(len(order), np.uint16)
-            codes[order] = level.lookup(c, w)[entry]
-            book = np.asarray(level.book, "<f8").tobytes()
+            Trie.write(folder, c[seen], u[seen], w[seen], counts[seen], 10.0 ** plain[seen], total[seen], PRIORS, CODE_BITS)
+            trie = Trie(folder)
+            codes, logs = trie.look_up(c, u, w, plain, total, PRIORS[1])
+            book = np.asarray(trie.triples.book, "<f8").tobytes()
             if keep_trie:
-                rows.append((-2, TRIE, shard, _archive(folder), 0, 0, None))
-            del level
-        node = np.where(sums >= 2, (np.cumsum(seen) - 1) * shards + shard + 1, 0)
-        nodes, twice = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        nodes[order], twice[order] = node[entry], np.where(sums >= 2, sums, 0)[entry]
-        at = 0
-        for block, n in zip(frame["block"], (int(r.sum()) for r in runs), strict=True):
-            rows.append((block, kind, shard, join(book, dump(codes[at : at + n])), 0, 0, None))
-            if kind == PAIRS:
-                rows.append((block, NODES, shard, join(dump(nodes[at : at + n]), dump(twice[at : at + n])), 0, 0, None))
-            at += n
+                rows.append((-2, TRIE, shard, _archive(folder), 0, 0, 0))
+            del trie
+        far = np.zeros(len(c), np.int64)
+        far_book, far[codes == 0] = quantise(logs[codes == 0], CODE_BITS)
+        far_book = np.asarray(far_book, "<f8").tobytes()
+        for block, at in zip(frame["block"], np.split(inverse, np.cumsum(sizes)[:-1]), strict=True):
+            told = codes[at]
+            rows.append((block, TRIPLES, shard, join(book, dump(told), far_book, dump(far[at][told == 0])), 0, 0, 0))
         return _answers(rows)
 
     return answer
@@ -425,83 +489,33 @@ def _archive(folder: str) -> bytes:
     return out.getvalue()
 
 
-def _score(plan: _Plan):
-    def score(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in rows.iterrows():
-            b = _Block(row, told, plan)
-            b.read_pairs()
-            triple = b.at_tokens(b.triples, b.triples.shares(told, TRIPLES))
-            known = b.context_counts >= SEEN_TWICE
-            low = b.smooth_pair(plan.pair_weight)
-            sums = lambda x: np.add.reduceat(x, b.starts)
-            # Under a known context without the triple, a weight only takes its share away.
-            seen = np.flatnonzero(triple > 0)
-            document = np.repeat(np.arange(len(b.lengths)), b.lengths)[seen]
-            bare = sums(np.log10(low))
-            missed = sums(known.astype(np.int64)) - np.bincount(document, minlength=len(b.lengths))
-            a, c = low[seen], triple[seen]
-            gain = lambda w: np.bincount(document, np.log10((1 - w) + w * c / a), len(b.lengths))
-            scores = np.stack([bare + missed * np.log10(1 - w) + gain(w) for w in TRIPLE_WEIGHTS], axis=1)
-            own = b.own(triple[seen], np.rint(b.context_counts[seen]))
-            kept = b.train[seen] & (own > 0)
-            missed_train = int((known & b.train).sum()) - int(kept.sum())
-            ratio = own[kept] / b.own_pair(plan.pair_weight)[seen][kept]
-            left_out = np.array([missed_train * np.log10(1 - w) + np.log10((1 - w) + w * ratio).sum() for w in TRIPLE_WEIGHTS])
-            base, n_known = sums(np.log10(b.plain())), sums((b.counts > 0).astype(np.int64))
-            for i, doc_id in enumerate(b.ids):
-                out.append((doc_id, bool(b.held[i]), int(b.lengths[i]), int(n_known[i]), float(base[i]), scores[i], left_out if i == 0 else None))
-        frame = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "scores", "left_out"])
-        return frame.astype({"doc_id": "Int64"})
-
-    return score
-
-
-def _best(rows: DataFrame) -> int:
-    """The place of the largest sum of left_out; only one number for each weight reaches the driver."""
-    fit = rows.where("left_out is not null").select(F.posexplode("left_out").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
-    return max(fit, key=lambda r: (r["x"], -r["k"]))["k"] if fit else 0
-
-
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_trie: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """(scores, trie): one row per document, and the trie's parts by shard if asked for.
 
-    Scores: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, pair_weight, triple_weight. Repeated
-    rows are scored each for itself; an empty table gives an empty result. Ids are integers.
+    Scores: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null texts are empty and still have
+    their end; null ids are in training; repeated rows are learned from and scored each for itself; texts of any length
+    are scored whole; an empty table gives an empty result. Ids are integers.
     """
     scratch = Scratch(docs.sparkSession, "lm")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = scratch.save(texts.mapInPandas(make_blocks, BLOCK_TYPE), "blocks", by=("part",))
     size = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_tokens").alias("tokens")).first()
-    plan = _Plan(max(1, -(-(size["words"] or 0) // SHARD_WORDS)), max(1, -(-(size["tokens"] or 0) // SHARD_PAIRS)), SHARD_PAIRS // 8)
+    plan = _Plan(max(1, -(-(size["words"] or 0) // SHARD_WORDS)), max(1, -(-(size["tokens"] or 0) // SHARD_ENTRIES)), HOT)
 
     asked = blocks.where("part = 1").select("block", "words", "buckets", "counts").mapInPandas(_ask_words(plan.word_shards), "shard int, block long, words binary, counts binary")
-    words = scratch.save(asked.groupBy("shard").applyInPandas(_answer_words(plan.word_shards), ANSWER_TYPE), "words")
-    totals = words.where("block = -1").agg(F.sum("n_train").alias("n"), F.sum("n_words").alias("v")).first()
-    plan = replace(plan, n_train=totals["n"] or 0, n_words=totals["v"] or 0)
+    words = scratch.save(asked.groupBy("shard").applyInPandas(_answer_words(plan.word_shards, plan.hot), ANSWER_TYPE), "words")
+    plan = _first_level(words.where("block = -1").collect(), plan)
 
     scratch.drop("blocks/part=1")
     rows = blocks.where("part = 0").select("block", "ids", "held", "lengths", "tokens", "buckets")
     told = words.where("block >= 0")
     beside = lambda answers: rows.groupBy("block").cogroup(answers.groupBy("block"))
-    pairs = scratch.save(beside(told).applyInPandas(_ask_pairs(plan), MESSAGE_TYPE).groupBy("shard").applyInPandas(_answer_entries(PAIRS, plan.entry_shards, keep_trie), ANSWER_TYPE), "pairs")
-    told = told.unionByName(pairs.where("block >= 0"))
-    triples = scratch.save(beside(told).applyInPandas(_ask_triples(plan), MESSAGE_TYPE).groupBy("shard").applyInPandas(_answer_entries(TRIPLES, plan.entry_shards, keep_trie), ANSWER_TYPE), "triples")
-    plan = replace(plan, pair_weight=WEIGHTS[_best(triples)])
-    told = told.where(F.col("kind") != NODES).unionByName(triples.where("block >= 0"))
-    scored = scratch.save(beside(told).applyInPandas(_score(plan), SCORE_TYPE), "scores")
-    best = _best(scored)
-    scores = scored.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        "n_known",
-        F.lit(plan.n_train).cast("long").alias("train_tokens"),
-        "base_score",
-        F.col("scores")[best].alias("score"),
-        F.lit(plan.pair_weight).alias("pair_weight"),
-        F.lit(TRIPLE_WEIGHTS[best]).alias("triple_weight"),
-    )
+    totals = scratch.save(beside(told).applyInPandas(_ask_totals(plan), MESSAGE_TYPE).groupBy("shard").applyInPandas(_answer_totals(plan), ANSWER_TYPE), "totals")
+    told = told.unionByName(totals)
+    triples = scratch.save(beside(told).applyInPandas(_ask_triples(plan), MESSAGE_TYPE).groupBy("shard").applyInPandas(_answer_triples(plan, keep_trie), ANSWER_TYPE), "triples")
+    told = told.unionByName(triples.where("block >= 0"))
+    scores = beside(told).applyInPandas(_score(plan), SCORE_TYPE)
+    scores = scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(plan.n_train).cast("long").alias("train_tokens"), "base_score", "score")
     if not keep_trie:
         return scores, None
-    return scores, pairs.unionByName(triples).where(F.col("kind") == TRIE).select("shard", F.col("payload").alias("trie"))
+    return scores, triples.where(F.col("kind") == TRIE).select("shard", F.col("payload").alias("trie"))

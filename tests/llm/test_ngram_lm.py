@@ -34,14 +34,41 @@ def test_trie_level(tmp_path_factory, pairs):
     keys = sorted(pairs)
     c, w = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
     logs = np.array([pairs[k] for k in keys])
-    elias_fano.TrieLevel.write(folder, c, w, logs)
-    level = elias_fano.TrieLevel.open(folder)
+    elias_fano.TrieLevel.write(folder, "x", c, w, logs)
+    level = elias_fano.TrieLevel.open(folder, "x")
     asked = sorted({*keys, *((a, b) for a in range(0, 42, 3) for b in range(0, 320, 17))})
-    codes = level.lookup(np.array([a for a, _ in asked]), np.array([b for _, b in asked]))
-    assert [bool(x) for x in codes] == [k in pairs for k in asked]
+    place, above = level.find(np.array([a for a, _ in asked]), np.array([b for _, b in asked]))
+    assert [x >= 0 for x in place] == [k in pairs for k in asked]
+    assert [x >= 0 for x in above] == [a in {c for c, _ in pairs} for a, _ in asked]
     if pairs:
-        told = np.asarray(level.book)[codes[codes > 0]]
-        assert np.abs(told - logs).max() <= (logs.max() - logs.min()) / 254 + 1e-9
+        assert place[place >= 0].tolist() == list(range(len(keys)))
+        assert np.abs(level.logs(place[place >= 0]) - logs).max() <= (logs.max() - logs.min()) / 254 + 1e-9
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 1 << 34), st.integers(0, 1 << 33)), min_size=1, max_size=60))
+def test_distinct_rows_and_their_code(rows):
+    columns, inverse = elias_fano.distinct([np.array(x) for x in zip(*rows, strict=True)])
+    assert list(zip(*(x.tolist() for x in columns), strict=True)) == sorted(set(rows))
+    assert [sorted(set(rows))[i] for i in inverse] == rows
+    assert [x.tolist() for x in ngram_lm.decode(ngram_lm.encode(columns))] == [x.tolist() for x in columns]
+
+
+def test_probabilities_of_the_trie_sum_to_one(tmp_path):
+    rng = random.Random(1)
+    vocabulary, plain = range(1, 21), {w: (w + 1) / 231.0 for w in range(21)}
+    plain[0] = 1 - sum(plain[w] for w in vocabulary)
+    counts = Counter((rng.randint(1, 6), rng.randint(1, 5), rng.choice(vocabulary)) for _ in range(150))
+    counts |= {(c, 0, rng.choice(vocabulary)): rng.randint(1, 9) for c in (50, 50, 50, 51, 51)}
+    total = {c: sum(n for (x, _, _), n in counts.items() if x == c) for c in (50, 51)}
+    keys = sorted(counts)
+    arrays = lambda rows: [np.array(x, np.int64) for x in zip(*rows, strict=True)]
+    elias_fano.Trie.write(str(tmp_path), *arrays(keys), np.array([counts[k] for k in keys]), np.array([plain[w] for _, _, w in keys]), np.array([total.get(c, 0) for c, _, _ in keys]), (20.0, 3.0), 16)
+    trie = elias_fano.Trie(str(tmp_path))
+    for c, u in [(c, u) for c in range(1, 8) for u in range(7)] + [(50, 0), (51, 0)]:
+        asked = [(c, u, w) for w in range(21)]
+        _, logs = trie.look_up(*arrays(asked), np.log10([plain[w] for w in range(21)]), np.full(21, total.get(c, 0)), 3.0)
+        assert math.isclose(sum(10.0**logs), 1.0, abs_tol=1e-3)
 
 
 @settings(max_examples=100, deadline=None)
@@ -50,37 +77,62 @@ def test_packed_numbers(values):
     assert ngram_lm.load(ngram_lm.dump(np.array(values, np.int64))).astype(np.int64).tolist() == values
 
 
-def brute(texts):
+def mixed(x):
+    x = (x ^ (x >> 31)) * 0x9E3779B97F4A7C15 % 2**64
+    return x ^ (x >> 29)
+
+
+def word_ids(one, shards, hot):
+    """Ids by falling count, as the word shards give them (ties by hash)."""
+    import xxhash
+
+    out = {}
+    for shard in range(shards):
+        hashes = {xxhash.xxh64_intdigest(w.encode()): w for w in one}
+        mine = [h for h in sorted(hashes) if (mixed(h) >> 32) * shards >> 32 == shard]
+        at = 0
+        for h in sorted(mine, key=lambda h: -one[hashes[h]]):
+            out[hashes[h]] = at * shards + shard + 1
+            at += max(1, -(-one[hashes[h]] // hot))
+    return out
+
+
+def compare(rows, texts, tolerance, hot=ngram_lm.HOT, word_shards=1):
     tokens = [[*words((t or "").translate(FOLD)), "\n"] for t in texts]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
-    one, two, three = Counter(), Counter(), Counter()
-    for t, h in zip(tokens, held, strict=True):
+    triples = [list(zip(["\n", "\n", *t], ["\n", *t], t, strict=False)) for t in tokens]
+    one, three, context = Counter(), Counter(), Counter()
+    for t, h, own in zip(tokens, held, triples, strict=True):
         if not h:
-            before = ["\n", *t]
             one.update(t)
-            two.update(zip(before, t, strict=False))
-            three.update(zip(before, t, t[1:], strict=False))
-    return tokens, held, one, two, three
-
-
-def compare(rows, texts, tolerance):
-    tokens, held, one, two, three = brute(texts)
-    n, v = sum(one.values()), len(one)
-    u, w = rows[0].pair_weight, rows[0].triple_weight
+            three.update(own)
+            context.update(x[:2] for x in own)
+    ids = word_ids(one, word_shards, hot)
+    bucket = lambda u, v: mixed(ids.get(u, 0)) % max(1, -(-one[v] // hot))
+    pair, middle = Counter(), Counter()
+    for (u, v, w), n in three.items():
+        if context[u, v] <= hot:
+            pair[v, bucket(u, v), w] += n
+            middle[v, bucket(u, v)] += n
+    total, kinds = sum(one.values()), len(one)
+    second, third = ngram_lm.PRIORS
+    frequent = 0
     for r in rows:
         t = tokens[r.doc_id]
-        plain = [(one[x] + 1) / (n + v + 1) for x in t]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(one[x] > 0 for x in t), n)
+        plain = [(one[x] + 1) / (total + kinds + 1) for x in t]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(one[x] > 0 for x in t), total)
         assert math.isclose(r.base_score, sum(map(math.log10, plain)), rel_tol=1e-9)
-        score, before = 0.0, ["\n", *t]
-        for k, x in enumerate(t):
-            p, b = plain[k], before[k]
-            if one[b]:
-                p = (1 - u) * p + u * two[b, x] / one[b]
-            if k and two[before[k - 1], b] >= 2:
-                p = (1 - w) * p + w * three[before[k - 1], b, x] / two[before[k - 1], b]
+        score = 0.0
+        for p, (u, v, w) in zip(plain, triples[r.doc_id], strict=True):
+            if one[v]:
+                frequent += context[u, v] > hot
+                b = bucket(u, v)
+                if context[u, v] <= hot:
+                    p = (pair[v, b, w] + second * p) / (middle[v, b] + second)
+                p = (three[u, v, w] + third * p) / (context[u, v] + third)
             score += math.log10(p)
         assert abs(r.score - score) <= tolerance * len(t)
+    return frequent
 
 
 def corpus(n=300):
@@ -107,24 +159,24 @@ def test_scores_match_brute_force_and_held_out_gains(spark):
 
 
 def test_many_blocks_shards_and_frequent_contexts(spark, monkeypatch):
-    texts = corpus(120)
-    whole = {r.doc_id: r for r in ngram_lm.score_corpus(documents(spark, texts))[0].collect()}
+    texts = [*corpus(120), *["w1 w2 w3 w1 w2 w4 " * 9] * 3]
     monkeypatch.setattr(ngram_lm, "BLOCK_TOKENS", 200)
-    monkeypatch.setattr(ngram_lm, "SHARD_WORDS", 150)
-    monkeypatch.setattr(ngram_lm, "SHARD_PAIRS", 80)
+    monkeypatch.setattr(ngram_lm, "SHARD_WORDS", 4000)
+    monkeypatch.setattr(ngram_lm, "SHARD_ENTRIES", 80)
+    monkeypatch.setattr(ngram_lm, "HOT", 12)
     scores, trie = ngram_lm.score_corpus(documents(spark, texts), keep_trie=True)
-    rows = scores.collect()
-    compare(rows, texts, 0.03)
-    assert {r.doc_id: r.base_score for r in rows}.keys() == whole.keys() and trie.count() > 3
-    assert all(len(r.trie) > 0 for r in trie.collect())
-
-
-def test_probabilities_sum_to_one():
-    counts = {"a": 5, "b": 3, "c": 2}
-    pairs = {"a": 2, "c": 1}
-    n, v, weight = 10, 3, 0.4
-    seen = sum((1 - weight) * (c + 1) / (n + v + 1) + weight * pairs.get(w, 0) / 3 for w, c in counts.items())
-    assert math.isclose(seen + (1 - weight) / (n + v + 1), 1.0)
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").mapInPandas(ngram_lm.make_blocks, ngram_lm.BLOCK_TYPE)
+    shards = -(-asked.agg({"n_words": "sum"}).first()[0] // 4000)
+    assert compare(scores.collect(), texts, 0.03, hot=12, word_shards=shards) > 20
+    assert trie.count() > 3 and all(len(r.trie) > 0 for r in trie.collect())
+
+
+def test_a_context_seen_once_predicts(spark):
+    held = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2)
+    texts = [f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i}" for i in range(50)]
+    texts[held] = texts[held + 1]
+    row = next(r for r in ngram_lm.score_corpus(documents(spark, texts))[0].collect() if r.doc_id == held)
+    assert row.held_out and row.score > row.base_score / 2
 
 
 def test_awkward_rows(spark):
