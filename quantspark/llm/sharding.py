@@ -72,7 +72,7 @@ def propagate(linked: DataFrame, quotas: list[int], scratch: Scratch, max_rounds
         block = lambda shard: F.lit(BLOCK) * _chosen(quotas, F.col(shard))
         small = F.col("total") <= block("goal")
         filling = (_chosen(has_room, F.col("goal")) == 1) & ((_chosen(has_room, F.col("shard")) == 1) | (F.col("n") <= block("shard")))
-        wish = scratch.save(held.join(goal, "group").where((F.col("shard") != F.col("goal")) & (small | filling)), f"wish-{step}")
+        wish = scratch.save(held.join(goal.hint("merge"), "group").where((F.col("shard") != F.col("goal")) & (small | filling)), f"wish-{step}")
         asked = [[0] * shards for _ in quotas]
         for r in wish.groupBy("shard", "goal").agg(F.sum("n").alias("n")).collect():
             asked[r["shard"]][r["goal"]] = r["n"]
@@ -81,7 +81,7 @@ def propagate(linked: DataFrame, quotas: list[int], scratch: Scratch, max_rounds
             break
         # Small blocks move whole; of a block that is large beside a quota, parts move.
         parts = F.ceil(F.col("n") / F.greatest(F.lit(1.0), block("goal")))
-        moves = state.join(wish.select("group", "shard", "goal", parts.alias("parts")), ["group", "shard"], "left")
+        moves = state.join(wish.select("group", "shard", "goal", parts.alias("parts")).hint("merge"), ["group", "shard"], "left")
         part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("row", F.lit(step)), F.col("parts") * 64)).otherwise(F.lit(0))
         draw = F.pmod(F.xxhash64("group", "shard", part, F.lit(step)), F.lit(1 << 20)) / float(1 << 20)
         limit = F.element_at(F.array(*[F.lit(float(x)) for x in share]), F.col("goal") + 1)
@@ -95,15 +95,16 @@ def shard_rows(rows: DataFrame, scratch: Scratch, shards: int = SHARDS) -> DataF
     """(row, shard, slot) from rows (row, group): group null links with nothing. Counts differ by one at most."""
     total = rows.count()
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
+    # Groups grow with the corpus, so joins with them are shuffled at every size rather than broadcast while they are few.
     # Written first: the join then stands by itself, and adaptive execution may split the rows of a frequent group.
     sizes = rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
     sizes = scratch.save(sizes, "sizes")
-    linked = rows.join(sizes, "group", "left_semi")
+    linked = rows.join(sizes.hint("merge"), "group", "left_semi")
     placed = propagate(linked.select("row", "group"), quotas, scratch)
     ranked = numbered(placed.select("row", "shard"), scratch, total, "shard", "rank")
     kept = scratch.save(ranked.where(F.col("number") < _chosen(quotas, F.col("shard"))).select("row", "shard"), "kept")
     load = {r["shard"]: r["n"] for r in kept.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pool = numbered(rows.select("row").join(kept.select("row"), "row", "left_anti"), scratch, total, None, "pool")
+    pool = numbered(rows.select("row").join(kept.select("row").hint("merge"), "row", "left_anti"), scratch, total, None, "pool")
     shard, upto = F.lit(shards - 1), sum(quotas) - sum(load.values())
     for s in range(shards - 1, -1, -1):
         shard = F.when(F.col("number") < upto, F.lit(s)).otherwise(shard)
@@ -131,4 +132,4 @@ def shard_digest(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
         "slim",
     )
     placed = shard_rows(slim.select("row", "group"), scratch, shards)
-    return slim.join(placed, "row").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return slim.join(placed.hint("merge"), "row").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
