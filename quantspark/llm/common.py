@@ -26,9 +26,12 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, as in tests, a temporary one on a
+    local master; on a cluster executors would not see each other's files, so that is an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='quantspark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -233,7 +233,11 @@ def rejected_by(rules: Sequence[Rule], stats: Column) -> Column:
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: the base counts, base_failed, kept, and the rule that rejects."""
+    """One row per document: the base counts, base_failed, kept, and the rule that rejects.
+
+    Null, empty and blank texts have no words and fail the base limits. Null ids and repeated rows keep a row each, texts
+    of any length are counted whole. An empty table gives an empty result; without labels there are no rules.
+    """
     rules = fit(docs, labels)
     rows = with_stats(docs.select("doc_id", "text"))
     stats = F.col("__stats")

@@ -224,6 +224,7 @@ def with_licenses(docs: DataFrame, text_col: str = "text", out_col: str = "licen
 
 def license_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per confirmed license: doc_id, license, start, end (code points, end exclusive), reduction, equal_words,
-    block_words, template_words. Repeated rows give repeated results, an empty table none."""
+    block_words, template_words. Null and empty texts have none; null ids keep theirs; repeated rows give
+    repeated results, an empty table none. Texts and lines of any length are scanned whole."""
     rows = with_licenses(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     return rows.select("doc_id", F.explode("licenses").alias("found")).select("doc_id", "found.*")

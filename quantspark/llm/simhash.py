@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.llm.common import Scratch, connected_components
+from quantspark.llm.common import Scratch, connected_components, free_name
 
 SHINGLE = 3
 SEED = 42
@@ -105,35 +105,55 @@ def near_fingerprints(distinct: DataFrame, scratch: Scratch, max_bits: int = MAX
     return pairs.unionByName(stars).distinct()
 
 
+def _classes(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, low, class) of the distinct fingerprints of prints(id, fp): their smallest id, and a number of their component."""
+    distinct = scratch.save(prints.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
+    links = scratch.save(near_fingerprints(distinct.select("fp"), scratch), "links")
+    reached = connected_components(links, scratch)
+    return distinct.join(reached, distinct["fp"] == reached["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("class"))
+
+
 def simhash_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component) for every row: component is the smallest id that links of fingerprints reach.
 
     Repeated rows and repeated ids are kept; a null id is left out of the minimum. The texts are read once.
     """
     prints = scratch.save(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", "fp"), "prints")
-    distinct = scratch.save(prints.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
-    links = scratch.save(near_fingerprints(distinct.select("fp"), scratch), "links")
-    reached = connected_components(links, scratch)
-    classes = distinct.join(reached, distinct["fp"] == reached["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("class"))
+    classes = _classes(prints, scratch)
     lowest = classes.groupBy("class").agg(F.min("low").alias("component"))
     named = scratch.save(classes.join(lowest, "class").select("fp", "component"), "named")
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
 def simhash_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, the fingerprint as 16 hex digits, component_id."""
+    """One row per document: doc_id, the fingerprint as 16 hex digits, component_id.
+
+    Null, empty and blank texts have fingerprint 0 and link like any other. Null ids and repeated rows keep a row each;
+    a component of null ids alone has a null component_id. Texts of any length are read whole; an empty table gives an
+    empty result.
+    """
     rows = simhash_components(docs, Scratch(docs.sparkSession, "simhash"), id_col, text_col)
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each near-duplicate group: the one with the smallest id. Of rows that repeat that id one
-    stays; rows with a null id all stay."""
+    """docs with one row of each near-duplicate group: the one of the smallest id (null ids last), then of the smallest
+    fingerprint. Of rows that agree on both one stays. Other columns stay as they are; an empty table stays empty."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = simhash_components(docs, scratch, id_col, text_col)
-    firsts = scratch.save(rows.where("id = component").groupBy(F.col("id").alias("__keep")).agg(F.count(F.lit(1)).alias("__rows")), "firsts")
-    # The ids grow with the corpus, so this join is shuffled at every size rather than broadcast while they are few.
-    chosen = lambda part: docs.join(part.hint("merge"), docs[id_col] == part["__keep"], "left_semi")
-    kept = chosen(firsts.where("__rows = 1")).unionByName(docs.where(F.col(id_col).isNull()))
-    repeated = firsts.where("__rows > 1")
-    return kept if repeated.isEmpty() else kept.unionByName(chosen(repeated).dropDuplicates([id_col]))
+    fp, key = free_name(docs, "__fp"), free_name(docs, "__id")
+    rows = scratch.save(with_fingerprint(docs, text_col, fp), "rows")
+    prints = rows.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
+    order = F.struct(F.col("low").isNull(), "low", "fp")
+    chosen = _classes(prints, scratch).groupBy("class").agg(F.min_by(F.struct("low", "fp"), order).alias("first")).select(F.col("first.low").alias("low"), F.col("first.fp").alias("first"))
+    same = lambda one, other: one["low"].eqNullSafe(other["id"]) & (one["first"] == other["fp"])
+    # Ids grow with the corpus, so these joins are shuffled at every size rather than broadcast while they are few.
+    counted = prints.groupBy("id", "fp").agg(F.count(F.lit(1)).alias("n"))
+    firsts = scratch.save(counted.join(chosen.hint("merge"), same(chosen, counted), "left_semi").select(F.col("id").alias(key), F.col("fp").alias(f"{fp}_"), "n"), "firsts")
+
+    def kept(part: DataFrame) -> DataFrame:
+        part = part.drop("n").hint("merge")
+        return rows.join(part, rows[id_col].eqNullSafe(part[key]) & (rows[fp] == part[f"{fp}_"]), "left_semi")
+
+    repeated = firsts.where("n > 1")
+    once = kept(firsts.where("n = 1"))
+    return (once if repeated.isEmpty() else once.unionByName(kept(repeated).dropDuplicates([id_col, fp]))).select(*docs.columns)
