@@ -2,7 +2,8 @@
 
 A monotone sequence keeps the low bits of each value in a packed array and its high bits in unary: one set bit for
 each value, one clear bit at the end of each run of equal high bits. Selecting the clear bits around a value's high
-bits gives the few values that share them, so a successor is found without decoding anything else.
+bits gives the few values that share them, so a successor is found without decoding anything else. A batch about as
+long as the sequence reads it once from front to back and searches there.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ class EliasFano:
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
         self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
         self.zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
+        self._all: np.ndarray | None = None
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -82,14 +84,29 @@ class EliasFano:
         bits = self.high[word]
         return word * 64 + _select_in_word(~bits if clear else bits, rank - table[word])
 
+    def _decoded(self, asked: int) -> np.ndarray | None:
+        """All values, where so many are asked for that reading the sequence once costs less than finding each."""
+        if self._all is None and asked * 8 >= self.n:
+            places = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))[: self.n]
+            every = np.arange(self.n)
+            self._all = ((places - every) << self.low_bits) | self._low(every)
+        return self._all
+
     def access(self, i: np.ndarray) -> np.ndarray:
         """The values at places i."""
+        decoded = self._decoded(len(i))
+        if decoded is not None:
+            return decoded[i]
         return ((self._select(i, False) - i) << self.low_bits) | self._low(i)
 
     def successor(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the first value not below the target, n if there is none; whether it equals the target)."""
         if not self.n:
             return np.zeros(len(targets), np.int64), np.zeros(len(targets), bool)
+        decoded = self._decoded(len(targets))
+        if decoded is not None:
+            place = np.searchsorted(decoded, targets)
+            return place, decoded[np.minimum(place, self.n - 1)] == targets
         last = self.access(np.array([self.n - 1]))[0]
         inside = targets <= last
         high = np.where(inside, targets, 0) >> self.low_bits
@@ -177,7 +194,13 @@ class TrieLevel:
 
 def distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """(columns of the distinct rows in sorted order, number of each row among them) of non-negative integers."""
+    columns, kinds = list(columns), [None] * len(columns)
     widths = [int(x.max(initial=0)).bit_length() for x in columns]
+    for i, x in enumerate(columns):
+        if sum(widths) > 63:  # values give way to their ranks, which need fewer bits
+            kinds[i] = np.unique(x)
+            columns[i] = np.searchsorted(kinds[i], x)
+            widths[i] = len(kinds[i]).bit_length()
     if sum(widths) <= 63:
         key = columns[0].astype(np.int64)
         for x, width in zip(columns[1:], widths[1:], strict=True):
@@ -187,13 +210,12 @@ def distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         for width in widths[:0:-1]:
             out.insert(0, keys & ((1 << width) - 1))
             keys = keys >> width
-        return [keys, *out], inverse
+        return [x if k is None else k[x] for x, k in zip([keys, *out], kinds, strict=True)], inverse
     number = np.zeros(len(columns[0]), np.int64)
     for x in columns:
-        rank = np.unique(x, return_inverse=True)[1]
-        number = np.unique((number << 32) | rank, return_inverse=True)[1]
+        number = np.unique((number << 32) | x, return_inverse=True)[1]
     at = np.unique(number, return_index=True)[1]
-    return [x[at] for x in columns], number
+    return [x[at] if k is None else k[x[at]] for x, k in zip(columns, kinds, strict=True)], number
 
 
 class Trie:
@@ -202,34 +224,36 @@ class Trie:
 
     Probabilities are smoothed where they are written: a count and prior times the lower probability, over the
     context's count and prior. The back-off weight of a context, prior over its count and prior, is the share of the
-    lower probability that an unseen successor gets, so all successors add up to one.
+    lower probability that an unseen successor gets, so all successors add up to one. The prior is a multiple of the
+    context's different successors: the more of them were seen, the likelier are others.
     """
 
     def __init__(self, folder: str) -> None:
         self.pairs, self.before, self.triples = (TrieLevel.open(folder, n) for n in ("pairs", "before", "triples"))
 
     @staticmethod
-    def write(folder: str, c: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, plain: np.ndarray, total: np.ndarray, priors: tuple[float, float], bits: int = 8) -> None:
+    def write(folder: str, c: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, plain: np.ndarray, total: np.ndarray, priors: tuple[float, float, float], bits: int = 8) -> None:
         """Distinct sorted entries (context c, word u before it, word w behind it) with counts; plain: the probability
         of w alone. A context with a total is a frequent one of two words: it has no u, and further successors may be
         in other shards."""
-        pair_prior, triple_prior = priors
+        pair_prior, triple_prior, frequent_prior = priors
         (c2, w2), pair = distinct([c, w])
         kinds, context = np.unique(c2, return_inverse=True)
         n2, p2, given = np.bincount(pair, n, len(c2)), np.zeros(len(c2)), np.zeros(len(kinds))
         p2[pair], given[context[pair]] = plain, total
         totals = np.where(given > 0, given, np.bincount(context, n2, len(kinds)))
-        prior = np.where(given > 0, triple_prior, pair_prior)
+        prior = np.where(given > 0, frequent_prior * given, pair_prior * np.bincount(context, minlength=len(kinds)))
         p2 = (n2 + prior[context] * p2) / (totals + prior)[context]
         TrieLevel.write(folder, "pairs", c2, w2, np.log10(p2), np.log10(prior / (totals + prior)), bits)
         k = np.flatnonzero(total == 0)
         (c3, u3), node = distinct([c[k], u[k]])
         totals = np.bincount(node, n[k], len(c3))
-        p3 = (n[k] + triple_prior * p2[pair[k]]) / (totals + triple_prior)[node]
+        prior = triple_prior * np.bincount(node, minlength=len(c3))
+        p3 = (n[k] + prior[node] * p2[pair[k]]) / (totals + prior)[node]
         TrieLevel.write(folder, "before", c3, u3)
-        TrieLevel.write(folder, "triples", node, w[k], np.log10(p3), np.log10(triple_prior / (totals + triple_prior)), bits, places=True)
+        TrieLevel.write(folder, "triples", node, w[k], np.log10(p3), np.log10(prior / (totals + prior)), bits, places=True)
 
-    def look_up(self, c: np.ndarray, u: np.ndarray, w: np.ndarray, plain: np.ndarray, total: np.ndarray, triple_prior: float) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, c: np.ndarray, u: np.ndarray, w: np.ndarray, plain: np.ndarray, total: np.ndarray, frequent_prior: float) -> tuple[np.ndarray, np.ndarray]:
         """(codes of the triples, 0 where they are unseen; log10 probability of w) of sorted entries as in write; plain:
         the log10 probability of w alone."""
         place, above = self.pairs.find(c, w)
@@ -237,7 +261,7 @@ class Trie:
         logs = plain.astype(np.float64)
         logs[known] += self.pairs.weight(above[known])
         far = ~known & (total > 0)
-        logs[far] += np.log10(triple_prior / (total[far] + triple_prior))
+        logs[far] += np.log10(frequent_prior / (1 + frequent_prior))
         logs[hit] = self.pairs.logs(place[hit])
         codes = np.zeros(len(c), np.int64)
         k = np.flatnonzero(total == 0)

@@ -18,7 +18,8 @@ each. Two words seen together more than HOT times are a context of their own, wh
 shards. So every shard holds a bounded number of entries, and the model grows with the corpus by growing in shards.
 
 A triple's probability is (its count + prior x lower) / (its context's count + prior), the lower one being the pair's
-by the same rule, and the pair's lower one the add-one probability of the word. The pair's context is the middle word,
+by the same rule, and the pair's lower one the add-one probability of the word; priors grow with the number of
+different successors of the context. The pair's context is the middle word,
 for a word seen more than HOT times within the bucket of the word before it; a context of two words seen more than HOT
 times has the word's own probability as lower one. All counts enter, those of one too. Words are known by a 64-bit hash.
 """
@@ -49,8 +50,9 @@ HOT = SHARD_ENTRIES // 8
 #: Bits of a quantised probability of pairs and triples, and width of a bin of log10 of words' counts.
 CODE_BITS = 8
 WORD_BIN = 0.005
-#: How many occurrences the lower probability counts for, in pairs and in triples.
-PRIORS = (20.0, 3.0)
+#: How many occurrences the lower probability counts for: times the context's different successors, in pairs and in
+#: triples, and times the context's count where two words are seen together more than HOT times.
+PRIORS = (2.0, 2.0, 0.2)
 #: The token behind every text; no word holds a line end. It is also the context of the first word.
 END = b"\n"
 #: Documents whose crc32 of the id as text leaves HELD_OUT modulo FOLDS are held out.
@@ -461,7 +463,7 @@ def _answer_triples(plan: _Plan, keep_trie: bool):
         with tempfile.TemporaryDirectory() as folder:
             Trie.write(folder, c[seen], u[seen], w[seen], counts[seen], 10.0 ** plain[seen], total[seen], PRIORS, CODE_BITS)
             trie = Trie(folder)
-            codes, logs = trie.look_up(c, u, w, plain, total, PRIORS[1])
+            codes, logs = trie.look_up(c, u, w, plain, total, PRIORS[2])
             book = np.asarray(trie.triples.book, "<f8").tobytes()
             if keep_trie:
                 rows.append((-2, TRIE, shard, _archive(folder), 0, 0, 0))

@@ -21,10 +21,14 @@ numbers = st.lists(st.one_of(st.integers(0, 200), st.integers(0, 1 << 40)), min_
 def test_sequence(values, targets):
     ef = elias_fano.EliasFano.build(np.array(values))
     assert ef.access(np.arange(len(values))).tolist() == values
-    place, equal = ef.successor(np.array(targets + values))
     want = np.searchsorted(values, targets + values, side="left")
-    assert place.tolist() == want.tolist()
-    assert equal.tolist() == [i < len(values) and values[i] == t for i, t in zip(want, targets + values, strict=True)]
+    equals = [i < len(values) and values[i] == t for i, t in zip(want, targets + values, strict=True)]
+    place, equal = ef.successor(np.array(targets + values))
+    assert place.tolist() == want.tolist() and equal.tolist() == equals
+    # One at a time, which never reads a long sequence whole.
+    ef = elias_fano.EliasFano.build(np.array(values))
+    told = [ef.successor(np.array([t])) for t in targets + values]
+    assert [int(p[0]) for p, _ in told] == want.tolist() and [bool(e[0]) for _, e in told] == equals
 
 
 @settings(max_examples=60, deadline=None)
@@ -63,11 +67,11 @@ def test_probabilities_of_the_trie_sum_to_one(tmp_path):
     total = {c: sum(n for (x, _, _), n in counts.items() if x == c) for c in (50, 51)}
     keys = sorted(counts)
     arrays = lambda rows: [np.array(x, np.int64) for x in zip(*rows, strict=True)]
-    elias_fano.Trie.write(str(tmp_path), *arrays(keys), np.array([counts[k] for k in keys]), np.array([plain[w] for _, _, w in keys]), np.array([total.get(c, 0) for c, _, _ in keys]), (20.0, 3.0), 16)
+    elias_fano.Trie.write(str(tmp_path), *arrays(keys), np.array([counts[k] for k in keys]), np.array([plain[w] for _, _, w in keys]), np.array([total.get(c, 0) for c, _, _ in keys]), (4.0, 2.0, 0.2), 16)
     trie = elias_fano.Trie(str(tmp_path))
     for c, u in [(c, u) for c in range(1, 8) for u in range(7)] + [(50, 0), (51, 0)]:
         asked = [(c, u, w) for w in range(21)]
-        _, logs = trie.look_up(*arrays(asked), np.log10([plain[w] for w in range(21)]), np.full(21, total.get(c, 0)), 3.0)
+        _, logs = trie.look_up(*arrays(asked), np.log10([plain[w] for w in range(21)]), np.full(21, total.get(c, 0)), 0.2)
         assert math.isclose(sum(10.0**logs), 1.0, abs_tol=1e-3)
 
 
@@ -115,7 +119,8 @@ def compare(rows, texts, tolerance, hot=ngram_lm.HOT, word_shards=1):
             pair[v, bucket(u, v), w] += n
             middle[v, bucket(u, v)] += n
     total, kinds = sum(one.values()), len(one)
-    second, third = ngram_lm.PRIORS
+    second, third, share = ngram_lm.PRIORS
+    pair_kinds, triple_kinds = Counter(k[:2] for k in pair), Counter(k[:2] for k in three)
     frequent = 0
     for r in rows:
         t = tokens[r.doc_id]
@@ -127,9 +132,13 @@ def compare(rows, texts, tolerance, hot=ngram_lm.HOT, word_shards=1):
             if one[v]:
                 frequent += context[u, v] > hot
                 b = bucket(u, v)
+                low, prior = p, share * context[u, v]
                 if context[u, v] <= hot:
-                    p = (pair[v, b, w] + second * p) / (middle[v, b] + second)
-                p = (three[u, v, w] + third * p) / (context[u, v] + third)
+                    low, prior = p, second * pair_kinds[v, b]
+                    if prior:
+                        low = (pair[v, b, w] + prior * p) / (middle[v, b] + prior)
+                    prior = third * triple_kinds[u, v]
+                p = (three[u, v, w] + prior * low) / (context[u, v] + prior) if prior else low
             score += math.log10(p)
         assert abs(r.score - score) <= tolerance * len(t)
     return frequent
