@@ -40,6 +40,17 @@ def ema(df: DataFrame, s: Series = TICKS, x: str = "price", span: int = 10) -> D
     return grouped(df, s, lambda f: {"ema": _ewm(f[x], 2 / (span + 1))}, {"ema": "double"})
 
 
+def return_volatility(df: DataFrame, s: Series = TICKS, price: str = "price", span: int = 20) -> DataFrame:
+    """df with volatility: root of the exponential mean of squared returns less the squared exponential mean."""
+
+    def kernel(f: pd.DataFrame) -> dict:
+        r = f[price] / f[price].shift(1) - 1
+        spread = _ewm(r * r, 2 / (span + 1)) - _ewm(r, 2 / (span + 1)) ** 2
+        return {"volatility": np.sqrt(spread.clip(lower=0)).where(r.notna())}
+
+    return grouped(df, s, kernel, {"volatility": "double"})
+
+
 def ema_adjusted(df: DataFrame, s: Series = TICKS, x: str = "price", span: int = 10) -> DataFrame:
     """The ratio of discounted sums, which forgets its start."""
     return grouped(df, s, lambda f: {"ema": f[x].ewm(span=span, adjust=True).mean()}, {"ema": "double"})

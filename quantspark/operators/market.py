@@ -11,13 +11,30 @@ from quantspark.frames import TICKS, Series, full, lag, ratio, rolling_mean, rol
 
 
 def resample_bars(df: DataFrame, every: str, by: Sequence[str] = ("asset",), ts: str = "ts", price: str = "price", tie: str = "tie") -> DataFrame:
-    """Open, high, low, close, count, mean and time-weighted mean in tumbling windows of event time."""
+    """Open, high, low, close, count and time-weighted mean in tumbling windows of event time.
+
+    A price weighs the seconds since the tick before it, the very first one nothing; the mean is null where no time
+    passed. The tick before a window's first one is the last of the window before, so only one row a window meets the
+    whole series.
+    """
     at = F.struct(ts, tie)
-    return (
-        df.groupBy(*by, F.window(ts, every).alias("w"))
-        .agg(F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"), F.count(price).alias("n"), F.avg(price).alias("twap"))
-        .select(*by, F.col("w.start").alias("start"), "open", "high", "low", "close", "n", "twap")
+    rows = df.withColumn("__w", F.window(ts, every)).withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
+    inside = Window.partitionBy(*by, "__w").orderBy(ts, tie)
+    rows = rows.withColumn("__d", (F.col("__us") - F.lag("__us").over(inside)) / 1e6)
+    bars = rows.groupBy(*by, "__w").agg(
+        F.min_by(price, at).alias("open"),
+        F.max(price).alias("high"),
+        F.min(price).alias("low"),
+        F.max_by(price, at).alias("close"),
+        F.count(price).alias("n"),
+        F.coalesce(F.sum(F.col(price) * F.col("__d")), F.lit(0.0)).alias("__sum"),
+        F.coalesce(F.sum(F.when(F.col(price).isNotNull(), F.col("__d"))), F.lit(0.0)).alias("__time"),
+        F.min("__us").alias("__first"),
+        F.max("__us").alias("__last"),
     )
+    gap = F.coalesce((F.col("__first") - F.lag("__last").over(Window.partitionBy(*by).orderBy("__w.start"))) / 1e6, F.lit(0.0))
+    twap = ratio(F.col("__sum") + F.coalesce(F.col("open") * gap, F.lit(0.0)), F.col("__time") + F.when(F.col("open").isNotNull(), gap).otherwise(0.0))
+    return bars.select(*by, F.col("__w.start").alias("start"), "open", "high", "low", "close", "n", twap.alias("twap"))
 
 
 def vwap_bars(df: DataFrame, every: str, by: Sequence[str], ts: str, price: str, volume: str) -> DataFrame:
@@ -61,13 +78,15 @@ def seasonal_factors(df: DataFrame, part: Column, x: str) -> DataFrame:
     return means.crossJoin(F.broadcast(overall)).select("part", ratio(F.col("mean"), F.col("overall")).alias("factor"))  # one row
 
 
-def volatility_regimes(df: DataFrame, s: Series = TICKS, price: str = "price", n: int = 10) -> DataFrame:
-    """low, normal or high by the third of the series' own rolling volatility that the row falls in."""
+def volatility_regimes(df: DataFrame, s: Series = TICKS, price: str = "price", n: int = 10, low: float = 0.5, high: float = 1.5) -> DataFrame:
+    """low, normal or high: rolling volatility more than so many deviations below or above its mean over the series.
+    Rows without a volatility are normal. Mean and deviation are plain aggregates, which merge."""
     rows = df.withColumn("__r", simple_return(price, s))
     rows = rows.withColumn("vol", rolling_std(F.col("__r"), s, n))
-    cuts = rows.groupBy(*s.key).agg(F.percentile("vol", F.lit(1 / 3)).alias("__a"), F.percentile("vol", F.lit(2 / 3)).alias("__b"))
-    rows = rows.join(cuts, list(s.key))
-    regime = F.when(F.col("vol").isNull(), None).when(F.col("vol") <= F.col("__a"), "low").when(F.col("vol") <= F.col("__b"), "normal").otherwise("high")
+    stats = rows.groupBy(*s.key).agg(F.avg("vol").alias("__m"), F.stddev_samp("vol").alias("__s"), F.count("vol").alias("__n"))
+    spread = F.when(F.col("__n") > 1, F.col("__s")).otherwise(0.5 * F.col("__m"))
+    rows = rows.join(stats.select(*s.key, (F.col("__m") - low * spread).alias("__a"), (F.col("__m") + high * spread).alias("__b")), list(s.key))
+    regime = F.when(F.col("vol") < F.col("__a"), "low").when(F.col("vol") > F.col("__b"), "high").otherwise("normal")
     return rows.withColumn("regime", regime).drop("__r", "__a", "__b")
 
 
@@ -115,11 +134,13 @@ def order_imbalance(df: DataFrame, s: Series, price: str, volume: str, n: int) -
 
 
 def vpin(df: DataFrame, s: Series, price: str, volume: str, bucket: float, n: int) -> DataFrame:
-    """Share of one-sided volume over the last n buckets of equal volume."""
-    rows = order_imbalance(df, s, price, volume, 1).withColumn("__b", F.floor((F.sum(volume).over(s.so_far()) - F.col(volume)) / bucket))
-    sums = rows.groupBy(*s.key, F.col("__b").alias("bucket")).agg(F.abs(F.sum(F.col("side") * F.col(volume))).alias("gap"), F.sum(volume).alias("volume"))
+    """One row for each bucket of the running volume: the mean, over up to n buckets, of their one-sided shares of the
+    volume that has a side. Buckets without such volume say nothing; 0 where none of them does."""
+    rows = order_imbalance(df, s, price, volume, 1).withColumn("__b", F.floor(F.sum(volume).over(s.so_far()) / bucket))
+    signed = F.col("side") * F.col(volume)
+    sums = rows.groupBy(*s.key, F.col("__b").alias("bucket")).agg(F.abs(F.sum(signed)).alias("gap"), F.sum(F.abs(signed)).alias("volume"))
     w = Window.partitionBy(*s.key).orderBy("bucket").rowsBetween(-(n - 1), 0)
-    return sums.withColumn("vpin", F.when(F.count("gap").over(w) == n, F.sum("gap").over(w) / F.sum("volume").over(w)))
+    return sums.withColumn("vpin", F.coalesce(F.avg(ratio(F.col("gap"), F.col("volume"))).over(w), F.lit(0.0)))
 
 
 def kyle_lambda(df: DataFrame, s: Series, price: str, volume: str) -> DataFrame:
@@ -159,15 +180,23 @@ def sessions(df: DataFrame, by: Sequence[str], gap: str, ts: str = "ts") -> Data
     return out.select(*by, F.col("w.start").alias("start"), (F.unix_seconds(F.col("last").cast("timestamp")) - F.unix_seconds(F.col("w.start").cast("timestamp"))).alias("seconds"), "n")
 
 
-def triple_barrier(df: DataFrame, s: Series, price: str, up: float, down: float, horizon: int) -> DataFrame:
-    """1 if the upper barrier is touched first within the horizon, -1 for the lower one, else 0; null at the end."""
+def triple_barrier(df: DataFrame, s: Series, price: str, up: float = 2.0, down: float = 2.0, horizon: int = 10, volatility: str = "volatility") -> DataFrame:
+    """Rows with a volatility above 0 and a row behind them, with label, touch (rows ahead) and touch_return.
+
+    Barriers lie so many volatilities above and below the price: 1 where the upper one is touched first within the
+    horizon, -1 for the lower one, 0 where neither is. Near the end the horizon is what is left. A frame holds horizon
+    prices at most.
+    """
+    p, vol = F.col(price), F.col(volatility)
     path = F.collect_list(price).over(s.after(horizon))
-    p = F.col(price)
     first = lambda test: F.array_position(F.transform(F.col("__path"), test), F.lit(True))
-    rows = df.withColumn("__path", path)
-    rows = rows.withColumn("__u", first(lambda x: x >= p * (1 + up))).withColumn("__d", first(lambda x: x <= p * (1 - down)))
-    label = F.when(F.size("__path") < horizon, None).when((F.col("__u") > 0) & ((F.col("__d") == 0) | (F.col("__u") < F.col("__d"))), 1).when(F.col("__d") > 0, -1).otherwise(0)
-    return rows.withColumn("label", label.cast("int")).drop("__path", "__u", "__d")
+    rows = df.withColumn("__path", path).where((F.size("__path") > 0) & (vol > 0))
+    rows = rows.withColumns({"upper": p * (1 + up * vol), "lower": p * (1 - down * vol)})
+    rows = rows.withColumn("__u", first(lambda x: x >= F.col("upper"))).withColumn("__d", first(lambda x: x <= F.col("lower")))
+    label = F.when((F.col("__u") > 0) & ((F.col("__d") == 0) | (F.col("__u") <= F.col("__d"))), 1).when(F.col("__d") > 0, -1).otherwise(0)
+    rows = rows.withColumn("label", label)
+    rows = rows.withColumn("touch", F.when(F.col("label") == 1, F.col("__u")).when(F.col("label") == -1, F.col("__d")).otherwise(F.size("__path")).cast("int"))
+    return rows.withColumn("touch_return", F.element_at("__path", F.col("touch")) / p - 1).drop("__path", "__u", "__d")
 
 
 def last_rows(df: DataFrame, s: Series, n: int) -> DataFrame:

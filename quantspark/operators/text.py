@@ -15,32 +15,58 @@ from quantspark.frames import Series, lag, ratio, rolling_mean, rolling_std
 #: Signatures in a block of those that share a band.
 NEAR_BLOCK = 512
 URL = r"https?://\S+|www\.\S+"
+CASHTAG = r"\$([A-Za-z]{1,5})\b"
+MENTION = r"(?:^|[^A-Za-z0-9_])/?u/([A-Za-z0-9_-]+)"
+#: Pictographs, symbols, dingbats and flags.
+EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]"
+#: Forums about crypto-currencies, in lower case.
+CRYPTO_PLACES = ("cryptocurrency", "bitcoin", "ethereum", "cryptomarkets")
 
 
 def normalized(text: Column) -> Column:
-    """Without links, white space squeezed and trimmed; null stays null."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, URL, " "), r"\s+", " "))
+    """Links as [URL], cashtags in upper case, white space squeezed and trimmed; null stays null."""
+    marked = F.regexp_replace(text, URL, " [URL] ")
+    parts = F.zip_with(F.split(marked, CASHTAG, -1), F.regexp_extract_all(marked, F.lit(CASHTAG), F.lit(0)), lambda p, t: F.concat(p, F.coalesce(F.upper(t), F.lit(""))))
+    raised = F.when(marked.rlike(CASHTAG), F.array_join(parts, "")).otherwise(marked)
+    return F.trim(F.regexp_replace(raised, r"\s+", " "))
 
 
 def cashtags(text: Column) -> Column:
     """Distinct upper-case tags of one to five letters behind a dollar sign."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\$([A-Za-z]{1,5})\b"), F.lit(1)), F.upper))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CASHTAG), F.lit(1)), F.upper))
+
+
+def mentions(text: Column) -> Column:
+    """User names behind u/ or /u/, in order."""
+    return F.regexp_extract_all(text, F.lit(MENTION), F.lit(1))
+
+
+def emojis(text: Column) -> Column:
+    """The emoji characters, in order."""
+    return F.regexp_extract_all(text, F.lit(EMOJI), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda t: t != "")
 
 
-def link_entities(posts: DataFrame, aliases: DataFrame, id_col: str = "id", text_col: str = "text", least: float = 0.35) -> DataFrame:
-    """(id, asset_id, confidence): cashtags with 1, aliases with the share of the alias among its assets plus what
-    repeated mentions add. aliases: (alias, asset_id), lower-case. Spark broadcasts it while it is small."""
-    ambiguous = aliases.groupBy("alias").agg(F.countDistinct("asset_id").alias("assets"))
-    known = aliases.distinct().join(ambiguous, "alias")
-    tags = posts.select(F.col(id_col).alias("id"), F.explode(cashtags(F.col(text_col))).alias("asset_id")).withColumn("confidence", F.lit(1.0))
-    words = posts.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("alias"))
-    counts = words.join(known, "alias").groupBy("id", "alias", "asset_id", "assets").agg(F.count(F.lit(1)).alias("n"))
-    named = counts.withColumn("confidence", F.least(F.lit(1.0), 0.5 / F.col("assets") + 0.1 * (F.col("n") - 1))).where(F.col("confidence") >= least)
-    return tags.unionByName(named.select("id", "asset_id", "confidence")).groupBy("id", "asset_id").agg(F.max("confidence").alias("confidence"))
+def link_entities(posts: DataFrame, aliases: DataFrame, tickers: DataFrame, id_col: str = "id", text_col: str = "text", place_col: str = "subreddit", least: float = 0.35, crypto_places: Sequence[str] = CRYPTO_PLACES) -> DataFrame:
+    """(id, asset_id, confidence): known cashtags with 1, aliases with the share of the alias among its assets plus what
+    repeated mentions add.
+
+    aliases: (alias, asset_id), lower-case; tickers: (asset_id, crypto). Only tickers are assets; in a place of crypto
+    currencies an alias means such a currency. Spark
+    broadcasts the two dimensions while they are small, and then only words that are aliases are shuffled.
+    """
+    known = aliases.distinct().join(tickers.select("asset_id", "crypto"), "asset_id")
+    ambiguous = known.groupBy("alias").agg(F.countDistinct("asset_id").alias("assets"))
+    named = known.join(ambiguous, "alias")
+    tags = posts.select(F.col(id_col).alias("id"), F.explode(cashtags(F.col(text_col))).alias("asset_id"))
+    tags = tags.join(tickers.select("asset_id"), "asset_id", "left_semi").withColumn("confidence", F.lit(1.0))
+    words = posts.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(place_col), F.lit(""))).isin(*crypto_places).alias("in_crypto"), F.explode(tokens(F.col(text_col))).alias("alias"))
+    counts = words.join(named, "alias").where(~F.col("in_crypto") | F.col("crypto")).groupBy("id", "alias", "asset_id", "assets").agg(F.count(F.lit(1)).alias("n"))
+    scored = counts.withColumn("confidence", F.least(F.lit(1.0), 0.5 / F.col("assets") + 0.1 * (F.col("n") - 1))).where(F.col("confidence") >= least)
+    return tags.unionByName(scored.select("id", "asset_id", "confidence")).groupBy("id", "asset_id").agg(F.max("confidence").alias("confidence"))
 
 
 def polarity(posts: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -83,20 +109,36 @@ def divergence(sentiment: DataFrame, prices: DataFrame, on: Sequence[str]) -> Da
     return rows.withColumn("diverges", ((F.signum("sentiment_index") * F.signum("ret")) < 0).cast("int"))
 
 
-def author_profiles(posts: DataFrame, author: str = "author_id", place: str = "subreddit", text: str = "text") -> DataFrame:
-    """Posts, places, entropy of places in bits, share of posts with a link, share of repeated texts, credibility in [0, 1].
+def author_profiles(posts: DataFrame, author: str = "author_id", place: str = "subreddit", text: str = "cleaned_text", url: str = "url", created: str = "created_utc", days: int = 90) -> DataFrame:
+    """One row per author: posts, posts a day, entropies of hours and places in bits, share of posts that link elsewhere,
+    cashtags a post, mean length, bot probability and credibility (1 less it).
 
-    Two aggregations: by author and place, then by author.
+    Few different hours, links in most posts, short texts and many cashtags speak of a bot. Without a time all posts are
+    at noon, without links none has one. Rows are counted by author, hour and place first, so that a prolific author is
+    some hundreds of rows when the entropies are taken.
     """
-    linked = F.coalesce(F.col(text).rlike(URL), F.lit(False)).cast("long")
-    copies = posts.groupBy(author, place, F.md5(F.coalesce(F.col(text), F.lit(""))).alias("__t")).agg(F.count(F.lit(1)).alias("__n"), F.sum(linked).alias("__l"))
-    firsts = copies.groupBy(author, "__t").agg(F.sum("__n").alias("__n")).groupBy(author).agg(F.sum(F.col("__n") - 1).alias("repeats"))
-    places = copies.groupBy(author, place).agg(F.sum("__n").alias("__n"), F.sum("__l").alias("__l"))
-    p = F.col("__n") / F.sum("__n").over(Window.partitionBy(author))
-    out = places.withColumn("__e", -p * F.log2(p)).groupBy(author).agg(F.sum("__n").alias("posts"), F.count(F.lit(1)).alias("places"), F.sum("__e").alias("entropy"), F.sum("__l").alias("__l"))
-    out = out.join(firsts, author).withColumn("link_share", F.col("__l") / F.col("posts")).withColumn("repeat_share", F.col("repeats") / F.col("posts"))
-    score = 0.4 * F.least(F.lit(1.0), F.col("posts") / 20) + 0.3 * F.least(F.lit(1.0), F.col("entropy") / 3) + 0.15 * (1 - F.col("link_share")) + 0.15 * (1 - F.col("repeat_share"))
-    return out.select(author, "posts", "places", "entropy", "link_share", "repeat_share", score.alias("credibility"))
+    has = {c: c in posts.columns for c in (place, url, created)}
+    words = F.coalesce(F.col(text), F.lit(""))
+    hour = F.hour(F.timestamp_seconds(F.col(created))) if has[created] else F.lit(12)
+    linked = (F.col(url) != "") & ~F.contains(F.col(url), F.lit("reddit.com")) if has[url] else F.lit(False)
+    rows = posts.select(
+        author, F.coalesce(hour, F.lit(12)).alias("__h"), (F.col(place) if has[place] else F.lit(None).cast("string")).alias("__p"), F.coalesce(linked, F.lit(False)).cast("long").alias("__l"),
+        F.length(words).alias("__c"), F.size(F.regexp_extract_all(words, F.lit(CASHTAG), F.lit(0))).alias("__t")
+    )
+    cells = rows.groupBy(author, "__h", "__p").agg(F.count(F.lit(1)).alias("__n"), F.sum("__l").alias("__l"), F.sum("__c").alias("__c"), F.sum("__t").alias("__t"))
+
+    def entropy(by: str, name: str) -> DataFrame:
+        sums = cells.groupBy(author, by).agg(F.sum("__n").alias("__n"))
+        p = F.col("__n") / F.sum("__n").over(Window.partitionBy(author))
+        return sums.withColumn("__e", -p * F.log2(p)).groupBy(author).agg(F.sum("__e").alias(name))
+
+    total = cells.groupBy(author).agg(F.sum("__n").alias("posts"), F.sum("__l").alias("__l"), F.sum("__c").alias("__c"), F.sum("__t").alias("__t"))
+    out = total.join(entropy("__h", "hour_entropy"), author).join(entropy("__p", "place_entropy"), author)
+    out = out.withColumns({"link_ratio": F.col("__l") / F.col("posts"), "mean_length": F.col("__c") / F.col("posts"), "cashtag_density": F.col("__t") / F.col("posts"), "posts_per_day": F.col("posts") / days})
+    points = ((F.col("hour_entropy") < 2, 0.3), (F.col("link_ratio") > 0.7, 0.3), (F.col("mean_length") < 50, 0.2), (F.col("cashtag_density") > 3, 0.2))
+    bot = sum((F.when(test, F.lit(x)).otherwise(F.lit(0.0)) for test, x in points), F.lit(0.0))
+    out = out.withColumn("bot_probability", F.least(bot, F.lit(1.0))).withColumn("credibility", F.greatest(F.lit(0.0), 1 - F.col("bot_probability")))
+    return out.select(author, "posts", "posts_per_day", "hour_entropy", "place_entropy", "link_ratio", "cashtag_density", "mean_length", "bot_probability", "credibility")
 
 
 def exact_copies(posts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -107,8 +149,8 @@ def exact_copies(posts: DataFrame, id_col: str = "id", text_col: str = "text") -
     return rows.join(first, "key", "left").select("id", F.coalesce("first_id", "id").alias("first_id"))
 
 
-def minhash_signatures(posts: DataFrame, id_col: str = "id", text_col: str = "text", size: int = 128, shingle: int = 3) -> DataFrame:
-    """(id, signature): the least value of each of so many hash functions over the text's word shingles."""
+def minhash_signatures(posts: DataFrame, id_col: str = "id", text_col: str = "text", size: int = 128, shingle: int = 1) -> DataFrame:
+    """(id, signature): the least value of each of so many hash functions over the text's words, or shingles of words."""
     def sign(texts: pd.Series) -> pd.Series:
         rng = np.random.default_rng(1)
         a, b = rng.integers(1, 1 << 61, size, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 61, size, dtype=np.uint64)
@@ -126,8 +168,9 @@ def minhash_signatures(posts: DataFrame, id_col: str = "id", text_col: str = "te
     return posts.select(F.col(id_col).alias("id"), F.pandas_udf(sign, "array<long>")(F.col(text_col)).alias("signature"))
 
 
-def near_copies(posts: DataFrame, id_col: str = "id", text_col: str = "text", threshold: float = 0.8, size: int = 128, shingle: int = 3) -> DataFrame:
+def near_copies(posts: DataFrame, id_col: str = "id", text_col: str = "text", threshold: float = 0.8, size: int = 128, shingle: int = 1) -> DataFrame:
     """(id, first_id): the smallest earlier id whose signature agrees in at least threshold of its values, else the id.
+    Texts that are null or have no word stand alone.
 
     Signatures that may differ in d values are cut into d + 1 bands: two that agree enough agree in some band whole, so
     no pair is missed. Under a band key every two distinct signatures are compared, in blocks of NEAR_BLOCK by
@@ -136,7 +179,8 @@ def near_copies(posts: DataFrame, id_col: str = "id", text_col: str = "text", th
     bands = size - math.ceil(threshold * size - 1e-9) + 1
     if not 1 <= bands <= size:
         raise ValueError("threshold must be above 0 and at most 1")
-    signed = minhash_signatures(posts, id_col, text_col, size, shingle).withColumn("sig", F.md5(F.array_join("signature", ",")))
+    spoken = posts.where(F.col(text_col).rlike(r"\S")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    signed = minhash_signatures(spoken, "id", "text", size, shingle).withColumn("sig", F.md5(F.array_join("signature", ",")))
     distinct = signed.where("id is not null").groupBy("sig").agg(F.min("id").alias("low"), F.first("signature").alias("signature"))
     ends = [size * k // bands for k in range(bands + 1)]
     keys = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.slice("signature", a + 1, b - a)).alias("key")) for k, (a, b) in enumerate(zip(ends, ends[1:]))])
@@ -167,4 +211,6 @@ def near_copies(posts: DataFrame, id_col: str = "id", text_col: str = "text", th
     kind = dict(signed.dtypes)["id"]
     found = cells.groupBy("band", "key", "i", "j").applyInPandas(compare, f"sig string, first_id {kind}").groupBy("sig").agg(F.min("first_id").alias("near"))
     firsts = distinct.select("sig", "low").join(found, "sig", "left").select("sig", F.least("low", "near").alias("first_id"))
-    return signed.select("id", "sig").join(firsts, "sig", "left").select("id", F.when(F.col("id").isNotNull(), F.col("first_id")).alias("first_id"))
+    told = signed.select("id", "sig").join(firsts, "sig", "left").select("id", F.when(F.col("id").isNotNull(), F.col("first_id")).alias("first_id"))
+    alone = posts.where(~F.coalesce(F.col(text_col).rlike(r"\S"), F.lit(False))).select(F.col(id_col).alias("id"), F.col(id_col).alias("first_id"))
+    return told.unionByName(alone)

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantspark.frames import TICKS, rounded
+from quantspark.functions.kernels import return_volatility
 from quantspark.operators import market as m
 from quantspark.plans.indicator_queries import RET, W, fullw, over_ticks, pick, r
+from quantspark.plans.kernel_queries import fold
 from quantspark.plans.registry import register
 from quantspark.plans.report_queries import RETURNS, TRADES, TW, returns
 from quantspark.plans.series_queries import SOFAR
@@ -16,7 +18,8 @@ from quantspark.sources.tables import TICKS_SQL, TRADES_SQL, ticks, trades
 
 @register(
     "resample_ohlcv",
-    f"""WITH {TICKS_SQL} SELECT kind, time_bucket(INTERVAL 6 HOUR, ts) AS start, {r('arg_min(price, (ts, tie))', 'open')}, {r('max(price)', 'high')}, {r('min(price)', 'low')}, {r('arg_max(price, (ts, tie))', 'close')}, count(price) AS n, {r('avg(price)', 'twap')} FROM ticks GROUP BY 1, 2""",
+    f"""WITH {TICKS_SQL}, a AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS start, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY kind ORDER BY ts, tie)) / 1e6, 0) AS d FROM ticks)
+SELECT kind, start, {r('arg_min(price, (ts, tie))', 'open')}, {r('max(price)', 'high')}, {r('min(price)', 'low')}, {r('arg_max(price, (ts, tie))', 'close')}, count(price) AS n, {r('sum(price * d) / nullif(sum(d), 0)', 'twap')} FROM a GROUP BY 1, 2""",
 )
 def resample_ohlcv(spark, sf_dir):
     return rounded(m.resample_bars(ticks(spark, sf_dir), "6 hours", ["kind"]))
@@ -60,8 +63,8 @@ def seasonal_factors(spark, sf_dir):
     return rounded(m.seasonal_factors(trades(spark, sf_dir), F.month("ts"), "price"))
 
 
-VOL = f"""a AS (SELECT *, {RET} AS x FROM ticks), v AS (SELECT *, {fullw('stddev_samp(x)', 'x', 10)} AS vol FROM a), c AS (SELECT asset, quantile_cont(vol, 1/3.0::DOUBLE) AS lo, quantile_cont(vol, 2/3.0::DOUBLE) AS hi FROM v GROUP BY 1),
-final AS (SELECT v.*, CASE WHEN vol IS NULL THEN NULL WHEN vol <= lo THEN 'low' WHEN vol <= hi THEN 'normal' ELSE 'high' END AS regime FROM v JOIN c ON v.asset = c.asset)"""
+VOL = f"""a AS (SELECT *, {RET} AS x FROM ticks), v AS (SELECT *, {fullw('stddev_samp(x)', 'x', 10)} AS vol FROM a), c AS (SELECT asset, avg(vol) AS m, CASE WHEN count(vol) > 1 THEN stddev_samp(vol) ELSE 0.5 * avg(vol) END AS sd FROM v GROUP BY 1),
+final AS (SELECT v.*, CASE WHEN vol < m - 0.5 * sd THEN 'low' WHEN vol > m + 1.5 * sd THEN 'high' ELSE 'normal' END AS regime FROM v JOIN c ON v.asset = c.asset)"""
 
 
 @over_ticks("volatility_regimes", VOL, f"{r('vol', 'vol')}, regime")
@@ -128,8 +131,8 @@ def order_imbalance(spark, sf_dir):
 
 @register(
     "vpin",
-    f"""WITH {TRADES_SQL}, {SIGNED}, b AS (SELECT *, floor((sum(quantity) OVER ({TW} ROWS UNBOUNDED PRECEDING) - quantity) / 5000) AS bucket FROM s), c AS (SELECT symbol, CAST(bucket AS BIGINT) AS bucket, abs(sum(side * quantity)) AS gap, sum(quantity) AS volume FROM b GROUP BY 1, 2)
-SELECT symbol, bucket, gap, volume, {r('CASE WHEN count(*) OVER w = 5 THEN sum(gap) OVER w / sum(volume) OVER w END', 'vpin')} FROM c WINDOW w AS (PARTITION BY symbol ORDER BY bucket ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
+    f"""WITH {TRADES_SQL}, {SIGNED}, b AS (SELECT *, floor(sum(quantity) OVER ({TW} ROWS UNBOUNDED PRECEDING) / 5000) AS bucket FROM s), c AS (SELECT symbol, CAST(bucket AS BIGINT) AS bucket, abs(sum(side * quantity)) AS gap, sum(abs(side * quantity)) AS volume FROM b GROUP BY 1, 2)
+SELECT symbol, bucket, gap, volume, {r('coalesce(avg(gap / nullif(volume, 0)) OVER w, 0)', 'vpin')} FROM c WINDOW w AS (PARTITION BY symbol ORDER BY bucket ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
 )
 def vpin(spark, sf_dir):
     return rounded(m.vpin(trades(spark, sf_dir), TRADES, "price", "quantity", 5000.0, 5))
@@ -173,12 +176,16 @@ def sessions(spark, sf_dir):
 
 @register(
     "triple_barrier",
-    f"""WITH {TICKS_SQL}, a AS (SELECT *, list(price) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS path FROM ticks),
-b AS (SELECT *, coalesce(list_position(list_transform(path, lambda x: x >= price * 1.2), true), 0) AS u, coalesce(list_position(list_transform(path, lambda x: x <= price * 0.8), true), 0) AS d FROM a)
-SELECT asset, tie, CAST(CASE WHEN coalesce(len(path), 0) < 5 THEN NULL WHEN u > 0 AND (d = 0 OR u < d) THEN 1 WHEN d > 0 THEN -1 ELSE 0 END AS DOUBLE) AS label FROM b""",
+    f"""WITH {TICKS_SQL}, a AS (SELECT *, {RET} AS x FROM ticks), e AS (SELECT *, {fold('x', 2 / 21)} AS m, {fold('x * x', 2 / 21, 'x IS NOT NULL')} AS q, list(price) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS path FROM a),
+v AS (SELECT *, CASE WHEN x IS NOT NULL THEN sqrt(greatest(q - m * m, 0)) END AS vol FROM e), b AS (SELECT *, coalesce(list_position(list_transform(path, lambda y: y >= price * (1 + 2 * vol)), true), 0) AS u, coalesce(list_position(list_transform(path, lambda y: y <= price * (1 - 2 * vol)), true), 0) AS d FROM v WHERE vol > 1e-9 AND len(path) > 0),
+l AS (SELECT *, CASE WHEN u > 0 AND (d = 0 OR u <= d) THEN 1 WHEN d > 0 THEN -1 ELSE 0 END AS label FROM b), t AS (SELECT *, CASE label WHEN 1 THEN u WHEN -1 THEN d ELSE len(path) END AS touch FROM l)
+SELECT asset, tie, CAST(label AS DOUBLE) AS label, CAST(touch AS DOUBLE) AS touch, {r('path[touch] / price - 1', 'touch_return')} FROM t""",
 )
 def triple_barrier(spark, sf_dir):
-    return pick(m.triple_barrier(ticks(spark, sf_dir), TICKS, "price", 0.2, 0.2, 5).withColumn("label", F.col("label").cast("double")), "label")
+    rows = return_volatility(ticks(spark, sf_dir))
+    # What rounding leaves of a series that does not move is no volatility.
+    out = m.triple_barrier(rows.withColumn("volatility", F.when(F.col("volatility") > 1e-9, F.col("volatility"))), TICKS, "price")
+    return pick(out.withColumns({"label": F.col("label").cast("double"), "touch": F.col("touch").cast("double")}), "label", "touch", "touch_return")
 
 
 @register(

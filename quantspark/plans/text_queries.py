@@ -17,7 +17,7 @@ from quantspark.sources.tables import BARS_SQL, TICKS_SQL, bars, ticks
 
 ALIASES = (("the", "THE"), ("and", "AND"), ("and", "DAN"), ("der", "DER"), ("que", "QUE"))
 SCORES = (("the", 0.2), ("of", -0.4), ("and", 0.6), ("la", 0.5), ("der", -0.3), ("que", -0.7))
-POSTS_SQL = "posts AS (SELECT doc_id AS id, text, source AS subreddit, doc_id % 97 AS author_id, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS VARCHAR) AS date FROM documents)"
+POSTS_SQL = "posts AS (SELECT doc_id AS id, text, source AS subreddit, doc_id % 97 AS author_id, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS VARCHAR) AS date, 1704067200 + (doc_id % 997) * 4999 AS created_utc, CASE WHEN doc_id % 97 % 4 = 0 OR doc_id % 5 = 0 THEN 'https://x.org/' || doc_id WHEN doc_id % 5 = 1 THEN 'https://www.reddit.com/' || doc_id END AS url FROM documents)"
 TOKENS_SQL = "toks AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS word FROM posts)"
 
 
@@ -28,7 +28,8 @@ def values(rows) -> str:
 def posts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).cast("string")
-    return docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("subreddit"), (F.col("doc_id") % 97).alias("author_id"), day.alias("date"))
+    url = F.when((F.col("doc_id") % 97 % 4 == 0) | (F.col("doc_id") % 5 == 0), F.concat(F.lit("https://x.org/"), "doc_id")).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("https://www.reddit.com/"), "doc_id"))
+    return docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("subreddit"), (F.col("doc_id") % 97).alias("author_id"), day.alias("date"), (1704067200 + (F.col("doc_id") % 997) * 4999).alias("created_utc"), url.alias("url"))
 
 
 def constants(spark, rows, names: str):
@@ -40,21 +41,53 @@ def lexicon(spark):
     return constants(spark, SCORES, "word, score").withColumn("score", F.col("score").cast("double"))
 
 
-@register("normalize_text", f"WITH {POSTS_SQL}, n AS (SELECT id, trim(regexp_replace(regexp_replace(text, 'https?://\\S+|www\\.\\S+', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM posts) SELECT id, CAST(length(t) AS INTEGER) AS length, md5(t) AS digest FROM n")
+#: Posts with cashtags, mentions, a link and emojis behind their text.
+TAGGED_SQL = "tagged AS (SELECT *, text || ' $' || substr(subreddit, 1, 3) || ' $zzz u/user' || author_id || ' 🚀📈 http://x.org/' || id || ' end' AS tagged FROM posts)"
+
+
+def tagged(spark, sf_dir):
+    more = F.concat("text", F.lit(" $"), F.substring("subreddit", 1, 3), F.lit(" $zzz u/user"), "author_id", F.lit(" 🚀📈 http://x.org/"), "id", F.lit(" end"))
+    return posts(spark, sf_dir).withColumn("tagged", more)
+
+
+def _normal(x: str) -> str:
+    """Pieces between cashtags and the cashtags raised, put together again."""
+    marked = f"regexp_replace({x}, 'https?://\\S+|www\\.\\S+', ' [URL] ', 'g')"
+    tag = "'\\$([A-Za-z]{1,5})\\b'"
+    raised = f"array_to_string(list_transform(list_zip(regexp_split_to_array({marked}, {tag}), regexp_extract_all({marked}, {tag}, 0)), lambda p: p[1] || coalesce(upper(p[2]), '')), '')"
+    return f"trim(regexp_replace({raised}, '\\s+', ' ', 'g'))"
+
+
+@register("normalize_text", f"WITH {POSTS_SQL}, {TAGGED_SQL}, n AS (SELECT id, {_normal('tagged')} AS t FROM tagged) SELECT id, CAST(length(t) AS INTEGER) AS length, md5(t) AS digest FROM n")
 def normalize_text(spark, sf_dir):
-    rows = posts(spark, sf_dir).withColumn("t", text.normalized(F.col("text")))
+    rows = tagged(spark, sf_dir).withColumn("t", text.normalized(F.col("tagged")))
     return rows.select("id", F.length("t").alias("length"), F.md5("t").alias("digest"))
 
 
+@register(
+    "social_marks",
+    f"""WITH {POSTS_SQL}, {TAGGED_SQL} SELECT id, array_to_string(list_distinct(list_transform(regexp_extract_all(tagged, '\\$([A-Za-z]{{1,5}})\\b', 1), lambda t: upper(t))).list_sort(), ' ') AS cashtags,
+array_to_string(regexp_extract_all(tagged, '(?:^|[^A-Za-z0-9_])/?u/([A-Za-z0-9_-]+)', 1), ' ') AS mentions, array_to_string(regexp_extract_all(tagged, '[\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}\\x{{1F1E6}}-\\x{{1F1FF}}]'), '') AS emojis FROM tagged""",
+)
+def social_marks(spark, sf_dir):
+    x = F.col("tagged")
+    return tagged(spark, sf_dir).select("id", F.array_join(F.array_sort(text.cashtags(x)), " ").alias("cashtags"), F.array_join(text.mentions(x), " ").alias("mentions"), F.array_join(text.emojis(x), "").alias("emojis"))
+
+
+TICKERS = (("THE", False), ("AND", False), ("DER", True), ("QUE", False), ("SRC", False))
+
+
 @register(
     "entity_links",
-    f"""WITH {POSTS_SQL}, {TOKENS_SQL}, k(alias, asset_id) AS {values(ALIASES)}, a AS (SELECT alias, count(DISTINCT asset_id) AS assets FROM k GROUP BY 1),
-c AS (SELECT t.id, k.asset_id, a.assets, count(*) AS n FROM toks t JOIN k ON t.word = k.alias JOIN a ON a.alias = k.alias GROUP BY t.id, k.alias, k.asset_id, a.assets), f AS (SELECT id, asset_id, least(1.0, 0.5 / assets + 0.1 * (n - 1)) AS x FROM c)
+    f"""WITH {POSTS_SQL}, {TAGGED_SQL}, {TOKENS_SQL}, t(asset_id, crypto) AS {values(TICKERS)}, k0(alias, asset_id) AS {values(ALIASES)}, k AS (SELECT * FROM k0 JOIN t USING (asset_id)), a AS (SELECT alias, count(DISTINCT asset_id) AS assets FROM k GROUP BY 1),
+c AS (SELECT w.id, k.asset_id, a.assets, count(*) AS n FROM toks w JOIN k ON w.word = k.alias JOIN a ON a.alias = k.alias JOIN posts p ON p.id = w.id WHERE p.subreddit <> 'src1' OR k.crypto GROUP BY w.id, k.alias, k.asset_id, a.assets), f AS (SELECT id, asset_id, least(1.0, 0.5 / assets + 0.1 * (n - 1)) AS x FROM c UNION ALL
+ SELECT id, upper(g) AS asset_id, 1.0 AS x FROM (SELECT id, unnest(regexp_extract_all(tagged, '\\$([A-Za-z]{{1,5}})\\b', 1)) AS g FROM tagged) WHERE upper(g) IN (SELECT asset_id FROM t))
 SELECT id, asset_id, {r('max(x)', 'confidence')} FROM f WHERE x >= 0.35 GROUP BY 1, 2""",
 )
 def entity_links(spark, sf_dir):
-    aliases = constants(spark, ALIASES, "alias, asset_id")
-    return rounded(text.link_entities(posts(spark, sf_dir), aliases))
+    """The forum src1 stands for one of crypto currencies."""
+    rows = tagged(spark, sf_dir).withColumn("text", F.col("tagged"))
+    return rounded(text.link_entities(rows, constants(spark, ALIASES, "alias, asset_id"), constants(spark, TICKERS, "asset_id, crypto"), crypto_places=("src1",)))
 
 
 POLARITY = f"""{POSTS_SQL}, {TOKENS_SQL}, lx(word, score) AS {values(SCORES)}, s AS (SELECT id, sum(score) / count(*) AS p, count(*) AS hits FROM toks JOIN lx USING (word) GROUP BY 1), pol AS (SELECT posts.*, coalesce(p, 0) AS polarity, coalesce(hits, 0) AS hits FROM posts LEFT JOIN s USING (id))"""
@@ -116,15 +149,19 @@ def sentiment_features(spark, sf_dir):
 
 @register(
     "author_profiles",
-    f"""WITH {POSTS_SQL}, p AS (SELECT author_id, subreddit, count(*) AS n FROM posts GROUP BY 1, 2), e AS (SELECT author_id, sum(n) AS posts, count(*) AS places, -sum(f * log2(f)) AS entropy FROM (SELECT *, n / sum(n) OVER (PARTITION BY author_id) AS f FROM p) GROUP BY 1),
-l AS (SELECT author_id, avg(CASE WHEN regexp_matches(text, 'https?://\\S+|www\\.\\S+') THEN 1.0 ELSE 0.0 END) AS link, (count(*) - count(DISTINCT text)) / count(*) AS rep FROM posts GROUP BY 1)
-SELECT author_id, CAST(posts AS BIGINT) AS posts, places, {r('entropy', 'entropy')}, {r('link', 'link_share')}, {r('rep', 'repeat_share')}, {r('0.4 * least(1, posts / 20) + 0.3 * least(1, entropy / 3) + 0.15 * (1 - link) + 0.15 * (1 - rep)', 'credibility')} FROM e JOIN l USING (author_id)""",
+    f"""WITH {POSTS_SQL}, {TAGGED_SQL}, g AS (SELECT *, CASE WHEN author_id % 3 = 0 THEN tagged ELSE '$abc $abc $abc $abc' END AS t FROM tagged), h AS (SELECT author_id, -sum(f * log2(f)) AS e FROM (SELECT author_id, n / sum(n) OVER (PARTITION BY author_id) AS f FROM (SELECT author_id, created_utc // 3600 % 24 AS hr, count(*) AS n FROM g GROUP BY 1, 2)) GROUP BY 1),
+p AS (SELECT author_id, -sum(f * log2(f)) AS e FROM (SELECT author_id, n / sum(n) OVER (PARTITION BY author_id) AS f FROM (SELECT author_id, subreddit, count(*) AS n FROM g GROUP BY 1, 2)) GROUP BY 1),
+a AS (SELECT author_id, count(*) AS posts, avg(CASE WHEN url IS NOT NULL AND NOT contains(url, 'reddit.com') THEN 1.0 ELSE 0.0 END) AS l, avg(coalesce(length(t), 0)) AS c, avg(coalesce(len(regexp_extract_all(t, '\\$([A-Za-z]{{1,5}})\\b')), 0)) AS d FROM g GROUP BY 1),
+b AS (SELECT a.*, h.e AS he, p.e AS pe, CASE WHEN h.e < 2 THEN 0.3 ELSE 0 END + CASE WHEN l > 0.7 THEN 0.3 ELSE 0 END + CASE WHEN c < 50 THEN 0.2 ELSE 0 END + CASE WHEN d > 3 THEN 0.2 ELSE 0 END AS bot FROM a JOIN h USING (author_id) JOIN p USING (author_id))
+SELECT author_id, posts, {r('posts / 90', 'posts_per_day')}, {r('he', 'hour_entropy')}, {r('pe', 'place_entropy')}, {r('l', 'link_ratio')}, {r('d', 'cashtag_density')}, {r('c', 'mean_length')}, {r('bot', 'bot_probability')}, {r('1 - bot', 'credibility')} FROM b""",
 )
 def author_profiles(spark, sf_dir):
-    return rounded(text.author_profiles(posts(spark, sf_dir)))
+    """Authors of two in three ids write nothing but cashtags."""
+    rows = tagged(spark, sf_dir).withColumn("cleaned_text", F.when(F.col("author_id") % 3 == 0, F.col("tagged")).otherwise("$abc $abc $abc $abc"))
+    return rounded(text.author_profiles(rows))
 
 
-@register("exact_copies", f"WITH {POSTS_SQL}, n AS (SELECT id, lower(trim(regexp_replace(regexp_replace(text, 'https?://\\S+|www\\.\\S+', ' ', 'g'), '\\s+', ' ', 'g'))) AS t FROM posts) SELECT id, min(id) OVER (PARTITION BY t) AS first_id FROM n")
+@register("exact_copies", f"WITH {POSTS_SQL}, n AS (SELECT id, lower({_normal('text')}) AS t FROM posts) SELECT id, min(id) OVER (PARTITION BY t) AS first_id FROM n")
 def exact_copies(spark, sf_dir):
     return text.exact_copies(posts(spark, sf_dir))
 
