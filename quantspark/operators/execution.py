@@ -54,7 +54,9 @@ def rebalance_trades(current: DataFrame, target: DataFrame, key: str, value: flo
     """Trades that bring current weights to the targets, where the drift exceeds the threshold; largest first by rank."""
     rows = current.select(key, F.col("weight").alias("current")).join(target.select(key, F.col("weight").alias("target")), key, "full").fillna(0.0, ["current", "target"])
     rows = rows.withColumn("trade", (F.col("target") - F.col("current")) * value).where(F.abs(F.col("target") - F.col("current")) > threshold)
-    return rows.withColumn("side", F.when(F.col("trade") > 0, "buy").otherwise("sell"))
+    rows = rows.withColumn("side", F.when(F.col("trade") > 0, "buy").otherwise("sell"))
+    # One row a position: the ranks of all trades meet in one task.
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.abs("trade").desc(), key)))
 
 
 def turnover(weights: DataFrame, at: str, key: str) -> DataFrame:
@@ -111,10 +113,12 @@ def signal_quality(df: DataFrame, by: Sequence[str], signal: str, outcome: str)
     )
 
 
-def signal_decay(df: DataFrame, s: Series, signal: str, price: str, horizons: Sequence[int]) -> DataFrame:
-    """Correlation of the signal with the return over each horizon ahead."""
-    leads = df.select(*s.key, F.col(signal).cast("double").alias("__s"), *[(ratio(F.lead(price, h).over(s.window()), F.col(price)) - 1).alias(f"__h{h}") for h in horizons])
-    rows = leads.select("__s", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"__h{h}").alias("r")) for h in horizons])).alias("x")).select("__s", "x.*")
+def signal_decay(df: DataFrame, s: Series, signal: str, ret: str, horizons: Sequence[int]) -> DataFrame:
+    """Correlation of the signal with the sum of the returns of the rows after it, over each horizon; rows with fewer
+    known returns ahead are left out."""
+    ahead = lambda h: F.when(F.count(ret).over(s.after(h)) == h, F.sum(ret).over(s.after(h)))
+    sums = df.select(F.col(signal).cast("double").alias("__s"), *[ahead(h).alias(f"__h{h}") for h in horizons])
+    rows = sums.select("__s", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"__h{h}").alias("r")) for h in horizons])).alias("x")).select("__s", "x.*")
     return rows.where(F.col("r").isNotNull() & F.col("__s").isNotNull()).groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), F.corr("__s", "r").alias("ic"))
 
 

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def co_thread_edges(posts: DataFrame, author: str, by: Sequence[str]) -> DataFrame:
-    """(src, dst, weight): both directions for every two authors of a thread, weighted by shared threads.
+def co_thread_edges(posts: DataFrame, author: str, by: Sequence[str], min_interactions: int = 1) -> DataFrame:
+    """(src, dst, weight): both directions for every two authors of a thread, weighted by shared threads. Authors of
+    fewer than min_interactions posts are left out, before pairs are made.
 
     Authors count once a thread; the pairs of a thread are the result asked for.
     """
-    members = posts.select(*by, F.col(author).alias("a")).distinct()
+    rows = posts.select(*by, F.col(author).alias("a")).where(F.col("a").isNotNull())
+    if min_interactions > 1:
+        rows = rows.join(rows.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_interactions).select("a"), "a", "left_semi")
+    members = rows.distinct()
     other = members.withColumnRenamed("a", "b")
     pairs = members.join(other, list(by)).where("a <> b")
     return pairs.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))

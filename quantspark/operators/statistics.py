@@ -19,20 +19,31 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - upper).otherwise(upper)
 
 
-def black_scholes(spot: Column, strike: Column, years: Column, rate: float, vol: float) -> dict[str, Column]:
-    """Call and put price, delta, gamma and vega of European options."""
-    root = vol * F.sqrt(years)
-    d1 = (F.ln(spot / strike) + (rate + vol * vol / 2) * years) / root
+def black_scholes(spot: Column, strike: Column, years: Column, rate: float, vol: float, dividend: float = 0.0) -> dict[str, Column]:
+    """Call and put price, and Greeks of European options: vega and rho for one per cent, theta for a day. At expiry the
+    price is the inner value, delta 1 above the strike and 0 else, and the other Greeks are 0."""
+    alive = years > 0
+    time = F.when(alive, years)
+    root = vol * F.sqrt(time)
+    d1 = (F.ln(spot / strike) + (rate - dividend + vol * vol / 2) * time) / root
     d2 = d1 - root
-    disc = F.exp(-rate * years)
+    disc, carry = F.exp(-rate * time), F.exp(-dividend * time)
     density = F.exp(-d1 * d1 / 2) / math.sqrt(2 * math.pi)
-    return {
-        "call": spot * normal_cdf(d1) - strike * disc * normal_cdf(d2),
-        "put": strike * disc * normal_cdf(-d2) - spot * normal_cdf(-d1),
-        "delta": normal_cdf(d1),
-        "gamma": density / (spot * root),
-        "vega": spot * density * F.sqrt(years),
+    decay = -spot * density * vol * carry / (2 * F.sqrt(time))
+    late = F.when(spot > strike, 1.0).otherwise(0.0)
+    now = {
+        "call": (spot * carry * normal_cdf(d1) - strike * disc * normal_cdf(d2), F.greatest(spot - strike, F.lit(0.0))),
+        "put": (strike * disc * normal_cdf(-d2) - spot * carry * normal_cdf(-d1), F.greatest(strike - spot, F.lit(0.0))),
+        "delta": (carry * normal_cdf(d1), late),
+        "put_delta": (carry * (normal_cdf(d1) - 1), late),
+        "gamma": (carry * density / (spot * root), F.lit(0.0)),
+        "vega": (spot * carry * density * F.sqrt(time) / 100, F.lit(0.0)),
+        "theta": ((decay - rate * strike * disc * normal_cdf(d2) + dividend * spot * carry * normal_cdf(d1)) / 365, F.lit(0.0)),
+        "put_theta": ((decay + rate * strike * disc * normal_cdf(-d2) - dividend * spot * carry * normal_cdf(-d1)) / 365, F.lit(0.0)),
+        "rho": (strike * time * disc * normal_cdf(d2) / 100, F.lit(0.0)),
+        "put_rho": (-strike * time * disc * normal_cdf(-d2) / 100, F.lit(0.0)),
     }
+    return {name: F.when(alive, value).otherwise(expired) for name, (value, expired) in now.items()}
 
 
 def autocorrelation(df: DataFrame, s: Series = TICKS, x: str = "ret", lags: Sequence[int] = (1, 2, 3)) -> DataFrame:

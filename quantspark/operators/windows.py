@@ -11,8 +11,14 @@ from quantspark.frames import TICKS, Series, full, lag, ratio, rolling_max, roll
 
 
 def rolling_stats(df: DataFrame, s: Series = TICKS, x: str = "price", n: int = 7) -> DataFrame:
-    """Mean, std, min, max, median, and moments of the n rows; null until n rows are known."""
+    """Mean, std, min, max, median, skewness and kurtosis of the n rows; null until n rows are known.
+
+    Kurtosis is the mean fourth power of each row's distance to its own rolling mean, over the row's deviation, less 3,
+    and 0 until it is known.
+    """
     c, frame = F.col(x), s.last(n)
+    df = df.withColumn("__q", F.pow(c - rolling_mean(c, s, n), 4))
+    deviation = rolling_std(c, s, n)
     return df.withColumns(
         {
             "roll_mean": rolling_mean(c, s, n),
@@ -20,9 +26,10 @@ def rolling_stats(df: DataFrame, s: Series = TICKS, x: str = "price", n: int = 7
             "roll_min": rolling_min(c, s, n),
             "roll_max": rolling_max(c, s, n),
             "roll_median": rolling_quantile(c, s, n, 0.5),
-            "roll_kurt": full(F.kurtosis(c).over(frame), c, frame, n),
+            "roll_skew": full(F.skewness(c).over(frame), c, frame, n),
+            "roll_kurt": F.coalesce(ratio(rolling_mean(F.col("__q"), s, n), F.pow(deviation, 4)) - 3, F.lit(0.0)),
         }
-    )
+    ).drop("__q")
 
 
 def expanding_stats(df: DataFrame, s: Series = TICKS, x: str = "price", least: int = 5) -> DataFrame:

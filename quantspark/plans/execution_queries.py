@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quantspark.frames import TICKS, Series, rounded
+from quantspark.frames import Series, TICKS, rounded, simple_return
 from quantspark.operators import execution as ex
 from quantspark.operators import indicators as ind
 from quantspark.operators import risk
@@ -41,10 +41,10 @@ def transaction_costs(spark, sf_dir):
 
 @register(
     "execution_schedule",
-    "SELECT o_orderkey AS id, CAST(k AS INTEGER) AS slice, round(pow(0.8, k) / (1 + 0.8 + 0.64 + 0.512), 6) + 0.0 AS share, round(o_totalprice * pow(0.8, k) / (1 + 0.8 + 0.64 + 0.512), 4) + 0.0 AS slice_size FROM orders, range(4) t(k) WHERE o_orderkey % 10 = 0",
+    "SELECT o_orderkey AS id, CAST(k AS INTEGER) AS slice, round(pow(0.8, k) / (1 + 0.8 + 0.64 + 0.512), 6) + 0.0 AS share, round(o_totalprice * pow(0.8, k) / (1 + 0.8 + 0.64 + 0.512), 4) + 0.0 AS slice_size FROM orders, range(4) t(k)",
 )
 def execution_schedule(spark, sf_dir):
-    out = ex.execution_schedule(orders(spark, sf_dir).where("id % 10 = 0"), "id", "order_size", 4, 0.8)
+    out = ex.execution_schedule(orders(spark, sf_dir), "id", "order_size", 4, 0.8)
     return rounded(out.withColumn("slice_size", F.round("slice_size", 4)))
 
 
@@ -71,7 +71,7 @@ SIDES = f"{weights_sql('c', 'customer', 'c')}, {weights_sql('s', 'supplier', 's'
 
 @register(
     "rebalance_trades",
-    f"WITH {SIDES}, a AS (SELECT nation, coalesce(c.weight, 0) AS x, coalesce(s.weight, 0) AS y FROM c FULL JOIN s USING (nation)) SELECT nation, {r('x', 'current')}, {r('y', 'target')}, round((y - x) * 1000, 4) + 0.0 AS trade, CASE WHEN y > x THEN 'buy' ELSE 'sell' END AS side FROM a WHERE abs(y - x) > 0.01",
+    f"WITH {SIDES}, a AS (SELECT nation, coalesce(c.weight, 0) AS x, coalesce(s.weight, 0) AS y FROM c FULL JOIN s USING (nation)) SELECT nation, {r('x', 'current')}, {r('y', 'target')}, round((y - x) * 1000, 4) + 0.0 AS trade, CASE WHEN y > x THEN 'buy' ELSE 'sell' END AS side, CAST(row_number() OVER (ORDER BY abs(y - x) DESC, nation) AS INTEGER) AS rank FROM a WHERE abs(y - x) > 0.01",
 )
 def rebalance_trades(spark, sf_dir):
     out = ex.rebalance_trades(weights(spark, sf_dir, "customer", "c"), weights(spark, sf_dir, "supplier", "s"), "nation", 1000.0, 0.01)
@@ -149,10 +149,10 @@ def signal_quality(spark, sf_dir):
 
 @register(
     "signal_decay",
-    " UNION ALL ".join(f"SELECT * FROM (WITH {TICKS_SQL}, {MOM}, a AS (SELECT signal, lead(price, {h}) OVER ({W}) / price - 1 AS f FROM sg) SELECT {h} AS horizon, count(*) AS n, {r('corr(CAST(signal AS DOUBLE), f)', 'ic')} FROM a WHERE f IS NOT NULL)" for h in (1, 3, 5)),
+    " UNION ALL ".join(f"SELECT * FROM (WITH {TICKS_SQL}, {MOM}, b AS (SELECT *, {RET} AS x FROM sg), a AS (SELECT signal, CASE WHEN count(x) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) = {h} THEN sum(x) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) END AS f FROM b) SELECT {h} AS horizon, count(*) AS n, {r('corr(CAST(signal AS DOUBLE), f)', 'ic')} FROM a WHERE f IS NOT NULL)" for h in (1, 3, 5)),
 )
 def signal_decay(spark, sf_dir):
-    return rounded(ex.signal_decay(signals(spark, sf_dir), TICKS, "signal", "price", (1, 3, 5)))
+    return rounded(ex.signal_decay(signals(spark, sf_dir).withColumn("ret", simple_return("price", TICKS)), TICKS, "signal", "ret", (1, 3, 5)))
 
 
 @over_ticks("confirmed_signal", f"{MOM}, final AS (SELECT *, min(signal) OVER {rows(3)} = max(signal) OVER {rows(3)} AND count(signal) OVER {rows(3)} = 3 AS ok FROM sg)", "CASE WHEN ok THEN signal ELSE 0 END AS confirmed")

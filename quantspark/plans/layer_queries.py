@@ -13,19 +13,20 @@ from quantspark.sources import layers
 from quantspark.sources.tables import BARS_SQL, TICKS_SQL, bars, ticks
 from quantspark.streaming import windows as sw
 
-AW = "PARTITION BY asset_id ORDER BY date"
-
 
 @register(
     "gold_features",
-    f"""WITH {BARS_SQL}, m AS (SELECT asset AS asset_id, CAST(ts AS VARCHAR) AS date, close FROM bars), s AS (SELECT event_type AS asset_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, avg(value / 250 - 1) AS sentiment_index, count(*) AS post_count FROM events WHERE day(ts) % 3 = 0 GROUP BY 1, 2),
-a AS (SELECT *, close / lag(close) OVER ({AW}) - 1 AS rr FROM m), b AS (SELECT asset_id, date, lag(rr) OVER ({AW}) AS r1, lag(close) OVER ({AW}) / lag(close, 6) OVER ({AW}) - 1 AS r5,
- CASE WHEN count(rr) OVER ({AW} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) >= 2 THEN stddev_pop(rr) OVER ({AW} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) END AS v FROM a)
-SELECT b.asset_id, b.date, {r('r1', 'return_1d')}, {r('r5', 'return_5d')}, {r('v', 'volatility_30d')}, {r('coalesce(s.sentiment_index, 0)', 'sentiment_index')}, coalesce(s.post_count, 0) AS post_count FROM b ASOF LEFT JOIN s ON b.asset_id = s.asset_id AND b.date >= s.date""",
+    f"""WITH {BARS_SQL}, m AS (SELECT asset AS asset_id, CAST(ts AS DATE) AS d, close FROM bars), s AS (SELECT event_type AS asset_id, CAST(ts AS DATE) AS d, avg(value / 250 - 1) AS sentiment_index, count(*) AS post_count FROM events GROUP BY 1, 2),
+x AS (SELECT asset_id, CAST(d AS DATE) AS d FROM (SELECT DISTINCT asset_id FROM m), (SELECT unnest(range(min(d), max(d) + INTERVAL 2 DAY, INTERVAL 1 DAY)) AS d FROM m)),
+w AS (SELECT x.asset_id, x.d, list(m.close ORDER BY m.d) FILTER (m.d IS NOT NULL) AS c FROM x LEFT JOIN m ON m.asset_id = x.asset_id AND m.d BETWEEN x.d - 35 AND x.d - 1 GROUP BY 1, 2),
+v AS (SELECT *, list_transform(list_filter(range(2, coalesce(len(c), 0) + 1), lambda i: c[i] <> 0 AND c[i - 1] <> 0), lambda i: c[i] / c[i - 1] - 1) AS r FROM w),
+f AS (SELECT asset_id, d, CASE WHEN len(r) > 0 THEN r[-1] ELSE 0 END AS r1, CASE WHEN len(r) > 0 AND len(c) >= 6 AND c[-6] <> 0 THEN c[-1] / c[-6] - 1 WHEN len(r) > 0 THEN r[-1] ELSE 0 END AS r5, CASE WHEN len(r) > 0 THEN list_aggregate(r, 'stddev_pop') ELSE 0 END AS v FROM v)
+SELECT f.asset_id, CAST(f.d AS VARCHAR) AS date, {r('r1', 'return_1d')}, {r('r5', 'return_5d')}, {r('v', 'volatility_30d')}, 0.0::DOUBLE AS related_return_1, 0.0::DOUBLE AS related_return_2, 0.0::DOUBLE AS related_return_3,
+{r('coalesce(s.sentiment_index, 0)', 'sentiment_index')}, coalesce(s.post_count, 0) AS post_count FROM f ASOF LEFT JOIN s ON f.asset_id = s.asset_id AND f.d >= s.d""",
 )
 def gold_features(spark, sf_dir):
     market = bars(spark, sf_dir).select(F.col("asset").alias("asset_id"), F.col("ts").cast("string").alias("date"), "close")
-    mood = ticks(spark, sf_dir).where(F.dayofmonth("ts") % 3 == 0).groupBy(F.col("kind").alias("asset_id"), F.to_date("ts").cast("string").alias("date"))
+    mood = ticks(spark, sf_dir).groupBy(F.col("kind").alias("asset_id"), F.to_date("ts").cast("string").alias("date"))
     mood = mood.agg(F.avg(F.col("price") / 250 - 1).alias("sentiment_index"), F.count(F.lit(1)).alias("post_count"))
     return rounded(layers.gold_features(market, mood))
 
@@ -57,7 +58,11 @@ def _stream(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='quantspark-stream-')}"
+    """The shared folder; on a local master alone a temporary one does as well."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return shared or f"file://{tempfile.mkdtemp(prefix='quantspark-stream-')}"
 
 
 @register("stream_sentiment_windows", _windows_sql(240, 60, "WHERE start + INTERVAL 240 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM e)"))
@@ -78,7 +83,30 @@ def stream_trailing_stop(spark, sf_dir):
 
 @register(
     "momentum_scan",
-    f"WITH {TICKS_SQL} SELECT kind, time_bucket(INTERVAL 60 MINUTE, ts) AS start, count(*) AS n, {r('arg_max(price, ts) / arg_min(price, ts) - 1', 'change')} FROM ticks GROUP BY 1, 2 HAVING abs(arg_max(price, ts) / arg_min(price, ts) - 1) >= 0.05",
+    f"""WITH {TICKS_SQL}, a AS (SELECT *, count(*) OVER w AS n, first_value(price) OVER w AS first FROM ticks WINDOW w AS (PARTITION BY asset ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW))
+SELECT asset, tie, n, {r('price / first - 1', 'change')} FROM a WHERE n >= 2 AND abs(price / first - 1) >= 0.05""",
 )
 def momentum_scan(spark, sf_dir):
-    return rounded(sw.momentum_scan(ticks(spark, sf_dir), ["kind"], every="60 minutes", least=0.05))
+    return rounded(sw.momentum_scan(ticks(spark, sf_dir), seconds=86_400, least=0.05).select("asset", "tie", "n", "change"))
+
+
+@register(
+    "stream_momentum_scan",
+    f"""WITH {TICKS_SQL}, a AS (SELECT *, first_value(price) OVER w AS first, count(*) OVER w AS n FROM ticks WINDOW w AS (PARTITION BY asset ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW))
+SELECT asset, ts, price, {r('price / first - 1', 'change')} FROM a WHERE n >= 2 AND abs(price / first - 1) >= 0.05""",
+)
+def stream_momentum_scan(spark, sf_dir):
+    """The same rows from a stream."""
+    rows = _stream(spark, sf_dir).select(F.col("user_id").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"))
+    return rounded(sw.run_available(sw.stream_momentum(rows, seconds=86_400, least=0.05), _folder(spark), "moves"))
+
+
+@register(
+    "sentiment_signal",
+    f"""WITH {WEIGHED}, x AS (SELECT *, time_bucket(INTERVAL 60 MINUTE, ts) AS start FROM e), w AS (SELECT asset, start, count(*) AS n, sum(sentiment * w) / sum(w) AS s, stddev_pop(sentiment) AS v FROM x GROUP BY 1, 2),
+k AS (SELECT *, greatest(-1, least(1, s - lag(s) OVER o)) AS momentum, avg(s) OVER p AS m, stddev_samp(s) OVER p AS sd, count(s) OVER p AS c FROM w WINDOW o AS (PARTITION BY asset ORDER BY start), p AS (PARTITION BY asset ORDER BY start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
+SELECT asset, start, n, {r('s', 'sentiment')}, {r('v', 'std')}, {r('coalesce(momentum, 0)', 'momentum')}, {r('CASE WHEN c >= 5 AND sd > 0 THEN 1 / (1 + exp(2 - abs(s - m) / sd)) ELSE 0 END', 'anomaly')}, CASE WHEN s > 0.2 THEN 1 WHEN s < -0.2 THEN -1 ELSE 0 END AS signal, {r('least(1, n / 30)', 'confidence')} FROM k""",
+)
+def sentiment_signal(spark, sf_dir):
+    windows = sw.sentiment_windows(moods(spark.read.parquet(f"{sf_dir}/events.parquet")), 60, 60)
+    return rounded(sw.window_moves(sw.window_signal(windows)).drop("end"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantspark.frames import TICKS, rounded
+from quantspark.frames import TICKS, Series, rounded
 from quantspark.operators import quality as q
 from quantspark.operators import windows as win
-from quantspark.plans.indicator_queries import W, fullw, over_ticks, pick, r
+from quantspark.plans.indicator_queries import W, fullw, over_ticks, pick, r, rows
 from quantspark.plans.registry import register
 from quantspark.sources.tables import BARS_SQL, TICKS_SQL, bars, ticks
 
@@ -15,11 +15,12 @@ from quantspark.sources.tables import BARS_SQL, TICKS_SQL, bars, ticks
 @over_ticks(
     "rolling_stats",
     f"""a AS (SELECT *, {fullw('avg(price)', 'price', 7)} AS m, {fullw('stddev_samp(price)', 'price', 7)} AS sd, {fullw('min(price)', 'price', 7)} AS lo, {fullw('max(price)', 'price', 7)} AS hi,
- {fullw('quantile_cont(price, 0.5)', 'price', 7)} AS med, {fullw('kurtosis_pop(price)', 'price', 7)} AS ku FROM ticks), final AS (SELECT * FROM a)""",
-    ", ".join(r(a, b) for a, b in (("m", "roll_mean"), ("sd", "roll_std"), ("lo", "roll_min"), ("hi", "roll_max"), ("med", "roll_median"), ("ku", "roll_kurt"))),
+ {fullw('quantile_cont(price, 0.5)', 'price', 7)} AS med, price - {fullw('avg(price)', 'price', 7)} AS g,
+ list(price) OVER {rows(7)} AS l FROM ticks), final AS (SELECT *, {fullw('avg(pow(g, 4))', 'g', 7)} / nullif(pow(sd, 4), 0) - 3 AS ku, list_avg(list_transform(l, lambda y: pow(y - m, 3))) / nullif(pow(list_avg(list_transform(l, lambda y: pow(y - m, 2))), 1.5), 0) AS sk FROM a)""",
+    ", ".join(r(a, b) for a, b in (("m", "roll_mean"), ("sd", "roll_std"), ("lo", "roll_min"), ("hi", "roll_max"), ("med", "roll_median"), ("CASE WHEN len(l) = 7 THEN sk END", "roll_skew"), ("coalesce(ku, 0)", "roll_kurt"))),
 )
 def rolling_stats(spark, sf_dir):
-    return pick(win.rolling_stats(ticks(spark, sf_dir)), "roll_mean", "roll_std", "roll_min", "roll_max", "roll_median", "roll_kurt")
+    return pick(win.rolling_stats(ticks(spark, sf_dir)), "roll_mean", "roll_std", "roll_min", "roll_max", "roll_median", "roll_skew", "roll_kurt")
 
 
 SOFAR = f"({W} ROWS UNBOUNDED PRECEDING)"
@@ -202,13 +203,13 @@ def ohlcv_quality(spark, sf_dir):
 
 @register(
     "date_gaps",
-    f"""WITH {BARS_SQL}, a AS (SELECT asset, ts, lag(ts) OVER ({W}) AS b FROM bars WHERE day(ts) % 4 <> 0 AND day(ts) % 6 <> 1),
+    f"""WITH {TICKS_SQL}, t AS (SELECT DISTINCT asset, CAST(ts AS DATE) AS ts FROM ticks), a AS (SELECT asset, ts, lag(ts) OVER (PARTITION BY asset ORDER BY ts) AS b FROM t),
 d AS (SELECT *, list_filter(range(1, date_diff('day', b, ts)), lambda k: isodow(b + CAST(k AS INTEGER)) < 6) AS miss FROM a WHERE date_diff('day', b, ts) > 1)
 SELECT asset, CAST(CAST(b + 1 AS DATE) AS VARCHAR) AS gap_start, CAST(CAST(ts - 1 AS DATE) AS VARCHAR) AS gap_end, CAST(len(miss) AS INTEGER) AS missing FROM d WHERE len(miss) > 0""",
 )
 def date_gaps(spark, sf_dir):
-    kept = bars(spark, sf_dir).where((F.dayofmonth("ts") % 4 != 0) & (F.dayofmonth("ts") % 6 != 1))
-    gaps = q.day_gaps(kept, TICKS)
+    days = ticks(spark, sf_dir).select("asset", F.to_date("ts").alias("ts")).distinct()
+    gaps = q.day_gaps(days, Series(order=("ts",)))
     return gaps.select("asset", F.col("gap_start").cast("string").alias("gap_start"), F.col("gap_end").cast("string").alias("gap_end"), "missing")
 
 
@@ -219,11 +220,13 @@ def dedupe_keep_last(spark, sf_dir):
 
 @register(
     "upsert",
-    f"WITH {TICKS_SQL}, n AS (SELECT tie, price + 1 AS price FROM ticks WHERE tie % 5 = 0) SELECT tie, round(price, 6) + 0.0 AS price FROM n UNION ALL SELECT tie, round(price, 6) + 0.0 FROM ticks WHERE tie % 3 = 0 AND tie NOT IN (SELECT tie FROM n)",
+    f"WITH {TICKS_SQL} SELECT tie, round(CASE WHEN price >= 250 THEN price + 1 ELSE price END, 6) + 0.0 AS price FROM ticks UNION ALL SELECT -1 - tie, round(price + 1, 6) + 0.0 FROM ticks WHERE price < 5",
 )
 def upsert(spark, sf_dir):
-    rows_ = ticks(spark, sf_dir).select("tie", "price")
-    return rounded(q.upsert(rows_.where("tie % 3 = 0"), rows_.where("tie % 5 = 0").withColumn("price", F.col("price") + 1), ["tie"]))
+    """All ticks; high prices have changed and low ones came with new numbers."""
+    base = ticks(spark, sf_dir).select("tie", "price")
+    changed = base.where("price >= 250").unionByName(base.where("price < 5").withColumn("tie", -1 - F.col("tie")))
+    return rounded(q.upsert(base, changed.withColumn("price", F.col("price") + 1), ["tie"]))
 
 
 @register(

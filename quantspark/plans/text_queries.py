@@ -168,10 +168,10 @@ def exact_copies(spark, sf_dir):
 
 @register(
     "co_thread_edges",
-    f"WITH {POSTS_SQL}, m AS (SELECT DISTINCT subreddit, date, author_id FROM posts) SELECT x.author_id AS src, y.author_id AS dst, count(*) AS weight FROM m x JOIN m y ON x.subreddit = y.subreddit AND x.date = y.date AND x.author_id <> y.author_id GROUP BY 1, 2",
+    f"WITH {POSTS_SQL}, m AS (SELECT DISTINCT subreddit, date, author_id FROM posts WHERE author_id IN (SELECT author_id FROM posts GROUP BY 1 HAVING count(*) >= 3)) SELECT x.author_id AS src, y.author_id AS dst, count(*) AS weight FROM m x JOIN m y ON x.subreddit = y.subreddit AND x.date = y.date AND x.author_id <> y.author_id GROUP BY 1, 2",
 )
 def co_thread_edges(spark, sf_dir):
-    return graph.co_thread_edges(posts(spark, sf_dir), "author_id", ["subreddit", "date"])
+    return graph.co_thread_edges(posts(spark, sf_dir), "author_id", ["subreddit", "date"], min_interactions=3)
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -247,7 +247,9 @@ def deflated_sharpe(spark, sf_dir):
 @register(
     "black_scholes",
     f"""WITH a AS (SELECT p_partkey AS id, p_retailprice AS s, p_retailprice * 1.05 AS x, p_size / 50.0::DOUBLE AS t FROM part), b AS (SELECT *, (ln(s / x) + (0.03 + 0.02) * t) / (0.2 * sqrt(t)) AS d1 FROM a), c AS (SELECT *, d1 - 0.2 * sqrt(t) AS d2 FROM b)
-SELECT id, {r(f"s * {cdf('d1')} - x * exp(-0.03 * t) * {cdf('d2')}", 'call')}, {r(f"x * exp(-0.03 * t) * {cdf('(-d2)')} - s * {cdf('(-d1)')}", 'put')}, {r(cdf('d1'), 'delta')}, {r('exp(-d1 * d1 / 2) / sqrt(2 * pi()) / (s * 0.2 * sqrt(t))', 'gamma')}, {r('s * exp(-d1 * d1 / 2) / sqrt(2 * pi()) * sqrt(t)', 'vega')} FROM c""",
+SELECT id, {r(f"s * {cdf('d1')} - x * exp(-0.03 * t) * {cdf('d2')}", 'call')}, {r(f"x * exp(-0.03 * t) * {cdf('(-d2)')} - s * {cdf('(-d1)')}", 'put')}, {r(cdf('d1'), 'delta')}, {r(cdf('d1') + ' - 1', 'put_delta')}, {r('exp(-d1 * d1 / 2) / sqrt(2 * pi()) / (s * 0.2 * sqrt(t))', 'gamma')}, {r('s * exp(-d1 * d1 / 2) / sqrt(2 * pi()) * sqrt(t) / 100', 'vega')},
+{r(f"(-s * exp(-d1 * d1 / 2) / sqrt(2 * pi()) * 0.2 / (2 * sqrt(t)) - 0.03 * x * exp(-0.03 * t) * {cdf('d2')}) / 365", 'theta')}, {r(f"(-s * exp(-d1 * d1 / 2) / sqrt(2 * pi()) * 0.2 / (2 * sqrt(t)) + 0.03 * x * exp(-0.03 * t) * {cdf('(-d2)')}) / 365", 'put_theta')},
+{r(f"x * t * exp(-0.03 * t) * {cdf('d2')} / 100", 'rho')}, {r(f"-x * t * exp(-0.03 * t) * {cdf('(-d2)')} / 100", 'put_rho')} FROM c""",
 )
 def black_scholes(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -277,5 +279,5 @@ def turbulence(spark, sf_dir):
 
 @register("monte_carlo")
 def monte_carlo(spark, sf_dir):
-    stats = returns(spark, sf_dir).where("ret between -0.5 and 0.5").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s")).first()
-    return portfolio.monte_carlo(spark, stats["m"], stats["s"], paths=2_000, horizon=60)
+    stats = returns(spark, sf_dir).agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s")).first()
+    return portfolio.monte_carlo(spark, stats["m"] or 0.0, stats["s"] or 0.0)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -36,12 +37,53 @@ def window_signal(windows: DataFrame, strong: float = 0.2, enough: int = 30) ->
     return windows.withColumn("signal", direction).withColumn("confidence", F.least(F.lit(1.0), F.col("n") / enough))
 
 
-def momentum_scan(ticks: DataFrame, by: Sequence[str] = ("asset",), ts: str = "ts", price: str = "price", every: str = "60 seconds", least: float = 0.0, late: str = "10 minutes") -> DataFrame:
-    """Change from the first to the last price of each window, where it is large enough."""
-    rows = ticks.withWatermark(ts, late) if ticks.isStreaming else ticks
-    out = rows.groupBy(*by, F.window(ts, every).alias("w")).agg(F.min_by(price, ts).alias("first"), F.max_by(price, ts).alias("last"), F.count(F.lit(1)).alias("n"))
-    change = F.col("last") / F.when(F.col("first") != 0, F.col("first")) - 1
-    return out.select(*by, F.col("w.start").alias("start"), "n", change.alias("change")).where(F.abs("change") >= least)
+def window_moves(windows: DataFrame, by: Sequence[str] = ("asset",), look_back: int = 24, least: int = 5) -> DataFrame:
+    """momentum: change of sentiment from the window before, in [-1, 1], 0 for the first. anomaly: a sigmoid of how many
+    deviations the sentiment lies off the look_back windows before (half at two), 0 with fewer than least of them."""
+    s = Window.partitionBy(*by).orderBy("start")
+    past = s.rowsBetween(-look_back, -1)
+    x = F.col("sentiment")
+    change = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x - F.lag(x).over(s)))
+    spread = F.stddev_samp(x).over(past)
+    off = F.abs(x - F.avg(x).over(past)) / F.when(spread > 0, spread)
+    anomaly = F.when((F.count(x).over(past) >= least) & (spread > 0), 1 / (1 + F.exp(2 - off))).otherwise(0.0)
+    return windows.withColumn("momentum", F.coalesce(change, F.lit(0.0))).withColumn("anomaly", anomaly)
+
+
+def momentum_scan(ticks: DataFrame, by: Sequence[str] = ("asset",), ts: str = "ts", price: str = "price", seconds: int = 60, least: float = 0.02) -> DataFrame:
+    """Rows whose price has moved by at least least from the oldest one of the trailing seconds; n rows lie in them."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    frame = Window.partitionBy(*by).orderBy("__us").rangeBetween(-seconds * 1_000_000, 0)
+    rows = ticks.withColumn("__us", at).withColumn("n", F.count(F.lit(1)).over(frame)).withColumn("__first", F.first(price).over(frame))
+    change = F.col(price) / F.when(F.col("__first") != 0, F.col("__first")) - 1
+    return rows.withColumn("change", change).where((F.col("n") >= 2) & (F.abs("change") >= least)).drop("__us", "__first")
+
+
+def stream_momentum(ticks: DataFrame, seconds: int = 60, least: float = 0.02, late: str = "10 minutes") -> DataFrame:
+    """The same from a stream of (asset, ts, price): (asset, ts, price, change). The state of a key is the trailing rows;
+    it goes when event time has passed them."""
+
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times, prices = (list(x) for x in state.get) if state.exists else ([], [])
+        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        changes = []
+        for t, p in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["price"], strict=True):
+            times.append(int(t))
+            prices.append(float(p))
+            keep = bisect_left(times, int(t) - seconds * 1_000_000)
+            del times[:keep], prices[:keep]
+            changes.append(float(p) / prices[0] - 1 if len(prices) > 1 and prices[0] else None)
+        state.update((times, prices))
+        state.setTimeoutTimestamp(max(times[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        out = rows[["ts", "price"]].assign(asset=key[0], change=pd.array(changes, "Float64").astype("float64"))
+        yield out[out["change"].abs() >= least][["asset", "ts", "price", "change"]]
+
+    kind = dict(ticks.dtypes)["asset"]
+    rows = ticks.select("asset", "ts", "price").withWatermark("ts", late)
+    return rows.groupBy("asset").applyInPandasWithState(advance, f"asset {kind}, ts timestamp, price double, change double", "times array<long>, prices array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stop_states(ticks: DataFrame, fraction: float = 0.1) -> DataFrame:

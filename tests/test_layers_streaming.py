@@ -8,7 +8,7 @@ from quantspark.streaming import windows
 
 
 def post(i, **more):
-    return {"id": f"p{i}", "author_id": f"u{i % 2}", "created_utc": 1700000000.0 + 86400 * (i // 3), "retrieved_at": "2023", "subreddit": "stocks", "title": f"Buy $TSLA post {i}", "selftext": "great and good", "score": 1, "num_comments": 0, "url": "", "permalink": ""} | more
+    return {"id": f"p{i}", "author_id": f"u{i % 2}", "created_utc": 1700000000.0 + 86400 * (i // 3), "retrieved_at": "2023", "subreddit": "stocks", "title": f"Buy $TSLA post {i} first{i} second{i} third{i}", "selftext": "great and good", "score": 1, "num_comments": 0, "url": "", "permalink": ""} | more
 
 
 def test_layers_round_trip(spark, tmp_path):
@@ -17,7 +17,7 @@ def test_layers_round_trip(spark, tmp_path):
     for i in range(6):
         (raw / f"p{i}.json").write_text(json.dumps(post(i)))
     (raw / "again.json").write_text(json.dumps(post(0, retrieved_at="2024", title="Sell $AAPL")))
-    (raw / "copy.json").write_text(json.dumps(post(9, title="Buy  $TSLA post 1")))
+    (raw / "copy.json").write_text(json.dumps(post(9, title="Buy  $TSLA post 1 first1 second1 third1")))
     (raw / "broken.json").write_text("{not json")
     posts, corrupt = layers.read_posts(spark, str(tmp_path / "raw"))
     assert corrupt.count() == 1
@@ -28,17 +28,18 @@ def test_layers_round_trip(spark, tmp_path):
     bronze = layers.read_days(spark, str(tmp_path / "bronze"))
     assert bronze.count() == 7
     aliases = spark.createDataFrame([("tesla", "TSLA")], "alias string, asset_id string")
-    silver = layers.silver_posts(bronze, aliases)
+    tickers = spark.createDataFrame([("TSLA", False), ("AAPL", False)], "asset_id string, crypto boolean")
+    silver = layers.silver_posts(bronze, aliases, tickers)
     assert silver.count() == 6
     lexicon = spark.createDataFrame([("great", 1.0), ("good", 0.5)], "word string, score double")
     weights = spark.createDataFrame([("u0", 2.0)], "author_id string, weight double")
     daily = {(r.date, r.asset_id): (round(r.sentiment_index, 6), r.post_count) for r in layers.daily_sentiment(silver, lexicon, weights).collect()}
     assert daily[("2023-11-14", "AAPL")] == (0.75, 1) and daily[("2023-11-14", "TSLA")] == (0.75, 2)
     market = spark.createDataFrame([("TSLA", f"2023-11-{d:02d}", 100.0 + d) for d in range(10, 20)], "asset_id string, date string, close double")
-    gold = {r.date: r for r in layers.gold_features(market, layers.daily_sentiment(silver, lexicon, weights), related=["TSLA"]).collect()}
+    gold = {r.date: r for r in layers.gold_features(market, layers.daily_sentiment(silver, lexicon, weights)).collect()}
     assert gold["2023-11-13"].sentiment_index == 0.0 and gold["2023-11-14"].sentiment_index == 0.75
-    assert gold["2023-11-12"].return_1d == 111 / 110 - 1 and gold["2023-11-12"].related_return_1 == 111 / 110 - 1
-    assert gold["2023-11-11"].return_1d is None
+    assert gold["2023-11-12"].return_1d == 111 / 110 - 1 and gold["2023-11-12"].related_return_1 == 0
+    assert gold["2023-11-11"].return_1d == 0 and gold["2023-11-20"].return_5d == 119 / 114 - 1 and len(gold) == 11
 
 
 def test_stream_gives_the_batch_windows(spark, tmp_path):
