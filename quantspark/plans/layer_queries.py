@@ -101,12 +101,16 @@ def stream_momentum_scan(spark, sf_dir):
     return rounded(sw.run_available(sw.stream_momentum(rows, seconds=86_400, least=0.05), _folder(spark), "moves"))
 
 
+def _window_part(minutes: int) -> str:
+    return f"w{minutes} AS (SELECT asset, time_bucket(INTERVAL 60 MINUTE, ts) - INTERVAL (k * 60) MINUTE + INTERVAL {minutes} MINUTE AS e, count(*) AS n, sum(sentiment * w) / sum(w) AS m, stddev_pop(sentiment) AS s FROM e, range({minutes // 60}) t(k) GROUP BY 1, 2)"
+
+
 @register(
     "sentiment_signal",
-    f"""WITH {WEIGHED}, x AS (SELECT *, time_bucket(INTERVAL 60 MINUTE, ts) AS start FROM e), w AS (SELECT asset, start, count(*) AS n, sum(sentiment * w) / sum(w) AS s, stddev_pop(sentiment) AS v FROM x GROUP BY 1, 2),
-k AS (SELECT *, greatest(-1, least(1, s - lag(s) OVER o)) AS momentum, avg(s) OVER p AS m, stddev_samp(s) OVER p AS sd, count(s) OVER p AS c FROM w WINDOW o AS (PARTITION BY asset ORDER BY start), p AS (PARTITION BY asset ORDER BY start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
-SELECT asset, start, n, {r('s', 'sentiment')}, {r('v', 'std')}, {r('coalesce(momentum, 0)', 'momentum')}, {r('CASE WHEN c >= 5 AND sd > 0 THEN 1 / (1 + exp(2 - abs(s - m) / sd)) ELSE 0 END', 'anomaly')}, CASE WHEN s > 0.2 THEN 1 WHEN s < -0.2 THEN -1 ELSE 0 END AS signal, {r('least(1, n / 30)', 'confidence')} FROM k""",
+    f"""WITH {WEIGHED}, {_window_part(60)}, {_window_part(240)}, {_window_part(1440)}, j AS (SELECT a.asset, a.e, a.n, a.m, a.s, b.m AS mm, c.m AS lm, c.s AS ls, row_number() OVER (PARTITION BY a.asset ORDER BY a.e) - 1 AS k FROM w60 a JOIN w240 b USING (asset, e) JOIN w1440 c USING (asset, e))
+SELECT asset, e AS "end", n, {r('m', 'sentiment')}, {r('s', 'std')}, {r('CASE WHEN mm = 0 THEN 0 ELSE greatest(-1, least(1, (m - mm) / abs(mm))) END', 'momentum')}, {r('CASE WHEN k >= 10 AND ls <> 0 AND abs(m - lm) / ls >= 1.5 THEN 1 / (1 + exp(-0.5 * (abs(m - lm) / nullif(ls, 0) - 1.5))) ELSE 0 END', 'anomaly')}, {r('least(n / 30, 1)', 'confidence')} FROM j""",
 )
 def sentiment_signal(spark, sf_dir):
-    windows = sw.sentiment_windows(moods(spark.read.parquet(f"{sf_dir}/events.parquet")), 60, 60)
-    return rounded(sw.window_moves(sw.window_signal(windows)).drop("end"))
+    events = moods(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    short, medium, long = (sw.sentiment_windows(events, minutes, 60) for minutes in (60, 240, 1440))
+    return rounded(sw.mood_signal(short, medium, long, far=1.5).select("asset", "end", "n", "sentiment", "std", "momentum", "anomaly", "confidence"))

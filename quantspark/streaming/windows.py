@@ -37,17 +37,21 @@ def window_signal(windows: DataFrame, strong: float = 0.2, enough: int = 30) ->
     return windows.withColumn("signal", direction).withColumn("confidence", F.least(F.lit(1.0), F.col("n") / enough))
 
 
-def window_moves(windows: DataFrame, by: Sequence[str] = ("asset",), look_back: int = 24, least: int = 5) -> DataFrame:
-    """momentum: change of sentiment from the window before, in [-1, 1], 0 for the first. anomaly: a sigmoid of how many
-    deviations the sentiment lies off the look_back windows before (half at two), 0 with fewer than least of them."""
-    s = Window.partitionBy(*by).orderBy("start")
-    past = s.rowsBetween(-look_back, -1)
-    x = F.col("sentiment")
-    change = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x - F.lag(x).over(s)))
-    spread = F.stddev_samp(x).over(past)
-    off = F.abs(x - F.avg(x).over(past)) / F.when(spread > 0, spread)
-    anomaly = F.when((F.count(x).over(past) >= least) & (spread > 0), 1 / (1 + F.exp(2 - off))).otherwise(0.0)
-    return windows.withColumn("momentum", F.coalesce(change, F.lit(0.0))).withColumn("anomaly", anomaly)
+def mood_signal(short: DataFrame, medium: DataFrame, long: DataFrame, by: Sequence[str] = ("asset",), least: int = 10, far: float = 2.5, enough: int = 30) -> DataFrame:
+    """One row per end of a short window: sentiment and volatility of it, momentum, anomaly and confidence.
+
+    Momentum is the change from the medium to the short mean relative to the medium one, in [-1, 1], 0 where that is 0.
+    Anomaly is 0 unless the short mean lies at least far deviations off the long one, then a sigmoid of the distance
+    beyond far; the first least signals of a key have none. Windows of equal end belong together.
+    """
+    part = lambda w, name: w.select(*by, "end", F.col("sentiment").alias(f"{name}_mean"), F.col("std").alias(f"{name}_std"))
+    rows = short.join(part(medium, "medium"), [*by, "end"]).join(part(long, "long"), [*by, "end"])
+    earlier = F.row_number().over(Window.partitionBy(*by).orderBy("end")) - 1
+    m = F.col("medium_mean")
+    momentum = F.when(m == 0, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("sentiment") - m) / F.abs(F.when(m != 0, m)))))
+    off = F.abs(F.col("sentiment") - F.col("long_mean")) / F.when(F.col("long_std") != 0, F.col("long_std"))
+    anomaly = F.when((earlier >= least) & (off >= far), 1 / (1 + F.exp(-0.5 * (off - far)))).otherwise(0.0)
+    return rows.withColumns({"momentum": momentum, "anomaly": anomaly, "confidence": F.least(F.col("n") / enough, F.lit(1.0))})
 
 
 def momentum_scan(ticks: DataFrame, by: Sequence[str] = ("asset",), ts: str = "ts", price: str = "price", seconds: int = 60, least: float = 0.02) -> DataFrame:
