@@ -56,7 +56,7 @@ def rebalance_trades(current: DataFrame, target: DataFrame, key: str, value: flo
     rows = rows.withColumn("trade", (F.col("target") - F.col("current")) * value).where(F.abs(F.col("target") - F.col("current")) > threshold)
     rows = rows.withColumn("side", F.when(F.col("trade") > 0, "buy").otherwise("sell"))
     # One row a position: the ranks of all trades meet in one task.
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.abs("trade").desc(), key)))
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.round(F.abs("trade"), 9).desc(), key)))
 
 
 def turnover(weights: DataFrame, at: str, key: str) -> DataFrame:

@@ -46,17 +46,22 @@ def predict_up(df: DataFrame, models: Sequence[PipelineModel], features: Sequenc
     return out.groupBy(*key).agg(F.max("label").alias("label"), F.avg("p").alias("prob_up"))
 
 
+#: Rows among which one task deals values anew.
+DEALT = 50_000
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], seed: int = 7) -> DataFrame:
     """(feature, importance): loss of area under the curve when one feature is dealt anew among the rows.
 
-    Rows swap values within hash buckets, by joining their numbers in two orders.
+    Rows swap values within hash buckets of about DEALT rows, by joining their numbers in two orders.
     """
     rows = df.where(F.col("label").isNotNull()).dropna(subset=list(features))
     judge = BinaryClassificationEvaluator(labelCol="label")
     base = judge.evaluate(model.transform(rows))
+    buckets = max(1, rows.count() // DEALT)
     found = []
     for feature in features:
-        bucket = rows.withColumn("__b", F.pmod(F.xxhash64(*[F.col(c) for c in features]), F.lit(997)))
+        bucket = rows.withColumn("__b", F.pmod(F.xxhash64(*[F.col(c) for c in features]), F.lit(buckets)))
         a = Window.partitionBy("__b").orderBy(F.xxhash64(*features, F.lit(seed)))
         values = bucket.select("__b", F.row_number().over(Window.partitionBy("__b").orderBy(F.xxhash64(*features, F.lit(seed + 1)))).alias("__n"), F.col(feature).alias("__v"))
         mixed = bucket.withColumn("__n", F.row_number().over(a)).drop(feature).join(values, ["__b", "__n"]).withColumnRenamed("__v", feature)
@@ -83,20 +88,21 @@ def crossover_score(prices: np.ndarray, fast: int, slow: int, cost: float = 0.00
 
 
 def parameter_search(df: DataFrame, s: Series, grid: dict[str, Sequence], score: Callable[..., float] = crossover_score, price: str = "price") -> DataFrame:
-    """(key, parameters, score) for every series and every combination; each pair is a task's work by itself."""
+    """(key, parameters, score) for every series and every combination. A series is shuffled once, key, order and price
+    alone, and scored under all combinations where it lies."""
     names = list(grid)
     combos = [dict(zip(names, values, strict=True)) for values in itertools.product(*grid.values())]
-    keyed = df.withColumn("__combo", F.explode(F.sequence(F.lit(0), F.lit(len(combos) - 1))))
     kinds = dict(df.dtypes)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        chosen = combos[int(frame["__combo"].iloc[0])]
         prices = frame.sort_values(list(s.order), kind="stable")[price].to_numpy(float)
-        row = {k: [frame[k].iloc[0]] for k in s.key} | {n: [chosen[n]] for n in names} | {"score": [score(prices, **chosen)]}
-        return pd.DataFrame(row)
+        rows = pd.DataFrame(combos).assign(score=[score(prices, **c) for c in combos])
+        for k in s.key:
+            rows[k] = frame[k].iloc[0]
+        return rows[[*s.key, *names, "score"]]
 
     schema = ", ".join([f"{k} {kinds[k]}" for k in s.key] + [f"{n} {'long' if isinstance(grid[n][0], int) else 'double'}" for n in names] + ["score double"])
-    return keyed.groupBy(*s.key, "__combo").applyInPandas(run, schema)
+    return df.select(*s.key, *s.order, price).groupBy(*s.key).applyInPandas(run, schema)
 
 
 def best_parameters(scores: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:

@@ -59,11 +59,14 @@ def hierarchical_risk_parity(matrix: np.ndarray) -> np.ndarray:
     n = len(matrix)
     d = np.sqrt(np.diag(matrix))
     distance = np.sqrt(np.clip((1 - matrix / np.outer(d, d)) / 2, 0, 1))
-    groups = [[i] for i in range(n)]
-    while len(groups) > 1:
-        near = min(((min(distance[i, j] for i in a for j in b), x, y) for x, a in enumerate(groups) for y, b in enumerate(groups) if x < y))
-        groups[near[1]] = groups[near[1]] + groups[near[2]]
-        del groups[near[2]]
+    groups: list[list[int]] = [[i] for i in range(n)]
+    between = distance + np.diag(np.full(n, np.inf))
+    for _ in range(n - 1):
+        x, y = sorted(divmod(int(between.argmin()), n))
+        groups[x] = groups[x] + groups[y]
+        # The nearer of the two counts for the group that they make; the other leaves the table.
+        between[x] = between[:, x] = np.minimum(between[x], between[y])
+        between[x, x] = between[y] = between[:, y] = np.inf
     w = np.ones(n)
     todo = [groups[0]]
 

@@ -9,7 +9,7 @@ from quantspark.plans.indicator_queries import RET, W, over_bars, over_ticks, pi
 from quantspark.plans.registry import register
 from quantspark.plans.report_queries import returns
 from quantspark.plans.series_queries import SOFAR
-from quantspark.sources.tables import bars, ticks
+from quantspark.sources.tables import TICKS_SQL, bars, ticks
 
 
 def fold(x: str, alpha: float, where: str = "") -> str:
@@ -83,17 +83,47 @@ def garch(spark, sf_dir):
     return pick(k.garch(returns(spark, sf_dir)).withColumn("variance", F.round("variance", 5)), "variance")
 
 
-@register("cusum_alarms")
+def walk(rows: str, start: str, step: str) -> str:
+    """State row by row: rows names (asset, i, tie, x) with i from 1, start gives the state before, step the state after
+    from that (s) and the row (n)."""
+    return f"WITH RECURSIVE {rows}, st AS (SELECT asset, 0::BIGINT AS i, {start} FROM (SELECT DISTINCT asset FROM n) UNION ALL SELECT n.asset, n.i, {step} FROM st s JOIN n ON n.asset = s.asset AND n.i = s.i + 1)"
+
+
+NUMBERED = f"n AS (SELECT asset, row_number() OVER ({W}) AS i, tie, "
+UP, DOWN = "greatest(0, s.up + n.x - 0.5)", "greatest(0, s.down - n.x - 0.5)"
+
+
+@register(
+    "cusum_alarms",
+    walk(f"{TICKS_SQL}, {NUMBERED}coalesce((price - avg(price) OVER (PARTITION BY asset)) / nullif(stddev_pop(price) OVER (PARTITION BY asset), 0), 0) AS x FROM ticks)", "0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 0 AS alarm", f"CASE WHEN {UP} > 5 OR {DOWN} > 5 THEN 0 ELSE {UP} END, CASE WHEN {UP} > 5 OR {DOWN} > 5 THEN 0 ELSE {DOWN} END, CASE WHEN {UP} > 5 THEN 1 WHEN {DOWN} > 5 THEN -1 ELSE 0 END")
+    + " SELECT n.asset, n.tie, alarm FROM st JOIN n USING (asset, i)",
+)
 def cusum_alarms(spark, sf_dir):
     return pick(k.cusum(ticks(spark, sf_dir)), "alarm")
 
 
-@register("kalman_level")
+@register(
+    "kalman_level",
+    walk(f"{TICKS_SQL}, {NUMBERED}price AS x, first_value(price) OVER ({W}) AS x0 FROM ticks)", "CAST(NULL AS DOUBLE) AS level, 1.0::DOUBLE AS spread", "coalesce(s.level, n.x0) + (s.spread + 0.001) / (s.spread + 0.101) * (n.x - coalesce(s.level, n.x0)), (s.spread + 0.001) * (1 - (s.spread + 0.001) / (s.spread + 0.101))")
+    + f" SELECT n.asset, n.tie, {r('level', 'level')} FROM st JOIN n USING (asset, i)",
+)
 def kalman_level(spark, sf_dir):
     return pick(k.kalman_level(ticks(spark, sf_dir)), "level")
 
 
-@register("circuit_breaker")
+GROWN = "(s.equity * (1 + n.x))"
+HIGH = f"greatest(s.peak, {GROWN})"
+
+
+@register(
+    "circuit_breaker",
+    walk(
+        f"{TICKS_SQL}, m AS (SELECT *, coalesce({RET}, 0) AS ret FROM ticks), {NUMBERED}ret AS x FROM m)",
+        "1.0::DOUBLE AS equity, 1.0::DOUBLE AS peak, 0 AS wait, true AS trading",
+        f"CASE WHEN s.wait > 0 THEN s.equity ELSE {GROWN} END, CASE WHEN s.wait > 1 THEN s.peak WHEN s.wait = 1 THEN s.equity ELSE {HIGH} END, CASE WHEN s.wait > 0 THEN s.wait - 1 WHEN {GROWN} < {HIGH} * 0.8 THEN 5 ELSE 0 END, s.wait = 0",
+    )
+    + f" SELECT n.asset, n.tie, trading, {r('equity', 'equity')} FROM st JOIN n USING (asset, i)",
+)
 def circuit_breaker(spark, sf_dir):
     return pick(k.circuit_breaker(returns(spark, sf_dir)), "trading", "equity")
 

@@ -7,41 +7,47 @@ from pyspark.sql import functions as F
 from quantspark.frames import TICKS, rounded
 from quantspark.operators import models as md
 from quantspark.operators import text, windows
-from quantspark.plans.indicator_queries import r
+from quantspark.plans.indicator_queries import W, r, rows
 from quantspark.plans.registry import register
 from quantspark.plans.text_queries import posts
-from quantspark.sources.tables import ticks
+from quantspark.sources.tables import TICKS_SQL, ticks
 
 FEATURES = ("change_1", "change_2", "change_5")
 
 
 def featured(spark, sf_dir):
-    rows = windows.lag_features(ticks(spark, sf_dir), TICKS, "price")
-    return windows.time_split(md.with_direction(rows, TICKS), TICKS)
+    known = windows.lag_features(ticks(spark, sf_dir), TICKS, "price")
+    return windows.time_split(md.with_direction(known, TICKS), TICKS)
 
 
 @register("direction_probabilities")
 def direction_probabilities(spark, sf_dir):
     """Averaged logistic and tree models, trained on the first part of each series, for the last part."""
-    rows = featured(spark, sf_dir)
-    train = rows.where("part = 'train'")
+    known = featured(spark, sf_dir)
+    train = known.where("part = 'train'")
     fitted = [md.fit_direction(train, FEATURES, kind) for kind in ("logistic", "trees")]
-    return md.predict_up(rows.where("part = 'test'"), fitted, FEATURES, ["asset", "tie"])
+    return md.predict_up(known.where("part = 'test'"), fitted, FEATURES, ["asset", "tie"])
 
 
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
-    rows = featured(spark, sf_dir)
-    return md.permutation_importance(md.fit_direction(rows.where("part = 'train'"), FEATURES), rows.where("part = 'test'"), FEATURES)
+    known = featured(spark, sf_dir)
+    return md.permutation_importance(md.fit_direction(known.where("part = 'train'"), FEATURES), known.where("part = 'test'"), FEATURES)
 
 
 @register("asset_clusters")
 def asset_clusters(spark, sf_dir):
-    rows = ticks(spark, sf_dir).groupBy("asset").agg(F.avg("price").alias("mean"), F.stddev_samp("price").alias("std"), F.count(F.lit(1)).cast("double").alias("n"))
-    return md.cluster_rows(rows, ["mean", "std", "n"])
+    known = ticks(spark, sf_dir).groupBy("asset").agg(F.avg("price").alias("mean"), F.stddev_samp("price").alias("std"), F.count(F.lit(1)).cast("double").alias("n"))
+    return md.cluster_rows(known, ["mean", "std", "n"])
 
 
-@register("parameter_search")
+def _search_sql(fast: int, slow: int) -> str:
+    mean = lambda n: f"CASE WHEN count(price) OVER {rows(n)} = {n} THEN avg(price) OVER {rows(n)} END"
+    return f"""SELECT * FROM (WITH {TICKS_SQL}, a AS (SELECT *, coalesce(sign({mean(fast)} - {mean(slow)}), 0) AS g, coalesce(price / lag(price) OVER ({W}) - 1, 0) AS x FROM ticks), b AS (SELECT *, coalesce(lag(g) OVER ({W}), 0) AS p FROM a),
+c AS (SELECT asset, p * x - 0.001 * abs(p - coalesce(lag(p) OVER ({W}), p)) AS net FROM b) SELECT asset, CAST({fast} AS BIGINT) AS fast, CAST({slow} AS BIGINT) AS slow, {r(f'CASE WHEN count(*) > {slow + 2} AND stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) ELSE 0 END', 'score')} FROM c GROUP BY 1)"""
+
+
+@register("parameter_search", " UNION ALL ".join(_search_sql(f, s) for f in (3, 5) for s in (8, 13)))
 def parameter_search(spark, sf_dir):
     return rounded(md.parameter_search(ticks(spark, sf_dir), TICKS, {"fast": (3, 5), "slow": (8, 13)}))
 

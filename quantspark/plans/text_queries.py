@@ -188,7 +188,7 @@ def _pagerank_sql(rounds: int) -> str:
 
 @register("pagerank", _pagerank_sql(4))
 def pagerank(spark, sf_dir):
-    return rounded(graph.pagerank(graph.co_thread_edges(posts(spark, sf_dir), "author_id", ["subreddit", "date"]), rounds=4))
+    return rounded(graph.thread_pagerank(posts(spark, sf_dir), "author_id", ["subreddit", "date"], rounds=4))
 
 
 @register(
