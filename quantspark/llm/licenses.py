@@ -1,11 +1,11 @@
 """License scans by conditional compression.
 
 A notice may stand anywhere in a text that holds a cue of license wording: on one line, wrapped over many, or inside
-a longer line. Stretches of words that share enough words with a template are aligned with it word by word, which
-gives the span that says it. A span is compressed alone and once more with the template as zstandard raw dictionary:
-the more of the span the template already says, the fewer bytes remain. A span is confirmed where it repeats enough
-words of the template and the template saves enough of its bytes. Of confirmed spans that rest on the same words the
-one that differs least from its template is reported; licenses that rest on words of their own are all reported.
+a longer line. Candidate blocks are the stretches of words that share enough words with a template, cut to where the
+template's words lie best. Each candidate is compressed alone and once more with the template as zstandard raw
+dictionary: the more of it the template already says, the fewer bytes remain. Candidates are ranked by the bytes that
+the template saves, and confirmed in that order by exact wording differences: one that repeats enough words of its
+template is reported unless better ones rest on the same words.
 """
 
 from __future__ import annotations
@@ -162,17 +162,21 @@ def _spans(t: Template, words: np.ndarray) -> list[tuple[int, int]]:
 
 
 @lru_cache(maxsize=4096)
-def judge_span(i: int, span: str) -> tuple[float, int, tuple[int, ...]] | None:
-    """(reduction, words of the span, places of its words that template i says) where the template is confirmed."""
+def size_reduction(i: int, block: str) -> tuple[int, float]:
+    """(bytes that template i saves as raw dictionary, their share of what the block takes without it)."""
     plain, _, templates = _templates()
-    words = WORDS.findall(span)
-    blocks = difflib.SequenceMatcher(None, templates[i].words, words, autojunk=False).get_matching_blocks()
-    equal = tuple(p for b in blocks for p in range(b.b, b.b + b.size))
-    if len(equal) < MIN_EQUAL * len(templates[i].words):
-        return None
-    raw = span.encode("utf-8", "surrogatepass")
-    reduction = 1 - len(templates[i].compressor.compress(raw)) / len(plain.compress(raw))
-    return (reduction, len(words), equal) if reduction >= MIN_REDUCTION else None
+    raw = block.encode("utf-8", "surrogatepass")
+    alone = len(plain.compress(raw))
+    saved = alone - len(templates[i].compressor.compress(raw))
+    return saved, saved / alone
+
+
+@lru_cache(maxsize=4096)
+def same_words(i: int, block: str) -> tuple[int, tuple[int, ...]]:
+    """(words of the block, places of those that template i says, in order)."""
+    words = WORDS.findall(block)
+    blocks = difflib.SequenceMatcher(None, _templates()[2][i].words, words, autojunk=False).get_matching_blocks()
+    return len(words), tuple(p for b in blocks for p in range(b.b, b.b + b.size))
 
 
 def find_licenses(text: str | None) -> list[tuple]:
@@ -184,30 +188,30 @@ def find_licenses(text: str | None) -> list[tuple]:
     ids = np.array([vocabulary.get(text[a:b].lower(), -1) for a, b in places], np.int64)
     at = np.flatnonzero(ids >= 0)
     known = ids[at]
-    confirmed = []
+    candidates = []
     for i, t in enumerate(templates):
         for low, high in _stretches(t, at, known, len(ids)):
             for start, end in _spans(t, ids[low:high]):
                 first, last = low + start, low + end
-                # A span ends with the punctuation of its last word.
+                # A block ends with the punctuation of its last word.
                 stop = TAIL.match(text, places[last - 1][1]).end()
-                if judged := judge_span(i, " ".join(BREAK.sub(" ", text[places[first][0] : stop]).lower().split())):
-                    reduction, n_words, equal = judged
-                    said = {first + p for p in equal}
-                    score = 2 * len(said) - len(t.words) - (n_words - len(said))
-                    confirmed.append((-score, -reduction, i, first, last, stop, said, n_words))
-    kept: list[tuple] = []
+                block = " ".join(BREAK.sub(" ", text[places[first][0] : stop]).lower().split())
+                saved, reduction = size_reduction(i, block)
+                if reduction >= MIN_REDUCTION:
+                    candidates.append((-saved, -reduction, i, first, last, stop, block))
+    rows: list[tuple] = []
     taken: dict[str, set[int]] = {}
     used: set[int] = set()
-    for found in sorted(confirmed, key=lambda c: c[:5]):
-        _, _, i, first, last, _, said, _ = found
-        inside = taken.setdefault(templates[i].name, set())
-        if not inside.isdisjoint(range(first, last)) or len(said - used) < min(OWN, len(said)):
+    for _, less, i, first, last, stop, block in sorted(candidates):
+        t = templates[i]
+        n_words, equal = same_words(i, block)
+        said = {first + p for p in equal}
+        inside = taken.setdefault(t.name, set())
+        if len(said) < MIN_EQUAL * len(t.words) or not inside.isdisjoint(range(first, last)) or len(said - used) < min(OWN, len(said)):
             continue
         inside.update(range(first, last))
         used |= said
-        kept.append(found)
-    rows = [(templates[i].name, places[first][0], stop, -less, len(said), n_words, len(templates[i].words)) for _, less, i, first, _, stop, said, n_words in kept]
+        rows.append((t.name, places[first][0], stop, -less, len(said), n_words, len(t.words)))
     return sorted(rows, key=lambda r: (r[1], r[2], r[0]))
 
 
