@@ -54,6 +54,26 @@ def test_recall_against_brute_force(spark):
     assert got.sum() >= 0.95 * sum(want.values())
 
 
+def test_long_lists_get_pivots_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "MAX_PIVOTS", 16)
+    monkeypatch.setattr(pivots, "LONG", 60)
+    monkeypatch.setattr(pivots, "CHUNK", 32)
+    made = []
+    monkeypatch.setattr(pivots, "_described", lambda cells, scratch, name, f=pivots._described: made.append(name) or f(cells, scratch, name))
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(450):
+        x = unit(rng, 48)
+        rows += [(2 * k, x.tolist(), 1), (2 * k + 1, near(rng, x, rng.uniform(0.931, 0.99)).tolist(), 1)]
+    centre = unit(rng, 48)
+    rows += [(2000 + i, near(rng, centre, 0.98).tolist(), 1) for i in range(100)]
+    rows = [(i, np.array(v, np.float32).astype(float).tolist(), label) for i, v, label in rows]
+    got = pivots.embedding_groups(spark.createDataFrame(rows, SCHEMA)).toPandas().set_index("vec_id").n_links
+    want, _ = brute(rows)
+    assert len(made) > 1 and all(got[i] <= want[i] for i in want)
+    assert got.sum() >= 0.9 * sum(want.values())
+
+
 def test_dense_group_copies_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(pivots, "CHUNK", 16)
     rng = np.random.default_rng(2)
@@ -103,7 +123,7 @@ def test_recall_does_not_fall_with_the_number_of_pivots(count):
     y = [near(rng, v, rng.uniform(0.931, 0.95)) for v in x]
     drawn = np.random.default_rng(4).normal(size=(count, 64))
     drawn /= np.linalg.norm(drawn, axis=1, keepdims=True)
-    frame = pd.DataFrame({"class": range(1200), "label": "a", "dim": 64, "v": x + y, "copies": 1})
+    frame = pd.DataFrame({"class": range(1200), "label": "a", "dim": 64, "cell": "", "v": x + y, "copies": 1, "earlier": [[]] * 1200})
     out = pivots._describe(frame, pd.DataFrame({"pivots": [drawn.tobytes()]}))
     looked_up = int(out["looked_up"].iloc[0]) if "looked_up" in out else pivots.LOOKED_UP
     perm = [p.tolist() for p in out["perm"]]
