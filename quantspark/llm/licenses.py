@@ -67,6 +67,8 @@ MIN_REDUCTION, MIN_EQUAL = 0.25, 0.8
 #: What a word between words of the template costs an alignment, where an equal word gains 1 and a missing one costs 1,
 #: and the least score for each word of the template: 0.8 equal words spread over three times its length.
 EXTRA, MIN_SCORE = 0.2, 0.16
+#: The same where an alignment is to stay close together: a far word of the template never makes a block longer then.
+CLOSE = 1.0
 #: No alignment of that score is longer than (1 - MIN_SCORE) / EXTRA + 1 = 5.2 templates, so that it lies in some
 #: window of 7 template lengths that starts at a multiple of one.
 WINDOW = 7
@@ -132,9 +134,9 @@ def _stretches(t: Template, at: np.ndarray, ids: np.ndarray, n: int) -> list[tup
     return out
 
 
-def _align(template: np.ndarray, words: np.ndarray) -> np.ndarray:
+def _align(template: np.ndarray, words: np.ndarray, extra: float) -> np.ndarray:
     """The best score of the whole template against words that end at each place; the start is free."""
-    fall = EXTRA * np.arange(len(words) + 1)
+    fall = extra * np.arange(len(words) + 1)
     row = np.zeros(len(words) + 1)
     for word in template:
         after = row - 1
@@ -143,9 +145,9 @@ def _align(template: np.ndarray, words: np.ndarray) -> np.ndarray:
     return row[1:]
 
 
-def _spans(t: Template, words: np.ndarray) -> list[tuple[int, int]]:
+def _spans(t: Template, words: np.ndarray, extra: float) -> list[tuple[int, int]]:
     """(start, end) of the best alignments, none over another, of the template in a stretch of words."""
-    score = _align(t.ids, words)
+    score = _align(t.ids, words, extra)
     least = MIN_SCORE * len(t.ids) - 1e-9
     padded = np.concatenate([[-np.inf], score, [-np.inf]])
     peaks = np.flatnonzero((score >= least) & (score > padded[:-2]) & (score >= padded[2:]))
@@ -155,7 +157,7 @@ def _spans(t: Template, words: np.ndarray) -> list[tuple[int, int]]:
         if i and out[i - 1][1] > end:
             continue
         low = max(out[i - 1][1] if i else 0, end + 1 - WINDOW * len(t.ids))
-        back = _align(t.ids[::-1], words[low : end + 1][::-1])
+        back = _align(t.ids[::-1], words[low : end + 1][::-1], extra)
         if back.max() >= least:
             out.insert(i, (end - int(back.argmax()), end + 1))
     return out
@@ -191,7 +193,8 @@ def find_licenses(text: str | None) -> list[tuple]:
     candidates = []
     for i, t in enumerate(templates):
         for low, high in _stretches(t, at, known, len(ids)):
-            for start, end in _spans(t, ids[low:high]):
+            # A stray word of the template far off may stretch the better alignment beyond what its bytes confirm.
+            for start, end in sorted({*_spans(t, ids[low:high], EXTRA), *_spans(t, ids[low:high], CLOSE)}):
                 first, last = low + start, low + end
                 # A block ends with the punctuation of its last word.
                 stop = TAIL.match(text, places[last - 1][1]).end()

@@ -67,6 +67,23 @@ def test_both_tokenizers_agree(text):
     assert packing.token_ids(text) == ids_of(text)
 
 
+#: Parts of texts that both tokenizers may take: words, contractions, numbers, accents, white space of all kinds.
+USUAL = st.sampled_from(["the", "Don't", " we'll", "ÄÖÜ", "straße", "naïve", "12345", "3.14", " ", "  ", "\n", "\n\n", "\t", "\r\n", "...", "--", "(a)", "_x_", "AKIA", "q7Zk2LmX", "https://x.org/?a=b", "\"", "'", "s", "é", "!?"])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(USUAL, max_size=60).map("".join))
+def test_both_tokenizers_agree_on_usual_texts(text):
+    assert not packing.UNUSUAL.search(text) and packing.token_ids(text) == ids_of(text)
+
+
+def test_both_tokenizers_agree_on_long_texts():
+    rng = np.random.default_rng(5)
+    parts = ["word ", "Don't ", "straße, ", "12345 ", "\n\n", "x" * 50 + " ", "   "]
+    text = "".join(parts[i] for i in rng.integers(0, len(parts), 60_000))
+    assert packing.token_ids(text) == ids_of(text)
+
+
 def test_special_token_text():
     assert packing.token_ids("a <|endoftext|> b") == ids_of("a <|endoftext|> b")
 
