@@ -114,7 +114,9 @@ def test_gaps_skip_weekends(spark):
 
 
 def test_triple_barrier(spark):
-    assert column(mk.triple_barrier(series(spark, [100, 105, 111, 80, 90, 100]), TICKS, "price", 0.1, 0.1, 3), "label") == [1, -1, -1, None, None, None]
+    rows = series(spark, [100, 105, 111, 80, 90, 100]).withColumn("volatility", text.F.lit(0.1))
+    out = mk.triple_barrier(rows, TICKS, "price", 1.0, 1.0, 3)
+    assert column(out, "label") == [1, -1, -1, 1, 1] and column(out, "touch") == [2, 2, 1, 1, 1]
 
 
 def test_order_of_rows_does_not_matter_and_assets_are_apart(spark):
@@ -128,7 +130,7 @@ def test_order_of_rows_does_not_matter_and_assets_are_apart(spark):
 def test_text_helpers(spark):
     rows = spark.createDataFrame([(1, "Buy $TSLA and $aapl  now https://x.y/z "), (2, None)], "id long, text string")
     got = rows.select(text.cashtags(text.F.col("text")).alias("tags"), text.normalized(text.F.col("text")).alias("clean")).collect()
-    assert sorted(got[0].tags) == ["AAPL", "TSLA"] and got[0].clean == "Buy $TSLA and $aapl now" and got[1].clean is None
+    assert sorted(got[0].tags) == ["AAPL", "TSLA"] and got[0].clean == "Buy $TSLA and $AAPL now [URL]" and got[1].clean is None
 
 
 def test_empty_frames_keep_their_schema(spark):
