@@ -88,3 +88,9 @@ def simple_return(price: str, s: Series, n: int = 1) -> Column:
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles rounded, with -0.0 as 0.0: both engines then give the same digits."""
     return df.select(*[(F.round(F.col(c), places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once: checkpointed where the cluster names a shared folder for that, else persisted."""
+    reliable = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") is not None
+    return df.checkpoint() if reliable else df.persist()

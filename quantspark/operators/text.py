@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantspark.frames import Series, lag, ratio, rolling_mean, rolling_std
+from quantspark.frames import Series, lag, ratio, rolling_mean, rolling_std, settled
 
 #: Signatures in a block of those that share a band.
 NEAR_BLOCK = 512
@@ -174,19 +174,21 @@ def near_copies(posts: DataFrame, id_col: str = "id", text_col: str = "text", th
 
     Signatures that may differ in d values are cut into d + 1 bands: two that agree enough agree in some band whole, so
     no pair is missed. Under a band key every two distinct signatures are compared, in blocks of NEAR_BLOCK by
-    NEAR_BLOCK; rows of one signature are compared once.
+    NEAR_BLOCK; rows of one signature are compared once. Bands are counted as pairs of numbers, and only signatures that
+    share one travel whole. Signatures are computed once.
     """
     bands = size - math.ceil(threshold * size - 1e-9) + 1
     if not 1 <= bands <= size:
         raise ValueError("threshold must be above 0 and at most 1")
     spoken = posts.where(F.col(text_col).rlike(r"\S")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = minhash_signatures(spoken, "id", "text", size, shingle).withColumn("sig", F.md5(F.array_join("signature", ",")))
+    signed = settled(signed)
     distinct = signed.where("id is not null").groupBy("sig").agg(F.min("id").alias("low"), F.first("signature").alias("signature"))
     ends = [size * k // bands for k in range(bands + 1)]
     keys = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.slice("signature", a + 1, b - a)).alias("key")) for k, (a, b) in enumerate(zip(ends, ends[1:]))])
-    banded = distinct.select("sig", "low", "signature", F.explode(keys).alias("b")).select("sig", "low", "signature", "b.band", "b.key")
-    counts = banded.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / NEAR_BLOCK).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    banded = banded.join(counts, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
+    slim = distinct.select("sig", F.explode(keys).alias("b")).select("sig", "b.band", "b.key")
+    counts = slim.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / NEAR_BLOCK).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    banded = slim.join(counts, ["band", "key"]).join(distinct, "sig").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
     # A pair of chunks (i, j), i <= j, meets in one task: chunk i goes to every (i, j) and to every (k, i).
     cells = banded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "sig", "low", "signature", "band", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).alias("second")
