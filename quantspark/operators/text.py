@@ -187,7 +187,11 @@ def near_copies(posts: DataFrame, id_col: str = "id", text_col: str = "text", th
     ends = [size * k // bands for k in range(bands + 1)]
     keys = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.slice("signature", a + 1, b - a)).alias("key")) for k, (a, b) in enumerate(zip(ends, ends[1:]))])
     slim = distinct.select("sig", F.explode(keys).alias("b")).select("sig", "b.band", "b.key")
-    counts = slim.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / NEAR_BLOCK).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # Near texts agree in most bands, and then the same signatures meet under many keys: one key for each such set, known
+    # by its size and 128 bits of hashes, is compared.
+    sets = slim.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("y")).where("n > 1")
+    sets = sets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b"))
+    counts = sets.select("b.band", "b.key", F.ceil(F.col("n") / NEAR_BLOCK).cast("int").alias("chunks"))
     banded = slim.join(counts, ["band", "key"]).join(distinct, "sig").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
     # A pair of chunks (i, j), i <= j, meets in one task: chunk i goes to every (i, j) and to every (k, i).
     cells = banded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
