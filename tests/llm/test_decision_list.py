@@ -53,6 +53,12 @@ def test_learned_list_separates_and_keeps_clean(spark):
     assert dl.keep_good(fresh, labels.limit(0)).count() == 1
 
 
+def test_list_holds_on_rows_it_was_not_fitted_on(spark):
+    docs, labels = labelled(spark)
+    rows = dl.quality_digest(docs, labels.where("doc_id % 2 = 0")).where("doc_id % 2 = 1").toPandas().set_index("doc_id")
+    assert rows.kept[rows.index < 120].mean() > 0.95 and rows.kept[rows.index >= 120].mean() < 0.1
+
+
 def test_training_bound_and_repeatability(spark):
     docs, labels = labelled(spark)
     assert len(dl.training_rows(docs, labels, max_rows=50)) == 50
