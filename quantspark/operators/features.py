@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quantspark.frames import TICKS, Series
+from quantspark.operators import quantiles
 
 
 def row_stats(columns: Sequence[str]) -> dict[str, Column]:
@@ -109,7 +110,8 @@ def common_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 def quantile_edges(df: DataFrame, x: str, n: int, by: Sequence[str] = ()) -> DataFrame:
     """bucket from 0: the interval between neighbouring quantiles that holds x, upper ends included. Equal quantiles
     make one edge, so there may be fewer buckets. The edges come from one list of quantiles for each key."""
-    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(k / n) for k in range(n + 1)]))).alias("__e"))
+    places = {f"__q{k}": k / n for k in range(n + 1)}
+    edges = quantiles.exact(df, x, places, by).select(*by, F.array_distinct(F.array(*places)).alias("__e"))
     rows = df.join(edges, list(by)) if by else df.crossJoin(F.broadcast(edges))  # one row
     inner = F.slice("__e", 2, F.greatest(F.size("__e") - 2, F.lit(0)))
     return rows.withColumn("bucket", F.when(F.col(x).isNotNull(), F.size(F.filter(inner, lambda e: e < F.col(x))))).drop("__e")

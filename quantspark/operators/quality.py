@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspark.frames import Series, lag, ratio
+from quantspark.operators import quantiles
 
 
 def keep_last(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -22,7 +23,7 @@ def upsert(base: DataFrame, change: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def iqr_bounds(df: DataFrame, x: str, by: Sequence[str] = (), width: float = 1.5) -> DataFrame:
-    q = df.groupBy(*by).agg(F.percentile(x, F.lit(0.25)).alias("q1"), F.percentile(x, F.lit(0.75)).alias("q3"))
+    q = quantiles.exact(df, x, {"q1": 0.25, "q3": 0.75}, by)
     return q.withColumn("low", F.col("q1") - width * (F.col("q3") - F.col("q1"))).withColumn("high", F.col("q3") + width * (F.col("q3") - F.col("q1")))
 
 
@@ -43,7 +44,7 @@ def drop_zscore_outliers(df: DataFrame, x: str, by: Sequence[str] = (), most: fl
 
 
 def winsorize(df: DataFrame, x: str, by: Sequence[str] = (), low: float = 0.05, high: float = 0.95) -> DataFrame:
-    stats = df.groupBy(*by).agg(F.percentile(x, F.lit(low)).alias("__l"), F.percentile(x, F.lit(high)).alias("__h"))
+    stats = quantiles.exact(df, x, {"__l": low, "__h": high}, by)
     rows = _beside(df, stats, by)
     return rows.withColumn(x, F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), F.col("__l")), F.col("__h")))).drop("__l", "__h")
 
@@ -51,12 +52,13 @@ def winsorize(df: DataFrame, x: str, by: Sequence[str] = (), low: float = 0.05,
 def scaled(df: DataFrame, x: str, kind: str, by: Sequence[str] = ()) -> DataFrame:
     """standard: by mean and std; minmax: to [0, 1]; robust: by median and quartile range. 0 where nothing varies."""
     c = F.col(x)
-    centre, width = {
-        "standard": (F.avg(c), F.stddev_samp(c)),
-        "minmax": (F.min(c), F.max(c) - F.min(c)),
-        "robust": (F.percentile(c, F.lit(0.5)), F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))),
-    }[kind]
-    rows = _beside(df, df.groupBy(*by).agg(centre.alias("__c"), width.alias("__w")), by)
+    if kind == "robust":
+        q = quantiles.exact(df, x, {"__l": 0.25, "__c": 0.5, "__h": 0.75}, by)
+        stats = q.select(*by, "__c", (F.col("__h") - F.col("__l")).alias("__w"))
+    else:
+        centre, width = {"standard": (F.avg(c), F.stddev_samp(c)), "minmax": (F.min(c), F.max(c) - F.min(c))}[kind]
+        stats = df.groupBy(*by).agg(centre.alias("__c"), width.alias("__w"))
+    rows = _beside(df, stats, by)
     return rows.withColumn(f"{x}_{kind}", ratio(c - F.col("__c"), F.col("__w"), 0.0)).drop("__c", "__w")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspark.frames import TICKS, Series, full, ratio
+from quantspark.operators import quantiles
 from quantspark.operators.features import decay_weight
 from quantspark.operators.market import order_imbalance
 
@@ -21,7 +22,7 @@ def drawdown_risk(df: DataFrame, s: Series = TICKS, x: str = "ret", alpha: float
     equity = F.product(1 + F.col(x)).over(s.so_far())
     rows = df.where(F.col(x).isNotNull() & (F.col(x) > -1)).withColumn("__e", equity)
     rows = rows.withColumn("__d", 1 - F.col("__e") / F.max("__e").over(s.so_far()))
-    cut = rows.groupBy(*s.key).agg(F.percentile("__d", F.lit(alpha)).alias("dar"))
+    cut = quantiles.exact(rows, "__d", {"dar": alpha}, s.key)
     out = rows.join(cut, list(s.key)).groupBy(*s.key).agg(
         F.count(F.lit(1)).alias("n"),
         F.max("dar").alias("dar"),
@@ -94,11 +95,12 @@ def sector_stats(df: DataFrame, sector: str, name: str, x: str, neutral: float =
     """Mean, median, deviation, size and shares of bullish, bearish and neutral members in per cent, and the extremes."""
     c = F.col(x)
     share = lambda test: 100 * F.avg(test.cast("double"))
-    return df.where(c.isNotNull() & F.col(sector).isNotNull()).groupBy(sector).agg(
-        F.avg(c).alias("mean"), F.median(c).alias("median"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std"), F.count(c).alias("n"),
+    rows = df.where(c.isNotNull() & F.col(sector).isNotNull())
+    return quantiles.exact(rows, x, {"median": 0.5}, [sector]).join(rows.groupBy(sector).agg(
+        F.avg(c).alias("mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std"), F.count(c).alias("n"),
         share(c > neutral).alias("bullish"), share(c < -neutral).alias("bearish"), share(F.abs(c) <= neutral).alias("neutral"),
         F.min_by(name, F.struct(-c, name)).alias("strongest"), F.min_by(name, F.struct(c, name)).alias("weakest"),
-    )
+    ), sector)
 
 
 def sector_momentum(df: DataFrame, sector: str, day: str, x: str, n: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspark.frames import TICKS, Series, full, lag, ratio, simple_return
+from quantspark.operators import quantiles
 
 YEAR = 252
 
@@ -25,7 +26,7 @@ def risk_report(df: DataFrame, by: Sequence[str] = ("asset",), x: str = "ret", p
     """Annualised return and volatility, Sharpe, Sortino (capped at 100 without downside), value at risk and expected
     shortfall as positive losses, moments, and the share of winning rows."""
     c = F.col(x)
-    cut = df.groupBy(*by).agg(F.percentile(c, F.lit(tail)).alias("__cut"))
+    cut = quantiles.exact(df, x, {"__cut": tail}, by)
     rows = df.join(cut, list(by))
     down = shortfall_rms(c)
     out = rows.groupBy(*by).agg(
@@ -167,7 +168,7 @@ def var_backtest(df: DataFrame, by: Sequence[str], tail: float = 0.05) -> DataFr
 def tail_report(df: DataFrame, by: Sequence[str], x: str = "ret", share: float = 0.05) -> DataFrame:
     """Tail ratio, gain-to-pain, and the mean beyond each tail."""
     c = F.col(x)
-    q = df.groupBy(*by).agg(F.percentile(c, F.lit(share)).alias("low"), F.percentile(c, F.lit(1 - share)).alias("high"))
+    q = quantiles.exact(df, x, {"low": share, "high": 1 - share}, by)
     out = df.join(q, list(by)).groupBy(*by).agg(
         F.max("low").alias("low"),
         F.max("high").alias("high"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from quantspark.frames import TICKS
 from quantspark.functions import kernels as k
 from quantspark.operators.indicators import composite_signal
-from quantspark.plans.indicator_queries import RET, W, over_bars, over_ticks, pick, r
+from quantspark.plans.indicator_queries import BOLL, RET, W, fullw, over_bars, over_ticks, pick, r, three
 from quantspark.plans.registry import register
 from quantspark.plans.report_queries import returns
 from quantspark.plans.series_queries import SOFAR
@@ -128,6 +128,19 @@ def circuit_breaker(spark, sf_dir):
     return pick(k.circuit_breaker(returns(spark, sf_dir)), "trading", "equity")
 
 
-@register("dynamic_threshold")
+SCORE = BOLL.replace("final AS", "b AS") + f""", c AS (SELECT *, 0.5::DOUBLE * coalesce(sign(price / nullif(lag(price, 5) OVER ({W}), 0) - 1), 0)::DOUBLE
++ 0.3::DOUBLE * coalesce(sign({fullw('avg(price)', 'price', 3)} - {fullw('avg(price)', 'price', 8)}), 0)::DOUBLE + 0.2::DOUBLE * {three('b.b < 0.2', 'b.b > 0.8')}::DOUBLE AS sc FROM b)"""
+CROSSED = "(abs(n.x) > s.next)"
+
+
+@register(
+    "dynamic_threshold",
+    walk(
+        f"{TICKS_SQL}, {SCORE}, {NUMBERED}sc AS x FROM c)",
+        "0.3::DOUBLE AS next, CAST(NULL AS DOUBLE) AS level, 0 AS signal",
+        f"greatest(0.0::DOUBLE, s.next + 0.05::DOUBLE * ({CROSSED}::INT::DOUBLE - 0.2::DOUBLE)), s.next, CASE WHEN {CROSSED} THEN sign(n.x)::INT ELSE 0 END",
+    )
+    + f" SELECT n.asset, n.tie, signal, {r('level', 'threshold')} FROM st JOIN n USING (asset, i)",
+)
 def dynamic_threshold(spark, sf_dir):
     return pick(k.dynamic_threshold(composite_signal(ticks(spark, sf_dir)).drop("signal"), TICKS, "score"), "signal", "threshold")
