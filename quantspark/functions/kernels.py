@@ -301,3 +301,26 @@ def dynamic_threshold(df: DataFrame, s: Series = TICKS, x: str = "score", start:
         return {"signal": out, "threshold": levels}
 
     return scanned(df, s, [x], kernel, {"signal": "int", "threshold": "double"})
+
+
+def threshold_policy(df: DataFrame, s: Series = TICKS, prob: str = "prob_up", ret: str = "ret", start: float = 0.5, rate: float = 0.1, after: int = 5) -> DataFrame:
+    """Signals of a threshold that learns: after so many wrong predictions it moves at the rate towards one half and their
+    mean distance from one half, within 0.2 to 0.8. A row without return or prediction teaches nothing."""
+
+    def kernel(f: pd.DataFrame, c: Carry) -> dict:
+        p, r = f[prob].to_numpy(float), f[ret].to_numpy(float)
+        level, wrong, total = c.get("level", start), c.get("wrong", 0), c.get("total", 0.0)
+        out, levels = np.zeros(len(p), np.int32), np.empty(len(p))
+        for i in range(len(p)):
+            levels[i] = level
+            out[i] = 1 if p[i] > level else -1 if p[i] < 1 - level else 0
+            if np.isnan(p[i]) or np.isnan(r[i]) or (p[i] > 0.5 and r[i] > 0) or (p[i] < 0.5 and r[i] < 0):
+                continue
+            wrong, total = wrong + 1, total + abs(p[i] - 0.5)
+            if wrong == after:
+                level = max(0.2, min(0.8, rate * (0.5 + total / after) + (1 - rate) * level))
+                wrong, total = 0, 0.0
+        c.kept |= {"level": level, "wrong": wrong, "total": total}
+        return {"signal": out, "threshold": levels}
+
+    return scanned(df, s, [prob, ret], kernel, {"signal": "int", "threshold": "double"})

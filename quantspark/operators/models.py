@@ -14,10 +14,10 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantspark.frames import Series, ratio
+from quantspark.frames import Series, lag, ratio, rolling_mean, simple_return
 
 KINDS = {"logistic": lambda seed: LogisticRegression(featuresCol="__z", labelCol="label", maxIter=50), "trees": lambda seed: GBTClassifier(featuresCol="__z", labelCol="label", maxIter=10, maxDepth=3, seed=seed)}
 
@@ -106,6 +106,30 @@ def parameter_search(df: DataFrame, s: Series, grid: dict[str, Sequence], score:
     return df.select(*s.key, *s.order, price).groupBy(*s.key).applyInPandas(run, schema)
 
 
+def crossover_search(df: DataFrame, s: Series, fast: Sequence[int], slow: Sequence[int], cost: float = 0.001, price: str = "price") -> DataFrame:
+    """What parameter_search gives for crossover_score and all pairs of lengths, by windows: one sort of the series holds
+    all means, and the pairs meet their rows only in partial sums, so that a series of any length is no task's burden."""
+    lengths = sorted({*fast, *slow})
+    rows = df.withColumns({f"__m{n}": rolling_mean(F.col(price), s, n) for n in lengths} | {"__x": F.coalesce(simple_return(price, s), F.lit(0.0))})
+    pairs = list(itertools.product(fast, slow))
+    # Rounded, so that equal means are no crossing whatever a running sum leaves.
+    rows = rows.withColumns({f"__g{f}_{n}": F.coalesce(lag(F.signum(F.round(F.col(f"__m{f}") - F.col(f"__m{n}"), 9)), s), F.lit(0.0)) for f, n in pairs})
+
+    def net(position: Column) -> Column:
+        return position * F.col("__x") - cost * F.abs(position - F.coalesce(lag(position, s), position))
+
+    rows = rows.withColumns({f"__n{f}_{n}": net(F.col(f"__g{f}_{n}")) for f, n in pairs})
+    sums = [e for f, n in pairs for e in (F.avg(f"__n{f}_{n}").alias(f"__a{f}_{n}"), F.stddev_samp(f"__n{f}_{n}").alias(f"__d{f}_{n}"))]
+    out = rows.groupBy(*s.key).agg(F.count(F.lit(1)).alias("__rows"), *sums)
+
+    def scored(f: int, n: int) -> Column:
+        spread = F.col(f"__d{f}_{n}")
+        score = F.when((F.col("__rows") > n + 2) & (spread > 0), F.col(f"__a{f}_{n}") / F.when(spread > 0, spread)).otherwise(0.0)
+        return F.struct(F.lit(f).cast("long").alias("fast"), F.lit(n).cast("long").alias("slow"), score.alias("score"))
+
+    return out.select(*s.key, F.inline(F.array(*[scored(f, n) for f, n in pairs])))
+
+
 def best_parameters(scores: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
     """The combination of the best mean score; ties go to the smaller parameters."""
     means = scores.groupBy(*by, *names).agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n"))

@@ -47,7 +47,15 @@ def _search_sql(fast: int, slow: int) -> str:
 c AS (SELECT asset, p * x - 0.001 * abs(p - coalesce(lag(p) OVER ({W}), p)) AS net FROM b) SELECT asset, CAST({fast} AS BIGINT) AS fast, CAST({slow} AS BIGINT) AS slow, {r(f'CASE WHEN count(*) > {slow + 2} AND stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) ELSE 0 END', 'score')} FROM c GROUP BY 1)"""
 
 
-@register("parameter_search", " UNION ALL ".join(_search_sql(f, s) for f in (3, 5) for s in (8, 13)))
+SEARCH_SQL = " UNION ALL ".join(_search_sql(f, s) for f in (3, 5) for s in (8, 13))
+
+
+@register("crossover_search", SEARCH_SQL)
+def crossover_search(spark, sf_dir):
+    return rounded(md.crossover_search(ticks(spark, sf_dir), TICKS, (3, 5), (8, 13)))
+
+
+@register("parameter_search", SEARCH_SQL)
 def parameter_search(spark, sf_dir):
     return rounded(md.parameter_search(ticks(spark, sf_dir), TICKS, {"fast": (3, 5), "slow": (8, 13)}))
 
