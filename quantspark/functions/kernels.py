@@ -240,7 +240,7 @@ def cusum(df: DataFrame, s: Series = TICKS, x: str = "price", threshold: float =
         c.kept |= {"up": up, "down": down}
         return {"alarm": alarm}
 
-    rows = _with_stats(df, s, __mean=F.avg(x), __spread=F.stddev_pop(x))
+    rows = _with_stats(df, s, __mean=F.avg(x), __spread=F.stddev_samp(x))
     return scanned(rows, s, [x, "__mean", "__spread"], kernel, {"alarm": "int"}).drop("__mean", "__spread")
 
 

@@ -95,7 +95,7 @@ UP, DOWN = "greatest(0, s.up + n.x - 0.5)", "greatest(0, s.down - n.x - 0.5)"
 
 @register(
     "cusum_alarms",
-    walk(f"{TICKS_SQL}, {NUMBERED}coalesce((price - avg(price) OVER (PARTITION BY asset)) / nullif(stddev_pop(price) OVER (PARTITION BY asset), 0), 0) AS x FROM ticks)", "0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 0 AS alarm", f"CASE WHEN {UP} > 5 OR {DOWN} > 5 THEN 0 ELSE {UP} END, CASE WHEN {UP} > 5 OR {DOWN} > 5 THEN 0 ELSE {DOWN} END, CASE WHEN {UP} > 5 THEN 1 WHEN {DOWN} > 5 THEN -1 ELSE 0 END")
+    walk(f"{TICKS_SQL}, {NUMBERED}coalesce((price - avg(price) OVER (PARTITION BY asset)) / nullif(stddev_samp(price) OVER (PARTITION BY asset), 0), 0) AS x FROM ticks)", "0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 0 AS alarm", f"CASE WHEN {UP} > 5 OR {DOWN} > 5 THEN 0 ELSE {UP} END, CASE WHEN {UP} > 5 OR {DOWN} > 5 THEN 0 ELSE {DOWN} END, CASE WHEN {UP} > 5 THEN 1 WHEN {DOWN} > 5 THEN -1 ELSE 0 END")
     + " SELECT n.asset, n.tie, alarm FROM st JOIN n USING (asset, i)",
 )
 def cusum_alarms(spark, sf_dir):
