@@ -125,7 +125,8 @@ def return_volatility(df: DataFrame, s: Series = TICKS, price: str = "price", sp
     """df with volatility: root of the exponential mean of squared returns less the squared exponential mean."""
 
     def kernel(f: pd.DataFrame, c: Carry) -> dict:
-        r = f[price] / c.before("price", f[price]) - 1
+        before = c.before("price", f[price])
+        r = f[price] / before.where(before != 0) - 1
         spread = c.ewm("square", r * r, 2 / (span + 1)) - c.ewm("mean", r, 2 / (span + 1)) ** 2
         return {"volatility": np.sqrt(spread.clip(lower=0)).where(r.notna())}
 

@@ -24,8 +24,9 @@ KILL = 0.30
 
 
 def range_volatility(df: DataFrame, s: Series = TICKS, n: int = 21, periods: int = 252) -> DataFrame:
-    """df with parkinson and garman_klass: yearly volatility of the last n bars from their ranges, null before that."""
-    wide, body = F.pow(F.ln(F.col("high") / F.col("low")), 2), F.pow(F.ln(F.col("close") / F.col("open")), 2)
+    """df with parkinson and garman_klass: yearly volatility of the last n bars from their ranges, null before that and
+    where one of them has a price of zero."""
+    wide, body = F.pow(F.ln(ratio(F.col("high"), F.col("low"))), 2), F.pow(F.ln(ratio(F.col("close"), F.col("open"))), 2)
     yearly = lambda v: F.when(v >= 0, F.sqrt(v) * math.sqrt(periods))
     rows = df.withColumns({"__p": wide / (4 * math.log(2)), "__g": 0.5 * wide - (2 * math.log(2) - 1) * body})
     return rows.withColumns({"parkinson": yearly(rolling_mean(F.col("__p"), s, n)), "garman_klass": yearly(rolling_mean(F.col("__g"), s, n))}).drop("__p", "__g")

@@ -185,7 +185,7 @@ def triple_barrier(df: DataFrame, s: Series, price: str, up: float = 2.0, down:
 
     Barriers lie so many volatilities above and below the price: 1 where the upper one is touched first within the
     horizon, -1 for the lower one, 0 where neither is. Near the end the horizon is what is left. A frame holds horizon
-    prices at most.
+    prices at most. From a price of zero there is no return.
     """
     p, vol = F.col(price), F.col(volatility)
     path = F.collect_list(price).over(s.after(horizon))
@@ -196,7 +196,7 @@ def triple_barrier(df: DataFrame, s: Series, price: str, up: float = 2.0, down:
     label = F.when((F.col("__u") > 0) & ((F.col("__d") == 0) | (F.col("__u") <= F.col("__d"))), 1).when(F.col("__d") > 0, -1).otherwise(0)
     rows = rows.withColumn("label", label)
     rows = rows.withColumn("touch", F.when(F.col("label") == 1, F.col("__u")).when(F.col("label") == -1, F.col("__d")).otherwise(F.size("__path")).cast("int"))
-    return rows.withColumn("touch_return", F.element_at("__path", F.col("touch")) / p - 1).drop("__path", "__u", "__d")
+    return rows.withColumn("touch_return", ratio(F.element_at("__path", F.col("touch")), p) - 1).drop("__path", "__u", "__d")
 
 
 def last_rows(df: DataFrame, s: Series, n: int) -> DataFrame:

@@ -84,7 +84,7 @@ def crossover_score(prices: np.ndarray, fast: int, slow: int, cost: float = 0.00
     # Rounded, so that equal means are no crossing whatever a running sum leaves.
     gap = np.sign((p.rolling(fast).mean() - p.rolling(slow).mean()).round(9)).fillna(0.0)
     position = gap.shift(1).fillna(0.0)
-    net = position * p.pct_change().fillna(0.0) - cost * position.diff().abs().fillna(0.0)
+    net = position * p.pct_change().where(p.shift(1) != 0).fillna(0.0) - cost * position.diff().abs().fillna(0.0)
     return float(net.mean() / net.std()) if net.std() > 0 else 0.0
 
 

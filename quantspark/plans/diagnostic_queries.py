@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantspark.frames import TICKS, Series, rounded
+from quantspark.frames import TICKS, Series, ratio, rounded
 from quantspark.functions import kernels
 from quantspark.operators import diagnostics as dg
 from quantspark.operators import risk
@@ -19,7 +19,7 @@ from quantspark.sources.tables import TICKS_SQL, TRADES_SQL, bars, ticks, trades
 
 @over_bars(
     "range_volatility",
-    "a AS (SELECT *, pow(ln(high / low), 2) / (4 * ln(2)) AS p, 0.5 * pow(ln(high / low), 2) - (2 * ln(2) - 1) * pow(ln(close / open), 2) AS g FROM bars), "
+    "a AS (SELECT *, pow(ln(high / nullif(low, 0)), 2) / (4 * ln(2)) AS p, 0.5 * pow(ln(high / nullif(low, 0)), 2) - (2 * ln(2) - 1) * pow(ln(nullif(close, 0) / nullif(open, 0)), 2) AS g FROM bars), "
     f"final AS (SELECT *, {fullw('avg(p)', 'p', 5)} AS pv, {fullw('avg(g)', 'g', 5)} AS gv FROM a)",
     f"{r('sqrt(pv * 252)', 'parkinson')}, {r('CASE WHEN gv >= 0 THEN sqrt(gv * 252) END', 'garman_klass')}",
 )
@@ -126,12 +126,12 @@ def correlation_network(spark, sf_dir):
     return rounded(dg.correlation_network(daily(spark, sf_dir), "asset", "ts", "ret", 0.1))
 
 
-PREDICTED = f"p AS (SELECT *, price / 500 AS x, lead(price) OVER ({W}) / price - 1 AS y FROM ticks)"
+PREDICTED = f"p AS (SELECT *, price / 500 AS x, lead(price) OVER ({W}) / nullif(price, 0) - 1 AS y FROM ticks)"
 
 
 def predicted(spark, sf_dir):
     """A tick's price as a share of 500 taken for the probability that the next one is higher."""
-    ahead = F.lead("price").over(TICKS.window()) / F.col("price") - 1
+    ahead = ratio(F.lead("price").over(TICKS.window()), F.col("price")) - 1
     return ticks(spark, sf_dir).withColumns({"prob_up": F.col("price") / 500, "ret": ahead})
 
 

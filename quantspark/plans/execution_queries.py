@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quantspark.frames import Series, TICKS, rounded, simple_return
+from quantspark.frames import Series, TICKS, ratio, rounded, simple_return
 from quantspark.operators import execution as ex
 from quantspark.operators import indicators as ind
 from quantspark.operators import risk
@@ -139,11 +139,11 @@ def signal_backtest(spark, sf_dir):
 
 @register(
     "signal_quality",
-    f"""WITH {TICKS_SQL}, {MOM}, a AS (SELECT *, lead(price) OVER ({W}) / price - 1 AS o FROM sg) SELECT kind, count(*) AS n, CAST(sum(CASE WHEN signal <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS signals, {r('sum(CASE WHEN signal <> 0 AND sign(signal) = sign(o) THEN 1.0 ELSE 0 END) / sum(CASE WHEN signal <> 0 THEN 1 ELSE 0 END)', 'accuracy')},
+    f"""WITH {TICKS_SQL}, {MOM}, a AS (SELECT *, lead(price) OVER ({W}) / nullif(price, 0) - 1 AS o FROM sg) SELECT kind, count(*) AS n, CAST(sum(CASE WHEN signal <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS signals, {r('sum(CASE WHEN signal <> 0 AND sign(signal) = sign(o) THEN 1.0 ELSE 0 END) / sum(CASE WHEN signal <> 0 THEN 1 ELSE 0 END)', 'accuracy')},
 {r('sum(CASE WHEN signal > 0 AND o > 0 THEN 1.0 ELSE 0 END) / sum(CASE WHEN signal > 0 THEN 1 ELSE 0 END)', 'precision_up')}, {r('sum(CASE WHEN signal > 0 AND o > 0 THEN 1.0 ELSE 0 END) / sum(CASE WHEN o > 0 THEN 1 ELSE 0 END)', 'recall_up')}, {r('avg(CASE WHEN signal <> 0 THEN sign(signal) * o END)', 'mean_edge')} FROM a WHERE o IS NOT NULL GROUP BY 1""",
 )
 def signal_quality(spark, sf_dir):
-    rows_ = signals(spark, sf_dir).withColumn("o", F.lead("price").over(TICKS.window()) / F.col("price") - 1)
+    rows_ = signals(spark, sf_dir).withColumn("o", ratio(F.lead("price").over(TICKS.window()), F.col("price")) - 1)
     return rounded(ex.signal_quality(rows_, ["kind"], "signal", "o"))
 
 

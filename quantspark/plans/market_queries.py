@@ -179,7 +179,7 @@ def sessions(spark, sf_dir):
     f"""WITH {TICKS_SQL}, a AS (SELECT *, {RET} AS x FROM ticks), e AS (SELECT *, {fold('x', 2 / 21)} AS m, {fold('x * x', 2 / 21, 'x IS NOT NULL')} AS q, list(price) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS path FROM a),
 v AS (SELECT *, CASE WHEN x IS NOT NULL THEN sqrt(greatest(q - m * m, 0)) END AS vol FROM e), b AS (SELECT *, coalesce(list_position(list_transform(path, lambda y: y >= price * (1 + 2 * vol)), true), 0) AS u, coalesce(list_position(list_transform(path, lambda y: y <= price * (1 - 2 * vol)), true), 0) AS d FROM v WHERE vol > 1e-9 AND len(path) > 0),
 l AS (SELECT *, CASE WHEN u > 0 AND (d = 0 OR u <= d) THEN 1 WHEN d > 0 THEN -1 ELSE 0 END AS label FROM b), t AS (SELECT *, CASE label WHEN 1 THEN u WHEN -1 THEN d ELSE len(path) END AS touch FROM l)
-SELECT asset, tie, CAST(label AS DOUBLE) AS label, CAST(touch AS DOUBLE) AS touch, {r('path[touch] / price - 1', 'touch_return')} FROM t""",
+SELECT asset, tie, CAST(label AS DOUBLE) AS label, CAST(touch AS DOUBLE) AS touch, {r('path[touch] / nullif(price, 0) - 1', 'touch_return')} FROM t""",
 )
 def triple_barrier(spark, sf_dir):
     rows = return_volatility(ticks(spark, sf_dir))

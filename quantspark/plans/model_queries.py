@@ -43,7 +43,7 @@ def asset_clusters(spark, sf_dir):
 
 def _search_sql(fast: int, slow: int) -> str:
     mean = lambda n: f"CASE WHEN count(price) OVER {rows(n)} = {n} THEN avg(price) OVER {rows(n)} END"
-    return f"""SELECT * FROM (WITH {TICKS_SQL}, a AS (SELECT *, coalesce(sign(round({mean(fast)} - {mean(slow)}, 9)), 0) AS g, coalesce(price / lag(price) OVER ({W}) - 1, 0) AS x FROM ticks), b AS (SELECT *, coalesce(lag(g) OVER ({W}), 0) AS p FROM a),
+    return f"""SELECT * FROM (WITH {TICKS_SQL}, a AS (SELECT *, coalesce(sign(round({mean(fast)} - {mean(slow)}, 9)), 0) AS g, coalesce(price / nullif(lag(price) OVER ({W}), 0) - 1, 0) AS x FROM ticks), b AS (SELECT *, coalesce(lag(g) OVER ({W}), 0) AS p FROM a),
 c AS (SELECT asset, p * x - 0.001 * abs(p - coalesce(lag(p) OVER ({W}), p)) AS net FROM b) SELECT asset, CAST({fast} AS BIGINT) AS fast, CAST({slow} AS BIGINT) AS slow, {r(f'CASE WHEN count(*) > {slow + 2} AND stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) ELSE 0 END', 'score')} FROM c GROUP BY 1)"""
 
 

@@ -103,3 +103,16 @@ def test_exact_quantiles_by_group(spark):
             assert got[g][name] == pytest.approx(want, rel=1e-12), (g, name)
     told = df.agg(*[F.percentile("x", F.lit(p)).alias(n) for n, p in wanted.items()]).first()
     assert tuple(quantiles.exact(df, "x", wanted).first()) == pytest.approx(tuple(told))
+
+
+def test_zero_prices_give_no_return(spark):
+    """A price of zero is behind the next return and below a bar's range; neither may stop a query."""
+    from quantspark.operators import diagnostics, market
+
+    df = spark.createDataFrame([("a", i, p) for i, p in enumerate([10.0, 11.0, 0.0, 12.0, 11.0, 13.0])], "asset string, ts long, price double")
+    rows = sorted(k.return_volatility(df, S).collect(), key=lambda r: r["ts"])
+    assert rows[3]["volatility"] is None and math.isfinite(rows[5]["volatility"])
+    out = {r["ts"]: r["touch_return"] for r in market.triple_barrier(k.return_volatility(df, S), S, "price", horizon=2).collect()}
+    assert out[2] is None and out[4] == pytest.approx(13 / 11 - 1)
+    bars = df.select("asset", "ts", *[F.col("price").alias(c) for c in ("open", "high", "low", "close")])
+    assert [r["parkinson"] for r in diagnostics.range_volatility(bars, S, n=1).orderBy("ts").collect()][2] is None
