@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantspark.llm import decision_list, licenses, mixing, ngram_lm, packing, pivots, secrets, sharding, simhash, url_rules
+from quantspark.llm import decision_list, elkan, licenses, mixing, ngram_lm, packing, pivots, secrets, sharding, simhash, url_rules
 from quantspark.llm.sql import ORACLES
 
 
@@ -55,6 +55,10 @@ def op10_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.cluster_digest(table(spark, sf_dir, "embeddings")).drop("calculated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_sum_of_squares_packing,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_simhash_dedup,
         op9_license_scan,
         op10_label_shards,
+        op11_elkan_clusters,
     )}
 
 

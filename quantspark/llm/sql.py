@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantspark.llm import secrets
+from quantspark.llm import elkan, secrets
 from quantspark.llm.pivots import MIN_COSINE
 
 
@@ -52,4 +52,28 @@ r AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node,
 c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings e JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""
 
-ORACLES: dict[str, str] = {"op4_pivot_dedup": _LINK_SQL, "op6_secret_scan": _secret_sql()}
+
+def _cluster_sql() -> str:
+    """Every distance of every round: vectors and centroids by component, one pair of steps for each round."""
+    fits = f"len(v) = {elkan.DIMENSIONS} AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) * {elkan.SCALE} >= {elkan.MAX_COMPONENT})) = 0"
+    steps = [
+        "e AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)",
+        f"k AS MATERIALIZED (SELECT rid, vec_id, list_transform(v, lambda x: CAST(floor(x * {elkan.SCALE}) AS BIGINT)) AS v FROM e WHERE {fits})",
+        f"p AS MATERIALIZED (SELECT rid, unnest(range(1, {elkan.DIMENSIONS} + 1)) AS i, unnest(v) AS x FROM k)",
+        f"f AS (SELECT v, row_number() OVER (ORDER BY sha256('{elkan.SEED}:' || vec_id) NULLS LAST, v) - 1 AS cluster FROM k QUALIFY cluster < {elkan.CLUSTERS})",
+        f"c0 AS MATERIALIZED (SELECT cluster, unnest(range(1, {elkan.DIMENSIONS} + 1)) AS i, unnest(v) AS c FROM f)",
+    ]
+    for n in range(elkan.ROUNDS + 1):
+        steps.append(f"d{n} AS (SELECT rid, cluster, sum((x - c) * (x - c)) AS d FROM p JOIN c{n} USING (i) GROUP BY rid, cluster)")
+        steps.append(f"a{n} AS MATERIALIZED (SELECT rid, arg_min(cluster, d * 1000 + cluster) AS cluster, min(d) AS d FROM d{n} GROUP BY rid)")
+        mean = "(s - ((s % n) + n) % n) // n"
+        sums = f"SELECT cluster, i, sum(x) AS s, count(*) AS n FROM p JOIN a{n} USING (rid) GROUP BY cluster, i"
+        steps.append(f"c{n + 1} AS MATERIALIZED (SELECT o.cluster, o.i, CASE WHEN m.n IS NULL THEN o.c ELSE CAST({mean} AS BIGINT) END AS c FROM c{n} o LEFT JOIN ({sums}) m USING (cluster, i))")
+    last = elkan.ROUNDS
+    steps.append(f"h AS (SELECT cluster, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{last} GROUP BY cluster)")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM k JOIN a{last} USING (rid) JOIN h USING (cluster)"""
+
+
+ORACLES: dict[str, str] = {"op4_pivot_dedup": _LINK_SQL, "op6_secret_scan": _secret_sql(), "op11_elkan_clusters": _cluster_sql()}
