@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantspark.llm import decision_list, elkan, licenses, mixing, ngram_lm, packing, pivots, secrets, sharding, simhash, url_rules
+from quantspark.llm import conversations, decision_list, elkan, licenses, mixing, ngram_lm, packing, pivots, rule_ensemble, secrets, sharding, simhash, url_rules
 from quantspark.llm.sql import ORACLES
 
 
@@ -59,6 +59,14 @@ def op11_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elkan.cluster_digest(table(spark, sf_dir, "embeddings")).drop("calculated")
 
 
+def op12_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classifier_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digest(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_sum_of_squares_packing,
@@ -72,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_license_scan,
         op10_label_shards,
         op11_elkan_clusters,
+        op12_rule_ensemble,
+        op13_conversation_repair,
     )}
 
 

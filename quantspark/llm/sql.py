@@ -76,4 +76,38 @@ SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distanc
 CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM k JOIN a{last} USING (rid) JOIN h USING (cluster)"""
 
 
-ORACLES: dict[str, str] = {"op4_pivot_dedup": _LINK_SQL, "op6_secret_scan": _secret_sql(), "op11_elkan_clusters": _cluster_sql()}
+def _repair_sql() -> str:
+    """The cheapest edits by a step for each row: of each of the four states the least (cost, edits, repaired rows)."""
+    far = 1 << 40
+    least = lambda *xs: f"list_sort([{', '.join(xs)}])[1]"
+
+    def then(x: str, cost: str, letter: str, row: str | None = None) -> str:
+        return f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 't': {x}.t" + (f" || [{row}]}}" if row else "}")
+
+    insert = lambda x, name: then(x, "3", "I", f"'{name}:'")
+    closed = lambda v: f"(SELECT [a, b, c, {least('d', insert('c', 'assistant'))}] FROM (SELECT {v}[1] AS a, {v}[2] AS b, {v}[4] AS d, {least(f'{v}[3]', *[insert(f'{v}[{i}]', 'user') for i in (1, 2, 4)])} AS c))"
+    gone = lambda i: then(f"w[{i}]", "4", "D")
+    keep = lambda i, initial: then(f"w[{i}]", f"(CASE WHEN fault IN (1, 2) OR role[1:1] <> '{initial}' THEN {far} ELSE cut END)", "K", "role || ':' || text")
+    name_ = lambda i, name: then(f"w[{i}]", f"(CASE WHEN fault IN (1, 2) THEN {far} ELSE 3 + cut END)", "R", f"'{name}:' || text")
+    users = [f(i, x) for i in (1, 2, 4) for f, x in ((keep, "u"), (name_, "user"))]
+    row = f"[{gone(1)}, {least(gone(2), keep(1, 's'))}, {least(gone(3), *users)}, {least(gone(4), keep(3, 'a'), name_(3, 'assistant'))}]"
+    start = ", ".join(f"{{'c': CAST({c} AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}}" for c in (0, far, far, far))
+    spaces = r"[\x20\x09-\x0D]"
+    return f"""WITH RECURSIVE z AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS z),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+ lambda c, b: xor(c >> 8, z[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM conversations, z),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+ lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS before FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN nth > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?]{spaces}*$') THEN 3 ELSE 0 END AS fault FROM n),
+q AS (SELECT *, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS cut FROM f),
+s AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, [{start}] AS v FROM conversations
+ UNION ALL SELECT conv_id, i, {row} AS v FROM (SELECT q.*, {closed('s.v')} AS w FROM s JOIN q ON q.conv_id IS NOT DISTINCT FROM s.conv_id AND q.i = s.i + 1)),
+e AS (SELECT conv_id, w, {least('w[1]', 'w[4]')} AS best FROM (SELECT conv_id, {closed('s.v')} AS w FROM s QUALIFY i = max(i) OVER (PARTITION BY conv_id))),
+m AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, sum(CAST(fault = 1 AS INT)) AS blank, sum(CAST(fault = 2 AS INT)) AS duplicate, sum(CAST(fault = 3 AS INT)) AS truncated,
+ sum(CAST(before IS NOT NULL AND before[1:1] || role[1:1] NOT IN ('su', 'ua', 'au') AS INT)) AS illegal FROM q GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, best.c AS cost, best.a AS audit, sha256(array_to_string(best.t, chr(10))) AS repaired_sha256 FROM e LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+ORACLES: dict[str, str] = {"op4_pivot_dedup": _LINK_SQL, "op6_secret_scan": _secret_sql(), "op11_elkan_clusters": _cluster_sql(), "op13_conversation_repair": _repair_sql()}

@@ -13,7 +13,7 @@ from .helpers import awkward
 
 def test_registered_under_the_numbers():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 12))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
