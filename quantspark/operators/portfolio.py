@@ -96,25 +96,6 @@ def allocations(spark: SparkSession, returns: DataFrame) -> DataFrame:
     return spark.createDataFrame(table)
 
 
-def turbulence(returns: DataFrame, asset: str = "asset", at: str = "ts", x: str = "ret") -> DataFrame:
-    """Mahalanobis distance of each moment's returns from their mean, for moments with every asset."""
-    names, means, matrix = covariance(returns, asset, at, x)
-    inverse = np.linalg.pinv(shrunk(matrix, 0.01))
-    place = {a: i for i, a in enumerate(names)}
-
-    def distance(frame: pd.DataFrame) -> pd.DataFrame:
-        v = np.full(len(names), np.nan)
-        for a, value in zip(frame[asset], frame[x], strict=True):
-            v[place[a]] = value
-        if np.isnan(v).any():
-            return pd.DataFrame({at: [], "turbulence": []})
-        gap = v - means
-        return pd.DataFrame({at: [frame[at].iloc[0]], "turbulence": [float(gap @ inverse @ gap)]})
-
-    kind = dict(returns.dtypes)[at]
-    return returns.where(F.col(x).isNotNull()).groupBy(at).applyInPandas(distance, f"{at} {kind}, turbulence double")
-
-
 def monte_carlo(spark: SparkSession, mean: float, std: float, start: float = 1.0, paths: int = 10_000, horizon: int = 252, seed: int = 42, block: int = 1_000) -> DataFrame:
     """(path, final, max_drawdown): geometric paths in blocks, each seeded by its number, so any split gives the same paths."""
 

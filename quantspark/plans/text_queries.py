@@ -272,11 +272,6 @@ def allocations(spark, sf_dir):
     return rounded(portfolio.allocations(spark, daily(spark, sf_dir)))
 
 
-@register("turbulence")
-def turbulence(spark, sf_dir):
-    return rounded(portfolio.turbulence(daily(spark, sf_dir)))
-
-
 @register("monte_carlo")
 def monte_carlo(spark, sf_dir):
     stats = returns(spark, sf_dir).agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s")).first()
