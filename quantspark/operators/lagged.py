@@ -50,11 +50,11 @@ def gram(rows: DataFrame, by: Sequence[str], z: str) -> DataFrame:
             for key, part in frame.groupby(list(by), dropna=False, sort=False):
                 x = np.stack(part[z].to_numpy())
                 out.append((*key, (x.T @ x).ravel()))
-            yield pd.DataFrame(out, columns=[*by, "g"])
+            yield pd.DataFrame(out, columns=[*by, "__g"])
 
-    sums = rows.select(*by, z).mapInPandas(run, f"{told}, g array<double>").select(*by, F.posexplode("g").alias("k", "x"))
-    sums = sums.groupBy(*by, "k").agg(F.sum("x").alias("x"))
-    return sums.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("gram"))
+    sums = rows.select(*by, z).mapInPandas(run, f"{told}, __g array<double>").select(*by, F.posexplode("__g").alias("__k", "__x"))
+    sums = sums.groupBy(*by, "__k").agg(F.sum("__x").alias("__x"))
+    return sums.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("__k", "__x"))), lambda s: s["__x"]).alias("gram"))
 
 
 def t_of_first(g: np.ndarray, free: int) -> float | None:

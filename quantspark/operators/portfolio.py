@@ -1,31 +1,14 @@
-"""Portfolio optimisation: Spark gathers the moments, the small asset-by-asset problem is solved in numpy."""
+"""Portfolio weights by closed forms and small recursions; Spark gathers each group's moments and spreads the groups."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Assets up to which a covariance matrix is brought to the driver.
-MAX_ASSETS = 2_000
-
 
-def covariance(returns: DataFrame, asset: str = "asset", at: str = "ts", x: str = "ret") -> tuple[list, np.ndarray, np.ndarray]:
-    """(assets, mean vector, covariance matrix) over moments that two assets share. Larger universes are refused."""
-    rows = returns.where(F.col(x).isNotNull())
-    means = rows.groupBy(F.col(asset).alias("a")).agg(F.avg(x).alias("m"), F.var_samp(x).alias("v")).orderBy("a").limit(MAX_ASSETS + 1).collect()
-    if len(means) > MAX_ASSETS:
-        raise ValueError(f"more than {MAX_ASSETS} assets")
-    left = rows.select(F.col(at).alias("t"), F.col(asset).alias("a"), F.col(x).alias("x"))
-    right = rows.select(F.col(at).alias("t"), F.col(asset).alias("b"), F.col(x).alias("y"))
-    pairs = left.join(right, "t").where("a < b").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("c")).collect()
-    names = [r["a"] for r in means]
-    place = {a: i for i, a in enumerate(names)}
-    matrix = np.diag([r["v"] or 0.0 for r in means])
-    for r in pairs:
-        matrix[place[r["a"]], place[r["b"]]] = matrix[place[r["b"]], place[r["a"]]] = r["c"] or 0.0
-    return names, np.array([r["m"] for r in means]), matrix
+from quantspark.operators.optimise import group_moments
 
 
 def shrunk(matrix: np.ndarray, share: float = 0.1) -> np.ndarray:
@@ -88,12 +71,21 @@ def hierarchical_risk_parity(matrix: np.ndarray) -> np.ndarray:
     return w
 
 
-def allocations(spark: SparkSession, returns: DataFrame) -> DataFrame:
-    """(asset, minimum_variance, maximum_sharpe, risk_parity, hierarchical)."""
-    names, means, matrix = covariance(returns)
-    matrix = shrunk(matrix)
-    table = pd.DataFrame({"asset": names, "minimum_variance": minimum_variance(matrix), "maximum_sharpe": maximum_sharpe(means, matrix), "risk_parity": risk_parity(matrix), "hierarchical": hierarchical_risk_parity(matrix)})
-    return spark.createDataFrame(table)
+def allocations(spark: SparkSession, returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, asset, minimum_variance, maximum_sharpe, risk_parity, hierarchical): a group's moments are a row, and its four
+    problems are solved where that row is."""
+    kinds = dict(returns.dtypes)
+    told = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], f"asset {kinds['asset']}"] + [f"{m} double" for m in ("minimum_variance", "maximum_sharpe", "risk_parity", "hierarchical")])
+
+    def solved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                n = len(row.assets)
+                matrix, means = shrunk(np.array(row.cov).reshape(n, n)), np.array(row.means)
+                table = {"asset": row.assets, "minimum_variance": minimum_variance(matrix), "maximum_sharpe": maximum_sharpe(means, matrix), "risk_parity": risk_parity(matrix), "hierarchical": hierarchical_risk_parity(matrix)}
+                yield pd.DataFrame({c: [getattr(row, c)] * n for c in by} | table)
+
+    return group_moments(returns, by).mapInPandas(solved, told)
 
 
 def monte_carlo(spark: SparkSession, mean: float, std: float, start: float = 1.0, paths: int = 10_000, horizon: int = 252, seed: int = 42, block: int = 1_000) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantspark.frames import TICKS, Series, ratio, rounded, simple_return
-from quantspark.operators import blocks, lagged
+from quantspark.operators import blocks, breaks, lagged, optimise
 from quantspark.plans.indicator_queries import r
 from quantspark.plans.registry import register
-from quantspark.sources.tables import TICKS_SQL, read, ticks
+from quantspark.sources.tables import TICKS_SQL, TRADES_SQL, read, ticks, trades
 
 PANEL = Series(("asset",), ("ts",))
 HOURS_SQL = """hours AS (SELECT event_type AS asset, date_trunc('hour', ts) AS ts, arg_max(value, (ts, event_id)) AS price FROM events GROUP BY 1, 2),
@@ -150,3 +150,65 @@ def market_concentration(spark, sf_dir):
 def turbulence(spark, sf_dir):
     """SQL inverts no matrices; tests compare with the definition."""
     return rounded(blocks.turbulence(hours(spark, sf_dir), 48))
+
+
+DEALS = Series(("symbol",), ("ts", "okey", "line"))
+BREAKS_SQL = f"""WITH RECURSIVE {TRADES_SQL}, q AS MATERIALIZED (SELECT symbol, pnl, row_number() OVER (PARTITION BY symbol ORDER BY ts, okey, line) - 1 AS pos, pnl - avg(pnl) OVER (PARTITION BY symbol) AS g, count(*) OVER (PARTITION BY symbol) AS n FROM trades WHERE pnl IS NOT NULL),
+c AS MATERIALIZED (SELECT symbol, pos, sum(g * g) OVER (PARTITION BY symbol ORDER BY pos) AS s, n FROM q),
+seg AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS a, n AS b, CAST(-1 AS BIGINT) AS cut, CAST(0 AS DOUBLE) AS stat, 0 AS depth, 0 AS half FROM c WHERE n >= 60
+ UNION ALL SELECT symbol, CASE WHEN h = 0 THEN a ELSE cut END, CASE WHEN h = 0 THEN cut ELSE b END, cut, stat, depth + 1, h FROM (
+ SELECT symbol, a, b, depth, arg_max(pos, d) + 1 AS cut, sqrt((b - a) / 2.0) * max(d) AS stat FROM (
+  SELECT t.symbol, t.a, t.b, t.depth, c.pos, abs((c.s - coalesce(f.s, 0)) / nullif(l.s - coalesce(f.s, 0), 0) - (c.pos - t.a + 1) / CAST(t.b - t.a AS DOUBLE)) AS d
+  FROM seg t JOIN c ON c.symbol = t.symbol AND c.pos >= t.a AND c.pos < t.b - 1 LEFT JOIN c f ON f.symbol = t.symbol AND f.pos = t.a - 1 JOIN c l ON l.symbol = t.symbol AND l.pos = t.b - 1 WHERE t.b - t.a >= 60)
+ GROUP BY 1, 2, 3, 4), (SELECT unnest([0, 1]) AS h) WHERE stat > {breaks.CRITICAL} AND cut - a >= 30 AND b - cut >= 30),
+found AS (SELECT symbol, cut AS position, stat, depth - 1 AS depth FROM seg WHERE depth > 0 AND half = 0)"""
+
+
+@register("variance_breaks", f"{BREAKS_SQL} SELECT symbol, position, {r('stat', 'statistic')}, CAST(depth AS INTEGER) AS depth FROM found")
+def variance_breaks(spark, sf_dir):
+    return rounded(breaks.variance_breaks(trades(spark, sf_dir), DEALS, "pnl"))
+
+
+@register("variance_segments", f"{BREAKS_SQL}, m AS (SELECT q.*, count(position) OVER (PARTITION BY q.symbol ORDER BY pos) AS part FROM q LEFT JOIN found ON found.symbol = q.symbol AND position = pos) SELECT symbol, min(pos) AS start, max(pos) + 1 AS end, count(*) AS n, {r('stddev_samp(pnl)', 'volatility')} FROM m GROUP BY symbol, part")
+def variance_segments(spark, sf_dir):
+    return rounded(breaks.variance_segments(trades(spark, sf_dir), DEALS, "pnl"))
+
+
+@register("extreme_tail")
+def extreme_tail(spark, sf_dir):
+    """A largest likelihood is beyond SQL; tests compare it with a plain search."""
+    return rounded(breaks.extreme_tail(trades(spark, sf_dir), DEALS, "pnl"), 3)
+
+
+def nation_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """months of the suppliers with their nation."""
+    home = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asset"), F.col("s_nationkey").alias("nation"))
+    return months(spark, sf_dir).join(home, "asset")
+
+
+@register("efficient_frontier")
+def efficient_frontier(spark, sf_dir):
+    """Quadratic programmes are beyond SQL; tests check the conditions of an optimum."""
+    rows = optimise.efficient_frontier(optimise.group_moments(nation_months(spark, sf_dir), ["nation"]), [0.1, 0.5, 1.0, 2.0, 5.0, 20.0, 100.0])
+    return rounded(rows.drop("assets", "weights", "residual"), 5)
+
+
+@register("tracking_portfolios")
+def tracking_portfolios(spark, sf_dir):
+    rows = nation_months(spark, sf_dir)
+    market = rows.groupBy("ts").agg(F.avg("ret").alias("market"))
+    out = optimise.tracking_portfolios(rows.join(market, "ts"), F.col("market"), ["nation"])
+    return rounded(out.drop("assets", "weights", "residual"), 5)
+
+
+@register("black_litterman")
+def black_litterman(spark, sf_dir):
+    """Market weights are the suppliers' shares of all months' prices; the one view is that a nation's first supplier
+    gains one per cent a month."""
+    rows = nation_months(spark, sf_dir)
+    caps = rows.groupBy("nation", "asset").agg(F.avg("price").alias("cap")).groupBy("nation").agg(F.transform(F.sort_array(F.collect_list(F.struct("asset", "cap"))), lambda c: c["cap"]).alias("caps"))
+    problems = optimise.group_moments(rows, ["nation"]).join(caps, "nation")
+    first = F.transform("assets", lambda a, i: F.when(i == 0, 1.0).otherwise(0.0))
+    view = F.array(F.struct(first.alias("weights"), F.lit(0.01).alias("ret"), F.lit(0.6).alias("confidence")))
+    out = optimise.black_litterman(problems.withColumn("views", view), "caps", "views")
+    return rounded(out.drop("assets", "weights", "residual", "caps", "views"), 5)
