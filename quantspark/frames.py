@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -94,3 +95,15 @@ def settled(df: DataFrame) -> DataFrame:
     """df computed once: checkpointed where the cluster names a shared folder for that, else persisted."""
     reliable = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") is not None
     return df.checkpoint() if reliable else df.persist()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, so that loops keep short plans. Where the session names no folder, as in tests,
+    a local master gets a temporary one; on a cluster that is an error, because tasks would not see each other's files."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='quantspark-')}")
+    return df.checkpoint()

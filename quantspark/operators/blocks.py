@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantspark.frames import settled
+from quantspark.frames import cut, settled
 
 #: Assets of a block and moments of a tile, about: both are dealt by hash.
 SIDE = 128
@@ -211,8 +211,8 @@ def leading_eigenvalues(m: BlockMatrix, count: int, extra: int = 8, least_column
         return np.zeros(0)
     width = min(max(count + extra, least_columns), m.n)
     schema, told = THIN, THIN_TYPE
-    whole = settled(m.both())
-    sizes = settled(whole.where("i = j").select("i", F.col("rows").alias("n")))
+    whole = cut(m.both())
+    sizes = cut(whole.where("i = j").select("i", F.col("rows").alias("n")))
     total = m.trace() or 1.0
 
     def apply(frame: DataFrame, change: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -261,21 +261,21 @@ def leading_eigenvalues(m: BlockMatrix, count: int, extra: int = 8, least_column
                 w = np.random.default_rng([seed, row["i"]]).standard_normal((row["n"], width))
                 yield pa.RecordBatch.from_pylist([{"i": row["i"], "n": row["n"], "v": [], "w": w.ravel()}], schema=schema)
 
-    state = settled(sizes.mapInArrow(fresh, told))
+    state = cut(sizes.mapInArrow(fresh, told))
     columns, reduced, found = 0, np.zeros((0, 0)), np.full(count, np.inf)
     while True:
         # Twice, because once leaves what the first rounding brought back.
         for _ in range(2):
             if columns:
                 known = inner(state, lambda v, w: v.T @ w)
-                state = settled(apply(state, lambda v, w, i, known=known: (v, w - v @ known)))
+                state = cut(apply(state, lambda v, w, i, known=known: (v, w - v @ known)))
             gram = inner(state, lambda v, w: w.T @ w)
             values, vectors = np.linalg.eigh(gram)
             good = values > 1e-13 * max(values.max(), 1e-300)
             if not good.any() or values.max() <= 1e-24 * total * total:
                 return _told_values(found, reduced, count)
             root = vectors[:, good] / np.sqrt(values[good])
-            state = settled(apply(state, lambda v, w, i, root=root: (v, w @ root)))
+            state = cut(apply(state, lambda v, w, i, root=root: (v, w @ root)))
         product = times(state)
         joined = state.join(product, "i").select("i", "n", "v", "w", "z")
         # The new columns join the basis, and their product is what the next step starts from.
@@ -287,7 +287,7 @@ def leading_eigenvalues(m: BlockMatrix, count: int, extra: int = 8, least_column
                     v = np.hstack([np.array(row["v"]).reshape(n, -1), np.array(row["w"]).reshape(n, -1)])
                     yield pa.RecordBatch.from_pylist([{"i": row["i"], "n": n, "v": v.ravel(), "w": row["z"]}], schema=schema)
 
-        state = settled(joined.mapInArrow(grow, told))
+        state = cut(joined.mapInArrow(grow, told))
         coupled = inner(state, lambda v, w: v.T @ w)
         new = coupled.shape[1]
         size = columns + new

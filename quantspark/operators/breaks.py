@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantspark.frames import TICKS, Series, settled
+from quantspark.frames import TICKS, Series, cut
 
 #: Asymptotic 95 per cent bound of the largest centred cumulative sum of squares.
 CRITICAL = 1.358
@@ -34,16 +34,16 @@ def variance_breaks(df: DataFrame, s: Series = TICKS, x: str = "ret", min_segmen
     # Sums up to each row serve every segment: a segment's own are differences of them.
     state = rows.withColumn("sum", F.sum("__q").over(s.so_far())).withColumn("total", F.sum("__q").over(s.whole()))
     state = state.select(*s.key, "pos", "sum", F.lit(0).alias("start"), "end", F.lit(0.0).alias("base"), "total").where(F.col("end") >= 2 * min_segment)
-    state = settled(state)
+    state = cut(state)
     out = None
     for depth in range(max_rounds):
         size = F.col("end") - F.col("start")
         apart = F.abs((F.col("sum") - F.col("base")) / F.when(F.col("total") > 0, F.col("total")) - (F.col("pos") - F.col("start") + 1) / size)
         best = F.max(F.when(F.col("pos") < F.col("end") - 1, F.struct(apart.alias("d"), (-F.col("pos")).alias("p"), F.col("sum").alias("at"))))
         found = state.groupBy(*s.key, "start", "end", "base", "total").agg(best.alias("b")).where(F.col("b.d").isNotNull())
-        cut = 1 - F.col("b.p")
-        found = found.select(*s.key, "start", "end", cut.alias("cut"), (F.sqrt((F.col("end") - F.col("start")) / 2) * F.col("b.d")).alias("statistic"), F.col("b.at").alias("at"))
-        found = settled(found.where((F.col("statistic") > critical) & (F.col("cut") - F.col("start") >= min_segment) & (F.col("end") - F.col("cut") >= min_segment)))
+        place = 1 - F.col("b.p")
+        found = found.select(*s.key, "start", "end", place.alias("cut"), (F.sqrt((F.col("end") - F.col("start")) / 2) * F.col("b.d")).alias("statistic"), F.col("b.at").alias("at"))
+        found = cut(found.where((F.col("statistic") > critical) & (F.col("cut") - F.col("start") >= min_segment) & (F.col("end") - F.col("cut") >= min_segment)))
         told = found.select(*s.key, F.col("cut").alias("position"), "statistic", F.lit(depth).alias("depth"))
         out = told if out is None else out.unionByName(told)
         if found.isEmpty():
@@ -59,9 +59,7 @@ def variance_breaks(df: DataFrame, s: Series = TICKS, x: str = "ret", min_segmen
             F.when(after, F.col("at")).otherwise(F.col("base")).alias("base"),
             F.when(after, F.col("total") - (F.col("at") - F.col("base"))).otherwise(F.col("at") - F.col("base")).alias("total"),
         )
-        before, state = state, settled(parts.where(F.col("end") - F.col("start") >= 2 * min_segment))
-        state.count()
-        before.unpersist()
+        state = cut(parts.where(F.col("end") - F.col("start") >= 2 * min_segment))
     raise RuntimeError(f"segments still split after {max_rounds} rounds")
 
 
@@ -141,12 +139,12 @@ def extreme_tail(df: DataFrame, s: Series = TICKS, x: str = "ret", confidence: f
     keys = low.groupBy(*s.key).agg(F.count(F.lit(1)).alias("n_blocks"), F.avg("low").alias("mean"), spread.alias("std"))
     fitted = keys.where((F.col("n_blocks") >= 10) & (F.col("std") > 0))
     # Blocks' least values are standardised, so that steps have one size; the fit does not change.
-    low = settled(low.join(fitted.select(*s.key, "mean", "std"), list(s.key)).select(*s.key, ((F.col("low") - F.col("mean")) / F.col("std")).alias("z")))
+    low = cut(low.join(fitted.select(*s.key, "mean", "std"), list(s.key)).select(*s.key, ((F.col("low") - F.col("mean")) / F.col("std")).alias("z")))
     kinds = dict(df.dtypes)
     told = ", ".join(f"`{c}` {kinds[c]}" for c in s.key)
     names = list(s.key)
     start = F.array(F.lit(-0.45), F.lit(0.0), F.lit(0.3))
-    state = settled(fitted.select(*s.key, start.alias("point"), start.alias("best"), F.lit(float("inf")).alias("loss"), F.array(*[F.lit(0.0)] * 3).alias("step"), F.lit(False).alias("done")))
+    state = cut(fitted.select(*s.key, start.alias("point"), start.alias("best"), F.lit(float("inf")).alias("loss"), F.array(*[F.lit(0.0)] * 3).alias("step"), F.lit(False).alias("done")))
 
     def losses(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -173,13 +171,13 @@ def extreme_tail(df: DataFrame, s: Series = TICKS, x: str = "ret", confidence: f
                 ends.append(bool(np.abs(step).max() < tolerance))
             yield pd.DataFrame({**{c: frame[c] for c in names}, "point": points, "best": bests, "loss": lows, "step": steps, "done": ends})
 
-    kept = settled(state.where("done"))
+    kept = cut(state.where("done"))
     for _ in range(max_rounds):
         if state.isEmpty():
             break
         sums = low.join(state.select(*s.key, "point"), names).mapInPandas(losses, f"{told}, v array<double>").select(*s.key, F.posexplode("v").alias("k", "v"))
         sums = sums.groupBy(*s.key, "k").agg(F.sum("v").alias("v")).groupBy(*s.key).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda c: c["v"]).alias("losses"))
-        after = settled(state.join(sums, names).mapInPandas(move, f"{told}, point array<double>, best array<double>, loss double, step array<double>, done boolean"))
+        after = cut(state.join(sums, names).mapInPandas(move, f"{told}, point array<double>, best array<double>, loss double, step array<double>, done boolean"))
         kept, state = kept.unionByName(after.where("done")), after.where("NOT done")
     fits = kept.unionByName(state).select(*s.key, *[F.col("best")[i].alias(f"__{i}") for i in range(3)])
     whole = known.groupBy(*s.key).agg(F.count(F.lit(1)).alias("n"), F.percentile("x", F.lit(1 - confidence)).alias("q"))
