@@ -50,14 +50,36 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD", "Licensed under the BSD License."),
+    ("BSD", "Released under the BSD License."),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    (
+        "LGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "This work is licensed under a Creative Commons CC0 1.0 Universal License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
-#: A text that may speak of a license. Words of a cue may be parted by a line break or a comment sign.
-CUE_SQL = r"(?i)licen[sc]|permission\W+is\W+hereby|redistribut|creative\W+commons|public\W+domain|copyright|\bCC\W+BY|warrant|free\W+software"
-CUE = re.compile(CUE_SQL)
 WORDS = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*", re.UNICODE)
 TAIL = re.compile(r"[^\w\s]*")
 #: A line break and what precedes the first word of the next line, such as comment signs.
@@ -72,6 +94,10 @@ CLOSE = 1.0
 #: No alignment of that score is longer than (1 - MIN_SCORE) / EXTRA + 1 = 5.2 templates, so that it lies in some
 #: window of 7 template lengths that starts at a multiple of one.
 WINDOW = 7
+#: Share of a template's words that another one's wording says too, from which the two could be taken for each other.
+ALIKE = 0.6
+#: Differing words in a row that must all be equal; of longer runs, such as a clause, MIN_EQUAL.
+EXACT_RUN = 4
 #: Words of its own that a license needs beside an overlapping one.
 OWN = 2
 FOUND_TYPE = "array<struct<license:string, start:int, end:int, reduction:double, equal_words:int, block_words:int, template_words:int>>"
@@ -86,6 +112,10 @@ class Template:
     #: Place of each vocabulary word in counts, -1 where the template lacks it, and how often the template has it.
     place: np.ndarray
     counts: np.ndarray
+    #: Runs of places that tell it from look-alikes, words of which one must be said, and words that tell look-alikes.
+    telling: tuple[tuple[int, ...], ...]
+    anchors: frozenset[str]
+    rivals: tuple[frozenset[str], ...]
 
 
 @lru_cache(maxsize=1)
@@ -107,10 +137,37 @@ def _templates() -> tuple:
         distinct, counts = np.unique(ids, return_counts=True)
         place = np.full(len(vocabulary), -1)
         place[distinct] = np.arange(len(distinct))
-        templates.append(Template(name, z.ZstdCompressor(level=19, dict_data=data, write_content_size=False, write_checksum=False), words, ids, place, counts))
+        told = [_differences(words, other) for rival, _, other in worded if rival != name]
+        runs = {run for alike, mine, _ in told if alike for run in mine} | {(k,) for k, word in enumerate(words) if re.search(r"\d[.]\d", word)}
+        rivals = tuple({theirs for alike, _, theirs in told if alike and theirs})
+        compressor = z.ZstdCompressor(level=19, dict_data=data, write_content_size=False, write_checksum=False)
+        templates.append(Template(name, compressor, words, ids, place, counts, tuple(sorted(runs)), anchors(words), rivals))
     return plain, vocabulary, tuple(templates)
 
 
+def anchors(words: list[str]) -> frozenset[str]:
+    """Words of which a notice must say one: those of licensing, or where there are none the longest word."""
+    return frozenset(w for w in words if "licens" in w) or frozenset([max(words, key=len)])
+
+
+def _differences(words: list[str], other: list[str]) -> tuple[bool, list[tuple[int, ...]], frozenset[str]]:
+    """(whether a wording could be taken for words, runs of places of words that it lacks, words that it has instead)."""
+    same = difflib.SequenceMatcher(None, words, other, autojunk=False).get_matching_blocks()
+    alike = sum(b.size for b in same) >= ALIKE * len(words)
+    runs, own, i, j = [], set(), 0, 0
+    for b in same:
+        if b.a > i:
+            runs.append(tuple(range(i, b.a)))
+        own |= set(other[j : b.b])
+        i, j = b.a + b.size, b.b + b.size
+    return alike, runs, frozenset(own - set(words))
+
+
+#: A text that may hold a notice: each needs one of its template's anchors.
+CUE_SQL = "(?i)" + "|".join(sorted({"licens" if "licens" in a else re.escape(a) for _, w in TEMPLATES for a in anchors(WORDS.findall(w.lower()))}))
+CUE = re.compile(CUE_SQL)
+
+
 def _stretches(t: Template, at: np.ndarray, ids: np.ndarray, n: int) -> list[tuple[int, int]]:
     """(start, end) of the stretches of n words that share enough words with the template, repetitions counted, to
     confirm it. at and ids are the places and numbers of the words that any template has."""
@@ -181,6 +238,29 @@ def same_words(i: int, block: str) -> tuple[int, tuple[int, ...]]:
     return len(words), tuple(p for b in blocks for p in range(b.b, b.b + b.size))
 
 
+@lru_cache(maxsize=4096)
+def names_it(i: int, block: str) -> bool:
+    """Whether the block says what tells template i from its look-alikes, and nothing that tells one of them instead.
+
+    Every short run of telling words is said whole, of a longer one most words, and one of the anchors; and no gap between
+    the template's words is filled with words that only a look-alike has.
+    """
+    t, words = _templates()[2][i], WORDS.findall(block)
+    blocks = difflib.SequenceMatcher(None, t.words, words, autojunk=False).get_matching_blocks()
+    said = {p for b in blocks for p in range(b.a, b.a + b.size)}
+    if not any(t.words[p] in t.anchors for p in said):
+        return False
+    for run in t.telling:
+        if len(said.intersection(run)) < len(run) * (1 if len(run) <= EXACT_RUN else MIN_EQUAL):
+            return False
+    ends = [(b.b, b.b + b.size) for b in blocks if b.size]
+    for (_, stop), (start, _) in zip(ends, ends[1:], strict=False):
+        gap = words[stop:start]
+        if gap and any(sum(w in rival for w in gap) >= MIN_EQUAL * len(gap) for rival in t.rivals):
+            return False
+    return True
+
+
 def find_licenses(text: str | None) -> list[tuple]:
     """Every confirmed license of a text, by place; null and empty texts have none."""
     if not text or not CUE.search(text):
@@ -200,7 +280,7 @@ def find_licenses(text: str | None) -> list[tuple]:
                 stop = TAIL.match(text, places[last - 1][1]).end()
                 block = " ".join(BREAK.sub(" ", text[places[first][0] : stop]).lower().split())
                 saved, reduction = size_reduction(i, block)
-                if reduction >= MIN_REDUCTION:
+                if reduction >= MIN_REDUCTION and names_it(i, block):
                     candidates.append((-saved, -reduction, i, first, last, stop, block))
     rows: list[tuple] = []
     taken: dict[str, set[int]] = {}

@@ -28,6 +28,59 @@ def test_small_changes_and_look_alikes():
     assert licenses.find_licenses("Licensed under CC BY 4.0.")[0][0] == "CC-BY-4.0"
 
 
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("Licensed under the BSD License.", "BSD"),
+        ("Licensed under the ISC License.", "ISC"),
+        ("Licensed under the Acme License.", None),
+        ("Released under the MIT agreement.", "MIT agreement"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+        ("This work is licensed under the GNU Fancy General Public License, version 7.", None),
+        ("Licensed under the Apache License, Version 1.1.", "Apache-1.1"),
+        ("Licensed under the Apache License, Version 3.0.", None),
+        ("Licensed under CC BY 3.0.", None),
+        ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+        ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 International License.", None),
+    ],
+)
+def test_no_license_is_named_that_is_not_there(text, name):
+    want = [] if name in (None, "MIT agreement") else [name]
+    assert [f[0] for f in licenses.find_licenses(f"{FILLER}\n{text}\n{FILLER}")] == want
+
+
+def test_a_wording_with_the_name_of_another_is_not_the_first():
+    """Every wording with its telling words replaced by those of any look-alike, and by words of none."""
+    _, _, templates = licenses._templates()
+    tried = 0
+    for t in templates:
+        for run in t.telling:
+            words = t.words[: run[0]] + ["zorblax"] * len(run) + t.words[run[-1] + 1 :]
+            if any(o.name == t.name and " ".join(o.words) in " ".join(words) for o in templates):
+                continue  # a shorter notice of the same license is still whole
+            tried += 1
+            assert t.name not in [f[0] for f in licenses.find_licenses(" ".join(words))], (t.name, words)
+    assert tried > 40
+    for name, wording in licenses.TEMPLATES:
+        for other in {n for n, _ in licenses.TEMPLATES} - {name}:
+            assert other not in [f[0] for f in licenses.find_licenses(wording)]
+
+
+def test_the_cue_lets_through_all_that_is_confirmed(monkeypatch):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(150):
+        words = rng.choice(licenses.TEMPLATES)[1].split()
+        for _ in range(rng.randint(1, max(1, len(words) // 6))):
+            words[rng.randrange(len(words))] = "zorblax"
+        texts.append(" ".join(words))
+    with_cue = [licenses.find_licenses(t) for t in texts]
+    monkeypatch.setattr(licenses, "CUE", __import__("re").compile(""))
+    assert with_cue == [licenses.find_licenses(t) for t in texts] and sum(map(bool, with_cue)) > 30
+
+
 def test_long_notice_over_lines():
     wording = next(w for n, w in licenses.TEMPLATES if n == "MIT" and len(w) > 200)
     words = wording.split()
@@ -96,7 +149,7 @@ def confirmed_by_force(text, at_most=14):
                 if sum(w in template for w in words[first:last]) < licenses.MIN_EQUAL * len(template):
                     continue
                 block = " ".join(text[places[first][0] : licenses.TAIL.match(text, places[last - 1][1]).end()].lower().split())
-                if licenses.size_reduction(i, block)[1] >= licenses.MIN_REDUCTION and len(licenses.same_words(i, block)[1]) >= licenses.MIN_EQUAL * len(template):
+                if licenses.size_reduction(i, block)[1] >= licenses.MIN_REDUCTION and len(licenses.same_words(i, block)[1]) >= licenses.MIN_EQUAL * len(template) and licenses.names_it(i, block):
                     out.add((name, places[first][0], places[last - 1][1]))
     return out
 
