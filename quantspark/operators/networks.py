@@ -179,14 +179,20 @@ def spanning_tree(edges: DataFrame) -> DataFrame:
     tree = graph.limit(0)
     state = cut(graph.select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")))
     while not state.isEmpty():
-        ends = state.select("a", "b", "w", F.explode(F.array("ca", "cb")).alias("c"))
-        first = ends.groupBy("c").agg(F.min(F.struct("w", "a", "b")).alias("e"))
-        taken = cut(first.select("e.a", "e.b", "e.w").distinct())
-        tree = tree.unionByName(taken)
-        merged = components(state.join(taken.select("a", "b"), ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        one, two = merged.select(F.col("node").alias("ca"), F.col("component").alias("na")), merged.select(F.col("node").alias("cb"), F.col("component").alias("nb"))
-        state = state.join(one, "ca", "left").join(two, "cb", "left").select("a", "b", "w", F.coalesce("na", "ca").alias("ca"), F.coalesce("nb", "cb").alias("cb")).where("ca <> cb")
-        state = cut(state)
+        ends = state.select("a", "b", "w", F.explode(F.array(F.struct(F.col("ca").alias("c"), F.col("cb").alias("to")), F.struct(F.col("cb").alias("c"), F.col("ca").alias("to")))).alias("e"))
+        first = cut(ends.groupBy("e.c").agg(F.min(F.struct("w", "a", "b", "e.to")).alias("m")).select("c", "m.*"))
+        tree = tree.unionByName(first.select("a", "b", "w").distinct())
+        # Every component points along its least edge; only the two that share the least edge of all point at each other.
+        back = first.select(F.col("c").alias("to"), F.col("to").alias("again"))
+        points = first.join(back, "to", "left").select("c", F.when((F.col("again") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"))
+        while True:
+            ahead = points.select(F.col("c").alias("to"), F.col("to").alias("far"))
+            after = cut(points.join(ahead, "to", "left").select("c", "to", F.coalesce("far", "to").alias("far")))
+            points = after.select("c", F.col("far").alias("to"))
+            if after.where("far <> to").isEmpty():
+                break
+        one, two = points.select(F.col("c").alias("ca"), F.col("to").alias("na")), points.select(F.col("c").alias("cb"), F.col("to").alias("nb"))
+        state = cut(state.join(one, "ca", "left").join(two, "cb", "left").select("a", "b", "w", F.coalesce("na", "ca").alias("ca"), F.coalesce("nb", "cb").alias("cb")).where("ca <> cb"))
     return tree
 
 
@@ -261,8 +267,11 @@ def density_clusters(df: DataFrame, features: Sequence[str], eps: float = 0.5, l
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            found, near = [], []
             for r in frame.itertuples():
-                yield pd.DataFrame({"x": [list(v) for v in r.x], "near": (far(r.x, r.r_x) * np.array(r.r_n)[None, :]).sum(axis=1).astype("int64")})
+                found += [list(v) for v in r.x]
+                near += (far(r.x, r.r_x) * np.array(r.r_n)[None, :]).sum(axis=1).tolist()
+            yield pd.DataFrame({"x": pd.Series(found, dtype=object), "near": pd.Series(near, dtype="int64")})
 
     all_chunks = cut(chunks(points))
     sparse = chunks(points.where(F.col("inside") < least))
@@ -285,10 +294,12 @@ def density_clusters(df: DataFrame, features: Sequence[str], eps: float = 0.5, l
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            found, names = [], []
             for r in frame.itertuples():
                 hit = far(r.x, r.r_x).any(axis=1)
-                if hit.any():
-                    yield pd.DataFrame({"x": [list(v) for v, h in zip(r.x, hit, strict=True) if h], "cluster": [r.r_cluster] * int(hit.sum())})
+                found += [list(v) for v, h in zip(r.x, hit, strict=True) if h]
+                names += [r.r_cluster] * int(hit.sum())
+            yield pd.DataFrame({"x": pd.Series(found, dtype=object), "cluster": pd.Series(names, dtype=frame["r_cluster"].dtype)})
 
     kind = dict(cells.dtypes)["cluster"]
     edge = chunks(judged.where("NOT core"))
