@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quantspark.frames import TICKS, rounded
+from quantspark.operators import explain
 from quantspark.operators import models as md
 from quantspark.operators import text, windows
 from quantspark.plans.indicator_queries import W, r, rows
@@ -35,6 +36,23 @@ def feature_importance(spark, sf_dir):
     return md.permutation_importance(md.fit_direction(known.where("part = 'train'"), FEATURES), known.where("part = 'test'"), FEATURES)
 
 
+@register("partial_dependence")
+def partial_dependence(spark, sf_dir):
+    """Scores of a fitted model are beyond SQL; tests compare with every row and grid value tried."""
+    known = featured(spark, sf_dir)
+    model = md.fit_direction(known.where("part = 'train'"), FEATURES)
+    return rounded(explain.partial_dependence(known.where("part = 'test'"), FEATURES, explain.logistic_score(model), points=20), 4)
+
+
+@register("interaction_strength")
+def interaction_strength(spark, sf_dir):
+    known = featured(spark, sf_dir)
+    score = explain.logistic_score(md.fit_direction(known.where("part = 'train'"), FEATURES))
+    test = known.where("part = 'test'")
+    rows = [(a, b, round(explain.interaction_strength(test, FEATURES, a, b, score, points=8), 4)) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
+    return spark.createDataFrame(rows, "one string, two string, strength double")
+
+
 @register("asset_clusters")
 def asset_clusters(spark, sf_dir):
     known = ticks(spark, sf_dir).groupBy("asset").agg(F.avg("price").alias("mean"), F.stddev_samp("price").alias("std"), F.count(F.lit(1)).cast("double").alias("n"))
