@@ -37,12 +37,6 @@ def spanning_tree(spark, sf_dir):
     return rounded(networks.spanning_tree(networks.correlation_distance(correlations(spark, sf_dir))))
 
 
-@register("communities")
-def communities(spark, sf_dir):
-    """A best partition is beyond SQL; tests compare with all partitions and with planted blocks."""
-    return networks.communities(movers(spark, sf_dir))
-
-
 @register("betweenness", f"""{CORRELATION_SQL}, l AS (SELECT a, b FROM p WHERE abs(corr) >= {LEAST_CORRELATION} UNION ALL SELECT b, a FROM p WHERE abs(corr) >= {LEAST_CORRELATION}), n AS (SELECT DISTINCT a AS node FROM l),
 t AS (SELECT node AS s, node AS v, 0 AS d FROM n UNION SELECT t.s, l.b, t.d + 1 FROM t JOIN l ON l.a = t.v WHERE t.d < 12), h AS MATERIALIZED (SELECT s, v, min(d) AS d FROM t GROUP BY 1, 2),
 k AS (SELECT s, v, d, CAST(1 AS DOUBLE) AS c FROM h WHERE d = 0 UNION ALL SELECT h.s, h.v, h.d, sum(k.c) AS c FROM k JOIN l ON l.a = k.v JOIN h ON h.s = k.s AND h.v = l.b AND h.d = k.d + 1 GROUP BY 1, 2, 3),
