@@ -41,7 +41,7 @@ def spanning_tree(spark, sf_dir):
 t AS (SELECT node AS s, node AS v, 0 AS d FROM n UNION SELECT t.s, l.b, t.d + 1 FROM t JOIN l ON l.a = t.v WHERE t.d < 12), h AS MATERIALIZED (SELECT s, v, min(d) AS d FROM t GROUP BY 1, 2),
 k AS (SELECT s, v, d, CAST(1 AS DOUBLE) AS c FROM h WHERE d = 0 UNION ALL SELECT h.s, h.v, h.d, sum(k.c) AS c FROM k JOIN l ON l.a = k.v JOIN h ON h.s = k.s AND h.v = l.b AND h.d = k.d + 1 GROUP BY 1, 2, 3),
 b AS (SELECT a.v AS node, sum(a.c * z.c / st.c) AS x FROM k a JOIN k z ON z.s = a.v JOIN k st ON st.s = a.s AND st.v = z.v AND st.d = a.d + z.d WHERE a.s <> a.v AND z.v <> a.v AND a.s <> z.v GROUP BY 1)
-SELECT node, round(CAST(coalesce(x, 0) / nullif(((SELECT count(*) FROM n) - 1.0) * ((SELECT count(*) FROM n) - 2), 0) AS DOUBLE), 6) + 0.0 AS betweenness FROM n LEFT JOIN b USING (node)""")
+SELECT node, round(CAST(coalesce(coalesce(x, 0) / nullif(((SELECT count(*) FROM n) - 1.0) * ((SELECT count(*) FROM n) - 2), 0), 0) AS DOUBLE), 6) + 0.0 AS betweenness FROM n LEFT JOIN b USING (node)""")
 def betweenness(spark, sf_dir):
     return rounded(networks.betweenness(movers(spark, sf_dir)))
 
