@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspark.frames import Series, full, lag, ratio, rolling_mean, rolling_std
+from quantspark.operators.blocks import numbered
 
 
 def transaction_costs(orders: DataFrame, commission_bps: float = 1.0, impact: float = 0.1) -> DataFrame:
@@ -55,8 +56,8 @@ def rebalance_trades(current: DataFrame, target: DataFrame, key: str, value: flo
     rows = current.select(key, F.col("weight").alias("current")).join(target.select(key, F.col("weight").alias("target")), key, "full").fillna(0.0, ["current", "target"])
     rows = rows.withColumn("trade", (F.col("target") - F.col("current")) * value).where(F.abs(F.col("target") - F.col("current")) > threshold)
     rows = rows.withColumn("side", F.when(F.col("trade") > 0, "buy").otherwise("sell"))
-    # One row a position: the ranks of all trades meet in one task.
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.round(F.abs("trade"), 9).desc(), key)))
+    ranked = numbered(rows.withColumn("__size", -F.round(F.abs("trade"), 9)), ["__size", key], "__place")
+    return ranked.withColumn("rank", (F.col("__place") + 1).cast("int")).drop("__size", "__place")
 
 
 def turnover(weights: DataFrame, at: str, key: str) -> DataFrame:

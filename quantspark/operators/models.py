@@ -36,14 +36,15 @@ def fit_direction(train: DataFrame, features: Sequence[str], kind: str = "logist
 
 def predict_up(df: DataFrame, models: Sequence[PipelineModel], features: Sequence[str], key: Sequence[str]) -> DataFrame:
     """(key, label, prob_up): the mean of the models' probabilities."""
-    rows, parts = df.dropna(subset=list(features)), []
-    for model in models:
-        scored = model.transform(rows).select(*key, "label", vector_to_array("probability")[1].alias("p"))
-        parts.append(scored)
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out.groupBy(*key).agg(F.max("label").alias("label"), F.avg("p").alias("prob_up"))
+    out = df.dropna(subset=list(features))
+    # One scan: each model adds its column and leaves its work behind.
+    for k, model in enumerate(models):
+        scored = model.transform(out).withColumn(f"__p{k}", vector_to_array("probability")[1])
+        out = scored.drop("__x", "__z", "rawPrediction", "probability", "prediction")
+    total = F.lit(0.0)
+    for k in range(len(models)):
+        total = total + F.col(f"__p{k}")
+    return out.select(*key, "label", (total / len(models)).alias("prob_up"))
 
 
 #: Rows among which one task deals values anew.
