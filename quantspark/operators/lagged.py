@@ -197,7 +197,9 @@ def _each_pair(p: LagPanel, score: Callable[[Pairs], dict[str, Sequence]], colum
     """(y, x, what score gives) for pairs y < x; blocks meet the assets of both their sides by joins."""
     one = p.assets.select("i", *[F.col(c).alias(f"y_{c}") for c in ("assets", "means", "sums", "early", "own")])
     two = p.assets.select(F.col("i").alias("j"), *[F.col(c).alias(f"x_{c}") for c in ("assets", "means", "sums", "early", "own")])
-    rows = p.blocks.join(one, "i").join(two, "j")
+    # Few bytes, much work: a stated number of partitions keeps them from being put together.
+    tasks = 2 * p.blocks.sparkSession.sparkContext.defaultParallelism
+    rows = p.blocks.join(one, "i").join(two, "j").repartition(tasks, "i", "j")
     width = p.lags + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
