@@ -4,6 +4,7 @@ import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quantspark.llm import mixing
 
@@ -64,3 +65,38 @@ def test_awkward_rows(spark):
     assert mixing.mix_sources(docs).columns == docs.columns
     assert mixing.mix_sources(docs).count() >= 1
     assert mixing.mix_digest(docs.limit(0)).count() == 0
+
+
+def near_targets(rows, longest):
+    for _, part in rows.groupby(["source_size", "target"]):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= longest
+
+
+def test_null_and_repeated_ids_come_near_targets(spark):
+    """All ids null; one id with one text on a third of the rows, further columns unlike."""
+    rng = random.Random(8)
+    texts = [" ".join(str(rng.randint(0, 9)) for _ in range(rng.randint(1, 50))) for _ in range(2400)]
+    sources = [rng.choice(["src0", "src1", "src2", None]) for _ in texts]
+    docs = documents(spark, texts, sources)
+    third = "doc_id % 3 = 0"
+    repeats = docs.withColumn("text", F.expr(f"IF({third}, 'all these rows are alike', text)")).withColumn("doc_id", F.expr(f"IF({third}, 7, doc_id)"))
+    for frame in (docs.withColumn("doc_id", F.lit(None).cast("long")), repeats):
+        rows = mixing.mix_digest(frame).fillna(-1).toPandas()
+        near_targets(rows, 50)
+    again = mixing.mix_digest(repeats.repartition(5)).fillna(-1).toPandas()
+    columns = ["doc_id", "size", "target", "taken"]
+    assert rows[columns].value_counts().to_dict() == again[columns].value_counts().to_dict()
+    mixed = mixing.mix_sources(repeats)
+    assert mixed.columns == repeats.columns
+    sized = mixed.select("source", mixing.word_count(F.col("text")).alias("n")).groupBy("source").sum("n").collect()
+    assert sum(r[1] for r in sized) == rows.taken.sum()
+    goal = {r.source: r.target for r in mixing.source_targets(repeats.select("source", mixing.word_count(F.col("text")).alias("size")), (5, 2, 1), 1.5, 2.0).collect()}
+    assert all(abs(r[1] - goal[r.source]) <= 50 for r in sized)
+
+
+def test_one_text_only(spark):
+    """A source of one text without ids is taken in part, not whole or not at all."""
+    docs = documents(spark, ["a b c"] * 600 + ["d e f"] * 200, ["x"] * 600 + ["y"] * 200).withColumn("doc_id", F.lit(None).cast("long"))
+    rows = mixing.mix_digest(docs).toPandas()
+    near_targets(rows, 3)
+    assert mixing.mix_sources(docs).count() == rows.copies.sum()
