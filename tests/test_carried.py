@@ -105,6 +105,26 @@ def test_exact_quantiles_by_group(spark):
     assert tuple(quantiles.exact(df, "x", wanted).first()) == pytest.approx(tuple(told))
 
 
+def test_quantiles_of_narrow_ranges(spark):
+    """300,000 different prices in one cell, among them a cluster as close as doubles nearly allow: the ranks are found, and
+    a part that is numbered in one task holds a small share of them. The cluster covers about three parts."""
+    prices = spark.range(300_000).select((F.lit(10_000.0) + F.col("id") * 2e-5).alias("x"))
+    close = spark.range(50_000).select((F.lit(10_003.0) + F.col("id") * 2e-11).alias("x"))
+    df = prices.unionByName(close).repartition(5)
+    assert df.select(quantiles.cell(F.col("x")).alias("c")).distinct().count() == 1
+    wanted = {"low": 0.01, "mid": 0.5, "high": 0.77}
+    told = df.agg(*[F.percentile("x", F.lit(p)).alias(n) for n, p in wanted.items()]).first()
+    assert tuple(quantiles.exact(df, "x", wanted).first()) == pytest.approx(tuple(told), rel=1e-15)
+    values = df.groupBy("x").agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed("x", "__x")
+    ends = df.agg(F.min("x"), F.max("x"), F.count("x")).first()
+    values = values.select(F.lit(1).alias("__cell"), "__x", "__n", F.lit(0).alias("__start"), F.lit(ends[2]).alias("__all"), F.lit(ends[0]).alias("__low"), F.lit(ends[1]).alias("__high"))
+    place = ["__cell"]
+    for i, parts in enumerate(quantiles.PARTS):
+        values, place = quantiles._narrowed(values, place, lambda start, end, n: F.lit(True), parts, f"__part{i}")
+    sizes = sorted(r["count"] for r in values.groupBy(*place).count().collect())
+    assert sizes[-1] < 20_000 and sizes[-5] < 500
+
+
 def test_zero_prices_give_no_return(spark):
     """A price of zero is behind the next return and below a bar's range; neither may stop a query."""
     from quantspark.operators import diagnostics, market
