@@ -4,6 +4,7 @@ columns that a recursion does not read through as they are. A null key is a key
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -122,13 +123,25 @@ def ema(df: DataFrame, s: Series = TICKS, x: str = "price", span: int = 10) -> D
 
 
 def return_volatility(df: DataFrame, s: Series = TICKS, price: str = "price", span: int = 20) -> DataFrame:
-    """df with volatility: root of the exponential mean of squared returns less the squared exponential mean."""
+    """df with volatility: root of the exponential mean of squared returns less the squared exponential mean. A missing
+    return keeps both means, whose weight goes on to fall. Plain numbers, because many short series are the usual case."""
+    alpha = 2 / (span + 1)
 
     def kernel(f: pd.DataFrame, c: Carry) -> dict:
-        before = c.before("price", f[price])
-        r = f[price] / before.where(before != 0) - 1
-        spread = c.ewm("square", r * r, 2 / (span + 1)) - c.ewm("mean", r, 2 / (span + 1)) ** 2
-        return {"volatility": np.sqrt(spread.clip(lower=0)).where(r.notna())}
+        before, weight, square, mean = (c.get(n, start) for n, start in (("before", math.nan), ("weight", 0.0), ("square", 0.0), ("mean", 0.0)))
+        out = []
+        for now in f[price].to_numpy(float).tolist():
+            r = now / before - 1 if before else math.nan
+            before = now
+            weight *= 1 - alpha
+            if math.isnan(r):
+                out.append(math.nan)
+                continue
+            part = alpha / (alpha + weight)
+            square, mean, weight = square + part * (r * r - square), mean + part * (r - mean), 1.0
+            out.append(math.sqrt(max(square - mean * mean, 0.0)))
+        c.kept |= {"before": before, "weight": weight, "square": square, "mean": mean}
+        return {"volatility": out}
 
     return scanned(df, s, [price], kernel, {"volatility": "double"})
 

@@ -77,6 +77,16 @@ def test_batches_carry_earlier_rows_and_states(rows, small_batches, spark):
             assert value is other or value == pytest.approx(other, rel=1e-9, abs=1e-9), (name, key)
 
 
+def test_volatility_of_returns_by_its_definition(rows, small_batches):
+    got = k.return_volatility(small_batches(rows, SCHEMA), S, span=20).collect()
+    for asset in ("a", None, "b"):
+        r = whole(rows, asset).pipe(lambda x: x / x.shift(1) - 1)
+        mean = lambda x: x.ewm(alpha=2 / 21, adjust=False).mean()
+        want = np.sqrt((mean(r * r) - mean(r) ** 2).clip(lower=0)).where(r.notna())
+        have = [math.nan if x["volatility"] is None else x["volatility"] for x in sorted((x for x in got if x["asset"] == asset), key=lambda x: x["ts"])]
+        np.testing.assert_allclose(have, want, rtol=1e-6, atol=1e-9)
+
+
 def test_empty_table(spark):
     assert k.garch(spark.createDataFrame([], SCHEMA).withColumn("ret", F.col("price")), S).collect() == []
     assert [tuple(r) for r in quantiles.exact(spark.createDataFrame([], SCHEMA), "price", {"m": 0.5}).collect()] == [(None,)]
