@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from dataclasses import dataclass
 
@@ -81,14 +82,28 @@ def ratio(top: Column, bottom: Column, neutral: float | None = None) -> Column:
     return F.when(bottom != 0, top / bottom).otherwise(F.lit(neutral).cast("double") if neutral is None else F.when(bottom.isNotNull(), F.lit(neutral)))
 
 
+def quotient(top: Column, bottom: Column) -> Column:
+    """top / bottom of doubles as IEEE 754 has it, which is SQL's own division in engines that raise no error: infinite, or
+    NaN of zero by zero, where the bottom is zero."""
+    endless = F.when((top == 0) | F.isnan(top), math.nan).when(top > 0, math.inf).when(top < 0, -math.inf)
+    return F.when(bottom != 0, top / bottom).when(bottom == 0, endless)
+
+
 def simple_return(price: str, s: Series, n: int = 1) -> Column:
     """price / earlier price - 1; null at the start and after a price of zero."""
     return ratio(F.col(price), lag(price, s, n)) - 1
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles rounded, with -0.0 as 0.0: both engines then give the same digits."""
-    return df.select(*[(F.round(F.col(c), places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded, with -0.0 as 0.0: both engines then give the same digits. Whole units of the last place are rounded,
+    half away from zero, as DuckDB does: rounding the decimal digits would tell halves apart in another way."""
+    unit = 10.0**places
+
+    def near(c: str) -> Column:
+        units = F.col(c) * unit
+        return F.when(F.abs(units) < math.inf, F.round(units) / unit).otherwise(F.col(c)) + F.lit(0.0)
+
+    return df.select(*[near(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def settled(df: DataFrame) -> DataFrame:
