@@ -91,9 +91,10 @@ def co_moments(df: DataFrame, by: Sequence[str], x: str, market: str, least: int
 
 def breach_independence(df: DataFrame, s: Series, tail: float = 0.05) -> DataFrame:
     """Whether breaches of rolling_var follow each other: counts of the four steps, likelihood ratios of independence and
-    of independence and coverage together, with their p values (one and two degrees of freedom)."""
+    of independence and coverage together, with their p values (one and two degrees of freedom). A breach that is null is
+    unknown: the steps to and from it do not count."""
     rows = df.where(F.col("var").isNotNull()).select(*s.key, *s.order, "var", "breach").withColumn("__b", lag("breach", s))
-    n = lambda before, now: F.sum(((F.col("__b") == F.lit(before)) & (F.col("breach") == F.lit(now))).cast("long"))
+    n = lambda before, now: F.count_if((F.col("__b") == F.lit(before)) & (F.col("breach") == F.lit(now)))
     steps = rows.where(F.col("__b").isNotNull()).groupBy(*s.key).agg(n(False, False).alias("n00"), n(False, True).alias("n01"), n(True, False).alias("n10"), n(True, True).alias("n11"))
     n00, n01, n10, n11 = (F.col(c).cast("double") for c in ("n00", "n01", "n10", "n11"))
 
@@ -101,7 +102,7 @@ def breach_independence(df: DataFrame, s: Series, tail: float = 0.05) -> DataFra
         inside = F.when((p > 0) & (p < 1), p)
         return F.when(inside.isNotNull(), stay * F.ln(1 - inside) + go * F.ln(inside)).otherwise(0.0)
 
-    p = (n01 + n11) / (n00 + n01 + n10 + n11)
+    p = ratio(n01 + n11, n00 + n01 + n10 + n11, 0.0)
     free = likelihood(n00, n01, ratio(n01, n00 + n01, 0.0)) + likelihood(n10, n11, ratio(n11, n10 + n11, 0.0))
     one = likelihood(n00, n01, p) + likelihood(n10, n11, p)
     out = steps.withColumn("lr_independence", F.greatest(-2 * (one - free), F.lit(0.0)))

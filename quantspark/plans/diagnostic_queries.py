@@ -77,7 +77,9 @@ q AS (SELECT *, greatest(-2 * ({_likely('n00', 'n01', 'p')} + {_likely('n10', 'n
 SELECT asset, n00, n01, n10, n11, {r('i', 'lr_independence')}, {r('i + k', 'lr_coverage')}, {r(f"2 * (1 - {cdf('sqrt(i)')})", 'p_independence')}, {r('least(exp(-(i + k) / 2), 1)', 'p_coverage')} FROM q""",
 )
 def breach_independence(spark, sf_dir):
-    return rounded(dg.breach_independence(risk.rolling_var(returns(spark, sf_dir)), TICKS))
+    rows = risk.rolling_var(returns(spark, sf_dir))
+    # A row without a return, as after a price of zero, tells of no breach.
+    return rounded(dg.breach_independence(rows.withColumn("breach", F.when(F.col("ret").isNotNull(), F.col("breach"))), TICKS))
 
 
 @register(
