@@ -122,9 +122,10 @@ def ema(df: DataFrame, s: Series = TICKS, x: str = "price", span: int = 10) -> D
     return scanned(df, s, [x], lambda f, c: {"ema": c.ewm("x", f[x], 2 / (span + 1))}, {"ema": "double"})
 
 
-def return_volatility(df: DataFrame, s: Series = TICKS, price: str = "price", span: int = 20) -> DataFrame:
+def return_volatility(df: DataFrame, s: Series = TICKS, price: str = "price", span: int = 20, skip: bool = False) -> DataFrame:
     """df with volatility: root of the exponential mean of squared returns less the squared exponential mean. A missing
-    return keeps both means, whose weight goes on to fall. Plain numbers, because many short series are the usual case."""
+    return keeps both means, whose weight goes on to fall, or stays with skip. Plain numbers, because many short series
+    are the usual case."""
     alpha = 2 / (span + 1)
 
     def kernel(f: pd.DataFrame, c: Carry) -> dict:
@@ -133,7 +134,8 @@ def return_volatility(df: DataFrame, s: Series = TICKS, price: str = "price", sp
         for now in f[price].to_numpy(float).tolist():
             r = now / before - 1 if before else math.nan
             before = now
-            weight *= 1 - alpha
+            if not skip or not math.isnan(r):
+                weight *= 1 - alpha
             if math.isnan(r):
                 out.append(math.nan)
                 continue
@@ -216,8 +218,16 @@ def adx(df: DataFrame, s: Series = TICKS, n: int = 14) -> DataFrame:
 
 
 def ewma_volatility(df: DataFrame, s: Series = TICKS, x: str = "ret", decay: float = 0.94) -> DataFrame:
-    """Root of the discounted mean of squared returns."""
-    return scanned(df, s, [x], lambda f, c: {"ewma_vol": np.sqrt(c.ewm("square", f[x] ** 2, 1 - decay))}, {"ewma_vol": "double"})
+    """Root of the discounted mean of squared returns; missing ones are skipped and leave all weights as they are."""
+
+    def kernel(f: pd.DataFrame, c: Carry) -> dict:
+        square = f[x].astype("float64").reset_index(drop=True) ** 2
+        known = square.dropna()
+        mean = pd.Series(c.ewm("square", known, 1 - decay).to_numpy(), index=known.index).reindex(square.index).ffill().fillna(c.get("last", math.nan))
+        c.kept["last"] = float(mean.iloc[-1])
+        return {"ewma_vol": np.sqrt(mean)}
+
+    return scanned(df, s, [x], kernel, {"ewma_vol": "double"})
 
 
 def garch(df: DataFrame, s: Series = TICKS, x: str = "ret", omega: float = 1e-6, alpha: float = 0.1, beta: float = 0.85) -> DataFrame:

@@ -182,7 +182,7 @@ l AS (SELECT *, CASE WHEN u > 0 AND (d = 0 OR u <= d) THEN 1 WHEN d > 0 THEN -1
 SELECT asset, tie, CAST(label AS DOUBLE) AS label, CAST(touch AS DOUBLE) AS touch, {r('path[touch] / nullif(price, 0) - 1', 'touch_return')} FROM t""",
 )
 def triple_barrier(spark, sf_dir):
-    rows = return_volatility(ticks(spark, sf_dir))
+    rows = return_volatility(ticks(spark, sf_dir), skip=True)
     # What rounding leaves of a series that does not move is no volatility.
     out = m.triple_barrier(rows.withColumn("volatility", F.when(F.col("volatility") > 1e-9, F.col("volatility"))), TICKS, "price")
     return pick(out.withColumns({"label": F.col("label").cast("double"), "touch": F.col("touch").cast("double")}), "label", "touch", "touch_return")
