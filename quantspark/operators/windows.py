@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantspark.frames import TICKS, Series, full, lag, ratio, rolling_max, rolling_mean, rolling_min, rolling_quantile, rolling_std
+from quantspark.frames import TICKS, Series, full, lag, quotient, ratio, rolling_max, rolling_mean, rolling_min, rolling_quantile, rolling_std
 
 
 def rolling_stats(df: DataFrame, s: Series = TICKS, x: str = "price", n: int = 7) -> DataFrame:
@@ -40,12 +40,12 @@ def expanding_stats(df: DataFrame, s: Series = TICKS, x: str = "price", least: i
 
 
 def lag_features(df: DataFrame, s: Series = TICKS, x: str = "price", lags: Sequence[int] = (1, 2, 5)) -> DataFrame:
-    """Earlier values, differences to them and relative changes."""
+    """Earlier values, differences to them and relative changes; those from zero are infinite or NaN."""
     out = {}
     for n in lags:
         out[f"lag_{n}"] = lag(x, s, n)
         out[f"diff_{n}"] = F.col(x) - lag(x, s, n)
-        out[f"change_{n}"] = ratio(F.col(x), lag(x, s, n)) - 1
+        out[f"change_{n}"] = quotient(F.col(x), lag(x, s, n)) - 1
     return df.withColumns(out)
 
 
@@ -121,8 +121,8 @@ def embargo(df: DataFrame, events: DataFrame, s: Series, ts: str = "ts", hours:
 
 
 def forward_return(df: DataFrame, s: Series, price: str = "price", n: int = 3) -> DataFrame:
-    """Return from the row to n rows later, for judging signals; never a feature."""
-    return df.withColumn("forward", ratio(F.lead(price, n).over(s.window()), F.col(price)) - 1)
+    """Return from the row to n rows later, for judging signals; never a feature. From zero it is infinite or NaN."""
+    return df.withColumn("forward", quotient(F.lead(price, n).over(s.window()), F.col(price)) - 1)
 
 
 def fractional_difference(df: DataFrame, s: Series, x: str, d: float = 0.4, n: int = 6) -> DataFrame:

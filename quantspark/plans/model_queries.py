@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from quantspark.frames import TICKS, rounded
@@ -18,6 +20,8 @@ FEATURES = ("change_1", "change_2", "change_5")
 
 def featured(spark, sf_dir):
     known = windows.lag_features(ticks(spark, sf_dir), TICKS, "price")
+    # Models take no change from a price of zero.
+    known = known.withColumns({c: F.when(F.abs(c) < math.inf, F.col(c)) for c in FEATURES})
     return windows.time_split(md.with_direction(known, TICKS), TICKS)
 
 
