@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quantspark.frames import quotient
+
 HORIZONS = (15, 60, 240)
 
 
@@ -55,11 +59,12 @@ def mood_signal(short: DataFrame, medium: DataFrame, long: DataFrame, by: Sequen
 
 
 def momentum_scan(ticks: DataFrame, by: Sequence[str] = ("asset",), ts: str = "ts", price: str = "price", seconds: int = 60, least: float = 0.02) -> DataFrame:
-    """Rows whose price has moved by at least least from the oldest one of the trailing seconds; n rows lie in them."""
+    """Rows whose price has moved by at least least from the oldest one of the trailing seconds; n rows lie in them. A
+    change from zero is infinite or NaN, and large enough."""
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     frame = Window.partitionBy(*by).orderBy("__us").rangeBetween(-seconds * 1_000_000, 0)
     rows = ticks.withColumn("__us", at).withColumn("n", F.count(F.lit(1)).over(frame)).withColumn("__first", F.first(price).over(frame))
-    change = F.col(price) / F.when(F.col("__first") != 0, F.col("__first")) - 1
+    change = quotient(F.col(price), F.col("__first")) - 1
     return rows.withColumn("change", change).where((F.col("n") >= 2) & (F.abs("change") >= least)).drop("__us", "__first")
 
 
@@ -73,21 +78,27 @@ def stream_momentum(ticks: DataFrame, seconds: int = 60, least: float = 0.02, la
             return
         times, prices = (list(x) for x in state.get) if state.exists else ([], [])
         rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        changes = []
+        changes, moved = [], []
         for t, p in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["price"], strict=True):
             times.append(int(t))
             prices.append(float(p))
             keep = bisect_left(times, int(t) - seconds * 1_000_000)
             del times[:keep], prices[:keep]
-            changes.append(float(p) / prices[0] - 1 if len(prices) > 1 and prices[0] else None)
+            told = len(prices) > 1 and not (math.isnan(p) or math.isnan(prices[0]))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                changes.append(np.float64(p) / np.float64(prices[0]) - 1 if told else 0.0)
+            # A change of zero by zero is NaN and counts as large; an unknown price has none.
+            moved.append(told and not abs(changes[-1]) < least)
         state.update((times, prices))
         state.setTimeoutTimestamp(max(times[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        out = rows[["ts", "price"]].assign(asset=key[0], change=pd.array(changes, "Float64").astype("float64"))
-        yield out[out["change"].abs() >= least][["asset", "ts", "price", "change"]]
+        out = rows[["ts", "price"]].assign(asset=key[0], change=changes)
+        yield out[np.array(moved, bool)][["asset", "ts", "price", "change"]]
 
     kind = dict(ticks.dtypes)["asset"]
     rows = ticks.select("asset", "ts", "price").withWatermark("ts", late)
-    return rows.groupBy("asset").applyInPandasWithState(advance, f"asset {kind}, ts timestamp, price double, change double", "times array<long>, prices array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    out = rows.groupBy("asset").applyInPandasWithState(advance, f"asset {kind}, ts timestamp, price double, change double", "times array<long>, prices array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    # Arrow has made null of NaN.
+    return out.withColumn("change", F.coalesce("change", F.lit(math.nan)))
 
 
 def stop_states(ticks: DataFrame, fraction: float = 0.1) -> DataFrame:
