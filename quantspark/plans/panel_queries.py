@@ -189,7 +189,7 @@ def nation_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("efficient_frontier")
 def efficient_frontier(spark, sf_dir):
     """Quadratic programmes are beyond SQL; tests check the conditions of an optimum."""
-    rows = optimise.efficient_frontier(optimise.group_moments(nation_months(spark, sf_dir), ["nation"]), [0.1, 0.5, 1.0, 2.0, 5.0, 20.0, 100.0])
+    rows = optimise.efficient_frontier(optimise.group_panels(nation_months(spark, sf_dir), ["nation"]), [0.1, 0.5, 1.0, 2.0, 5.0, 20.0, 100.0])
     return rounded(rows.drop("assets", "weights", "residual"), 5)
 
 
@@ -207,7 +207,7 @@ def black_litterman(spark, sf_dir):
     gains one per cent a month."""
     rows = nation_months(spark, sf_dir)
     caps = rows.groupBy("nation", "asset").agg(F.avg("price").alias("cap")).groupBy("nation").agg(F.transform(F.sort_array(F.collect_list(F.struct("asset", "cap"))), lambda c: c["cap"]).alias("caps"))
-    problems = optimise.group_moments(rows, ["nation"]).join(caps, "nation")
+    problems = optimise.group_panels(rows, ["nation"]).join(caps, "nation")
     first = F.transform("assets", lambda a, i: F.when(i == 0, 1.0).otherwise(0.0))
     view = F.array(F.struct(first.alias("weights"), F.lit(0.01).alias("ret"), F.lit(0.6).alias("confidence")))
     out = optimise.black_litterman(problems.withColumn("views", view), "caps", "views")

@@ -84,3 +84,28 @@ def test_views_move_the_posterior(spark, groups):
     assert np.allclose(got.weights, want / want.sum(), atol=1e-8) and abs(got.expected_return - post @ (want / want.sum())) < 1e-8
     none = optimise.black_litterman(base.withColumn("views", F.lit(None).cast(kind)), "caps", "views").first()
     assert np.allclose(none.weights, caps / 6, atol=1e-8)
+
+
+def test_panels_of_more_assets_than_moments_equal_their_matrices(spark):
+    rng = np.random.default_rng(5)
+    wide = {"w": rng.normal(0.01, 0.05, (6, 40)), "tall": rng.normal(0.01, 0.05, (60, 4))}
+    df = long(spark, wide)
+    panels = optimise.group_panels(df, ["g"])
+    assert {r.g: len(r.deviations) for r in panels.collect()} == {"w": 240, "tall": 240}
+    dense = optimise.group_moments(df, ["g"])
+    mine = {(r.g, r.point): r for r in optimise.efficient_frontier(panels, [1.0, 20.0, 500.0]).collect()}
+    for r in optimise.efficient_frontier(dense, [1.0, 20.0, 500.0]).collect():
+        m = mine[r.g, r.point]
+        assert m.assets == r.assets and m.residual < 1e-6 and r.residual < 1e-6
+        value = lambda q: q.expected_return - r.aversion * q.volatility**2 / 2  # noqa: B023, E731
+        assert abs(value(m) - value(r)) < 1e-7
+    caps = lambda p: p.withColumn("caps", F.transform("assets", lambda a: F.length(a).cast("double"))).withColumn("views", F.array(F.struct(F.transform("assets", lambda a, i: F.when(i == 0, 1.0).otherwise(0.0)).alias("weights"), F.lit(0.01).alias("ret"), F.lit(0.6).alias("confidence"))))
+    a, b = ({r.g: r for r in optimise.black_litterman(caps(p), "caps", "views").collect()} for p in (panels, dense))
+    for g in wide:
+        assert np.allclose(a[g].weights, b[g].weights, atol=1e-7) and abs(a[g].expected_return - b[g].expected_return) < 1e-9
+
+
+def test_a_group_of_many_assets_needs_no_square_of_them(spark):
+    rng = np.random.default_rng(6)
+    row = optimise.efficient_frontier(optimise.group_panels(long(spark, {"g": rng.normal(0.01, 0.05, (5, 3000))}), ["g"]), [50.0]).first()
+    assert len(row.weights) == 3000 and abs(sum(row.weights) - 1) < 1e-9 and row.residual < 1e-6
