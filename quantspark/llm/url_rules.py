@@ -29,8 +29,6 @@ BAD = "label=bad"
 MIN_COUNT = 5
 #: Least lower bound of a rule's confidence (Wilson's, at Z deviations): more bad than good beyond doubt.
 MIN_SURE, Z = 0.5, 2.576
-#: The surest rules that are kept, so that the index has a bounded size and can be broadcast.
-MAX_RULES = 5_000
 
 
 def url_host(url: Column) -> Column:
@@ -79,9 +77,9 @@ def mine_rules(labelled: DataFrame, scratch: Scratch, min_support: float = 0.002
     """(rule_id, tokens, anchor, confidence, support) from rows (url, bad).
 
     Rules name tokens whose URLs are bad with at least min_confidence and min_lift times the usual share, on MIN_COUNT
-    URLs at least and with a lower confidence limit of MIN_SURE. Of these the MAX_RULES surest stay. A rule is needless
-    where a rule of fewer of its tokens is at least as sure. Null labels are left out; an empty table, or one without
-    bad rows, gives no rules.
+    URLs at least and with a lower confidence limit of MIN_SURE. All such rules stay. A rule is needless where a
+    rule of fewer of its tokens is at least as sure. Null labels are left out; an empty table, or one without bad rows,
+    gives no rules.
     """
     rows = labelled.where(F.col("bad").isNotNull()).select(F.when(F.col("bad"), F.concat(url_tokens(F.col("url")), F.array(F.lit(BAD)))).otherwise(url_tokens(F.col("url"))).alias("items"))
     rows = scratch.save(rows.where(F.size("items") > 0), "transactions")
@@ -92,7 +90,7 @@ def mine_rules(labelled: DataFrame, scratch: Scratch, min_support: float = 0.002
     n, p = F.col("support") * total / F.col("confidence"), F.col("confidence")
     sure = (p + Z**2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z**2 / (4 * n * n))) / (1 + Z**2 / n)
     found = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", sure.alias("sure")).where(F.col("sure") >= MIN_SURE)
-    found = scratch.save(found.orderBy(F.desc("sure"), F.size("tokens"), "tokens").limit(MAX_RULES), "mined")
+    found = scratch.save(found, "mined")
     # A shorter rule is needed to make a longer one needless: join on a token they share, then compare whole sets.
     wide = found.select(F.col("tokens").alias("wide"), F.col("confidence").alias("certain"), F.explode("tokens").alias("token"))
     short = found.select(F.col("tokens").alias("short"), F.col("confidence").alias("also"), F.element_at("tokens", 1).alias("token"))
@@ -105,9 +103,9 @@ def mine_rules(labelled: DataFrame, scratch: Scratch, min_support: float = 0.002
 
 def matched_rows(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """(row, mined_rule, confidence): the surest mined rule of each row (row, url) that one fits. Rows are numbered, so
-    null and repeated URLs share no key; the rules are MAX_RULES at most and go to every task."""
+    null and repeated URLs share no key; rules meet rows by their anchors, however many there are."""
     looked = rows.select("row", url_tokens(F.col("url")).alias("tokens")).select("row", "tokens", F.explode("tokens").alias("anchor"))
-    fetched = looked.join(F.broadcast(rules.select(F.col("tokens").alias("needed"), "anchor", "rule_id", "confidence")), "anchor")
+    fetched = looked.join(rules.select(F.col("tokens").alias("needed"), "anchor", "rule_id", "confidence"), "anchor")
     fits = fetched.where(F.size(F.array_except("needed", "tokens")) == 0)
     return fits.groupBy("row").agg(F.max(F.struct("confidence", "rule_id")).alias("best")).select("row", F.col("best.rule_id").alias("mined_rule"), F.col("best.confidence").alias("confidence"))
 
