@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -150,15 +150,41 @@ def rolling_apply(df: DataFrame, s: Series, x: str, n: int, fn: Callable[[list[f
 
 
 def resample_apply(df: DataFrame, every: str, by: Sequence[str], ts: str, fn: Callable[[pd.DataFrame], dict[str, float]], outs: Sequence[str]) -> DataFrame:
-    """fn over the rows of each tumbling window, in time order."""
+    """fn over the rows of each tumbling window, in time order. Windows stream through tasks in sorted batches, because a
+    frame sent for each of many short ones would cost more than fn."""
+    from quantspark.functions.kernels import _cuts
+
     kinds = dict(df.dtypes)
+    keys = [*by, "__start"]
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "start timestamp", *[f"`{o}` double" for o in outs]])
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(ts, kind="stable")
-        return pd.DataFrame({**{c: [frame[c].iloc[0]] for c in by}, "start": [frame["__start"].iloc[0]], **{o: [v] for o, v in fn(frame).items()}})
-
-    return df.withColumn("__start", F.window(ts, every)["start"].cast("timestamp")).groupBy(*by, "__start").applyInPandas(run, schema)
+    def told(window: pd.DataFrame) -> tuple:
+        values = fn(window)
+        return (*[window[c].iloc[0] for c in keys], *[values[o] for o in outs])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = lambda rows: pd.DataFrame(rows, columns=[*by, "start", *outs])
+        parts: list[pd.DataFrame] = []
+        for frame in frames:
+            if not len(frame):
+                continue
+            frame = frame.reset_index(drop=True)
+            starts = [int(i) for i in _cuts(frame[keys])]
+            if parts and len(_cuts(pd.concat([parts[-1][keys].tail(1), frame[keys].head(1)], ignore_index=True))):
+                starts.insert(0, 0)
+            if not starts:
+                parts.append(frame)
+                continue
+            # A window may have begun in earlier batches; the last one may go on in the next.
+            windows = [pd.concat([*parts, frame.iloc[: starts[0]]]) if parts else frame.iloc[: starts[0]]]
+            windows += [frame.iloc[i:j] for i, j in zip(starts, starts[1:], strict=False)]
+            parts = [frame.iloc[starts[-1] :]]
+            yield table([told(w) for w in windows])
+        if parts:
+            yield table([told(pd.concat(parts))])
+
+    rows = df.withColumn("__start", F.window(ts, every)["start"].cast("timestamp"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, ts).mapInPandas(run, schema)
 
 
 class Steps:
