@@ -7,15 +7,18 @@ once, and nodes are what edges name.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspark.frames import cut
 
+#: Sources in a strip and, about, nodes in a block: a tile of path counts takes two megabytes.
+STRIP, BLOCK = 128, 2048
+
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node that edges (a, b) lead to. Neighbours are handed to the smallest node that a
@@ -142,50 +145,109 @@ def _apart(moves: DataFrame) -> DataFrame:
     return moves.join(first.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("node"), "node", "left_semi")
 
 
+def _tile(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data).reshape(-1, width)
+
+
+def _led(tiles: DataFrame, matrix: DataFrame, own: DataFrame, name: str, combine: Callable[[np.ndarray, list[np.ndarray]], pd.DataFrame | None], width: int, schema: str) -> DataFrame:
+    """(s, j, combined) of the tiles (s, j, name) times the matrix (i, j, ends) and the tiles own (s, j, data) at the same place."""
+    moved = tiles.select("s", F.col("j").alias("i"), F.col(name).alias("data")).join(matrix, "i").select("s", "j", "data", "ends")
+    rows = moved.unionByName(own.select("s", "j", "data", F.lit(None).cast("array<int>").alias("ends")))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        total, places = np.zeros((STRIP, width)), []
+        for data, ends in zip(frame["data"], frame["ends"], strict=True):
+            if ends is None:
+                places.append(_tile(data, width))
+                continue
+            block = np.zeros(width * width)
+            block[ends] = 1.0
+            total += _tile(data, width) @ block.reshape(width, width)
+        out = combine(total, places)
+        names = [c.split()[0] for c in schema.split(", ")]
+        if out is None:
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in ["s", "j", *names]})
+        return pd.DataFrame([(frame["s"].iloc[0], frame["j"].iloc[0], *out)], columns=["s", "j", *names])
+
+    return rows.groupBy("s", "j").applyInPandas(run, f"s int, j int, {schema}")
+
+
 def betweenness(edges: DataFrame, sources: DataFrame | None = None, batches: int = 1, max_depth: int = 1000) -> DataFrame:
     """(node, betweenness): the share of shortest paths between two others that pass a node, over all pairs of others.
 
-    Sources go level by level at once: a level joins the frontier with the edges and adds up path counts; then the levels
-    are gone back over, adding up what depends on each node. A source costs a row for each node that it reaches, so its
-    work is the edges, and all sources' the nodes times the edges; batches bound the rows held at a time. With given
-    sources (a table of node) the sums are scaled up by the share of nodes they are.
+    Sources go level by level at once: a level's path counts are a matrix of sources by nodes, in tiles of STRIP by about
+    BLOCK, and the next level's are its product with the links, in blocks of about BLOCK by BLOCK, where no level has been
+    before; then the levels are gone back over, adding up what depends on each node. A task holds the tiles of one strip of
+    sources and one block of links at a time. All sources cost the nodes cubed in multiplications, whatever the number of
+    links; batches bound the tiles held at a time. With given sources (a table of node) the sums are scaled up by the share
+    of nodes they are.
     """
-    links = cut(_both_ways(edges.withColumn("w", F.lit(1))).where("a <> b").select("a", "b").distinct())
+    links = cut(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     nodes = cut(links.select(F.col("a").alias("node")).distinct())
     n = nodes.count()
-    starts = cut(nodes if sources is None else nodes.join(sources.select("node").distinct(), "node"))
+    if n < 3:
+        return nodes.select("node", F.lit(0.0).alias("betweenness"))
+    places = nodes.withColumn("j", F.pmod(F.xxhash64("node"), F.lit(math.ceil(n / BLOCK))).cast("int"))
+    places = cut(places.withColumn("at", F.row_number().over(Window.partitionBy("j").orderBy("node")) - 1))
+    width = places.agg(F.max("at") + 1).first()[0]
+    ends = [places.select(F.col("node").alias(c), F.col("j").alias(j), F.col("at").alias(f"{c}_at")) for c, j in (("a", "i"), ("b", "j"))]
+    matrix = links.join(ends[0], "a").join(ends[1], "b").groupBy("i", "j")
+    matrix = cut(matrix.agg(F.collect_list((F.col("a_at") * width + F.col("b_at")).cast("int")).alias("ends")))
+    starts = cut(places if sources is None else places.join(sources.select("node").distinct(), "node"))
     used = starts.count()
-    kind = nodes.schema["node"].dataType
-    total = None
+    strips = math.ceil(width / STRIP)
+
+    def ones(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            tiles = []
+            for found in frame["ends"]:
+                tile = np.zeros(STRIP * width)
+                tile[found] = 1.0
+                tiles.append(tile.tobytes())
+            yield pd.DataFrame({"s": frame["s"], "j": frame["j"], "data": tiles})
+
+    def onward(total: np.ndarray, near: list[np.ndarray]) -> tuple | None:
+        for tile in near:
+            total[tile > 0] = 0.0
+        return (total.tobytes(),) if total.any() else None
+
+    def shares(paths: np.ndarray, part: np.ndarray) -> tuple:
+        share = np.divide(1 + part, paths, out=np.zeros_like(paths), where=paths > 0)
+        return share.tobytes(), part.sum(axis=0)
+
+    def backward(total: np.ndarray, own: list[np.ndarray]) -> tuple | None:
+        return shares(own[0], own[0] * total) if own else None
+
+    def last(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [shares(tile, np.zeros_like(tile)) for tile in (_tile(d, width) for d in frame["data"])]
+            yield pd.DataFrame({"s": frame["s"], "j": frame["j"], "share": [f[0] for f in found], "part": [f[1] for f in found]})
+
+    sums = None
     for batch in range(batches):
-        mine = starts.where(F.pmod(F.xxhash64("node"), F.lit(batches)) == batch)
-        levels = [cut(mine.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("paths")))]
+        mine = starts.withColumn("s", (F.col("j") * strips + F.floor(F.col("at") / STRIP)).cast("int")).where(F.pmod("s", F.lit(batches)) == batch)
+        first = mine.groupBy("s", "j").agg(F.collect_list(((F.col("at") % STRIP) * width + F.col("at")).cast("int")).alias("ends"))
+        levels = [cut(first.mapInPandas(ones, "s int, j int, data binary"))]
         for _ in range(max_depth):
-            reached = levels[-1].join(links, levels[-1]["v"] == links["a"]).groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
             # Two levels back is enough: an edge leads one level on, to the same level or one back.
-            near = levels[-1].select("s", "v") if len(levels) < 2 else levels[-1].select("s", "v").unionByName(levels[-2].select("s", "v"))
-            level = cut(reached.join(near, ["s", "v"], "left_anti"))
+            near = levels[-1] if len(levels) < 2 else levels[-1].unionByName(levels[-2])
+            level = cut(_led(levels[-1], matrix, near, "data", onward, width, "data binary"))
             if level.isEmpty():
                 break
             levels.append(level)
         else:
             raise RuntimeError(f"paths longer than {max_depth}")
-        below = levels[-1].withColumn("part", F.lit(0.0))
+        below = cut(levels[-1].mapInPandas(last, "s int, j int, share binary, part array<double>"))
         for level in reversed(levels[:-1]):
-            if total is None:
-                total = below.select(F.col("v").alias("node"), "part")
-            else:
-                total = total.unionByName(below.select(F.col("v").alias("node"), "part"))
-            share = below.select("s", F.col("v").alias("b"), ((1 + F.col("part")) / F.col("paths")).alias("share"))
-            back = share.join(links, "b").select("s", F.col("a").alias("v"), "share")
-            back = back.join(level, ["s", "v"]).groupBy("s", "v", "paths").agg(F.sum("share").alias("share"))
-            below = cut(level.join(back.select("s", "v", "share"), ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("part")))
-    pairs = (n - 1) * (n - 2)
-    if total is None or n < 3:
+            told = below.select("j", F.posexplode("part").alias("at", "part")).groupBy("j", "at").agg(F.sum("part").alias("part"))
+            sums = told if sums is None else sums.unionByName(told)
+            if level is not levels[0]:
+                below = cut(_led(below, matrix, level, "share", backward, width, "share binary, part array<double>"))
+    if sums is None:
         return nodes.select("node", F.lit(0.0).alias("betweenness"))
-    scale = n / max(used, 1) / pairs
-    sums = total.groupBy("node").agg((F.sum("part") * scale).alias("betweenness"))
-    return nodes.join(sums, "node", "left").select(F.col("node").cast(kind), F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+    pairs = (n - 1) * (n - 2)
+    total = sums.groupBy("j", "at").agg((F.sum("part") * (n / max(used, 1) / pairs)).alias("betweenness"))
+    return places.join(total, ["j", "at"], "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
 def spanning_tree(edges: DataFrame) -> DataFrame:

@@ -108,6 +108,17 @@ def test_betweenness_equals_its_definition(spark):
     assert all(abs(r.betweenness - want[r.node]) < 1e-12 for r in some.collect())
 
 
+def test_betweenness_in_many_tiles_equals_its_definition(spark, monkeypatch):
+    monkeypatch.setattr(networks, "STRIP", 3)
+    monkeypatch.setattr(networks, "BLOCK", 6)
+    edges = sorted({(a, b, 1.0) for a, b, _ in random_edges(np.random.default_rng(5), 13, 0.2)} | {(v, v + 1, 1.0) for v in range(12)})
+    want = passed(13, edges)
+    got = {r.node: r.betweenness for r in networks.betweenness(graph(spark, edges)).collect()}
+    assert all(abs(got[v] - want[v]) < 1e-12 for v in range(13))
+    none = networks.betweenness(graph(spark, edges), sources=spark.createDataFrame([], "node long"))
+    assert {r.betweenness for r in none.collect()} == {0.0}
+
+
 def linkage(n, w, cut):
     """Clusters joined at their least distance, one by one; (heights, clusters at cut)."""
     groups, heights, at_cut = [{v} for v in range(n)], [], None
