@@ -7,7 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantspark.frames import Series, ratio
+from quantspark import pieces
+from quantspark.frames import Series, ratio, settled
+from quantspark.pieces import beside, dealt
+
+#: Rows from which a value is broadcast with its rank.
+COMMON = 10_000
 
 
 def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], tie: Sequence[str] = (), prefix: str = "asof_") -> DataFrame:
@@ -67,10 +72,31 @@ def average_rank(df: DataFrame, by: Sequence[str], x: str, out: str) -> DataFram
     return df.withColumn(out, F.rank().over(w.orderBy(x)) + (ties - 1) / 2)
 
 
+def _value_rank(df: DataFrame, rows: DataFrame, by: Sequence[str], x: str, out: str) -> DataFrame:
+    """rows with what average_rank gives them among those of df, for keys of any number of rows. Values are counted, the
+    counts added up in pieces, and rows take the rank of their value; values of very many rows are broadcast."""
+    counts = dealt(settled(df.groupBy(*by, x).agg(F.count(F.lit(1)).alias("__n"))), Series(tuple(by), (x,))).total("__e", "__n").rows
+    ranks = counts.select(*by, x, "__n", (F.col("__e") - (F.col("__n") - 1) / 2).alias("__rank"))
+    often = F.col("__n") > COMMON
+    rows = beside(rows, ranks.where(often).select(*by, x, F.col("__rank").alias("__often")), [*by, x])
+    # Rows that have their rank are spread by a number that no other value goes by.
+    rows = rows.withColumn("__salt", F.when(F.col("__often").isNotNull(), F.monotonically_increasing_id() % 1024 + 1).otherwise(F.lit(0)))
+    rest = ranks.where(~often).select(*[F.col(c).alias(f"{c}__r") for c in (*by, x)], F.lit(0).cast("long").alias("__salt__r"), "__rank")
+    match = F.lit(True)
+    for c in (*by, x, "__salt"):
+        match = match & F.col(c).eqNullSafe(F.col(f"{c}__r"))
+    return rows.join(rest, match, "left").withColumn(out, F.coalesce("__often", "__rank")).drop("__often", "__rank", "__salt", *[f"{c}__r" for c in (*by, x, "__salt")])
+
+
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """Rank correlation of two columns within each key, over rows where both are known."""
+    """Rank correlation of two columns within each key, over rows where both are known. Keys of many rows are ranked by
+    counts of values, the others by windows."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = average_rank(average_rank(rows, by, x, "__rx"), by, y, "__ry")
+    if rows.groupBy(*by).count().where(F.col("count") > pieces.PIECE).isEmpty():
+        rows = average_rank(average_rank(rows, by, x, "__rx"), by, y, "__ry")
+    else:
+        rows = rows.select(*by, x, y)
+        rows = _value_rank(rows, _value_rank(rows, rows, by, x, "__rx"), by, y, "__ry")
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("__rx", "__ry").alias("spearman"))
 
 
