@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspark.frames import TICKS, Series, lag, ratio, rolling_mean, rolling_std
@@ -17,6 +17,7 @@ from quantspark.operators import quantiles
 from quantspark.operators.joins import pair_correlation
 from quantspark.operators.risk import var_backtest
 from quantspark.operators.statistics import normal_cdf
+from quantspark.pieces import dealt
 
 #: Drawdowns from which a position is cut to a share, and the one that closes it: fixed values.
 TIERS = ((0.05, 0.80), (0.10, 0.50), (0.15, 0.30), (0.20, 0.10))
@@ -45,8 +46,8 @@ def volatility_cone(df: DataFrame, s: Series = TICKS, x: str = "ret", windows: S
 def runs_test(df: DataFrame, s: Series, x: str, threshold: float = 0.0) -> DataFrame:
     """(key, n, wins, runs, z, p): whether wins and losses alternate as by chance; p is 1 where only one of them occurs."""
     win = (F.col(x) > threshold).cast("int")
-    rows = df.where(F.col(x).isNotNull()).select(*s.key, *s.order, win.alias("__w"))
-    rows = rows.withColumn("__new", F.coalesce((F.col("__w") != lag("__w", s)).cast("int"), F.lit(1)))
+    rows = dealt(df.where(F.col(x).isNotNull()).select(*s.key, *s.order, win.alias("__w")), s).lag(__b="__w").rows
+    rows = rows.withColumn("__new", F.coalesce((F.col("__w") != F.col("__b")).cast("int"), F.lit(1)))
     out = rows.groupBy(*s.key).agg(F.count(F.lit(1)).alias("n"), F.sum("__w").alias("wins"), F.sum("__new").alias("runs"))
     n, a = F.col("n").cast("double"), F.col("wins").cast("double")
     both = 2 * a * (n - a)
@@ -128,13 +129,31 @@ def signal_persistence(df: DataFrame, s: Series = TICKS, signal: str = "signal",
 
 def trade_habits(df: DataFrame, s: Series, ts: str = "ts", pnl: str = "pnl", seconds: int = 86_400, times: float = 2.0) -> DataFrame:
     """df with revenge (less than so many seconds behind a losing trade), recent (trades of these last seconds, those of
-    the same moment included) and overtrading (more than so many times the series' mean of them)."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    the same moment included) and overtrading (more than so many times the series' mean of them).
+
+    Moments are counted by periods of that many seconds; a period's window sees it and the one before. Trades take the
+    counts of their moment."""
+    at, span = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
     rows = df.withColumn("__at", at)
-    frame = s.whole().orderBy("__at").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    rows = rows.withColumn("recent", F.count(F.lit(1)).over(frame))
-    revenge = (lag(pnl, s) < 0) & (F.col("__at") - lag("__at", s) < seconds * 1_000_000)
-    return rows.withColumns({"revenge": F.coalesce(revenge, F.lit(False)), "overtrading": F.col("recent") > times * F.avg("recent").over(s.whole())}).drop("__at")
+    moments = rows.groupBy(*s.key, "__at").agg(F.count(F.lit(1)).alias("__n")).withColumn("__own", F.floor(F.col("__at") / span))
+    near = moments.withColumn("__period", F.explode(F.when(F.col("__own").isNull(), F.array(F.col("__own"))).otherwise(F.array(F.col("__own"), F.col("__own") + 1))))
+    frame = Window.partitionBy(*s.key, "__period").orderBy("__at").rangeBetween(-(span - 1), 0)
+    near = near.withColumn("recent", F.sum("__n").over(frame)).where(F.col("__own").eqNullSafe(F.col("__period")))
+    mean = near.groupBy(*s.key).agg((F.sum(F.col("recent") * F.col("__n")) / F.sum("__n")).alias("__mean"))
+    told = _same(near.select(*s.key, "__at", "recent"), mean, s.key).select(*s.key, "__at", "recent", (F.col("recent") > times * F.col("__mean")).alias("overtrading"))
+    d = dealt(rows, s).lag(__before="__at", __pnl=pnl)
+    revenge = (F.col("__pnl") < 0) & (F.col("__at") - F.col("__before") < span)
+    rows = d.columns(revenge=F.coalesce(revenge, F.lit(False))).rows.drop("__before", "__pnl", "__piece")
+    return _same(rows, told, [*s.key, "__at"]).select(*df.columns, "recent", "revenge", "overtrading")
+
+
+def _same(df: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """An inner join in which null keys are equal."""
+    named = right.select(*[F.col(k).alias(f"{k}__r") for k in keys], *[c for c in right.columns if c not in keys])
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"{k}__r"))
+    return df.join(named, match).drop(*[f"{k}__r" for k in keys])
 
 
 def drawdown_scales(drawdown: Column, most: float = 0.2, floor: float = 0.25, power: float = 2.0, tiers: Sequence[tuple[float, float]] = TIERS, kill: float = KILL) -> dict[str, Column]:
