@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspark.frames import TICKS, Series, full, lag, ratio, rolling_mean, rolling_std, simple_return
+from quantspark.pieces import Dealt, dealt
 
 
 def resample_bars(df: DataFrame, every: str, by: Sequence[str] = ("asset",), ts: str = "ts", price: str = "price", tie: str = "tie") -> DataFrame:
@@ -126,17 +127,25 @@ def roll_spread(df: DataFrame, s: Series, price: str) -> DataFrame:
 
 def order_imbalance(df: DataFrame, s: Series, price: str, volume: str, n: int) -> DataFrame:
     """Volume signed by the tick rule (a zero change keeps the last sign) over all volume of n rows."""
-    sign = F.signum(F.col(price) - lag(price, s))
-    rows = df.withColumn("__g", F.when(sign != 0, sign))
-    rows = rows.withColumn("side", F.coalesce(F.last("__g", True).over(s.so_far()), F.lit(0.0)))
-    top, bottom = F.sum(F.col("side") * F.col(volume)).over(s.last(n)), F.sum(volume).over(s.last(n))
-    return rows.withColumn("imbalance", full(ratio(top, bottom, 0.0), F.col(volume), s.last(n), n)).drop("__g")
+    d = sides(df, s, price).past(n - 1)
+    last = d.s.last(n)
+    top, bottom = F.sum(F.col("side") * F.col(volume)).over(last), F.sum(volume).over(last)
+    rows = d.rows.withColumn("imbalance", full(ratio(top, bottom, 0.0), F.col(volume), last, n))
+    return rows.where("NOT __past").drop("__p", "__piece", "__past")
+
+
+def sides(df: DataFrame, s: Series, price: str) -> Dealt:
+    """df in pieces with __p, the price before, and side by the tick rule: 0 until the first change."""
+    d = dealt(df, s).lag(__p=price)
+    sign = F.signum(F.col(price) - F.col("__p"))
+    d = d.columns(__g=F.when(sign != 0, sign)).last_known("side", "__g")
+    return d.using(d.rows.withColumn("side", F.coalesce("side", F.lit(0.0))).drop("__g"))
 
 
 def vpin(df: DataFrame, s: Series, price: str, volume: str, bucket: float, n: int) -> DataFrame:
     """One row for each bucket of the running volume: the mean, over up to n buckets, of their one-sided shares of the
     volume that has a side. Buckets without such volume say nothing; 0 where none of them does."""
-    rows = order_imbalance(df, s, price, volume, 1).withColumn("__b", F.floor(F.sum(volume).over(s.so_far()) / bucket))
+    rows = sides(df, s, price).total("__t", volume).rows.withColumn("__b", F.floor(F.col("__t") / bucket))
     signed = F.col("side") * F.col(volume)
     sums = rows.groupBy(*s.key, F.col("__b").alias("bucket")).agg(F.abs(F.sum(signed)).alias("gap"), F.sum(F.abs(signed)).alias("volume"))
     w = Window.partitionBy(*s.key).orderBy("bucket").rowsBetween(-(n - 1), 0)
@@ -145,7 +154,7 @@ def vpin(df: DataFrame, s: Series, price: str, volume: str, bucket: float, n: in
 
 def kyle_lambda(df: DataFrame, s: Series, price: str, volume: str) -> DataFrame:
     """Slope of price change on signed volume."""
-    rows = order_imbalance(df, s, price, volume, 1).withColumn("__d", F.col(price) - lag(price, s)).withColumn("__v", F.col("side") * F.col(volume))
+    rows = sides(df, s, price).rows.withColumn("__d", F.col(price) - F.col("__p")).withColumn("__v", F.col("side") * F.col(volume))
     return rows.where(F.col("__d").isNotNull()).groupBy(*s.key).agg(F.regr_slope("__d", "__v").alias("kyle_lambda"), F.regr_r2("__d", "__v").alias("r2"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quantspark.frames import TICKS, rounded
 from quantspark.functions.kernels import return_volatility
 from quantspark.operators import market as m
+from quantspark.pieces import dealt
 from quantspark.plans.indicator_queries import RET, W, fullw, over_ticks, pick, r
 from quantspark.plans.kernel_queries import fold
 from quantspark.plans.registry import register
@@ -104,7 +105,7 @@ def regime_spells(spark, sf_dir):
     f"WITH {TRADES_SQL}, a AS (SELECT *, price / lag(price) OVER ({TW}) - 1 AS ret FROM trades) SELECT symbol, round(avg(1e6 * abs(ret) / (price * quantity)), 6) + 0.0 AS illiquidity, count(ret) AS n FROM a GROUP BY 1",
 )
 def amihud_illiquidity(spark, sf_dir):
-    rows = trades(spark, sf_dir).withColumn("ret", F.col("price") / F.lag("price").over(TRADES.window()) - 1).withColumn("value", F.col("price") * F.col("quantity"))
+    rows = dealt(trades(spark, sf_dir), TRADES).lag(__p="price").rows.withColumn("ret", F.col("price") / F.col("__p") - 1).withColumn("value", F.col("price") * F.col("quantity"))
     return rounded(m.amihud(rows, ["symbol"], "ret", "value"))
 
 
