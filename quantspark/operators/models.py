@@ -91,8 +91,12 @@ def crossover_score(prices: np.ndarray, fast: int, slow: int, cost: float = 0.00
 
 def parameter_search(df: DataFrame, s: Series, grid: dict[str, Sequence], score: Callable[..., float] = crossover_score, price: str = "price") -> DataFrame:
     """(key, parameters, score) for every series and every combination. A series is shuffled once, key, order and price
-    alone, and scored under all combinations where it lies."""
+    alone, and scored under all combinations where it lies. The crossover's own score is found by windows (see
+    crossover_search), which spares a call of Python for each series; prices that are not a number count as missing."""
     names = list(grid)
+    if score is crossover_score and sorted(names) == ["fast", "slow"] and all(isinstance(n, int) for values in grid.values() for n in values):
+        known = df.select(*s.key, *s.order, F.when(~F.isnan(F.col(price).cast("double")), F.col(price).cast("double")).alias(price))
+        return crossover_search(known, s, grid["fast"], grid["slow"], price=price).select(*s.key, *names, "score")
     combos = [dict(zip(names, values, strict=True)) for values in itertools.product(*grid.values())]
     kinds = dict(df.dtypes)
 

@@ -119,3 +119,17 @@ def test_last_rows_and_strength(spark):
     assert sorted(r.ts for r in mk.last_rows(rows, Series(), 2).collect()) == [3, 4]
     flat = spark.createDataFrame([("a", 1, 0.1, 0.0), ("b", 1, 0.1, 0.0)], "asset string, ts int, m double, s double")
     assert {r.strength for r in mk.relative_strength(flat, "ts", "m", "s").collect()} == {0.0}
+
+
+def test_crossovers_are_scored_without_python(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, i, 0, p) for k, n in (("a", 60), ("b", 20), ("c", 9)) for i, p in enumerate(np.round(100 + rng.normal(size=n).cumsum(), 2).tolist())]
+    rows[7], rows[12], rows[30] = ("a", 7, 0, None), ("a", 12, 0, float("nan")), ("a", 30, 0, 0.0)
+    df = spark.createDataFrame(rows, "asset string, ts long, tie long, price double")
+    grid = {"slow": (5, 8), "fast": (2, 3)}
+    found = models.parameter_search(df, TICKS, grid)
+    assert "Pandas" not in found._jdf.queryExecution().toString()
+    plain = models.parameter_search(df, TICKS, grid, score=lambda prices, fast, slow: models.crossover_score(prices, fast, slow))
+    assert found.columns == plain.columns and found.dtypes == plain.dtypes
+    got, want = ({tuple(r)[:3]: r.score for r in d.collect()} for d in (found, plain))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
