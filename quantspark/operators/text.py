@@ -158,7 +158,8 @@ def minhash_signatures(posts: DataFrame, id_col: str = "id", text_col: str = "te
         for value in texts:
             words = (value or "").lower().split()
             parts = {" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-            hashed = pd.util.hash_array(np.array(sorted(parts), dtype=object)).astype(np.uint64)
+            # A least value needs no order, and words of a set none to be looked for twice.
+            hashed = pd.util.hash_array(np.array(list(parts), dtype=object), categorize=False).astype(np.uint64)
             low = np.full(size, np.iinfo(np.uint64).max, np.uint64)
             for at in range(0, len(hashed), 4096):
                 low = np.minimum(low, ((hashed[at : at + 4096, None] * a + b) >> np.uint64(2)).min(axis=0))

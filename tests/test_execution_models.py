@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,12 @@ def test_crossovers_are_scored_without_python(spark):
     assert found.columns == plain.columns and found.dtypes == plain.dtypes
     got, want = ({tuple(r)[:3]: r.score for r in d.collect()} for d in (found, plain))
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_signatures_are_least_hashes_of_words(spark):
+    text_ = "B a c a\tb d " + " ".join(f"w{i}" for i in range(5000))
+    got = text.minhash_signatures(spark.createDataFrame([(1, text_)], "id long, text string"), size=8).first()["signature"]
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(1, 1 << 61, 8, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 61, 8, dtype=np.uint64)
+    hashed = pd.util.hash_array(np.array(sorted(set(text_.lower().split())), dtype=object)).astype(np.uint64)
+    assert got == ((hashed[:, None] * a + b) >> np.uint64(2)).min(axis=0).astype(np.int64).tolist()
